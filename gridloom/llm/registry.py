@@ -1,7 +1,7 @@
 """All queries of the text operators, with the SQL of those that SQL can express."""
 
-from gridloom.llm import decontaminate, exact_dedup, packing, token_files
+from gridloom.llm import decontaminate, exact_dedup, ngram_join, packing, token_files
 
-MODULES = [token_files, exact_dedup, packing, decontaminate]
+MODULES = [token_files, exact_dedup, ngram_join, packing, decontaminate]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
