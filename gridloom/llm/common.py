@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Unicode White_Space, as the body of a character class.
 WHITE = "\t-\r \x85\xa0  -     　"
 
+#: Of an Arrow batch, what an operator's function sees at once.
+SLICE_BYTES = 8 << 20
+
 #: For bytes.translate: everything in ASCII but digits and letters becomes a space, and A-Z become a-z.
 WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -53,14 +56,16 @@ def drop_staged(*frames: DataFrame) -> None:
 
 
 def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """mapInArrow with a function made once a task, batch by batch."""
+    """mapInArrow with a function made once a task, by slices of about SLICE_BYTES, so that what it makes at once is bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            out = each(batch)
-            if out is not None and out.num_rows:
-                yield out
+            rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, rows):
+                out = each(batch.slice(at, rows))
+                if out is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

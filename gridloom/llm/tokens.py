@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from functools import lru_cache
@@ -25,7 +26,7 @@ class ChunkEncoder:
     max_cached chunks, which changes the speed and never the result.
     """
 
-    def __init__(self, path: str, max_cached: int = 400_000):
+    def __init__(self, path: str, max_cached: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -56,5 +57,6 @@ class ChunkEncoder:
 
 @lru_cache(4)
 def encoder(path: str) -> ChunkEncoder:
-    """One for each worker process and vocabulary."""
+    """One for each worker process and vocabulary. Spark runs as many workers as there are cores, so the library gets one thread each."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return ChunkEncoder(path)
