@@ -205,15 +205,15 @@ def viterbi(rows: list[list[list[int]]], model: tuple[np.ndarray, np.ndarray]) -
 
 
 def windows(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches of text within REACH characters of a trigger, widened to white space."""
-    begin, end = -1, -1
+    """Stretches of text within REACH characters of a trigger."""
+    begin = end = None
     for m in TRIGGER.finditer(text):
-        if m.start() - REACH > end:
-            if end >= 0:
+        if end is None or m.start() - REACH > end:
+            if end is not None:
                 yield begin, end
             begin = max(0, m.start() - REACH)
         end = min(len(text), m.end() + REACH)
-    if end >= 0:
+    if end is not None:
         yield begin, end
 
 
@@ -232,14 +232,16 @@ def plausible(kind: str, text: str) -> bool:
 
 
 def found_spans(texts: list[str], base: list[list[tuple[str, int, int]]], model: tuple[np.ndarray, np.ndarray]) -> list[list[tuple[str, int, int]]]:
-    """Spans of the field in each text that touch no base span."""
+    """Spans of the field in each text, between the base spans."""
     rows, where = [], []
     for k, text in enumerate(texts):
         for begin, end in windows(text):
-            places = [(m.start() + begin, m.end() + begin) for m in TOKENS.finditer(text[begin:end])]
-            if places:
-                rows.append(token_features([text[a:b] for a, b in places]))
-                where.append((k, places))
+            cuts = [begin, *(x for _, a, b in base[k] if begin < b and a < end for x in (a, b)), end]
+            for left, right in zip(cuts[::2], cuts[1::2], strict=True):
+                places = [(m.start() + left, m.end() + left) for m in TOKENS.finditer(text[left:right])] if left < right else []
+                if places:
+                    rows.append(token_features([text[a:b] for a, b in places]))
+                    where.append((k, places))
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     for (k, places), path in zip(where, viterbi(rows, model), strict=True):
         at = 0
@@ -248,9 +250,13 @@ def found_spans(texts: list[str], base: list[list[tuple[str, int, int]]], model:
                 kind, stop = LABELS[path[at]][2:], at + 1
                 while stop < len(path) and LABELS[path[stop]] == f"I-{kind}":
                     stop += 1
-                a, b = places[at][0], places[stop - 1][1]
-                if plausible(kind, texts[k][a:b]) and not any(a < y and x < b for _, x, y in base[k]):
-                    out[k].append((kind, a, b))
+                # The field's span, or what is left of it without up to three tokens at its end or its beginning.
+                for begin, end in ((at, stop), *((at, stop - n) for n in (1, 2, 3)), *((at + n, stop) for n in (1, 2, 3))):
+                    a, b = (places[begin][0], places[end - 1][1]) if begin < end else (0, 0)
+                    if begin < end and plausible(kind, texts[k][a:b]):
+                        if not any(a < y and x < b for _, x, y in base[k]):
+                            out[k].append((kind, a, b))
+                        break
                 at = stop
             else:
                 at += 1
