@@ -1,4 +1,7 @@
-"""Registered queries and their SQL."""
+"""Registered queries and, where SQL can express them, the SQL to compare them with."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from gridloom.plans import grade_plans, run_plans, token_plans, usage_plans
+
+MODULES = [token_plans, usage_plans, grade_plans, run_plans]
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLE = {k: q for m in MODULES for k, q in m.ORACLE.items()}
