@@ -76,8 +76,10 @@ def near_miss_color(literals: DataFrame, tokens: DataFrame, most: float = 3.0) -
     right = hexed(tokens.select(*REPO, "token", s.normalize_literal(F.col("value")).alias("value")).distinct(), "value").withColumnRenamed("_lab", "_q")
     right = right.withColumn("_b", F.explode(F.array(*[F.floor(F.col("_q.l") / width) + k for k in (-1, 0, 1)])))
     left = hexed(literals.select(*REPO, s.normalize_literal(F.col("literal")).alias("literal")).distinct(), "literal").join(right.select(*REPO, F.col("value").alias("literal")).distinct(), [*REPO, "literal"], "left_anti")
-    pairs = s.with_delta_e(left.withColumn("_b", F.floor(F.col("_lab.l") / width)).join(right, [*REPO, "_b"]), "_lab", "_q", "de").where(F.col("de") < most)
-    return pairs.groupBy(*REPO, "literal").agg(F.min(F.struct(F.round("de", 6).alias("delta_e"), "token", "value")).alias("m")).select(*REPO, "literal", "m.token", "m.value", "m.delta_e")
+    pairs = s.with_delta_e(left.withColumn("_b", F.floor(F.col("_lab.l") / width)).join(right, [*REPO, "_b"]), "_lab", "_q", "de")
+    # The bound follows the aggregate: as a filter before it, the whole formula would be repeated in the join's condition.
+    best = pairs.groupBy(*REPO, "literal").agg(F.min(F.struct("de", "token", "value")).alias("m")).where(F.col("m.de") < most)
+    return best.select(*REPO, "literal", "m.token", "m.value", F.round("m.de", 6).alias("delta_e"))
 
 
 def leak_cascade(literals: DataFrame, redundant: DataFrame, exact: DataFrame, near: DataFrame) -> DataFrame:
