@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import by_batch, drop_staged, may_contain, stage, table, texts_of, without_ids
-from gridloom.llm.near import bucket_members, linked_components
+from gridloom.llm.near import linked_components
 from gridloom.llm.ngram_join import mix
 
 #: Characters (UTF-8 bytes) of a shingle, and the similarity of near copies in percent.
@@ -89,7 +89,7 @@ def line_rows(docs: DataFrame, width: int) -> DataFrame:
 
 
 def score(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    far = sum((a[:, k][:, None] != b[:, k][None, :]).astype(np.int32) for k in range(_SIZE))
+    far = (a != b).sum(axis=-1, dtype=np.int32)
     return far, far <= (1 - AGREE) * _SIZE
 
 
@@ -137,9 +137,9 @@ def line_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     first = rows.groupBy("line_id").agg(F.min("row_id").alias("first"))
     own = stage(rows.select("row_id", "doc_id", "line_no", "line_id").join(first, "line_id").drop("line_id"), "own")
     heads = without_ids(rows, own.where("row_id <> first").select("row_id"), "row_id")
-    members = bucket_members(heads.select(F.explode("keys").alias("key"), F.col("row_id").alias("id")))
+    keys = heads.select(F.explode("keys").alias("key"), F.col("row_id").alias("id"))
     sketches = heads.select(F.col("row_id").alias("id"), F.lit(0).cast("long").alias("n"), "sketch")
-    components = linked_components(members, sketches, score, verifier(docs, own, width, percent))
+    components = linked_components(keys, sketches, score, verifier(docs, own, width, percent))
     drop_staged(rows)
     named = own.join(components.toDF("first", "component"), "first", "left").select("doc_id", "line_no", F.coalesce("component", "first").alias("component"))
     keep = named.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"))

@@ -9,22 +9,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import connected_components, drop_staged, stage
+from gridloom.llm.common import by_batch, connected_components, drop_staged, may_contain, stage
 
 #: Members of a bucket that one block holds; a pair of blocks is the most that one comparison sees.
 BLOCK = 256
 
-#: score(sketches, sizes, other sketches, other sizes) gives a distance for each pair, and whether the pair may be linked.
+#: score(sketches, sizes, other sketches, other sizes) gives distances, and whether the two may be linked. The last axis
+#: of sketches holds their bytes; the axes before broadcast.
 Score = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def bucket_members(keys: DataFrame) -> DataFrame:
-    """(key, m, id) of the buckets with two ids or more, from (key, id); m counts the bucket's rows.
+def buckets(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of (key, id): the pairs (x, y) that are alone in a bucket, and (key, m, id) of larger buckets; m counts their rows.
 
-    Counting goes before the join, partly in each task, and large keys are split by the join: no bucket is collected.
+    Counting goes first, partly in each task. Only rows whose key may be that of a larger bucket are shuffled again, and large
+    keys are split by that join: no bucket is collected.
     """
-    many = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key", "m")
-    return keys.join(many, "key").select("key", "m", "id").distinct()
+    counted = stage(keys.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b"), "buckets")
+    large = counted.where("m > 2").select("key", "m")
+    members = may_contain(keys, "key", large).where("_may").join(large, "key").select("key", "m", "id")
+    return counted.where("m = 2").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct(), members
+
+
+def pair_scores(pairs: DataFrame, sketches: DataFrame, score: Score) -> DataFrame:
+    """Those pairs (x, y) that score lets through."""
+    kind = dict(pairs.dtypes)["x"]
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sketch_x", "sketch_y"))
+            _, ok = score(a, batch.column("n_x").to_numpy(), b, batch.column("n_y").to_numpy())
+            return batch.select(["x", "y"]).filter(pa.array(ok))
+
+        return each
+
+    both = pairs.join(sketches.toDF("x", "n_x", "sketch_x"), "x").join(sketches.toDF("y", "n_y", "sketch_y"), "y")
+    return by_batch(both, make, f"x {kind}, y {kind}")
 
 
 def _forest(x: np.ndarray, y: np.ndarray, far: np.ndarray, n: int) -> list[int]:
@@ -71,7 +91,7 @@ def block_pairs(members: DataFrame, score: Score, block: int = BLOCK) -> DataFra
         xs, ys, fars = [], [], []
         for at in range(0, len(rows), 64):
             mine = rows[at : at + 64]
-            far, ok = score(sketch[mine], n[mine], sketch[cols], n[cols])
+            far, ok = score(sketch[mine][:, None], n[mine][:, None], sketch[cols][None], n[cols][None])
             if not crossed:
                 ok = ok & (mine[:, None] < cols[None, :])
             if crossing:
@@ -126,29 +146,33 @@ def block_pairs(members: DataFrame, score: Score, block: int = BLOCK) -> DataFra
     return dealt.mapInArrow(run, f"key long, x {kind}, y {kind}")
 
 
-def linked_components(members: DataFrame, sketches: DataFrame, score: Score, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, component) over the links that verify confirms, for members (key, m, id) and sketches (id, n, sketch).
+def linked_components(keys: DataFrame, sketches: DataFrame, score: Score, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, component) over the links that verify confirms, for keys (key, id) and sketches (id, n, sketch).
 
-    verify takes distinct pairs (x, y) with x < y and returns them with a column ok. First each comparison proposes a
-    spanning forest. If all of a bucket's proposals hold, all that may be linked there is connected already. In the other
-    buckets every pair that still crosses components is verified, so no link is lost.
+    verify takes distinct pairs (x, y) with x < y and returns them with a column ok. Buckets of two are pairs already. In
+    larger ones each comparison proposes a spanning forest. If all of a bucket's proposals hold, all that may be linked
+    there is connected. In the other buckets every pair that still crosses components is verified, so no link is lost.
     """
 
     def ordered(found: DataFrame) -> DataFrame:
-        return found.select("key", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        return found.where("x <> y").select("key", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
+    pairs, members = buckets(keys)
     members = stage(members, "members")
     full = members.join(sketches, "id").select("key", "m", "id", "n", "sketch")
     proposed = stage(ordered(block_pairs(full, score)), "proposed")
-    checked = stage(verify(proposed.select("x", "y").distinct()), "checked")
+    asked = stage(pair_scores(pairs, sketches, score).union(proposed.select("x", "y")).distinct(), "asked")
+    checked = stage(verify(asked), "checked")
     links = checked.where("ok").select(F.col("x").alias("u"), F.col("y").alias("v"))
     components = connected_components(links)
     doubtful = stage(proposed.join(checked.where("not ok"), ["x", "y"]).select("key").distinct(), "doubtful")
+    drop_staged(proposed, asked)
     if doubtful.isEmpty():
+        drop_staged(members)
         return components
     again = members.join(doubtful, "key", "left_semi").join(sketches, "id").join(components, "id", "left")
     again = again.select("key", "m", "id", "n", "sketch", F.coalesce("component", "id").alias("comp"))
-    crossing = ordered(block_pairs(again, score)).select("x", "y").distinct().join(checked.where("not ok").select("x", "y"), ["x", "y"], "left_anti")
-    more = stage(verify(stage(crossing, "crossing")).where("ok"), "more")
-    drop_staged(members, proposed)
+    crossing = stage(ordered(block_pairs(again, score)).select("x", "y").distinct().join(checked.where("not ok").select("x", "y"), ["x", "y"], "left_anti"), "crossing")
+    more = stage(verify(crossing).where("ok"), "more")
+    drop_staged(members, crossing)
     return connected_components(components.select(F.col("id").alias("u"), F.col("component").alias("v")).union(more.select("x", "y")))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import by_batch, drop_staged, list_array, may_contain, stage, table, texts_of, without_ids
-from gridloom.llm.near import bucket_members, linked_components
+from gridloom.llm.near import linked_components
 
 #: Bits of the whole sketch that go along with a bucket's members, and of each piece.
 SKETCH_BITS, PIECE_BITS = 512, 64
@@ -105,11 +105,9 @@ def score(percent: int):
     """Hamming distance of sketches, a lower bound of the symmetric difference, against what linked sets may differ in."""
 
     def pairs(a, n, b, m):
-        x, y = a.view(np.uint64), b.view(np.uint64)
-        far = sum(np.bitwise_count(x[:, k][:, None] ^ y[:, k][None, :]).astype(np.int32) for k in range(x.shape[1]))
-        total = n[:, None] + m[None, :]
-        sizes = 100 * np.minimum(n[:, None], m[None, :]) >= percent * np.maximum(n[:, None], m[None, :])
-        return far, sizes & (far <= total * (100 - percent) // (100 + percent))
+        far = np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)).sum(axis=-1, dtype=np.int32)
+        sizes = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+        return far, sizes & (far <= (n + m) * (100 - percent) // (100 + percent))
 
     return pairs
 
@@ -178,9 +176,9 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     own = stage(rows.select("doc_id", "n_shingles", "set_id").join(first, "set_id", "left").select("doc_id", "n_shingles", "first"), "own")
     copies = own.where("doc_id <> first").select("doc_id")
     heads = without_ids(rows.where("n_shingles > 0 and doc_id is not null"), copies)
-    members = bucket_members(heads.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id")))
+    keys = heads.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
     sketches = heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["id"])
-    components = linked_components(members, sketches, score(percent), verifier(docs, width, percent))
+    components = linked_components(keys, sketches, score(percent), verifier(docs, width, percent))
     drop_staged(rows)
     out = own.join(components.toDF("first", "component"), "first", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "first", "doc_id").alias("component_id"))

@@ -76,4 +76,4 @@ def test_linked_sets_share_a_key():
                 both = len(np.intersect1d(a, b))
                 if 100 * both >= percent * (len(a) + len(b) - both):
                     assert np.intersect1d(j.piece_keys(a, percent), j.piece_keys(b, percent)).size
-                    assert j.score(percent)(np.frombuffer(j.sketch(a), np.uint8)[None], np.array([len(a)]), np.frombuffer(j.sketch(b), np.uint8)[None], np.array([len(b)]))[1][0, 0]
+                    assert j.score(percent)(np.frombuffer(j.sketch(a), np.uint8)[None], np.array([len(a)]), np.frombuffer(j.sketch(b), np.uint8)[None], np.array([len(b)]))[1][0]
