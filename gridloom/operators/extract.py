@@ -242,10 +242,11 @@ def theme_declarations(files: DataFrame, namespaces: list[str]) -> DataFrame:
     """(namespace, key, value) of @theme blocks, by the longest known namespace."""
     blocks = files.select("path", F.explode(F.regexp_extract_all("content", F.lit(r"(?s)@theme[^{]*\{(.*?)\n\}"), 1)).alias("b"))
     decl = blocks.select("path", F.explode(F.regexp_extract_all("b", F.lit(r"(?m)^\s*--([a-z0-9-]+\s*:\s*[^;]+);"), 1)).alias("d"))
-    name, value = F.trim(F.split_part("d", F.lit(":"), F.lit(1))), F.trim(F.regexp_extract("d", r"(?s)^[^:]*:(.*)$", 1))
+    decl = decl.select(F.trim(F.split_part("d", F.lit(":"), F.lit(1))).alias("name"), F.trim(F.regexp_extract("d", r"(?s)^[^:]*:(.*)$", 1)).alias("value"))
     ordered = sorted(namespaces, key=len, reverse=True)
-    space = F.coalesce(*[F.when((name == n) | name.startswith(n + "-"), F.lit(n)) for n in ordered])
-    return decl.select(space.alias("namespace"), F.regexp_replace(F.expr("substring(trim(split_part(d, ':', 1)), 1)"), "^$", "").alias("_n"), value.alias("value")).where("namespace is not null").select("namespace", F.regexp_replace(F.expr("substring(_n, length(namespace) + 1)"), "^-", "").alias("key"), "value")
+    space = F.coalesce(*[F.when((F.col("name") == n) | F.col("name").startswith(n + "-"), F.lit(n)) for n in ordered])
+    own = decl.withColumn("namespace", space).where("namespace is not null")
+    return own.select("namespace", F.regexp_replace(F.expr("substring(name, length(namespace) + 1)"), "^-", "").alias("key"), "value")
 
 
 def font_faces(files: DataFrame) -> DataFrame:

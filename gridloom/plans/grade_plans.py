@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import vocabulary as v
 from gridloom.operators import grades as g
-from gridloom.operators import integrity
+from gridloom.operators import discovery, integrity
 from gridloom.plans.tables import with_sql
 from gridloom.sources.adapters import logical
 
@@ -54,7 +54,24 @@ def rules(spark: SparkSession, d: str) -> DataFrame:
     return integrity.grade_rules(logical(spark, d, "grades").withColumn("note", F.when(F.col("repo_id") % 3 == 0, F.lit("seen"))))
 
 
+def cover(spark: SparkSession, d: str) -> DataFrame:
+    """Declaring files under package roots of several confidences."""
+    files = logical(spark, d, "decls").select("path")
+    rank = F.element_at(F.array(*[F.lit(c) for c in v.COMPONENT_RANK]), (F.col("p_size") % 5 + 1).cast("int"))
+    roots = spark.read.parquet(f"{d}/part.parquet").where("p_size > 46").select(F.concat(F.lit("packages/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))).alias("prefix"), rank.alias("confidence"))
+    return discovery.strongest_root(files, roots)
+
+
+def owners(spark: SparkSession, d: str) -> DataFrame:
+    patterns = [("packages/brand1*",), ("packages/*/tokens/color.css",), ("packages/brand2?/**",)]
+    rules = spark.createDataFrame([(discovery.glob_regex(p),) for (p,) in patterns], "regex string")
+    return discovery.ownership(logical(spark, d, "decls").select("path").distinct(), rules)
+
+
 QUERIES = {
+    "root_cover": cover,
+    "ownership": owners,
+    "namespaces": lambda sp, d: discovery.namespaces(logical(sp, d, "decls").select("repo_id", "name")),
     "grade_counts": lambda sp, d: g.grade_counts(logical(sp, d, "grades")),
     "worst_grade": lambda sp, d: g.worst_grade(logical(sp, d, "grades")),
     "maturity_stage": lambda sp, d: g.maturity_stage(logical(sp, d, "grades")),
@@ -75,6 +92,10 @@ _UNLOCK = "need(\"check\", capability) AS (VALUES " + ", ".join(f"('{c}', {v.CAP
 _MET = lambda c: f"max(CASE WHEN \"check\" = '{c}' AND grade IN ('healthy', 'watch', 'not-needed') THEN 1 ELSE 0 END)"
 _STAGE = "w AS (SELECT repo_id, " + ", ".join(f"least(1, {', '.join(map(_MET, needs))}) AS {name}" for name, needs in g.STAGE_NEEDS) + " FROM al GROUP BY 1)"
 ORACLE = {
+    "root_cover": f"""{with_sql("decls")}, r AS (SELECT concat('packages/', lower(replace(p_brand, '#', ''))) AS prefix, max(p_size % 5) AS k FROM part WHERE p_size > 46 GROUP BY 1)
+      SELECT DISTINCT path, ({v.COMPONENT_RANK})[k + 1] AS confidence FROM decls LEFT JOIN r ON starts_with(path, prefix || '/')""",
+    "ownership": f"{with_sql('decls')} SELECT DISTINCT path, CASE WHEN regexp_matches(path, '^packages/(brand1[^/]*|[^/]*/tokens/color[.]css|brand2[^/])(/.*)?$') THEN 'owned' ELSE 'outside' END AS ownership FROM decls",
+    "namespaces": f"{with_sql('decls')} SELECT repo_id, split_part(name, '-', 1) AS prefix, count(DISTINCT name) AS dirs FROM decls WHERE contains(name, '-') GROUP BY 1, 2 HAVING count(DISTINCT name) >= 3",
     "grade_counts": f"{with_sql('grades')}, {_ALL} SELECT repo_id, {', '.join(f"count(*) FILTER (grade = '{x}') AS {x.replace('-', '_')}" for x in v.GRADES)} FROM al GROUP BY 1",
     "worst_grade": f"{with_sql('grades')}, {_ALL} SELECT repo_id, arg_min(grade, list_position({v.SEVERITY}, grade)) AS worst FROM al GROUP BY 1",
     "maturity_stage": f"{with_sql('grades')}, {_ALL}, {_STAGE} SELECT repo_id, CASE {' '.join(f"WHEN {n} = 0 THEN '{v.STAGES[k]}'" for k, (n, _) in enumerate(g.STAGE_NEEDS))} ELSE 'held' END AS stage, concat_ws(',', {', '.join(f"CASE WHEN {n} = 1 THEN '{n}' END" for n, _ in g.STAGE_NEEDS)}) AS met FROM w",

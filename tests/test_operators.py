@@ -210,3 +210,30 @@ def test_text(spark):
     pages = spark.createDataFrame([(1, "<script>bad()</script><p onclick=\"x\">a &amp;lt; b</p><!-- c -->"), (2, None)], "page_id long, html string")
     assert {r["page_id"]: r["text"].split() for r in text.visible_text(pages).collect()} == {1: ["a", "&lt;", "b"], 2: []}
     assert [tuple(r) for r in text.markup_scan(pages).collect()] == [(1, 2)]
+
+
+def test_discovery(spark, tmp_path):
+    from gridloom.operators import discovery as d
+    from gridloom.sources import artefacts as a
+
+    paths = spark.createDataFrame([("apps/web/src/x.css",), ("packages/ui/y.css",), ("z.css",)], "path string")
+    rules = spark.createDataFrame([(d.glob_regex("apps/*"),), (d.glob_regex("packages/**"),)], "regex string")
+    assert {r["path"]: r["ownership"] for r in d.ownership(paths, rules).collect()} == {"apps/web/src/x.css": "owned", "packages/ui/y.css": "owned", "z.css": "outside"}
+    roots = spark.createDataFrame([("apps", "path-inferred"), ("apps/web", "import-graph verified")], "prefix string, confidence string")
+    assert {r["path"]: r["confidence"] for r in d.strongest_root(paths, roots).collect()} == {"apps/web/src/x.css": "import-graph verified", "packages/ui/y.css": None, "z.css": None}
+    assert [tuple(r) for r in d.nearest_context(paths, spark.createDataFrame([("apps", "a"), ("apps/web", "b")], "prefix string, context string")).collect()] == [("apps/web/src/x.css", "apps/web", "b")]
+    specs = spark.createDataFrame([("@/lib/x",), ("@/x",), ("y",)], "spec string")
+    aliases = spark.createDataFrame([("@/*", "src/*"), ("@/lib/*", "lib/*")], "pattern string, target string")
+    assert {r["spec"]: r["rewritten"] for r in d.rewrite_aliases(specs, aliases).collect()} == {"@/lib/x": "lib/x", "@/x": "src/x", "y": "y"}
+    both = d.rewrite_profiles(specs, spark.createDataFrame([("@/", "a/"), ("@/lib", "b")], "prefix string, target string"))
+    assert {r["spec"]: (r["rewritten"], r["ambiguous"]) for r in both.collect()} == {"@/lib/x": (None, True), "@/x": ("a/x", False)}
+    apps = spark.createDataFrame([("r", "a"), ("r", "b"), ("q", "c")], "repo_id string, dir string")
+    assert {tuple(r) for r in d.applications(apps).collect()} == {("r", "not-visible", None), ("q", "selected", "c")}
+    one, two = (spark.createDataFrame(x, "id string, priority int, needle string") for x in ([("a", 1, "x"), ("b", 5, "y")], [("a", 9, "z")]))
+    assert [tuple(r) for r in a.rule_registry(one, two).collect()] == [("a", 9, "z"), ("b", 5, "y")]
+    files = spark.createDataFrame([("r", "u", "a.css", "x"), ("r", "v", "b.css", "y")], "repo_id string, run_id string, path string, content string")
+    a.write_run(files, f"{tmp_path}/f")
+    a.write_run(files.where("run_id = 'v'").withColumn("content", F.lit("new")), f"{tmp_path}/f")
+    assert {(r["run_id"], r["content"]) for r in a.read_run(spark, f"{tmp_path}/f", "r").collect()} == {("u", "x"), ("v", "new")}
+    want = "\n".join(f"{p}:{hashlib.sha256(c.encode()).hexdigest()}" for p, c in (("a.css", "x"), ("b.css", "y")))
+    assert a.corpus_digest(files).first()["digest"] == hashlib.sha256(want.encode()).hexdigest()
