@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalars as s
@@ -326,3 +326,85 @@ def expand_tree(directives: DataFrame, files: DataFrame) -> DataFrame:
 def unresolved_summary(unresolved: DataFrame, actionable: list[str]) -> DataFrame:
     """Misses by reason, with the reasons that a person can act on."""
     return unresolved.groupBy("reason").agg(F.count("*").alias("misses"), F.countDistinct("spec").alias("specs")).withColumn("actionable", F.col("reason").isin(*actionable))
+
+
+def root_property_count(text: str) -> int:
+    """Custom properties inside :root blocks, those of nested blocks included."""
+    clean, total = blank_comments(text), 0
+    for m in re.finditer(r":root\b[^{]*\{", clean):
+        depth, i = 1, m.end()
+        while i < len(clean) and depth:
+            depth += {"{": 1, "}": -1}.get(clean[i], 0)
+            i += 1
+        total += len(_CSS.findall(clean[m.end() : i - 1]))
+    return total
+
+
+def root_properties(files: DataFrame) -> DataFrame:
+    """(repo_id, path, root_properties) of style files."""
+    count = F.pandas_udf(lambda c: c.map(lambda t: root_property_count(t or "")), "int")
+    return files.where(extension(F.col("path")).isin(*STYLE)).select("repo_id", "path", count("content").alias("root_properties"))
+
+
+def class_words(files: DataFrame) -> DataFrame:
+    """(repo_id, path, line, class): words of quoted strings on one line, which may be utilities; text between tags is not quoted."""
+    lines = files.select("repo_id", "path", F.posexplode(F.split("content", "\n", -1)).alias("k", "text"))
+    quoted = F.regexp_extract_all("text", F.lit(r"""("[^"\n]*"|'[^'\n]*')"""), 1)
+    words = F.explode(F.flatten(F.transform(quoted, lambda q: F.split(F.trim(F.substring(q, F.lit(2), F.length(q) - 2)), r"\s+"))))
+    return lines.select("repo_id", "path", (F.col("k") + 1).alias("line"), words.alias("class")).where("class <> ''")
+
+
+def identity_headings(files: DataFrame, reach: int = 80) -> DataFrame:
+    """(repo_id, path, line, heading, is_brand): for every code line the nearest comment of at most reach lines above it.
+
+    Lines of one block comment make one label; empty labels are passed over.
+    """
+    lines = files.select("repo_id", "path", F.posexplode(F.split("content", "\n", -1)).alias("line", "text")).withColumn("line", F.col("line") + 1).withColumn("text", F.trim("text"))
+    file = Window.partitionBy("repo_id", "path")
+    opened, closed = F.regexp_count("text", F.lit(r"/\*")), F.regexp_count("text", F.lit(r"\*/"))
+    own = lines.withColumn("_open", F.sum(opened).over(file.orderBy("line"))).withColumn("_shut", F.coalesce(F.sum(closed).over(file.orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    in_block = F.col("_open") > F.col("_shut")
+    own = own.withColumn("_comment", in_block | F.col("text").rlike("^(?://|#)")).withColumn("_block", F.when(in_block, F.col("_open")).otherwise(-F.col("line")))
+    plain = F.trim(F.regexp_replace(F.regexp_replace("text", r"^(?:/\*+|//+|#+|\*+(?!/))\s*|\s*\*+/\s*$", ""), r"^[\s-]+|[\s-]+$", ""))
+    labels = own.where("_comment").groupBy("repo_id", "path", "_block").agg(F.max("line").alias("line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", plain.alias("t")))), lambda x: x["t"]), " ").alias("label"))
+    labels = labels.withColumn("label", F.nullif(F.trim("label"), F.lit(""))).select("repo_id", "path", "line", "label")
+    above = F.last("label", ignorenulls=True).over(file.orderBy("line").rowsBetween(-reach, -1))
+    out = own.join(labels, ["repo_id", "path", "line"], "left").withColumn("heading", above)
+    return out.where("not _comment and text <> ''").select("repo_id", "path", "line", "heading", F.coalesce(F.col("heading").rlike(r"(?i)\b(?:brand|visual[ -]identity)\b"), F.lit(False)).alias("is_brand"))
+
+
+def clean_json(content: Column) -> Column:
+    """JSON with comments and trailing commas as plain JSON; strings that hold // or /* keep them."""
+    string = r'("(?:[^"\\]|\\.)*")'
+    return F.regexp_replace(F.regexp_replace(content, string + r"|/\*(?s:.*?)\*/|//[^\n]*", "$1"), string + r"|,(?=\s*[}\]])", "$1")
+
+
+def workspace_packages(files: DataFrame) -> DataFrame:
+    """(repo_id, name, dir) of the manifests of a corpus."""
+    found = files.where(F.col("path").rlike(r"(?:^|/)package\.json$")).select("repo_id", F.get_json_object("content", "$.name").alias("name"), F.regexp_replace("path", r"/?package\.json$", "").alias("dir"))
+    return found.where("name is not null and dir <> ''").groupBy("repo_id", "name").agg(F.min("dir").alias("dir"))
+
+
+def path_aliases(files: DataFrame) -> DataFrame:
+    """(repo_id, path, pattern, target) that script configurations declare, targets in their order."""
+    found = files.where(F.col("path").rlike(r"(?:^|/)[tj]sconfig[^/]*\.json$")).select("repo_id", "path", F.get_json_object(clean_json(F.col("content")), "$.compilerOptions.paths").alias("p"))
+    pairs = found.select("repo_id", "path", F.explode(F.from_json("p", "map<string,array<string>>")).alias("pattern", "targets"))
+    return pairs.select("repo_id", "path", "pattern", F.posexplode("targets").alias("ord", "target"))
+
+
+def framework_versions(files: DataFrame, package: str) -> DataFrame:
+    """(repo_id, path, version) of a package in the manifests that name it; null if the version is no number."""
+    field = lambda kind: F.get_json_object("content", f"$.{kind}['{package}']")
+    declared = F.coalesce(field("dependencies"), field("devDependencies"))
+    return files.where(F.col("path").rlike(r"(?:^|/)package\.json$")).where(declared.isNotNull()).select("repo_id", "path", F.nullif(F.regexp_extract(declared, r"(\d+(?:\.\d+)*)", 1), F.lit("")).alias("version"))
+
+
+def registered_roots(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """(repo_id, path, spec, profile) by extractor rules (profile, glob, regex), whose first group is a root's path.
+
+    Rules are rows that a user adds; files meet them by name before any content is searched.
+    """
+    from gridloom.operators.discovery import _rules
+
+    met = files.join(_rules(rules), F.regexp_like("path", F.col("glob")))
+    return met.select("repo_id", "path", "profile", F.explode(F.regexp_extract_all("content", F.col("regex"), F.lit(1))).alias("spec")).where(s.safe_relative(F.col("spec"))).distinct()

@@ -79,7 +79,13 @@ def fence_parity(spark: SparkSession, d: str) -> DataFrame:
     return text.fences(text.lines_of(docs)).groupBy("doc_id").agg(F.count("*").alias("lines"), F.count(F.when(F.col("skip"), 1)).alias("skipped"), F.max(F.when(F.col("unbalanced"), F.col("line_no"))).alias("open_at"))
 
 
+def page_files(spark: SparkSession, d: str) -> DataFrame:
+    return PAGES(spark, d).select(F.lit("web").alias("repo_id"), F.concat("page_id", F.lit(".html")).alias("path"), F.col("html").alias("content"))
+
+
 QUERIES = {
+    "quoted_words": lambda sp, d: extract.class_words(page_files(sp, d)).groupBy("class").agg(F.count("*").alias("uses"), F.countDistinct("path").alias("pages")),
+    "page_scripts": lambda sp, d: extract.imports(page_files(sp, d)).where("kind = 'script'").select("path", "spec"),
     "trend_diff": diff,
     "regressions": regress,
     "compat_gate": gate,
@@ -114,6 +120,9 @@ for _old, _new in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"
     _SEEN = f"replace({_SEEN}, '{_old}', '{_new}')"
 _PROSE = "replace(regexp_replace(regexp_replace(line, '`+[^`]*`+', ' ', 'g'), '<[^>]*>', ' ', 'g'), 'aria-labelledby', ' ')"
 ORACLE = {
+    "quoted_words": r"""WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS t FROM pages), q AS (SELECT page_id, unnest(regexp_extract_all(t, '("[^"\n]*"|''[^''\n]*'')', 1)) AS s FROM l), w AS (SELECT page_id, unnest(regexp_split_to_array(trim(substr(s, 2, length(s) - 2)), '\s+')) AS class FROM q)
+      SELECT class, count(*) AS uses, count(DISTINCT page_id) AS pages FROM w WHERE class <> '' GROUP BY 1""",
+    "page_scripts": r"""SELECT DISTINCT path, spec FROM (SELECT concat(page_id, '.html') AS path, unnest(regexp_extract_all(html, '(?i)<(?:script|style)\b[^>]*?src\s*=\s*[''"]([^''"]+)[''"]', 1)) AS spec FROM pages)""",
     "trend_diff": f"{with_sql('run_findings')}, {_DIFF} SELECT * FROM diff",
     "regressions": f"{with_sql('run_findings')}, {_DIFF} SELECT id, 'grew' AS why FROM diff WHERE change = 'grew' UNION ALL SELECT id, 'returned' FROM diff WHERE change = 'new' AND id < '8'",
     "compat_gate": f"{with_sql('runs')}, {_GATE} SELECT * FROM gate",

@@ -237,3 +237,21 @@ def test_discovery(spark, tmp_path):
     assert {(r["run_id"], r["content"]) for r in a.read_run(spark, f"{tmp_path}/f", "r").collect()} == {("u", "x"), ("v", "new")}
     want = "\n".join(f"{p}:{hashlib.sha256(c.encode()).hexdigest()}" for p, c in (("a.css", "x"), ("b.css", "y")))
     assert a.corpus_digest(files).first()["digest"] == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_configuration_and_headings(spark):
+    rows = [
+        ("r", "packages/ui/package.json", '{"name": "ui", "devDependencies": {"tailwindcss": "^4.2.1"}}'), ("r", "package.json", '{"name": "root"}'),
+        ("r", "tsconfig.json", '{ // a comment\n "compilerOptions": {"paths": {"@/*": ["src/*", "lib//*"],},},}'),
+        ("r", "a.css", "/* Brand\n * colors */\n\n:root {\n  --a: 1;\n  .x { --b: 2; }\n}\n// layout\n.y { --c: 3 }\n"), ("r", "b.tsx", "<p className=\"bg-muted p-4\" title='x'>not these</p>"), ("r", "vite.config.ts", "entry: 'src/main.ts', entry: '../out'"),
+    ]
+    files = spark.createDataFrame(rows, "repo_id string, path string, content string")
+    assert [tuple(r) for r in extract.workspace_packages(files).collect()] == [("r", "ui", "packages/ui")]
+    assert [(r["pattern"], r["ord"], r["target"]) for r in extract.path_aliases(files).orderBy("ord").collect()] == [("@/*", 0, "src/*"), ("@/*", 1, "lib//*")]
+    assert [(r["path"], r["version"]) for r in extract.framework_versions(files, "tailwindcss").collect()] == [("packages/ui/package.json", "4.2.1")]
+    assert [(r["path"], r["root_properties"]) for r in extract.root_properties(files).collect()] == [("a.css", 2)]
+    assert {r["class"] for r in extract.class_words(files.where("path = 'b.tsx'")).collect()} == {"bg-muted", "p-4", "x"}
+    heads = {r["line"]: (r["heading"], r["is_brand"]) for r in extract.identity_headings(files.where("path = 'a.css'")).collect()}
+    assert heads[5] == ("Brand colors", True) and heads[9] == ("layout", False)
+    rules = spark.createDataFrame([("vite", r"(^|/)vite\.config\.ts$", r"entry:\s*'([^']+)'")], "profile string, glob string, regex string")
+    assert [(r["spec"], r["profile"]) for r in extract.registered_roots(files, rules).collect()] == [("src/main.ts", "vite")]
