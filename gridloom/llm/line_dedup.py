@@ -93,9 +93,13 @@ def score(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> tuple[n
     return far, far <= (1 - AGREE) * _SIZE
 
 
-def verifier(docs: DataFrame, own: DataFrame, width: int, percent: int):
-    """Pairs (x, y) of first rows with ok: whether the sets of their lines' shingles reach the similarity."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def distance(a: bytes, n: int, b: bytes, m: int) -> tuple[int, bool]:
+    far, ok = score(np.frombuffer(a, np.uint8), n, np.frombuffer(b, np.uint8), m)
+    return int(far), bool(ok)
+
+
+def verifier(width: int, percent: int):
+    """Pairs (x, y) of first rows with ok: whether the sets of their lines' shingles, from (id, text), reach the similarity."""
 
     def make():
         def of(line: bytes) -> np.ndarray:
@@ -111,20 +115,28 @@ def verifier(docs: DataFrame, own: DataFrame, width: int, percent: int):
 
         return each
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("x", "y")).alias("row_id")).distinct()
-        places = stage(own.select("row_id", "doc_id", "line_no").join(ids, "row_id"), "places")
-        # A document's own lines at most, so that its text is carried once.
-        wanted = places.groupBy("doc_id").agg(F.collect_set(F.struct("row_id", "line_no")).alias("wanted"))
-        near = may_contain(texts, "doc_id", places).where("_may").join(wanted, "doc_id").withColumn("lines", F.split("text", "\n", -1))
-        near = near.select("lines", F.explode("wanted").alias("w")).select("w.row_id", F.get("lines", F.col("w.line_no")).alias("line"))
-        lines = stage(near.dropDuplicates(["row_id"]), "lines")
-        whole = pairs.join(lines.toDF("x", "line_x"), "x").join(lines.toDF("y", "line_y"), "y").select("x", "y", "line_x", "line_y")
+    def verify(pairs: DataFrame, near: DataFrame) -> DataFrame:
+        whole = pairs.join(near.toDF("x", "line_x"), "x").join(near.toDF("y", "line_y"), "y").select("x", "y", "line_x", "line_y")
         return by_batch(whole, make, "x long, y long, ok boolean")
 
     return verify
 
 
+def line_texts(docs: DataFrame, own: DataFrame):
+    """The lines (id, text) of first rows (id), cut from their documents."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def of(ids: DataFrame) -> DataFrame:
+        places = stage(own.select(F.col("row_id").alias("id"), "doc_id", "line_no").join(ids, "id"), "places")
+        # A document's own lines at most, so that its text is carried once.
+        wanted = places.groupBy("doc_id").agg(F.collect_set(F.struct("id", "line_no")).alias("wanted"))
+        near = may_contain(texts, "doc_id", places).where("_may").join(wanted, "doc_id").withColumn("lines", F.split("text", "\n", -1))
+        near = near.select("lines", F.explode("wanted").alias("w")).select("w.id", F.get("lines", F.col("w.line_no")).alias("text"))
+        return near.dropDuplicates(["id"])
+
+    return of
+
+
 def line_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, line_no, keep_doc, keep_line, kept) for every line with words of every row of docs.
 
@@ -139,7 +151,7 @@ def line_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     heads = without_ids(rows, own.where("row_id <> first").select("row_id"), "row_id")
     keys = heads.select(F.explode("keys").alias("key"), F.col("row_id").alias("id"))
     sketches = heads.select(F.col("row_id").alias("id"), F.lit(0).cast("long").alias("n"), "sketch")
-    components = linked_components(keys, sketches, score, verifier(docs, own, width, percent))
+    components = linked_components(keys, sketches, sketches, score, distance, line_texts(docs, own), verifier(width, percent))
     drop_staged(rows)
     named = own.join(components.toDF("first", "component"), "first", "left").select("doc_id", "line_no", F.coalesce("component", "first").alias("component"))
     keep = named.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"))

@@ -17,6 +17,11 @@ BLOCK = 256
 #: score(sketches, sizes, other sketches, other sizes) gives distances, and whether the two may be linked. The last axis
 #: of sketches holds their bytes; the axes before broadcast.
 Score = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: distance(sketch, size, other sketch, other size), of one pair, from sketches that may be wider.
+Distance = Callable[[bytes, int, bytes, int], tuple[int, bool]]
+
+#: Rounds in which each component asks for its nearest link only, before all that still cross are verified.
+NEAREST_ROUNDS = 2
 
 
 def buckets(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -31,20 +36,21 @@ def buckets(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return counted.where("m = 2").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct(), members
 
 
-def pair_scores(pairs: DataFrame, sketches: DataFrame, score: Score) -> DataFrame:
-    """Those pairs (x, y) that score lets through."""
+def pair_distances(pairs: DataFrame, wide: DataFrame, distance: Distance) -> DataFrame:
+    """(x, y, far) of those pairs (x, y) that distance lets through; wide: id, n, sketch."""
     kind = dict(pairs.dtypes)["x"]
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sketch_x", "sketch_y"))
-            _, ok = score(a, batch.column("n_x").to_numpy(), b, batch.column("n_y").to_numpy())
-            return batch.select(["x", "y"]).filter(pa.array(ok))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("sketch_x", "n_x", "sketch_y", "n_y")), strict=True)
+            far, ok = zip(*(distance(*r) for r in rows), strict=True)
+            out = pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(far, pa.int32())], names=["x", "y", "far"])
+            return out.filter(pa.array(ok, pa.bool_()))
 
         return each
 
-    both = pairs.join(sketches.toDF("x", "n_x", "sketch_x"), "x").join(sketches.toDF("y", "n_y", "sketch_y"), "y")
-    return by_batch(both, make, f"x {kind}, y {kind}")
+    both = pairs.join(wide.toDF("x", "n_x", "sketch_x"), "x").join(wide.toDF("y", "n_y", "sketch_y"), "y")
+    return by_batch(both, make, f"x {kind}, y {kind}, far int")
 
 
 def _forest(x: np.ndarray, y: np.ndarray, far: np.ndarray, n: int) -> list[int]:
@@ -146,33 +152,56 @@ def block_pairs(members: DataFrame, score: Score, block: int = BLOCK) -> DataFra
     return dealt.mapInArrow(run, f"key long, x {kind}, y {kind}")
 
 
-def linked_components(keys: DataFrame, sketches: DataFrame, score: Score, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, component) over the links that verify confirms, for keys (key, id) and sketches (id, n, sketch).
+def linked_components(keys: DataFrame, sketches: DataFrame, wide: DataFrame, score: Score, distance: Distance, texts: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """(id, component) over the links that verify confirms, for keys (key, id), and sketches and wide (id, n, sketch).
 
-    verify takes distinct pairs (x, y) with x < y and returns them with a column ok. Buckets of two are pairs already. In
-    larger ones each comparison proposes a spanning forest. If all of a bucket's proposals hold, all that may be linked
-    there is connected. In the other buckets every pair that still crosses components is verified, so no link is lost.
+    texts(ids) gives the texts of ids (id); verify(pairs, texts) returns pairs (x, y), x < y, with a column ok. Buckets of two
+    are pairs already; in larger ones each comparison proposes a spanning forest. Of what distance lets through, each
+    component's nearest link is verified for a few rounds, then all that still cross components. Where a bucket's
+    proposals end up in one component, all that may be linked there is connected. In the other buckets every
+    pair that crosses components is verified too, so no link is lost.
     """
 
     def ordered(found: DataFrame) -> DataFrame:
         return found.where("x <> y").select("key", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
+    def crossing(pairs: DataFrame, components: DataFrame | None) -> DataFrame:
+        """pairs with components a and b of x and y, where they differ."""
+        if components is None:
+            return pairs.withColumns({"a": F.col("x"), "b": F.col("y")})
+        of = lambda end, name: components.select(F.col("id").alias(end), F.col("component").alias(name))
+        out = pairs.join(of("x", "a"), "x", "left").join(of("y", "b"), "y", "left")
+        return out.withColumns({"a": F.coalesce("a", "x"), "b": F.coalesce("b", "y")}).where("a <> b")
+
+    def grown(components: DataFrame | None, links: DataFrame) -> DataFrame:
+        new = links.select(F.col("x").alias("u"), F.col("y").alias("v"))
+        return connected_components(new if components is None else components.select(F.col("id").alias("u"), F.col("component").alias("v")).union(new))
+
     pairs, members = buckets(keys)
     members = stage(members, "members")
     full = members.join(sketches, "id").select("key", "m", "id", "n", "sketch")
     proposed = stage(ordered(block_pairs(full, score)), "proposed")
-    asked = stage(pair_scores(pairs, sketches, score).union(proposed.select("x", "y")).distinct(), "asked")
-    checked = stage(verify(asked), "checked")
-    links = checked.where("ok").select(F.col("x").alias("u"), F.col("y").alias("v"))
-    components = connected_components(links)
-    doubtful = stage(proposed.join(checked.where("not ok"), ["x", "y"]).select("key").distinct(), "doubtful")
-    drop_staged(proposed, asked)
+    asked = stage(pair_distances(pairs.union(proposed.select("x", "y")).distinct(), wide, distance), "asked")
+    near = stage(texts(asked.select(F.explode(F.array("x", "y")).alias("id")).distinct()), "texts")
+    components, tested = None, None
+    for last in [False] * NEAREST_ROUNDS + [True]:
+        cross = crossing(asked, components)
+        if tested is not None:
+            cross = cross.join(tested.select("x", "y"), ["x", "y"], "left_anti")
+        if not last:
+            ends = cross.select("x", "y", "far", F.explode(F.array("a", "b")).alias("c"))
+            cross = ends.groupBy("c").agg(F.min(F.struct("far", "x", "y")).alias("best")).select("best.x", "best.y").distinct()
+        done = stage(verify(stage(cross.select("x", "y"), "cross"), near), "checked")
+        components = grown(components, done.where("ok"))
+        tested = done if tested is None else tested.unionByName(done)
+    doubtful = stage(crossing(proposed, components).select("key").distinct(), "doubtful")
     if doubtful.isEmpty():
-        drop_staged(members)
+        drop_staged(members, proposed, near)
         return components
     again = members.join(doubtful, "key", "left_semi").join(sketches, "id").join(components, "id", "left")
     again = again.select("key", "m", "id", "n", "sketch", F.coalesce("component", "id").alias("comp"))
-    crossing = stage(ordered(block_pairs(again, score)).select("x", "y").distinct().join(checked.where("not ok").select("x", "y"), ["x", "y"], "left_anti"), "crossing")
-    more = stage(verify(crossing).where("ok"), "more")
-    drop_staged(members, crossing)
-    return connected_components(components.select(F.col("id").alias("u"), F.col("component").alias("v")).union(more.select("x", "y")))
+    left = ordered(block_pairs(again, score)).select("x", "y").distinct().join(tested.select("x", "y"), ["x", "y"], "left_anti")
+    rest = stage(pair_distances(left, wide, distance).select("x", "y"), "rest")
+    drop_staged(members, proposed, near)
+    more = stage(verify(rest, stage(texts(rest.select(F.explode(F.array("x", "y")).alias("id")).distinct()), "texts")).where("ok"), "more")
+    return grown(components, more)

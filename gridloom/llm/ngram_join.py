@@ -112,26 +112,47 @@ def score(percent: int):
     return pairs
 
 
+def wide_sketch(h: np.ndarray) -> bytes:
+    """A parity sketch of 8 bits or more a member, so that its Hamming distance is close to the difference that it bounds."""
+    bits = 1 << max(9, min(20, math.ceil(math.log2(8 * len(h) + 1))))
+    return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def distance(percent: int):
+    """As score, of one pair of wide sketches: the wider one is folded, which keeps the bound."""
+
+    def of(a: bytes, n: int, b: bytes, m: int) -> tuple[int, bool]:
+        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        while len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        while len(y) > len(x):
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        far = int(np.bitwise_count(x ^ y).sum())
+        return far, 100 * min(n, m) >= percent * max(n, m) and far <= (n + m) * (100 - percent) // (100 + percent)
+
+    return of
+
+
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sizes, sets, sketches, keys = [], [], [], []
+            sizes, sets, sketches, wide, keys = [], [], [], [], []
             for text in texts_of(batch.column("text")):
                 h = shingles(text, width)
                 sizes.append(len(h))
                 sets.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 sketches.append(sketch(h))
+                wide.append(wide_sketch(h))
                 keys.append(piece_keys(h, percent) if len(h) else np.empty(0, np.int64))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(sketches, pa.binary()), list_array(keys, pa.int64())], names=["doc_id", "n_shingles", "set_id", "sketch", "keys"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(sketches, pa.binary()), pa.array(wide, pa.binary()), list_array(keys, pa.int64())], names=["doc_id", "n_shingles", "set_id", "sketch", "wide", "keys"])
 
         return each
 
-    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, n_shingles long, set_id binary, sketch binary, keys array<long>")
+    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, n_shingles long, set_id binary, sketch binary, wide binary, keys array<long>")
 
 
-def verifier(docs: DataFrame, width: int, percent: int):
-    """Pairs (x, y) of ids with ok: whether their whole sets reach the similarity."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def verifier(width: int, percent: int):
+    """Pairs (x, y) of ids with ok: whether their whole sets, from texts (id, text), reach the similarity."""
 
     def make():
         kept: dict[int, np.ndarray] = {}
@@ -153,9 +174,7 @@ def verifier(docs: DataFrame, width: int, percent: int):
 
         return each
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = stage(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "ids")
-        near = stage(may_contain(texts, "doc_id", ids).where("_may").join(ids, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), "texts")
+    def verify(pairs: DataFrame, near: DataFrame) -> DataFrame:
         whole = pairs.join(near.toDF("x", "text_x"), "x").join(near.toDF("y", "text_y"), "y").select("x", "y", "text_x", "text_y")
         return by_batch(whole, make, "x long, y long, ok boolean")
 
@@ -177,8 +196,13 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     copies = own.where("doc_id <> first").select("doc_id")
     heads = without_ids(rows.where("n_shingles > 0 and doc_id is not null"), copies)
     keys = heads.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    sketches = heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["id"])
-    components = linked_components(keys, sketches, score(percent), verifier(docs, width, percent))
+    each = lambda c: heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.col(c).alias("sketch")).dropDuplicates(["id"])
+    own_texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+
+    def texts(ids: DataFrame) -> DataFrame:
+        return may_contain(own_texts, "id", ids).where("_may").join(ids, "id", "left_semi").select("id", "text").dropDuplicates(["id"])
+
+    components = linked_components(keys, each("sketch"), each("wide"), score(percent), distance(percent), texts, verifier(width, percent))
     drop_staged(rows)
     out = own.join(components.toDF("first", "component"), "first", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "first", "doc_id").alias("component_id"))
