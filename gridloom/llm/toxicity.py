@@ -17,6 +17,8 @@ POSITIVES, UNLABELLED = 6_000, 18_000
 FEATURES, BUCKETS = 8_192, 1 << 26
 #: Standard errors between a feature's shares that it takes.
 CLEAR = 5.0
+#: Scores beyond this, either way, cost no more.
+CAP = 6.0
 #: Leading letters of a word that are features of their own, as endings vary.
 STEMS = (4, 5, 6)
 
@@ -63,8 +65,10 @@ def _extract(texts: DataFrame, known: np.ndarray | None) -> DataFrame:
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 2e-5, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear scorer of binary features, by the non-negative risk estimator of PU learning.
 
-    The risk is prior * R(positive, +) + max(0, R(unlabelled, -) - prior * R(positive, -)) with the logistic loss. Where the
-    second part is negative, the step climbs out of it instead, so that it doesn't fit unlabelled positives as negatives.
+    The risk is prior * R(positive, +) + max(0, R(unlabelled, -) - prior * R(positive, -)) with the logistic loss of scores cut
+    off at CAP: with an unbounded loss a few sure positives would outweigh all else in the second part, and the bias
+    would rise to make up for it. Where that part is negative, the step climbs out of it, so that unlabelled positives
+    are not fitted as negatives.
     """
     rows = [*positive, *unlabelled]
     ends = np.cumsum([0, *map(len, rows)])
@@ -75,11 +79,12 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
         z = np.bincount(owner, w[index], minlength=len(rows)) + b
-        sig = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        minus = np.logaddexp(0, z)
+        cut, live = np.clip(z, -CAP, CAP), np.abs(z) < CAP
+        sig = 1 / (1 + np.exp(-cut))
+        minus = np.logaddexp(0, cut)
         rest = minus[~is_p].sum() / n_u - prior * minus[is_p].sum() / n_p
         slope = np.where(is_p, -prior * sig / n_p, sig / n_u) * (1 if rest >= 0 else -1)
-        slope = slope + np.where(is_p, prior * (sig - 1) / n_p, 0)
+        slope = np.where(live, slope + np.where(is_p, prior * (sig - 1) / n_p, 0), 0)
         grad = np.append(np.bincount(index, slope[owner], minlength=size) + l2 * w, slope.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
