@@ -55,13 +55,13 @@ def drop_staged(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """mapInArrow with a function made once a task, by slices of about SLICE_BYTES, so that what it makes at once is bounded."""
+def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """mapInArrow with a function made once a task, by slices of about slice_bytes, so that what it makes at once is bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+            rows = max(1, batch.num_rows * slice_bytes // max(1, batch.nbytes))
             for at in range(0, batch.num_rows, rows):
                 out = each(batch.slice(at, rows))
                 if out is not None and out.num_rows:
