@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.sources.staged import staged
 
+#: After so many rounds the parts of a growing result are written as one table, so that plans stay small at any depth.
+FOLD = 16
+
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_hops: int = 64, terminal: DataFrame | None = None) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, terminal: DataFrame | None = None) -> DataFrame:
     """(node, depth, via): the least number of hops from a seed, and of the chains of that length the smallest.
 
     edges: src, dst; seeds: node. Nodes of terminal are reached and not followed. A round keeps one row a new node before
-    the next begins; loops of the graph end as visited nodes are left out.
+    the next begins; loops of the graph end as visited nodes are left out. Rounds go on until none is new, at any depth.
     """
     step = edges.select("src", "dst").where("src <> dst").distinct()
     frontier = staged(seeds.select("node").distinct().select("node", F.lit(0).alias("depth"), F.array("node").alias("via")))
     visited = frontier
-    for depth in range(1, max_hops + 1):
+    for depth in count(1):
         open_nodes = frontier if terminal is None else frontier.join(terminal.select("node"), "node", "left_anti")
         new = open_nodes.join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.concat("via", F.array("dst")).alias("via"))
         new = new.groupBy("node").agg(F.min("via").alias("via")).join(visited.select("node"), "node", "left_anti")
@@ -25,6 +30,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_hops: int = 64, terminal:
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
+        visited = staged(visited) if depth % FOLD == 0 else visited
     return visited
 
 
@@ -49,16 +55,16 @@ def orphan_scope(orphans: DataFrame, prefixes: DataFrame) -> DataFrame:
     return orphans.join(owned, "path", "left").crossJoin(F.broadcast(none)).select(*orphans.columns, F.when(F.col("_none") | F.col("_in"), "owned").otherwise("outside").alias("scope"))
 
 
-def alias_chains(concepts: DataFrame, max_hops: int = 64) -> DataFrame:
+def alias_chains(concepts: DataFrame) -> DataFrame:
     """(token, hops, length, complete, stops_at, note) for concepts (token, tier, alias_of), each with one alias at most.
 
     A chain ends at a concept without an alias, before one that is not there, or where it comes to itself again; it is
-    complete if it ends at a primitive. A round follows every open chain by one hop.
+    complete if it ends at a primitive. A round follows every open chain by one hop, until none is open.
     """
     index = concepts.select(F.col("token").alias("at"), "tier", "alias_of")
     open_chains = staged(concepts.select("token", F.array("token").alias("hops"), "tier", "alias_of"))
     done = None
-    for _ in range(max_hops):
+    for k in count(1):
         looped = F.array_contains("hops", F.col("alias_of"))
         ended = open_chains.where(F.col("alias_of").isNull() | looped)
         end = ended.select("token", "hops", (F.col("alias_of").isNull() & (F.col("tier") == "primitive")).alias("complete"), "alias_of", F.when(F.col("alias_of").isNotNull(), "cycle").alias("note"))
@@ -68,13 +74,14 @@ def alias_chains(concepts: DataFrame, max_hops: int = 64) -> DataFrame:
         lost = stepped.where("at is null").select("token", "hops", F.lit(False).alias("complete"), "alias_of", F.lit("not found").alias("note"))
         part = end.unionByName(lost)
         done = part if done is None else done.unionByName(part)
+        done = staged(done) if k % FOLD == 0 else done
         open_chains = stepped.where("at is not null").select("token", F.concat("hops", F.array("at")).alias("hops"), F.col("t").alias("tier"), F.col("next").alias("alias_of"))
         if open_chains.isEmpty():
             break
     return done.select("token", "hops", F.size("hops").alias("length"), F.coalesce("complete", F.lit(False)).alias("complete"), F.col("alias_of").alias("stops_at"), "note")
 
 
-def blast_radius(concepts: DataFrame, uses: DataFrame, max_hops: int = 64) -> DataFrame:
+def blast_radius(concepts: DataFrame, uses: DataFrame) -> DataFrame:
     """(token, dependents, component_count): all tokens that alias it, at any distance, and the components that use any of those.
 
     concepts: token, alias_of; uses: token, component. A token's own users don't count, nor does the token itself in a loop.
@@ -82,12 +89,13 @@ def blast_radius(concepts: DataFrame, uses: DataFrame, max_hops: int = 64) -> Da
     edges = concepts.where("alias_of is not null and alias_of <> token").select(F.col("alias_of").alias("token"), F.col("token").alias("child")).distinct()
     frontier = staged(edges.select("token", F.col("child").alias("dependent")))
     reached = frontier
-    for _ in range(max_hops):
+    for k in count(1):
         new = frontier.join(edges.select(F.col("token").alias("dependent"), "child"), "dependent").select("token", F.col("child").alias("dependent")).where("token <> dependent").distinct()
         frontier = staged(new.join(reached, ["token", "dependent"], "left_anti"))
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
+        reached = staged(reached) if k % FOLD == 0 else reached
     counts = reached.groupBy("token").agg(F.count("*").alias("dependents"))
     spent = reached.join(uses.select(F.col("token").alias("dependent"), "component").distinct(), "dependent").groupBy("token").agg(F.countDistinct("component").alias("component_count"))
     out = concepts.select("token").distinct().join(counts, "token", "left").join(spent, "token", "left")
@@ -101,8 +109,8 @@ def traceable_families(chains: DataFrame) -> DataFrame:
 
 def lineage_summary(chains: DataFrame, uses: DataFrame) -> DataFrame:
     own = chains.join(uses.select("token").distinct().withColumn("_used", F.lit(True)), "token", "left")
-    count = lambda c: F.count(F.when(c, 1))
-    return own.agg(count(F.col("complete")).alias("traced"), count(~F.col("complete")).alias("stopped"), count(F.col("_used")).alias("with_consumer"), F.coalesce(F.max("length"), F.lit(0)).alias("longest"))
+    number = lambda c: F.count(F.when(c, 1))
+    return own.agg(number(F.col("complete")).alias("traced"), number(~F.col("complete")).alias("stopped"), number(F.col("_used")).alias("with_consumer"), F.coalesce(F.max("length"), F.lit(0)).alias("longest"))
 
 
 def entry_ranks(edges: DataFrame) -> DataFrame:

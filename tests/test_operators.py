@@ -255,3 +255,17 @@ def test_configuration_and_headings(spark):
     assert heads[5] == ("Brand colors", True) and heads[9] == ("layout", False)
     rules = spark.createDataFrame([("vite", r"(^|/)vite\.config\.ts$", r"entry:\s*'([^']+)'")], "profile string, glob string, regex string")
     assert [(r["spec"], r["profile"]) for r in extract.registered_roots(files, rules).collect()] == [("src/main.ts", "vite")]
+
+
+def test_graph_loops_have_no_bound_of_hops(spark):
+    n = 70
+    edges = spark.createDataFrame([(k, k + 1) for k in range(n)], "src long, dst long")
+    reached = graphs.reachable(edges, spark.createDataFrame([(0,)], "node long"))
+    files = spark.range(n + 1).withColumnRenamed("id", "node")
+    assert {r["node"]: r["depth"] for r in reached.collect()} == {k: k for k in range(n + 1)}
+    assert graphs.orphan_files(files, reached).count() == 0
+    c = spark.createDataFrame([(k, "semantic" if k else "primitive", k - 1 if k else None) for k in range(n + 1)], "token long, tier string, alias_of long")
+    assert {r["token"]: (r["length"], r["complete"]) for r in graphs.alias_chains(c).collect()} == {k: (k + 1, True) for k in range(n + 1)}
+    uses = spark.createDataFrame([(n, "a"), (n - 1, "b")], "token long, component string")
+    radius = {r["token"]: (r["dependents"], r["component_count"]) for r in graphs.blast_radius(c, uses).collect()}
+    assert radius == {k: (n - k, min(2, n - k)) for k in range(n + 1)}
