@@ -107,6 +107,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"no end after {max_rounds} rounds")
 
 
+INTEGRAL = ("tinyint", "smallint", "int", "bigint")
+
+
+def key_type(df: DataFrame, keys: DataFrame, key: str) -> str:
+    """The type in which both sides' keys are hashed and compared; hashes of an int and of a bigint differ."""
+    a, b = dict(df.select(key).dtypes)[key], dict(keys.select(key).dtypes)[key]
+    if a in INTEGRAL and b in INTEGRAL:
+        return "bigint"
+    if a != b:
+        raise ValueError(f"{key} is {a} on one side and {b} on the other")
+    return a
+
+
 def key_filter(keys: DataFrame, key: str, bits: int = 1 << 26) -> DataFrame:
     """A bit map of the hashes of keys.key, of at most bits / 8 bytes however many keys there are: rows (bucket, map)."""
     at = F.pmod(F.xxhash64(key), F.lit(bits))
@@ -119,10 +132,11 @@ def may_contain(df: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 26) -
     What is broadcast has at most bits / 8 bytes (8 MB), so its bound holds for any number of keys; a full map merely
     prunes nothing. Callers must join the rows that pass for an exact answer.
     """
-    place = f"bitmap_bit_position(pmod(xxhash64(`{key}`), {bits}))"
-    bucket = F.expr(f"bitmap_bucket_number(pmod(xxhash64(`{key}`), {bits}))")
+    kind = key_type(df, keys, key)
+    place = f"bitmap_bit_position(pmod(xxhash64(cast(`{key}` as {kind})), {bits}))"
+    bucket = F.expr(f"bitmap_bucket_number(pmod(xxhash64(cast(`{key}` as {kind})), {bits}))")
     bit = F.expr(f"cast(conv(hex(substring(_map, cast({place} div 8 + 1 as int), 1)), 16, 10) as int) & shiftleft(1, cast({place} % 8 as int)) != 0")
-    found = df.withColumn("_bucket", bucket).join(F.broadcast(key_filter(keys, key, bits)), "_bucket", "left")
+    found = df.withColumn("_bucket", bucket).join(F.broadcast(key_filter(keys.select(F.col(key).cast(kind).alias(key)), key, bits)), "_bucket", "left")
     return found.withColumn("_may", F.col("_map").isNotNull() & bit).drop("_bucket", "_map")
 
 
@@ -131,3 +145,17 @@ def without_ids(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> Dat
     flagged = may_contain(docs, key, dropped)
     rest = flagged.where("_may").join(dropped.select(key).distinct(), key, "left_anti")
     return flagged.where("not _may").unionByName(rest).select(docs.columns)
+
+
+def row_keyed(docs: DataFrame) -> DataFrame:
+    """docs with a column _row, a long that no two rows share, for decisions that are made for each row.
+
+    It is doc_id where that is never null and never repeats. Else rows are numbered in the order of doc_id, nulls last, so
+    that a group's smallest _row is of its smallest doc_id, and written to the shared folder, as their numbers must not
+    change between two reads.
+    """
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        return docs.withColumn("_row", F.col("doc_id").cast("long"))
+    # The tie-break lets the ranges cut through many nulls or one id's many rows.
+    ordered = docs.withColumn("_row", F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_last(), "_row")
+    return stage(ordered.withColumn("_row", F.monotonically_increasing_id()), "rows")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import by_batch, drop_staged, list_array, may_contain, stage, table, texts_of, without_ids
+from gridloom.llm.common import by_batch, drop_staged, list_array, may_contain, row_keyed, stage, table, texts_of, without_ids
 from gridloom.llm.near import linked_components
 
 #: Bits of the whole sketch that go along with a bucket's members, and of each piece.
@@ -209,9 +209,10 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component of five-word shingles at 0.8 the document with the smallest doc_id stays."""
-    found = stage(ngram_components(docs).where("doc_id <> component_id").select("doc_id"), "near")
-    return without_ids(docs, found)
+    """Pipeline stage: of each component of five-word shingles at 0.8 one row stays, as in exact dedup."""
+    keyed = row_keyed(docs)
+    found = stage(ngram_components(keyed.select(F.col("_row").alias("doc_id"), "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("_row")), "near")
+    return without_ids(keyed, found, "_row").select(docs.columns)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
