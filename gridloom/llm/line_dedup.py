@@ -90,36 +90,46 @@ def line_rows(docs: DataFrame, width: int) -> DataFrame:
     return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, line_no int, line_id binary, keys array<long>, sketch binary", SLICE)
 
 
-def score(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def prepare(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+
+
+def score(a: np.ndarray, n: np.int64, b: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     far = (a != b).sum(axis=-1, dtype=np.int32)
     return far, far <= (1 - AGREE) * _SIZE
 
 
-def distance(a: bytes, n: int, b: bytes, m: int) -> tuple[int, bool]:
-    far, ok = score(np.frombuffer(a, np.uint8), n, np.frombuffer(b, np.uint8), m)
-    return int(far), bool(ok)
+def distance(a: list[bytes], n: np.ndarray, b: list[bytes], m: np.ndarray) -> np.ndarray:
+    return score(prepare(a), n, prepare(b), m)[1]
+
+
+def similar(a: list[bytes], b: list[bytes], width: int, percent: int) -> np.ndarray:
+    """For each pair of normal lines, whether the Jaccard similarity of their shingle sets is percent / 100 or more."""
+    each = {x: k for k, x in enumerate(dict.fromkeys([*a, *b]))}
+    h, counts = shingle_hashes(list(each), width)
+    sets = [np.unique(x) for x in np.split(h, np.cumsum(counts)[:-1])]
+    ok = np.empty(len(a), bool)
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        p, q = sets[each[x]], sets[each[y]]
+        both = np.sort(np.concatenate([p, q]))
+        same = int((both[1:] == both[:-1]).sum())
+        ok[k] = 100 * same >= percent * (len(p) + len(q) - same)
+    return ok
 
 
 def verifier(width: int, percent: int):
     """Pairs (x, y) of first rows with ok: whether the sets of their lines' shingles, from (id, text), reach the similarity."""
 
     def make():
-        def of(line: bytes) -> np.ndarray:
-            return np.unique(shingle_hashes([normal_line(line)], width)[0])
-
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ok = []
-            for a, b in zip(texts_of(batch.column("line_x")), texts_of(batch.column("line_y")), strict=True):
-                p, q = of(a), of(b)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * both >= percent * (len(p) + len(q) - both))
-            return pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(ok, pa.bool_())], names=["x", "y", "ok"])
+            a, b = ([normal_line(t) for t in texts_of(batch.column(c))] for c in ("line_x", "line_y"))
+            return pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(similar(a, b, width, percent))], names=["x", "y", "ok"])
 
         return each
 
     def verify(pairs: DataFrame, near: DataFrame) -> DataFrame:
-        whole = pairs.join(near.toDF("x", "line_x"), "x").join(near.toDF("y", "line_y"), "y").select("x", "y", "line_x", "line_y")
-        return by_batch(whole, make, "x long, y long, ok boolean")
+        whole = pairs.join(near.toDF("x", "line_x"), "x").join(near.toDF("y", "line_y"), "y").select("x", "y", "line_x", "line_y").sortWithinPartitions("x")
+        return by_batch(whole, make, "x long, y long, ok boolean", 1 << 20)
 
     return verify
 
@@ -153,7 +163,7 @@ def line_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     heads = without_ids(rows, own.where("row_id <> first").select("row_id"), "row_id")
     keys = heads.select(F.explode("keys").alias("key"), F.col("row_id").alias("id"))
     sketches = heads.select(F.col("row_id").alias("id"), F.lit(0).cast("long").alias("n"), "sketch")
-    components = linked_components(keys, sketches, sketches, score, distance, line_texts(docs, own), verifier(width, percent))
+    components = linked_components(keys, sketches, prepare, score, distance, line_texts(docs, own), verifier(width, percent))
     drop_staged(rows)
     named = own.join(components.toDF("first", "component"), "first", "left").select("doc_id", "line_no", F.coalesce("component", "first").alias("component"))
     keep = named.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"))

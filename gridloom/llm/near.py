@@ -1,4 +1,4 @@
-"""Links between near copies that share a bucket: compared in bounded blocks, verified on whole texts, joined into components."""
+"""Links between near copies that share a bucket: proposed in linear numbers, verified on whole texts, joined into components."""
 
 from __future__ import annotations
 
@@ -11,46 +11,58 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import by_batch, connected_components, drop_staged, may_contain, stage
 
-#: Members of a bucket that one block holds; a pair of blocks is the most that one comparison sees.
-BLOCK = 256
+#: Members of a bucket that one side of a comparison holds at most, about.
+BLOCK = 1024
 
-#: score(sketches, sizes, other sketches, other sizes) gives distances, and whether the two may be linked. The last axis
-#: of sketches holds their bytes; the axes before broadcast.
-Score = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
-#: distance(sketch, size, other sketch, other size), of one pair, from sketches that may be wider.
-Distance = Callable[[bytes, int, bytes, int], tuple[int, bool]]
-
-#: Rounds in which each component asks for its nearest link only, before all that still cross are verified.
-NEAREST_ROUNDS = 2
+#: prepare(sketches of one comparison) gives a matrix with a row each.
+Prepare = Callable[[list[bytes]], np.ndarray]
+#: score(row of the matrix, its size, other rows, their sizes) gives distances, and whether the two may be linked.
+Score = Callable[[np.ndarray, np.int64, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: distance(sketches, sizes, other sketches, other sizes): which of these pairs may be linked.
+Distance = Callable[[list[bytes], np.ndarray, list[bytes], np.ndarray], np.ndarray]
 
 
 def buckets(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of (key, id): the pairs (x, y) that are alone in a bucket, and (key, m, id) of larger buckets; m counts their rows.
+    """Of (key, id): pairs (x, y) of each bucket's smallest id and its other members, and (key, id) of buckets of three and more.
 
-    Counting goes first, partly in each task. Only rows whose key may be that of a larger bucket are shuffled again, and large
-    keys are split by that join: no bucket is collected.
+    Counting goes first, partly in each task. Only rows whose key may be that of a larger bucket are shuffled again; no bucket
+    is collected, and a bucket of m members gives m - 1 pairs.
     """
     counted = stage(keys.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b"), "buckets")
-    large = counted.where("m > 2").select("key", "m")
-    members = may_contain(keys, "key", large).where("_may").join(large, "key").select("key", "m", "id")
-    return counted.where("m = 2").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct(), members
+    large = counted.where("m > 2").select("key", "a")
+    members = stage(may_contain(keys, "key", large).where("_may").join(large, "key").select("key", "id", "a"), "members")
+    star = members.where("id <> a").select(F.col("a").alias("x"), F.col("id").alias("y"))
+    pairs = stage(counted.where("m = 2").select(F.col("a").alias("x"), F.col("b").alias("y")).union(star).distinct(), "pairs")
+    drop_staged(counted)
+    return pairs, members
 
 
-def pair_distances(pairs: DataFrame, wide: DataFrame, distance: Distance) -> DataFrame:
-    """(x, y, far) of those pairs (x, y) that distance lets through; wide: id, n, sketch."""
+def near_pairs(pairs: DataFrame, wide: DataFrame, distance: Distance) -> DataFrame:
+    """Those pairs (x, y) that distance lets through; wide: id, n, sketch."""
     kind = dict(pairs.dtypes)["x"]
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("sketch_x", "n_x", "sketch_y", "n_y")), strict=True)
-            far, ok = zip(*(distance(*r) for r in rows), strict=True)
-            out = pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(far, pa.int32())], names=["x", "y", "far"])
-            return out.filter(pa.array(ok, pa.bool_()))
+            a, b = (batch.column(c).to_pylist() for c in ("sketch_x", "sketch_y"))
+            ok = distance(a, batch.column("n_x").to_numpy(), b, batch.column("n_y").to_numpy())
+            return pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
         return each
 
     both = pairs.join(wide.toDF("x", "n_x", "sketch_x"), "x").join(wide.toDF("y", "n_y", "sketch_y"), "y")
-    return by_batch(both, make, f"x {kind}, y {kind}, far int")
+    return by_batch(both, make, f"x {kind}, y {kind}")
+
+
+def open_buckets(members: DataFrame, components: DataFrame) -> DataFrame:
+    """(key, id, comp, minor, m, others) of the buckets whose members (key, id) are of several components.
+
+    minor: not of the bucket's largest component; m counts the bucket's rows and others the minor ones.
+    """
+    named = members.select("key", "id").join(components, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    each = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    of = each.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("m"), F.count("*").alias("comps")).where("comps > 1")
+    of = of.select("key", F.col("most.comp").alias("major"), "m", (F.col("m") - F.col("most.c")).alias("others"))
+    return named.join(of, "key").select("key", "id", "comp", (F.col("comp") != F.col("major")).alias("minor"), "m", "others")
 
 
 def _forest(x: np.ndarray, y: np.ndarray, far: np.ndarray, n: int) -> list[int]:
@@ -72,136 +84,117 @@ def _forest(x: np.ndarray, y: np.ndarray, far: np.ndarray, n: int) -> list[int]:
     return kept
 
 
-def block_pairs(members: DataFrame, score: Score, block: int = BLOCK) -> DataFrame:
-    """Candidate links (key, x, y) between members (key, m, id, n, sketch[, comp]) of a bucket.
+def _runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of sorted batches, a table for each value of the columns by."""
+    rest: list[pa.Table] = []
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        if not len(now):
+            continue
+        cols = [now[c].to_numpy() for c in by]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        if rest and any(rest[-1][c][-1].as_py() != v[0] for c, v in zip(by, cols, strict=True)):
+            yield pa.concat_tables(rest)
+            rest = []
+        for a, b in zip([0, *cuts], [*cuts, len(now)], strict=True):
+            if a and rest:
+                yield pa.concat_tables(rest)
+                rest = []
+            rest.append(now.slice(a, b - a))
+    if rest:
+        yield pa.concat_tables(rest)
+
+
+def crossing_pairs(rows: DataFrame, sketches: DataFrame, prepare: Prepare, score: Score, spanning: bool, block: int = BLOCK) -> DataFrame:
+    """(key, x, y), x < y, of pairs of different components in one bucket that score lets through.
 
-    Buckets are dealt into blocks by hash, and each pair of blocks is compared apart. Without comp, a comparison returns
-    a spanning forest of the pairs that score lets through: at most a row less than its members. With comp, it
-    returns all such pairs between different components.
+    rows are those of open_buckets. Minor rows meet all rows; both are dealt into blocks by hash, and a comparison sees one
+    block of either. So a bucket of one large component and a few others makes about a row a member, and no comparison holds
+    more than two blocks. spanning: a comparison returns a spanning forest of its components, less than a row each.
     """
-    kind = dict(members.dtypes)["id"]
-    crossing = "comp" in members.columns
-    count = F.ceil(F.col("m") / block).cast("int")
-    own = F.pmod(F.xxhash64("id"), count).cast("int")
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("upper"), "id", "n", "sketch", *["comp"] * crossing)
-    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
-
-    def compare(part: pa.Table) -> tuple[list[int], list[int]]:
-        n, sketch = part["n"].to_numpy(), np.frombuffer(b"".join(part["sketch"].to_pylist()), np.uint8).reshape(len(part), -1)
-        upper = np.array(part["upper"].to_pylist())
-        crossed = part["lo"][0].as_py() != part["hi"][0].as_py()
-        rows = np.flatnonzero(~upper) if crossed else np.arange(len(part))
-        cols = np.flatnonzero(upper) if crossed else rows
-        comp = np.unique(part["comp"].to_numpy(zero_copy_only=False), return_inverse=True)[1] if crossing else None
+    kind = dict(rows.dtypes)["id"]
+    lefts, rights = F.ceil(F.col("others") / block).cast("int"), F.ceil(F.col("m") / block).cast("int")
+    own = rows.withColumns({"p": F.pmod(F.xxhash64("id"), lefts).cast("int"), "q": F.pmod(F.hash("id"), rights).cast("int")})
+    across = F.transform(F.sequence(F.lit(0), rights - 1), lambda j: F.struct(F.col("p").alias("i"), j.alias("j")))
+    down = F.transform(F.sequence(F.lit(0), lefts - 1), lambda i: F.struct(i.alias("i"), F.col("q").alias("j")))
+    dealt = own.withColumn("at", F.explode(F.when(F.col("minor"), F.array_union(across, down)).otherwise(down)))
+    dealt = dealt.select("key", "at.i", "at.j", "id", "comp", "minor", (F.col("minor") & (F.col("at.i") == F.col("p"))).alias("left"), (F.col("at.j") == F.col("q")).alias("right"))
+    dealt = dealt.join(sketches, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+
+    def compare(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        flag = lambda c: part[c].to_numpy(zero_copy_only=False)
+        n, minor, sketch = part["n"].to_numpy(), flag("minor"), prepare(part["sketch"].to_pylist())
+        comp = np.unique(flag("comp"), return_inverse=True)[1]
+        cols = np.flatnonzero(flag("right"))
         xs, ys, fars = [], [], []
-        for at in range(0, len(rows), 64):
-            mine = rows[at : at + 64]
-            far, ok = score(sketch[mine][:, None], n[mine][:, None], sketch[cols][None], n[cols][None])
-            if not crossed:
-                ok = ok & (mine[:, None] < cols[None, :])
-            if crossing:
-                ok = ok & (comp[mine][:, None] != comp[cols][None, :])
-            i, j = np.nonzero(ok)
-            xs.append(mine[i]), ys.append(cols[j]), fars.append(far[i, j])
+        for i in np.flatnonzero(flag("left")).tolist():
+            # Two minor rows meet twice; rows are in the order of their ids.
+            mine = cols[(comp[cols] != comp[i]) & (~minor[cols] | (cols > i))]
+            far, ok = score(sketch[i], n[i], sketch[mine], n[mine])
+            hits = mine[ok]
+            xs.append(np.full(len(hits), i)), ys.append(hits), fars.append(far[ok])
         if not xs:
-            return [], []
-        x, y, far = np.concatenate(xs), np.concatenate(ys), np.concatenate(fars)
-        if not crossing:
-            kept = _forest(x, y, far, len(part))
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        x, y = np.concatenate(xs), np.concatenate(ys)
+        if spanning and len(x):
+            kept = _forest(comp[x], comp[y], np.concatenate(fars), int(comp.max()) + 1)
             x, y = x[kept], y[kept]
-        return x.tolist(), y.tolist()
+        return np.minimum(x, y), np.maximum(x, y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups() -> Iterator[pa.Table]:
-            rest: list[pa.Table] = []
-            for batch in batches:
-                now = pa.Table.from_batches([batch])
-                key, lo, hi = (now[c].to_numpy() for c in ("key", "lo", "hi"))
-                if not len(key):
-                    continue
-                cuts = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
-                if rest and any(rest[-1][c][-1].as_py() != now[c][0].as_py() for c in ("key", "lo", "hi")):
-                    yield pa.concat_tables(rest)
-                    rest = []
-                for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
-                    if a and rest:
-                        yield pa.concat_tables(rest)
-                        rest = []
-                    rest.append(now.slice(a, b - a))
-            if rest:
-                yield pa.concat_tables(rest)
+        for part in _runs(batches, ("key", "i", "j")):
+            x, y = compare(part)
+            key, ids = pa.array(part["key"].to_numpy()), part["id"].combine_chunks()
+            for at in range(0, len(x), 50_000):
+                a, b = (pa.array(v[at : at + 50_000]) for v in (x, y))
+                yield pa.RecordBatch.from_arrays([key.take(a), ids.take(a), ids.take(b)], names=["key", "x", "y"])
 
-        out: list[tuple] = []
-        for part in groups():
-            if len(part) > 1:
-                x, y = compare(part)
-                ids, key = part["id"], part["key"][0].as_py()
-                out += [(key, ids[a].as_py(), ids[b].as_py()) for a, b in zip(x, y, strict=True)]
-            if len(out) > 20_000:
-                yield rows(out)
-                out = []
-        if out:
-            yield rows(out)
-
-    def rows(out: list[tuple]) -> pa.RecordBatch:
-        key, x, y = zip(*out, strict=True)
-        of = pa.int64() if kind == "bigint" else pa.binary()
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(x, of), pa.array(y, of)], names=["key", "x", "y"])
-
-    return dealt.mapInArrow(run, f"key long, x {kind}, y {kind}")
-
-
-def linked_components(keys: DataFrame, sketches: DataFrame, wide: DataFrame, score: Score, distance: Distance, texts: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """(id, component) over the links that verify confirms, for keys (key, id), and sketches and wide (id, n, sketch).
-
-    texts(ids) gives the texts of ids (id); verify(pairs, texts) returns pairs (x, y), x < y, with a column ok. Buckets of two
-    are pairs already; in larger ones each comparison proposes a spanning forest. Of what distance lets through, each
-    component's nearest link is verified for a few rounds, then all that still cross components. Where a bucket's
-    proposals end up in one component, all that may be linked there is connected. In the other buckets every
-    pair that crosses components is verified too, so no link is lost.
-    """
+    return dealt.select("key", "i", "j", "id", "comp", "minor", "left", "right", "n", "sketch").mapInArrow(run, f"key long, x {kind}, y {kind}")
 
-    def ordered(found: DataFrame) -> DataFrame:
-        return found.where("x <> y").select("key", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
-    def crossing(pairs: DataFrame, components: DataFrame | None) -> DataFrame:
-        """pairs with components a and b of x and y, where they differ."""
-        if components is None:
-            return pairs.withColumns({"a": F.col("x"), "b": F.col("y")})
-        of = lambda end, name: components.select(F.col("id").alias(end), F.col("component").alias(name))
-        out = pairs.join(of("x", "a"), "x", "left").join(of("y", "b"), "y", "left")
-        return out.withColumns({"a": F.coalesce("a", "x"), "b": F.coalesce("b", "y")}).where("a <> b")
+def linked_components(keys: DataFrame, wide: DataFrame, prepare: Prepare, score: Score, distance: Distance, texts: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """(id, component) over the links that verify confirms, for keys (key, id) and wide (id, n, sketch).
+
+    texts(ids) gives the texts of ids (id); verify(pairs, texts) returns pairs (x, y), x < y, with a column ok. First each
+    bucket's smallest member asks all others: that settles groups of near copies in as many pairs as they have members. In
+    buckets whose members are still of several components, a spanning forest of what their sketches let through is verified.
+    Where that joins all that it proposes, nothing that may be linked is left apart. In the other buckets every pair that
+    crosses components is verified too, so no link is lost.
+    """
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        asked = stage(near_pairs(pairs, wide, distance), "asked")
+        near = stage(texts(asked.select(F.explode(F.array("x", "y")).alias("id")).distinct()), "texts")
+        done = stage(verify(asked, near), "checked")
+        drop_staged(asked, near)
+        return done
 
     def grown(components: DataFrame | None, links: DataFrame) -> DataFrame:
         new = links.select(F.col("x").alias("u"), F.col("y").alias("v"))
         return connected_components(new if components is None else components.select(F.col("id").alias("u"), F.col("component").alias("v")).union(new))
 
+    def untested(pairs: DataFrame) -> DataFrame:
+        return pairs.select("x", "y").distinct().join(done.select("x", "y"), ["x", "y"], "left_anti")
+
     pairs, members = buckets(keys)
-    members = stage(members, "members")
-    full = members.join(sketches, "id").select("key", "m", "id", "n", "sketch")
-    proposed = stage(ordered(block_pairs(full, score)), "proposed")
-    asked = stage(pair_distances(pairs.union(proposed.select("x", "y")).distinct(), wide, distance), "asked")
-    near = stage(texts(asked.select(F.explode(F.array("x", "y")).alias("id")).distinct()), "texts")
-    components, tested = None, None
-    for last in [False] * NEAREST_ROUNDS + [True]:
-        cross = crossing(asked, components)
-        if tested is not None:
-            cross = cross.join(tested.select("x", "y"), ["x", "y"], "left_anti")
-        if not last:
-            ends = cross.select("x", "y", "far", F.explode(F.array("a", "b")).alias("c"))
-            cross = ends.groupBy("c").agg(F.min(F.struct("far", "x", "y")).alias("best")).select("best.x", "best.y").distinct()
-        done = stage(verify(stage(cross.select("x", "y"), "cross"), near), "checked")
-        components = grown(components, done.where("ok"))
-        tested = done if tested is None else tested.unionByName(done)
-    doubtful = stage(crossing(proposed, components).select("key").distinct(), "doubtful")
-    if doubtful.isEmpty():
-        drop_staged(members, proposed, near)
+    done = tested(pairs)
+    drop_staged(pairs)
+    components = grown(None, done.where("ok"))
+    rest = stage(open_buckets(members, components), "open")
+    if rest.isEmpty():
+        drop_staged(members, rest, done)
         return components
-    again = members.join(doubtful, "key", "left_semi").join(sketches, "id").join(components, "id", "left")
-    again = again.select("key", "m", "id", "n", "sketch", F.coalesce("component", "id").alias("comp"))
-    left = ordered(block_pairs(again, score)).select("x", "y").distinct().join(tested.select("x", "y"), ["x", "y"], "left_anti")
-    rest = stage(pair_distances(left, wide, distance).select("x", "y"), "rest")
-    drop_staged(members, proposed, near)
-    more = stage(verify(rest, stage(texts(rest.select(F.explode(F.array("x", "y")).alias("id")).distinct()), "texts")).where("ok"), "more")
-    return grown(components, more)
+    proposed = stage(crossing_pairs(rest, wide, prepare, score, True), "proposed")
+    more = tested(untested(proposed))
+    components = grown(components, more.where("ok"))
+    of = lambda end: components.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+    named = proposed.join(of("x"), "x", "left").join(of("y"), "y", "left")
+    doubtful = stage(named.where(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("key").distinct(), "doubtful")
+    drop_staged(rest, proposed)
+    if not doubtful.isEmpty():
+        done = done.unionByName(more)
+        again = open_buckets(members.join(doubtful, "key", "left_semi"), components)
+        last = stage(untested(crossing_pairs(again, wide, prepare, score, False)), "last")
+        components = grown(components, tested(last).where("ok"))
+    drop_staged(members, doubtful)
+    return components

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import by_batch, drop_staged, list_array, may_contain, row_keyed, stage, table, texts_of, without_ids
 from gridloom.llm.near import linked_components
 
-#: Bits of the whole sketch that go along with a bucket's members, and of each piece.
-SKETCH_BITS, PIECE_BITS = 512, 64
+#: Bits of the sketches that comparisons try first, and of the widest that they hold for many members at once.
+FIRST_BITS, MOST_BITS = 512, 16_384
 #: Sizes of a band differ by this factor at most.
 BAND = 1.5
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -55,80 +55,107 @@ def shingles(text: bytes, width: int) -> np.ndarray:
 
 @lru_cache(8)
 def bands(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Least size, pieces, and light pieces allowed, of each size band, up to sizes of 2**40.
+    """Least size, pieces, and pieces that make keys, of each size band, up to sizes of 2**40.
 
-    Linked sets differ in at most (a + b) * (100 - percent) / (100 + percent) members. With one piece more than that, a
-    piece is the same in both sets. Pieces with no member say nothing, so there are as many more pieces as light ones are
-    to be expected: a set with at most so many may leave its light ones out and still shares a heavy one with each partner.
+    Linked sets differ in at most (a + b) * (100 - percent) / (100 + percent) members, and so in as many pieces. Pieces with no
+    member say nothing, so there are as many more pieces as are likely to be empty. The pieces that two sets share are
+    then more than these spare ones; the first that they share, in one order for all sets, is no set's last spare one. So
+    each set leaves its last spare pieces out, and linked sets still share a key.
     """
     lows = [1]
     while lows[-1] < 1 << 40:
         lows.append(max(lows[-1] + 1, math.ceil(lows[-1] * BAND)))
-    pieces, light = [], []
+    pieces, needed = [], []
     for low, high in zip(lows, lows[1:], strict=False):
         most = high - 1
         differ = (most + most * 100 // percent) * (100 - percent) // (100 + percent)
         spare = 0
-        for _ in range(8 if differ else 0):
+        for _ in range(12 if differ else 0):
             expect = (differ + 1 + spare) * math.exp(-low / (differ + 1 + spare))
-            spare = int(expect + 1.5 * math.sqrt(expect))
+            spare = int(expect + 3 * math.sqrt(expect))
         pieces.append(differ + 1 + spare)
-        light.append(spare)
-    return np.array(lows), np.array(pieces), np.array(light)
+        needed.append(differ + 1)
+    return np.array(lows), np.array(pieces), np.array(needed)
 
 
 def piece_keys(h: np.ndarray, percent: int) -> np.ndarray:
-    """A 64-bit key for each piece of the parity sketch of a set, in its own size band and in the one below if a partner may be there."""
-    lows, pieces, light = bands(percent)
+    """64-bit keys of pieces of the parity sketch of a set, in its own size band and in the one below if a partner may be there.
+
+    A piece is a parity vector with a bit for each 64-bit value, of which the key has the XOR of its members. The order of
+    pieces is: those with members by their key, then empty ones by place.
+    """
+    lows, pieces, needed = bands(percent)
     band = int(np.searchsorted(lows, len(h), "right")) - 1
     out = []
     for b in (band, band - 1):
         if b < 0 or b < band and len(h) * percent > 100 * (int(lows[band]) - 1):
             continue
-        count = int(pieces[b])
+        count, keep = int(pieces[b]), int(needed[b])
         place = ((h >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-        parity = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(PIECE_BITS - 1)), starts)
-        at = place[starts]
-        if count - len(starts) > light[b]:
-            empty = np.setdiff1d(np.arange(count, dtype=np.uint64), at)
-            at, parity = np.concatenate([at, empty]), np.concatenate([parity, np.zeros(len(empty), np.uint64)])
-        out.append(mix(parity + mix(at * _ODD[0] + np.uint64(b * int(_ODD[1]) % (1 << 64)))))
+        at, salt = place[starts], np.uint64(b * int(_ODD[1]) % (1 << 64))
+        keys = mix(np.bitwise_xor.reduceat(h, starts) + mix(at * _ODD[0] + salt))
+        if len(keys) > keep:
+            keys = np.partition(keys, keep - 1)[:keep]
+        elif len(keys) < keep:
+            empty = np.setdiff1d(np.arange(count, dtype=np.uint64), at)[: keep - len(keys)]
+            keys = np.concatenate([keys, mix(mix(empty * _ODD[0] + salt))])
+        out.append(keys)
     return np.concatenate(out).view(np.int64)
 
 
-def sketch(h: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((h & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
+def wide_sketch(h: np.ndarray) -> bytes:
+    """A parity sketch of 8 bits or more a member, so that its Hamming distance is close to the difference that it bounds."""
+    bits = 1 << max(9, min(20, math.ceil(math.log2(8 * len(h) + 1))))
+    return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def fold(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch of fewer words: halves are XORed, which keeps the bound."""
+    while sketch.shape[-1] > words:
+        half = sketch.shape[-1] // 2
+        sketch = sketch[..., :half] ^ sketch[..., half:]
+    return sketch
+
+
+def most_apart(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """How many members linked sets of these sizes differ in at most; -1 where the sizes alone rule a link out."""
+    fit = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+    return np.where(fit, (n + m) * (100 - percent) // (100 + percent), -1)
+
+
+def prepare(sketches: list[bytes]) -> np.ndarray:
+    """All folded to the narrowest, as members of a bucket are of like sizes, and to MOST_BITS at most."""
+    words = min(MOST_BITS, min(map(len, sketches)) * 8) // 64
+    return np.stack([fold(np.frombuffer(s, np.uint64), words) for s in sketches])
 
 
 def score(percent: int):
     """Hamming distance of sketches, a lower bound of the symmetric difference, against what linked sets may differ in."""
 
     def pairs(a, n, b, m):
-        far = np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)).sum(axis=-1, dtype=np.int32)
-        sizes = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-        return far, sizes & (far <= (n + m) * (100 - percent) // (100 + percent))
+        limit = most_apart(n, m, percent)
+        far = np.full(len(b), 1 << 30, np.int64)
+        own = np.flatnonzero(limit >= 0)
+        first = np.bitwise_count(fold(b[own], FIRST_BITS // 64) ^ fold(a, FIRST_BITS // 64)).sum(axis=1, dtype=np.int64)
+        own = own[first <= limit[own]]
+        far[own] = np.bitwise_count(b[own] ^ a).sum(axis=1, dtype=np.int64)
+        return far, far <= limit
 
     return pairs
 
 
-def wide_sketch(h: np.ndarray) -> bytes:
-    """A parity sketch of 8 bits or more a member, so that its Hamming distance is close to the difference that it bounds."""
-    bits = 1 << max(9, min(20, math.ceil(math.log2(8 * len(h) + 1))))
-    return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
-
-
 def distance(percent: int):
-    """As score, of one pair of wide sketches: the wider one is folded, which keeps the bound."""
+    """As score, of pairs of wide sketches one by one."""
 
-    def of(a: bytes, n: int, b: bytes, m: int) -> tuple[int, bool]:
-        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-        while len(x) > len(y):
-            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-        while len(y) > len(x):
-            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-        far = int(np.bitwise_count(x ^ y).sum())
-        return far, 100 * min(n, m) >= percent * max(n, m) and far <= (n + m) * (100 - percent) // (100 + percent)
+    def of(a: list[bytes], n: np.ndarray, b: list[bytes], m: np.ndarray) -> np.ndarray:
+        limit = most_apart(n, m, percent)
+        ok = limit >= 0
+        for k in np.flatnonzero(ok).tolist():
+            x, y = np.frombuffer(a[k], np.uint64), np.frombuffer(b[k], np.uint64)
+            words = min(len(x), len(y))
+            ok[k] = int(np.bitwise_count(fold(x, words) ^ fold(y, words)).sum()) <= limit[k]
+        return ok
 
     return of
 
@@ -136,19 +163,18 @@ def distance(percent: int):
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sizes, sets, sketches, wide, keys = [], [], [], [], []
+            sizes, sets, wide, keys = [], [], [], []
             for text in texts_of(batch.column("text")):
                 h = shingles(text, width)
                 sizes.append(len(h))
                 sets.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-                sketches.append(sketch(h))
                 wide.append(wide_sketch(h))
                 keys.append(piece_keys(h, percent) if len(h) else np.empty(0, np.int64))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(sketches, pa.binary()), pa.array(wide, pa.binary()), list_array(keys, pa.int64())], names=["doc_id", "n_shingles", "set_id", "sketch", "wide", "keys"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(wide, pa.binary()), list_array(keys, pa.int64())], names=["doc_id", "n_shingles", "set_id", "sketch", "keys"])
 
         return each
 
-    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, n_shingles long, set_id binary, sketch binary, wide binary, keys array<long>")
+    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, n_shingles long, set_id binary, sketch binary, keys array<long>")
 
 
 def verifier(width: int, percent: int):
@@ -175,7 +201,7 @@ def verifier(width: int, percent: int):
         return each
 
     def verify(pairs: DataFrame, near: DataFrame) -> DataFrame:
-        whole = pairs.join(near.toDF("x", "text_x"), "x").join(near.toDF("y", "text_y"), "y").select("x", "y", "text_x", "text_y")
+        whole = pairs.join(near.toDF("x", "text_x"), "x").join(near.toDF("y", "text_y"), "y").select("x", "y", "text_x", "text_y").sortWithinPartitions("x")
         return by_batch(whole, make, "x long, y long, ok boolean")
 
     return verify
@@ -186,23 +212,34 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
 
     Words are runs of other bytes than ASCII white space, with A-Z in lower case; a set holds a text's distinct n-grams of
     width words, as 64-bit hashes. Two rows link at a Jaccard similarity of percent / 100 or more. Equal sets are one vertex.
-    Texts without words and null texts are empty sets that link with nothing: component_id is their doc_id. A null doc_id takes
-    the component of its equals and else null. Rows that repeat an id are one document: its first text in any order
-    stands for it in verification. An empty table gives none.
+    Texts without words and null texts are empty sets that link with nothing: component_id is their doc_id. Rows that repeat
+    a doc_id are compared each by its own text. A null doc_id names a component only where all of its ids are null. Very long
+    texts are compared whole. An empty table gives none; other columns of docs play no part.
     """
+    keyed = row_keyed(docs.select("doc_id", "text"))
+    found = row_components(keyed.select(F.col("_row").alias("doc_id"), "text"), width, percent)
+    if not hasattr(keyed, "staged_path"):
+        return found
+    # Row numbers follow the order of doc_id, so the smallest row of a component has its smallest doc_id.
+    own, first = keyed.select(F.col("_row").alias("r"), F.col("doc_id").cast("long").alias("doc_id")), keyed.select(F.col("_row").alias("c"), F.col("doc_id").cast("long").alias("component_id"))
+    out = found.select(F.col("doc_id").alias("r"), "n_shingles", F.col("component_id").alias("c"))
+    return out.join(own, "r").join(first, "c").select("doc_id", "n_shingles", "component_id")
+
+
+def row_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """As ngram_components, of docs whose doc_id is a long without nulls or repeats."""
     rows = stage(signatures(docs, width, percent), "signatures")
-    first = rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first"))
+    first = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first"))
     own = stage(rows.select("doc_id", "n_shingles", "set_id").join(first, "set_id", "left").select("doc_id", "n_shingles", "first"), "own")
-    copies = own.where("doc_id <> first").select("doc_id")
-    heads = without_ids(rows.where("n_shingles > 0 and doc_id is not null"), copies)
+    heads = without_ids(rows.where("n_shingles > 0"), own.where("doc_id <> first").select("doc_id"))
     keys = heads.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    each = lambda c: heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.col(c).alias("sketch")).dropDuplicates(["id"])
-    own_texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    wide = heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
+    own_texts = docs.select(F.col("doc_id").alias("id"), "text")
 
     def texts(ids: DataFrame) -> DataFrame:
-        return may_contain(own_texts, "id", ids).where("_may").join(ids, "id", "left_semi").select("id", "text").dropDuplicates(["id"])
+        return may_contain(own_texts, "id", ids).where("_may").join(ids, "id", "left_semi").select("id", "text")
 
-    components = linked_components(keys, each("sketch"), each("wide"), score(percent), distance(percent), texts, verifier(width, percent))
+    components = linked_components(keys, wide, prepare, score(percent), distance(percent), texts, verifier(width, percent))
     drop_staged(rows)
     out = own.join(components.toDF("first", "component"), "first", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "first", "doc_id").alias("component_id"))
@@ -211,7 +248,7 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component of five-word shingles at 0.8 one row stays, as in exact dedup."""
     keyed = row_keyed(docs)
-    found = stage(ngram_components(keyed.select(F.col("_row").alias("doc_id"), "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("_row")), "near")
+    found = stage(row_components(keyed.select(F.col("_row").alias("doc_id"), "text"), 5, 80).where("doc_id <> component_id").select(F.col("doc_id").alias("_row")), "near")
     return without_ids(keyed, found, "_row").select(docs.columns)
 
 
