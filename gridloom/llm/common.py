@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset and there is no cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"{tempfile.gettempdir()}/gridloom-checkpoint"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -121,41 +124,59 @@ def key_type(df: DataFrame, keys: DataFrame, key: str) -> str:
 
 
 def key_filter(keys: DataFrame, key: str, bits: int = 1 << 26) -> DataFrame:
-    """A bit map of the hashes of keys.key, of at most bits / 8 bytes however many keys there are: rows (bucket, map)."""
+    """A bit map of the hashes of keys.key, of at most bits / 8 bytes however many keys there are: rows (_bucket, _map) of 64 longs."""
     at = F.pmod(F.xxhash64(key), F.lit(bits))
-    return keys.where(F.col(key).isNotNull()).select(F.bitmap_bucket_number(at).alias("_bucket"), F.bitmap_bit_position(at).alias("_at")).groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_map"))
+    words = keys.where(F.col(key).isNotNull()).select(at.alias("_at")).groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_at & 63 as int))")).alias("_bits"))
+    each = [F.coalesce(F.max(F.when(F.col("_word") % 64 == k, F.col("_bits"))), F.lit(0).cast("long")) for k in range(64)]
+    return words.groupBy(F.shiftright("_word", 6).alias("_bucket")).agg(F.array(*each).alias("_map"))
 
 
-def may_contain(df: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 26) -> DataFrame:
-    """df with a column _may: false only where df.key is surely not among keys.key.
+def may_contain(df: DataFrame, key: str, keys: DataFrame, name: str = "_may", bits: int = 1 << 26) -> DataFrame:
+    """df with a column of that name: false only where df.key is surely not among keys.key.
 
     What is broadcast has at most bits / 8 bytes (8 MB), so its bound holds for any number of keys; a full map merely
-    prunes nothing. Callers must join the rows that pass for an exact answer.
+    prunes nothing. Callers must join the rows that pass for an exact answer. Other columns of df may have any names.
     """
     kind = key_type(df, keys, key)
-    place = f"bitmap_bit_position(pmod(xxhash64(cast(`{key}` as {kind})), {bits}))"
-    bucket = F.expr(f"bitmap_bucket_number(pmod(xxhash64(cast(`{key}` as {kind})), {bits}))")
-    bit = F.expr(f"cast(conv(hex(substring(_map, cast({place} div 8 + 1 as int), 1)), 16, 10) as int) & shiftleft(1, cast({place} % 8 as int)) != 0")
-    found = df.withColumn("_bucket", bucket).join(F.broadcast(key_filter(keys.select(F.col(key).cast(kind).alias(key)), key, bits)), "_bucket", "left")
-    return found.withColumn("_may", F.col("_map").isNotNull() & bit).drop("_bucket", "_map")
+    place, bucket, words = (free_name(df, x) for x in ("_place", "_bucket", "_map"))
+    known = key_filter(keys.select(F.col(key).cast(kind).alias(key)), key, bits).toDF(bucket, words)
+    found = df.withColumn(place, F.pmod(F.xxhash64(F.col(key).cast(kind)), F.lit(bits))).withColumn(bucket, F.shiftright(place, 12))
+    found = found.join(F.broadcast(known), bucket, "left")
+    bit = F.expr(f"shiftright(`{words}`[cast(shiftright(`{place}`, 6) & 63 as int)], cast(`{place}` & 63 as int)) & 1L") != 0
+    return found.withColumn(name, F.col(words).isNotNull() & F.coalesce(bit, F.lit(False)) & F.col(key).isNotNull()).drop(place, bucket, words)
+
+
+def free_name(df: DataFrame, want: str) -> str:
+    """want, with so many underscores before it that no column of df has that name, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while want.lower() in taken:
+        want = "_" + want
+    return want
 
 
 def without_ids(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs whose key is not in dropped; only rows that may be in it are shuffled."""
-    flagged = may_contain(docs, key, dropped)
-    rest = flagged.where("_may").join(dropped.select(key).distinct(), key, "left_anti")
-    return flagged.where("not _may").unionByName(rest).select(docs.columns)
+    """The rows of docs whose key is not in dropped; only rows that may be in it are shuffled. A null key is in nothing."""
+    may = free_name(docs, "_may")
+    flagged = may_contain(docs, key, dropped, may)
+    rest = flagged.where(F.col(may)).join(dropped.select(key).distinct(), key, "left_anti")
+    return flagged.where(~F.col(may)).unionByName(rest).select([F.col(f"`{c}`") for c in docs.columns])
 
 
-def row_keyed(docs: DataFrame) -> DataFrame:
-    """docs with a column _row, a long that no two rows share, for decisions that are made for each row.
+def row_keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column of longs that no two rows share, for decisions that are made for each row, and its name.
 
     It is doc_id where that is never null and never repeats. Else rows are numbered in the order of doc_id, nulls last, so
-    that a group's smallest _row is of its smallest doc_id, and written to the shared folder, as their numbers must not
+    that a group's smallest number is of its smallest doc_id, and written to the shared folder, as their numbers must not
     change between two reads.
     """
+    row = free_name(docs, "_row")
     if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
-        return docs.withColumn("_row", F.col("doc_id").cast("long"))
+        return docs.withColumn(row, F.col("doc_id").cast("long")), row
     # The tie-break lets the ranges cut through many nulls or one id's many rows.
-    ordered = docs.withColumn("_row", F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_last(), "_row")
-    return stage(ordered.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    ordered = docs.withColumn(row, F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_last(), row)
+    return stage(ordered.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
+def without_rows(keyed: DataFrame, row: str, dropped: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of row_keyed's docs whose number is not among dropped.doc_id, with the columns that docs had."""
+    return without_ids(keyed, dropped.select(F.col("doc_id").alias(row)), row).select([F.col(f"`{c}`") for c in columns])

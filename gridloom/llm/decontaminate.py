@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORD_TABLE, by_batch, row_keyed, stage, table, texts_of, without_ids
+from gridloom.llm.common import WORD_TABLE, by_batch, row_keyed, stage, table, texts_of, without_rows
 
 WINDOW = 10
 #: Bytes of item texts that one automaton takes; more items make more automata, and a scan of the texts for each.
@@ -125,10 +125,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rows with any benchmark window go, whatever their doc_id."""
-    keyed = row_keyed(docs)
-    found = decontaminate(keyed.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    dropped = stage(found.where("contaminated").select(F.col("doc_id").alias("_row")), "contaminated")
-    return without_ids(keyed, dropped, "_row").select(docs.columns)
+    keyed, row = row_keyed(docs)
+    found = decontaminate(keyed.select(F.col(row).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without_rows(keyed, row, stage(found.where("contaminated").select("doc_id"), "contaminated"), docs.columns)
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import may_contain, new_path, row_keyed, stage, table, without_ids
+from gridloom.llm.common import may_contain, new_path, row_keyed, stage, table, without_rows
 
 #: Writer options: a Bloom filter on the digests of each row group, so that a lookup of one digest skips most of a run.
 RUN_OPTIONS = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "100000"}
@@ -73,9 +73,9 @@ def lookup(index: DataFrame, digests: list[str]) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of equal texts one row stays, that with the smallest doc_id; one with a null doc_id only if all have."""
-    keyed = row_keyed(docs)
-    found = exact_dedup(keyed.select(F.col("_row").alias("doc_id"), "text"))
-    return without_ids(keyed, found.where("not kept").select(F.col("doc_id").alias("_row")), "_row").select(docs.columns)
+    keyed, row = row_keyed(docs)
+    found = exact_dedup(keyed.select(F.col(row).alias("doc_id"), "text"))
+    return without_rows(keyed, row, found.where("not kept").select("doc_id"), docs.columns)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,32 +8,30 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import by_batch, drop_staged, may_contain, stage, table, texts_of, without_ids
+from gridloom.llm.common import by_batch, free_name, may_contain, stage, table, without_ids
 from gridloom.llm.near import linked_components
 from gridloom.llm.ngram_join import mix
 
-#: Characters (UTF-8 bytes) of a shingle, and the similarity of near copies in percent.
+#: Characters of a shingle, and the similarity of near copies in percent.
 SHINGLE, PERCENT = 9, 80
 #: A line at the threshold shares a band with its like at 1 - (1 - 0.8**4)**9 = 0.991, at 0.9 at 0.9999.
 BANDS, ROWS = 9, 4
-#: Of BANDS * ROWS bytes of two signatures, the share that must agree before whole lines are compared.
-AGREE = 0.55
 #: Bytes of text hashed at once: some arrays of eight bytes a character stay in the processor's cache.
 SLICE = 1 << 18
 _SIZE = BANDS * ROWS
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def normal_line(line: bytes) -> bytes:
-    """Lower case, trimmed, runs of ASCII white space as one space."""
-    return b" ".join(line.lower().split())
+def normal_line(line: str) -> str:
+    """Lower case, trimmed, runs of white space as one space."""
+    return " ".join(line.lower().split())
 
 
-def shingle_hashes(lines: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of the lines, and the number of shingles of each line; a shorter line is one shingle."""
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     counts = np.maximum(sizes - width + 1, 1)
-    data = np.frombuffer(b"".join(x if len(x) >= width else x + b"\0" * (width - len(x)) for x in lines), np.uint8)
+    data = np.frombuffer("".join(x if len(x) >= width else x + "\0" * (width - len(x)) for x in lines).encode("utf-32-le"), np.uint32)
     rolled = np.zeros(max(0, len(data) - width + 1), np.uint64)
     for k in range(width):
         rolled *= _BASE
@@ -44,7 +42,7 @@ def shingle_hashes(lines: list[bytes], width: int) -> tuple[np.ndarray, np.ndarr
     return mix(rolled[at]), counts
 
 
-def signatures(lines: list[bytes], width: int = SHINGLE) -> np.ndarray:
+def signatures(lines: list[str], width: int = SHINGLE) -> np.ndarray:
     """MinHash signatures by one permutation: the least hash of each bin, empty bins filled from the next full one."""
     h, counts = shingle_hashes(lines, width)
     owner = np.repeat(np.arange(len(lines)), counts)
@@ -53,21 +51,20 @@ def signatures(lines: list[bytes], width: int = SHINGLE) -> np.ndarray:
     flat = np.full(len(lines) * _SIZE, none, np.uint64)
     np.minimum.at(flat, owner * _SIZE + bins, h & np.uint64(0xFFFFFFFF))
     out = flat.reshape(len(lines), _SIZE)
-    step = 0
-    while (empty := out == none).any():
-        step += 1
-        out = np.where(empty, np.where((near := np.roll(out, -1, axis=1)) == none, none, near + np.uint64(0x100000001 * step % (1 << 31))), out)
-    return out
+    place = np.arange(2 * _SIZE)
+    full = np.where(np.tile(out != none, 2), place, 2 * _SIZE)
+    nearest = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1][:, :_SIZE]
+    return np.take_along_axis(out, nearest % _SIZE, axis=1) + np.uint64(0x100000001) * (nearest - place[:_SIZE]).astype(np.uint64)
 
 
 def line_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, line_no, line_id, keys, sketch) of every line with words; line_id is a 128-bit digest of the normal line."""
+    """(doc_id, line_no, line_id, keys) of every line with words; line_id is a 128-bit digest of the normal line."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             doc_ids, numbers, lines = [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
-                for k, line in enumerate(text.split(b"\n")):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for k, line in enumerate(text.split("\n") if text else ()):
                     if line := normal_line(line):
                         doc_ids.append(doc_id), numbers.append(k), lines.append(line)
             if not lines:
@@ -76,58 +73,66 @@ def line_rows(docs: DataFrame, width: int) -> DataFrame:
             keys = np.zeros((len(lines), BANDS), np.uint64)
             for r in range(ROWS):
                 keys = mix(keys + sig[:, r::ROWS] * _BASE + np.arange(1, BANDS + 1, dtype=np.uint64))
-            small = np.ascontiguousarray((mix(sig) & np.uint64(255)).astype(np.uint8))
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(doc_ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array([xxhash.xxh3_128_digest(x) for x in lines], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1).view(np.int64))), pa.array(map(bytes, small), pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1).view(np.int64))),
                 ],
-                names=["doc_id", "line_no", "line_id", "keys", "sketch"],
+                names=["doc_id", "line_no", "line_id", "keys"],
             )
 
         return each
 
-    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, line_no int, line_id binary, keys array<long>, sketch binary", SLICE)
-
-
-def prepare(sketches: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
-
-
-def score(a: np.ndarray, n: np.int64, b: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    far = (a != b).sum(axis=-1, dtype=np.int32)
-    return far, far <= (1 - AGREE) * _SIZE
-
-
-def distance(a: list[bytes], n: np.ndarray, b: list[bytes], m: np.ndarray) -> np.ndarray:
-    return score(prepare(a), n, prepare(b), m)[1]
-
-
-def similar(a: list[bytes], b: list[bytes], width: int, percent: int) -> np.ndarray:
-    """For each pair of normal lines, whether the Jaccard similarity of their shingle sets is percent / 100 or more."""
-    each = {x: k for k, x in enumerate(dict.fromkeys([*a, *b]))}
-    h, counts = shingle_hashes(list(each), width)
-    sets = [np.unique(x) for x in np.split(h, np.cumsum(counts)[:-1])]
-    ok = np.empty(len(a), bool)
-    for k, (x, y) in enumerate(zip(a, b, strict=True)):
-        p, q = sets[each[x]], sets[each[y]]
-        both = np.sort(np.concatenate([p, q]))
-        same = int((both[1:] == both[:-1]).sum())
-        ok[k] = 100 * same >= percent * (len(p) + len(q) - same)
-    return ok
+    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, line_no int, line_id binary, keys array<long>", SLICE)
+
+
+class LineSets:
+    """Shingle sets of lines, for exact Jaccard similarities of one with many others."""
+
+    def __init__(self, lines: list[str], width: int, percent: int):
+        h, counts = shingle_hashes(lines, width)
+        owner = np.repeat(np.arange(len(lines), dtype=np.int64), counts)
+        known, number = np.unique(h, return_inverse=True)
+        pairs = np.unique(owner * len(known) + number) if len(lines) else np.empty(0, np.int64)
+        self.shingles, self.seen = pairs % max(1, len(known)), np.zeros(len(known), bool)
+        self.size = np.bincount(pairs // max(1, len(known)), minlength=len(lines))
+        self.start, self.percent = np.cumsum([0, *self.size]), percent
+
+    def __call__(self, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """100 less the similarity in percent, and whether it is reached."""
+        others, every = np.asarray(others, np.int64), len(others)
+        fit = np.flatnonzero(100 * np.minimum(self.size[i], self.size[others]) >= self.percent * np.maximum(self.size[i], self.size[others]))
+        far, ok = np.full(every, 100), np.zeros(every, bool)
+        if len(fit):
+            mine, size = self.shingles[self.start[i] : self.start[i + 1]], self.size[others[fit]]
+            self.seen[mine] = True
+            ends = np.cumsum(size)
+            at = np.arange(ends[-1]) + np.repeat(self.start[others[fit]] - (ends - size), size)
+            both = np.add.reduceat(self.seen[self.shingles[at]], ends - size, dtype=np.int64)
+            self.seen[mine] = False
+            union = len(mine) + size - both
+            far[fit], ok[fit] = 100 - 100 * both // union, 100 * both >= self.percent * union
+        return far, ok
 
 
 def verifier(width: int, percent: int):
-    """Pairs (x, y) of first rows with ok: whether the sets of their lines' shingles, from (id, text), reach the similarity."""
+    """Pairs (x, y) of first rows with ok: whether the sets of their lines' shingles, from (id, sketch), reach the similarity."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            a, b = ([normal_line(t) for t in texts_of(batch.column(c))] for c in ("line_x", "line_y"))
-            return pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(similar(a, b, width, percent))], names=["x", "y", "ok"])
+            a, b = (batch.column(c).to_pylist() for c in ("line_x", "line_y"))
+            place = {x: k for k, x in enumerate(dict.fromkeys([*a, *b]))}
+            sets, ok = LineSets(list(place), width, percent), np.empty(len(a), bool)
+            mine, other = np.array([place[x] for x in a]), np.array([place[x] for x in b])
+            order = np.argsort(mine, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(mine[order])) + 1):
+                ok[part] = sets(int(mine[part[0]]), other[part])[1]
+            return pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(ok)], names=["x", "y", "ok"])
 
         return each
 
     def verify(pairs: DataFrame, near: DataFrame) -> DataFrame:
+        near = near.select("id", "sketch")
         whole = pairs.join(near.toDF("x", "line_x"), "x").join(near.toDF("y", "line_y"), "y").select("x", "y", "line_x", "line_y").sortWithinPartitions("x")
         return by_batch(whole, make, "x long, y long, ok boolean", 1 << 20)
 
@@ -135,16 +140,28 @@ def verifier(width: int, percent: int):
 
 
 def line_texts(docs: DataFrame, own: DataFrame):
-    """The lines (id, text) of first rows (id), cut from their documents."""
+    """The normal lines (id, n, sketch) of first rows (id), cut from their documents; n is the length."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids, lines = [], []
+            for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+                own = text.split("\n")
+                for w in wanted:
+                    if w["line_no"] < len(own) and xxhash.xxh3_128_digest(line := normal_line(own[w["line_no"]])) == w["line_id"]:
+                        ids.append(w["id"]), lines.append(line)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(map(len, lines), pa.int64()), pa.array(lines, pa.string())], names=["id", "n", "sketch"])
+
+        return each
+
     def of(ids: DataFrame) -> DataFrame:
-        places = stage(own.select(F.col("row_id").alias("id"), "doc_id", "line_no").join(ids, "id"), "places")
+        places = stage(own.select(F.col("row_id").alias("id"), "doc_id", "line_no", "line_id").join(ids, "id"), "places")
         # A document's own lines at most, so that its text is carried once.
-        wanted = places.groupBy("doc_id").agg(F.collect_set(F.struct("id", "line_no")).alias("wanted"))
-        near = may_contain(texts, "doc_id", places).where("_may").join(wanted, "doc_id").withColumn("lines", F.split("text", "\n", -1))
-        near = near.select("lines", F.explode("wanted").alias("w")).select("w.id", F.get("lines", F.col("w.line_no")).alias("text"))
-        return near.dropDuplicates(["id"])
+        wanted = places.groupBy("doc_id").agg(F.collect_set(F.struct("id", "line_no", "line_id")).alias("wanted"))
+        near = may_contain(texts, "doc_id", places).where("_may").join(wanted, "doc_id").select("text", "wanted").where("text is not null")
+        # Of rows that repeat a doc_id only those count that hold the line.
+        return by_batch(near, make, "id long, n long, sketch string").dropDuplicates(["id"])
 
     return of
 
@@ -153,18 +170,20 @@ def line_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     """(doc_id, line_no, keep_doc, keep_line, kept) for every line with words of every row of docs.
 
     Lines are numbered from 0 and split at line feeds. Lines that are equal once normalised are one vertex; others link
-    when the Jaccard similarity of their shingle sets, whole lines being compared, is percent / 100 or more. Of each
-    component the first line by (doc_id, line_no) is kept. Blank lines and null or empty texts have no rows; lines of a null doc_id
-    come first in the order; repeated rows of one doc_id keep the same line number twice; an empty table gives none.
+    when the Jaccard similarity of their sets of character shingles, whole lines being compared, is percent / 100 or more. Of each
+    component the first line by (doc_id, line_no) is kept. Blank lines and null or empty texts have no rows; lines of a null
+    doc_id have rows and come first in the order, but their only copies aren't compared with near ones; repeated rows of one
+    doc_id keep the same line number twice; very long lines are compared whole; an empty table gives none; other columns
+    of docs play no part.
     """
     rows = stage(line_rows(docs, width).withColumn("row_id", F.monotonically_increasing_id()), "lines")
-    first = rows.groupBy("line_id").agg(F.min("row_id").alias("first"))
-    own = stage(rows.select("row_id", "doc_id", "line_no", "line_id").join(first, "line_id").drop("line_id"), "own")
-    heads = without_ids(rows, own.where("row_id <> first").select("row_id"), "row_id")
+    # The first row of a line is one whose document can be found by its id, if there is one.
+    first = rows.groupBy("line_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "row_id")).alias("first"))
+    own = stage(rows.select("row_id", "doc_id", "line_no", "line_id").join(first, "line_id").select("row_id", "doc_id", "line_no", "line_id", F.col("first.row_id").alias("first")), "own")
+    heads = without_ids(rows, own.where("row_id <> first").select("row_id"), "row_id").where("doc_id is not null")
     keys = heads.select(F.explode("keys").alias("key"), F.col("row_id").alias("id"))
-    sketches = heads.select(F.col("row_id").alias("id"), F.lit(0).cast("long").alias("n"), "sketch")
-    components = linked_components(keys, sketches, prepare, score, distance, line_texts(docs, own), verifier(width, percent))
-    drop_staged(rows)
+    texts = line_texts(docs, own.where("row_id = first"))
+    components = linked_components(keys, lambda lines: LineSets(lines, width, percent), texts, verifier(width, percent), exact=True)
     named = own.join(components.toDF("first", "component"), "first", "left").select("doc_id", "line_no", F.coalesce("component", "first").alias("component"))
     keep = named.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"))
     out = named.join(keep, "component").select("doc_id", "line_no", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line"))
@@ -173,9 +192,10 @@ def line_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
 
 def without_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """docs with the lines that are not kept cut out of their texts; rows with a null doc_id stay whole."""
-    gone = lines.where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    cut = F.array_join(F.filter(F.transform(F.split("text", "\n", -1), lambda line, k: F.when(~F.array_contains("_gone", k), line)), lambda x: x.isNotNull()), "\n")
-    return docs.join(gone, "doc_id", "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(cut)).select(docs.columns)
+    name = free_name(docs, "_gone")
+    gone = lines.where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias(name))
+    cut = F.array_join(F.filter(F.transform(F.split("text", "\n", -1), lambda line, k: F.when(~F.array_contains(name, k), line)), lambda x: x.isNotNull()), "\n")
+    return docs.join(gone, "doc_id", "left").withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(cut)).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

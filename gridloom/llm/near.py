@@ -14,12 +14,8 @@ from gridloom.llm.common import by_batch, connected_components, drop_staged, may
 #: Members of a bucket that one side of a comparison holds at most, about.
 BLOCK = 1024
 
-#: prepare(sketches of one comparison) gives a matrix with a row each.
-Prepare = Callable[[list[bytes]], np.ndarray]
-#: score(row of the matrix, its size, other rows, their sizes) gives distances, and whether the two may be linked.
-Score = Callable[[np.ndarray, np.int64, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
-#: distance(sketches, sizes, other sketches, other sizes): which of these pairs may be linked.
-Distance = Callable[[list[bytes], np.ndarray, list[bytes], np.ndarray], np.ndarray]
+#: matcher(sketches of one comparison) gives a function of a row and an array of other rows: distances, and whether they may be linked.
+Matcher = Callable[[list], Callable[[int, np.ndarray], tuple[np.ndarray, np.ndarray]]]
 
 
 def buckets(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -37,19 +33,19 @@ def buckets(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, members
 
 
-def near_pairs(pairs: DataFrame, wide: DataFrame, distance: Distance) -> DataFrame:
-    """Those pairs (x, y) that distance lets through; wide: id, n, sketch."""
+def near_pairs(pairs: DataFrame, wide: DataFrame, matcher: Matcher) -> DataFrame:
+    """Those pairs (x, y) that the sketches of wide (id, sketch) let through."""
     kind = dict(pairs.dtypes)["x"]
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            a, b = (batch.column(c).to_pylist() for c in ("sketch_x", "sketch_y"))
-            ok = distance(a, batch.column("n_x").to_numpy(), b, batch.column("n_y").to_numpy())
+            rows = zip(batch.column("sketch_x").to_pylist(), batch.column("sketch_y").to_pylist(), strict=True)
+            ok = [bool(matcher([a, b])(0, np.array([1]))[1][0]) for a, b in rows]
             return pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
         return each
 
-    both = pairs.join(wide.toDF("x", "n_x", "sketch_x"), "x").join(wide.toDF("y", "n_y", "sketch_y"), "y")
+    both = pairs.join(wide.toDF("x", "sketch_x"), "x").join(wide.toDF("y", "sketch_y"), "y")
     return by_batch(both, make, f"x {kind}, y {kind}")
 
 
@@ -105,8 +101,8 @@ def _runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa
         yield pa.concat_tables(rest)
 
 
-def crossing_pairs(rows: DataFrame, sketches: DataFrame, prepare: Prepare, score: Score, spanning: bool, block: int = BLOCK) -> DataFrame:
-    """(key, x, y), x < y, of pairs of different components in one bucket that score lets through.
+def crossing_pairs(rows: DataFrame, sketches: DataFrame, matcher: Matcher, spanning: bool, block: int = BLOCK) -> DataFrame:
+    """(key, x, y), x < y, of pairs of different components in one bucket that the matcher lets through.
 
     rows are those of open_buckets. Minor rows meet all rows; both are dealt into blocks by hash, and a comparison sees one
     block of either. So a bucket of one large component and a few others makes about a row a member, and no comparison holds
@@ -123,14 +119,14 @@ def crossing_pairs(rows: DataFrame, sketches: DataFrame, prepare: Prepare, score
 
     def compare(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         flag = lambda c: part[c].to_numpy(zero_copy_only=False)
-        n, minor, sketch = part["n"].to_numpy(), flag("minor"), prepare(part["sketch"].to_pylist())
+        minor, match = flag("minor"), matcher(part["sketch"].to_pylist())
         comp = np.unique(flag("comp"), return_inverse=True)[1]
         cols = np.flatnonzero(flag("right"))
         xs, ys, fars = [], [], []
         for i in np.flatnonzero(flag("left")).tolist():
             # Two minor rows meet twice; rows are in the order of their ids.
             mine = cols[(comp[cols] != comp[i]) & (~minor[cols] | (cols > i))]
-            far, ok = score(sketch[i], n[i], sketch[mine], n[mine])
+            far, ok = match(i, mine)
             hits = mine[ok]
             xs.append(np.full(len(hits), i)), ys.append(hits), fars.append(far[ok])
         if not xs:
@@ -149,24 +145,26 @@ def crossing_pairs(rows: DataFrame, sketches: DataFrame, prepare: Prepare, score
                 a, b = (pa.array(v[at : at + 50_000]) for v in (x, y))
                 yield pa.RecordBatch.from_arrays([key.take(a), ids.take(a), ids.take(b)], names=["key", "x", "y"])
 
-    return dealt.select("key", "i", "j", "id", "comp", "minor", "left", "right", "n", "sketch").mapInArrow(run, f"key long, x {kind}, y {kind}")
+    return dealt.select("key", "i", "j", "id", "comp", "minor", "left", "right", "sketch").mapInArrow(run, f"key long, x {kind}, y {kind}")
 
 
-def linked_components(keys: DataFrame, wide: DataFrame, prepare: Prepare, score: Score, distance: Distance, texts: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """(id, component) over the links that verify confirms, for keys (key, id) and wide (id, n, sketch).
+def linked_components(keys: DataFrame, matcher: Matcher, texts: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], wide: DataFrame | None = None, exact: bool = False) -> DataFrame:
+    """(id, component) over the links that verify confirms, for keys (key, id).
 
     texts(ids) gives the texts of ids (id); verify(pairs, texts) returns pairs (x, y), x < y, with a column ok. First each
     bucket's smallest member asks all others: that settles groups of near copies in as many pairs as they have members. In
-    buckets whose members are still of several components, a spanning forest of what their sketches let through is verified.
-    Where that joins all that it proposes, nothing that may be linked is left apart. In the other buckets every pair that
-    crosses components is verified too, so no link is lost.
+    buckets whose members are still of several components, all pairs that cross them are compared within tasks. exact: that
+    comparison, of the column sketch of texts, is the last word, and a spanning forest of the links comes out. Else it is of
+    the sketches in wide (id, sketch), which may let pairs through that aren't linked: a spanning forest of those is
+    verified. Where that joins all that it proposes, nothing that may be linked is left apart. In the other buckets every
+    pair that crosses components is verified too, so no link is lost.
     """
 
     def tested(pairs: DataFrame) -> DataFrame:
-        asked = stage(near_pairs(pairs, wide, distance), "asked")
-        near = stage(texts(asked.select(F.explode(F.array("x", "y")).alias("id")).distinct()), "texts")
+        asked = pairs if wide is None else stage(near_pairs(pairs, wide, matcher), "asked")
+        near = stage(texts(asked.select("x").union(asked.select("y")).toDF("id").distinct()), "texts")
         done = stage(verify(asked, near), "checked")
-        drop_staged(asked, near)
+        drop_staged(near)
         return done
 
     def grown(components: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -174,7 +172,7 @@ def linked_components(keys: DataFrame, wide: DataFrame, prepare: Prepare, score:
         return connected_components(new if components is None else components.select(F.col("id").alias("u"), F.col("component").alias("v")).union(new))
 
     def untested(pairs: DataFrame) -> DataFrame:
-        return pairs.select("x", "y").distinct().join(done.select("x", "y"), ["x", "y"], "left_anti")
+        return stage(pairs.select("x", "y").distinct().join(done.select("x", "y"), ["x", "y"], "left_anti"), "untested")
 
     pairs, members = buckets(keys)
     done = tested(pairs)
@@ -182,9 +180,13 @@ def linked_components(keys: DataFrame, wide: DataFrame, prepare: Prepare, score:
     components = grown(None, done.where("ok"))
     rest = stage(open_buckets(members, components), "open")
     if rest.isEmpty():
-        drop_staged(members, rest, done)
         return components
-    proposed = stage(crossing_pairs(rest, wide, prepare, score, True), "proposed")
+    if exact:
+        whole = stage(texts(rest.select("id").distinct()), "texts")
+        links = stage(crossing_pairs(rest, whole.select("id", "sketch"), matcher, True), "links")
+        drop_staged(members, rest, whole)
+        return grown(components, links)
+    proposed = stage(crossing_pairs(rest, wide, matcher, True), "proposed")
     more = tested(untested(proposed))
     components = grown(components, more.where("ok"))
     of = lambda end: components.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
@@ -194,7 +196,6 @@ def linked_components(keys: DataFrame, wide: DataFrame, prepare: Prepare, score:
     if not doubtful.isEmpty():
         done = done.unionByName(more)
         again = open_buckets(members.join(doubtful, "key", "left_semi"), components)
-        last = stage(untested(crossing_pairs(again, wide, prepare, score, False)), "last")
-        components = grown(components, tested(last).where("ok"))
-    drop_staged(members, doubtful)
+        components = grown(components, tested(untested(crossing_pairs(again, wide, matcher, False))).where("ok"))
+    drop_staged(members)
     return components

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import by_batch, drop_staged, list_array, may_contain, row_keyed, stage, table, texts_of, without_ids
+from gridloom.llm.common import by_batch, drop_staged, list_array, may_contain, row_keyed, stage, table, texts_of, without_ids, without_rows
 from gridloom.llm.near import linked_components
 
 #: Bits of the sketches that comparisons try first, and of the widest that they hold for many members at once.
@@ -105,9 +105,9 @@ def piece_keys(h: np.ndarray, percent: int) -> np.ndarray:
 
 
 def wide_sketch(h: np.ndarray) -> bytes:
-    """A parity sketch of 8 bits or more a member, so that its Hamming distance is close to the difference that it bounds."""
+    """The size of the set, and a parity sketch of 8 bits or more a member, so that its Hamming distance is close to the difference that it bounds."""
     bits = 1 << max(9, min(20, math.ceil(math.log2(8 * len(h) + 1))))
-    return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+    return np.int64(len(h)).tobytes() + np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
 def fold(sketch: np.ndarray, words: int) -> np.ndarray:
@@ -118,47 +118,28 @@ def fold(sketch: np.ndarray, words: int) -> np.ndarray:
     return sketch
 
 
-def most_apart(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    """How many members linked sets of these sizes differ in at most; -1 where the sizes alone rule a link out."""
-    fit = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-    return np.where(fit, (n + m) * (100 - percent) // (100 + percent), -1)
+class Sketches:
+    """Hamming distances of wide sketches, lower bounds of symmetric differences, against what linked sets may differ in.
 
+    All are folded to the narrowest, as members of a bucket are of like sizes, and to MOST_BITS if they are many.
+    """
 
-def prepare(sketches: list[bytes]) -> np.ndarray:
-    """All folded to the narrowest, as members of a bucket are of like sizes, and to MOST_BITS at most."""
-    words = min(MOST_BITS, min(map(len, sketches)) * 8) // 64
-    return np.stack([fold(np.frombuffer(s, np.uint64), words) for s in sketches])
-
-
-def score(percent: int):
-    """Hamming distance of sketches, a lower bound of the symmetric difference, against what linked sets may differ in."""
-
-    def pairs(a, n, b, m):
-        limit = most_apart(n, m, percent)
-        far = np.full(len(b), 1 << 30, np.int64)
-        own = np.flatnonzero(limit >= 0)
-        first = np.bitwise_count(fold(b[own], FIRST_BITS // 64) ^ fold(a, FIRST_BITS // 64)).sum(axis=1, dtype=np.int64)
-        own = own[first <= limit[own]]
-        far[own] = np.bitwise_count(b[own] ^ a).sum(axis=1, dtype=np.int64)
+    def __init__(self, sketches: list[bytes], percent: int):
+        self.n, self.percent = np.array([int.from_bytes(s[:8], "little") for s in sketches]), percent
+        words = min(len(s) // 8 - 1 for s in sketches)
+        words = words if len(sketches) < 3 else min(MOST_BITS // 64, words)
+        self.wide = np.stack([fold(np.frombuffer(s, np.uint64, offset=8), words) for s in sketches])
+        self.first = fold(self.wide, FIRST_BITS // 64)
+
+    def __call__(self, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, m = self.n[i], self.n[others]
+        fit = 100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)
+        limit = np.where(fit, (n + m) * (100 - self.percent) // (100 + self.percent), -1)
+        far, own = np.full(len(others), 1 << 30, np.int64), np.flatnonzero(fit)
+        own = own[np.bitwise_count(self.first[others[own]] ^ self.first[i]).sum(axis=1, dtype=np.int64) <= limit[own]]
+        far[own] = np.bitwise_count(self.wide[others[own]] ^ self.wide[i]).sum(axis=1, dtype=np.int64)
         return far, far <= limit
 
-    return pairs
-
-
-def distance(percent: int):
-    """As score, of pairs of wide sketches one by one."""
-
-    def of(a: list[bytes], n: np.ndarray, b: list[bytes], m: np.ndarray) -> np.ndarray:
-        limit = most_apart(n, m, percent)
-        ok = limit >= 0
-        for k in np.flatnonzero(ok).tolist():
-            x, y = np.frombuffer(a[k], np.uint64), np.frombuffer(b[k], np.uint64)
-            words = min(len(x), len(y))
-            ok[k] = int(np.bitwise_count(fold(x, words) ^ fold(y, words)).sum()) <= limit[k]
-        return ok
-
-    return of
-
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def make():
@@ -216,12 +197,12 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     a doc_id are compared each by its own text. A null doc_id names a component only where all of its ids are null. Very long
     texts are compared whole. An empty table gives none; other columns of docs play no part.
     """
-    keyed = row_keyed(docs.select("doc_id", "text"))
-    found = row_components(keyed.select(F.col("_row").alias("doc_id"), "text"), width, percent)
+    keyed, row = row_keyed(docs.select("doc_id", "text"))
+    found = row_components(keyed.select(F.col(row).alias("doc_id"), "text"), width, percent)
     if not hasattr(keyed, "staged_path"):
         return found
     # Row numbers follow the order of doc_id, so the smallest row of a component has its smallest doc_id.
-    own, first = keyed.select(F.col("_row").alias("r"), F.col("doc_id").cast("long").alias("doc_id")), keyed.select(F.col("_row").alias("c"), F.col("doc_id").cast("long").alias("component_id"))
+    own, first = keyed.select(F.col(row).alias("r"), F.col("doc_id").cast("long").alias("doc_id")), keyed.select(F.col(row).alias("c"), F.col("doc_id").cast("long").alias("component_id"))
     out = found.select(F.col("doc_id").alias("r"), "n_shingles", F.col("component_id").alias("c"))
     return out.join(own, "r").join(first, "c").select("doc_id", "n_shingles", "component_id")
 
@@ -233,13 +214,13 @@ def row_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     own = stage(rows.select("doc_id", "n_shingles", "set_id").join(first, "set_id", "left").select("doc_id", "n_shingles", "first"), "own")
     heads = without_ids(rows.where("n_shingles > 0"), own.where("doc_id <> first").select("doc_id"))
     keys = heads.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    wide = heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
+    wide = heads.select(F.col("doc_id").alias("id"), "sketch")
     own_texts = docs.select(F.col("doc_id").alias("id"), "text")
 
     def texts(ids: DataFrame) -> DataFrame:
         return may_contain(own_texts, "id", ids).where("_may").join(ids, "id", "left_semi").select("id", "text")
 
-    components = linked_components(keys, wide, prepare, score(percent), distance(percent), texts, verifier(width, percent))
+    components = linked_components(keys, lambda sketches: Sketches(sketches, percent), texts, verifier(width, percent), wide)
     drop_staged(rows)
     out = own.join(components.toDF("first", "component"), "first", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "first", "doc_id").alias("component_id"))
@@ -247,9 +228,9 @@ def row_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component of five-word shingles at 0.8 one row stays, as in exact dedup."""
-    keyed = row_keyed(docs)
-    found = stage(row_components(keyed.select(F.col("_row").alias("doc_id"), "text"), 5, 80).where("doc_id <> component_id").select(F.col("doc_id").alias("_row")), "near")
-    return without_ids(keyed, found, "_row").select(docs.columns)
+    keyed, row = row_keyed(docs)
+    found = stage(row_components(keyed.select(F.col(row).alias("doc_id"), "text"), 5, 80).where("doc_id <> component_id").select("doc_id"), "near")
+    return without_rows(keyed, row, found, docs.columns)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORD_TABLE, by_batch, list_array, row_keyed, stage, table, texts_of, without_ids
+from gridloom.llm.common import WORD_TABLE, by_batch, list_array, row_keyed, stage, table, texts_of, without_rows
 
 #: The classifier is fitted on at most so many confirmed toxic and so many unlabelled documents, drawn by a hash of doc_id; it scores all.
 POSITIVES, UNLABELLED = 6_000, 18_000
@@ -163,10 +163,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rows predicted toxic go, whatever their doc_id."""
-    keyed = row_keyed(docs)
-    found = score(keyed.select(F.col("_row").alias("doc_id"), "text"), train(docs, table(spark, sf_dir, "labels")))
-    dropped = stage(found.where("score >= 0.5").select(F.col("doc_id").alias("_row")), "toxic")
-    return without_ids(keyed, dropped, "_row").select(docs.columns)
+    keyed, row = row_keyed(docs)
+    found = score(keyed.select(F.col(row).alias("doc_id"), "text"), train(docs, table(spark, sf_dir, "labels")))
+    return without_rows(keyed, row, stage(found.where("score >= 0.5").select("doc_id"), "toxic"), docs.columns)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

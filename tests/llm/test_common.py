@@ -29,7 +29,7 @@ def test_filter_never_loses_a_key(spark):
     rows = spark.range(20_000).withColumn("id", F.when(F.col("id") % 97 == 5, None).otherwise(F.col("id")))
     keys = spark.range(0, 20_000, 7)
     for bits in (1 << 15, 1 << 26):
-        seen = c.may_contain(rows, "id", keys, bits)
+        seen = c.may_contain(rows, "id", keys, bits=bits)
         assert seen.join(keys, "id").where("not _may").count() == 0 and seen.count() == 20_000
     assert seen.where("_may").count() < 1.01 * keys.count()
     left = c.without_ids(rows, keys, "id")

@@ -9,7 +9,7 @@ from tests.llm.conftest import SCHEMA, rows_of
 def brute(rows):
     lines, first = [], {}
     for i, t in rows:
-        for k, x in enumerate((t or "").encode().split(b"\n")):
+        for k, x in enumerate((t or "").split("\n")):
             if n := d.normal_line(x):
                 lines.append((i, k, n))
                 first.setdefault(n, len(first))
@@ -66,13 +66,13 @@ def test_against_brute_force(spark):
 def test_edges_of_the_input(docs, no_docs):
     assert d.line_components(no_docs).collect() == []
     got = d.line_components(docs).collect()
-    rows = [(i, k) for i, t in rows_of(docs) for k, x in enumerate((t or "").split("\n")) if x.encode().split()]
+    rows = [(i, k) for i, t in rows_of(docs) for k, x in enumerate((t or "").split("\n")) if x.split()]
     assert sorted(((r["doc_id"], r["line_no"]) for r in got), key=str) == sorted(rows, key=str)
 
 
 def test_signature_agreement_estimates_similarity():
     rng = random.Random(1)
-    a = "".join(rng.choice("abcdefghij ") for _ in range(400)).encode()
+    a = "".join(rng.choice("abcdefghij ") for _ in range(400))
     b = a[:200] + a[240:]
-    sig = d.signatures([a, b, b"short", b"short"])
+    sig = d.signatures([a, b, "short", "short"])
     assert 0.6 < np.mean(sig[0] == sig[1]) < 1 and (sig[2] == sig[3]).all()

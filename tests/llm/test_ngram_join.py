@@ -76,6 +76,6 @@ def test_linked_sets_share_a_key():
                 both = len(np.intersect1d(a, b))
                 if 100 * both >= percent * (len(a) + len(b) - both):
                     assert np.intersect1d(j.piece_keys(a, percent), j.piece_keys(b, percent)).size
-                    x, y = j.prepare([j.wide_sketch(a), j.wide_sketch(b)])
-                    assert j.score(percent)(x, np.int64(len(a)), y[None], np.array([len(b)]))[1][0]
-                    assert j.distance(percent)([j.wide_sketch(a)], np.array([len(a)]), [j.wide_sketch(b)], np.array([len(b)]))[0]
+                    for many in (1, 4):
+                        far, ok = j.Sketches([j.wide_sketch(a), j.wide_sketch(b)] * many, percent)(0, np.array([1]))
+                        assert ok[0] and far[0] <= len(a) + len(b) - 2 * both
