@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -27,15 +28,22 @@ def normal_line(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def rolling(data: np.ndarray, width: int) -> np.ndarray:
+    """Polynomial hashes of all runs of width values: that of a run comes from those of its two halves."""
+    if width < 2 or len(data) < width:
+        return data if width == 1 else data[:0]
+    half = width // 2
+    part = rolling(data, half)
+    both = part[: len(part) - half] * np.uint64(pow(int(_BASE), half, 1 << 64)) + part[half:]
+    return both if width % 2 == 0 else both[: len(data) - width + 1] * _BASE + data[width - 1 :]
+
+
 def shingle_hashes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of the lines, and the number of shingles of each line; a shorter line is one shingle."""
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     counts = np.maximum(sizes - width + 1, 1)
     data = np.frombuffer("".join(x if len(x) >= width else x + "\0" * (width - len(x)) for x in lines).encode("utf-32-le"), np.uint32)
-    rolled = np.zeros(max(0, len(data) - width + 1), np.uint64)
-    for k in range(width):
-        rolled *= _BASE
-        rolled += data[k : k + len(rolled)]
+    rolled = rolling(data.astype(np.uint64), width)
     starts = np.concatenate(([0], np.cumsum(np.maximum(sizes, width))[:-1])) if len(lines) else np.empty(0, np.int64)
     ends = np.cumsum(counts)
     at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
@@ -92,8 +100,9 @@ class LineSets:
     def __init__(self, lines: list[str], width: int, percent: int):
         h, counts = shingle_hashes(lines, width)
         owner = np.repeat(np.arange(len(lines), dtype=np.int64), counts)
-        known, number = np.unique(h, return_inverse=True)
-        pairs = np.unique(owner * len(known) + number) if len(lines) else np.empty(0, np.int64)
+        number, known = pd.factorize(h)
+        # Owners ascend, so the pairs of each line stay together.
+        pairs = pd.unique(owner * max(1, len(known)) + number)
         self.shingles, self.seen = pairs % max(1, len(known)), np.zeros(len(known), bool)
         self.size = np.bincount(pairs // max(1, len(known)), minlength=len(lines))
         self.start, self.percent = np.cumsum([0, *self.size]), percent
@@ -183,7 +192,7 @@ def line_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     heads = without_ids(rows, own.where("row_id <> first").select("row_id"), "row_id").where("doc_id is not null")
     keys = heads.select(F.explode("keys").alias("key"), F.col("row_id").alias("id"))
     texts = line_texts(docs, own.where("row_id = first"))
-    components = linked_components(keys, lambda lines: LineSets(lines, width, percent), texts, verifier(width, percent), exact=True)
+    components = linked_components(keys, lambda lines: LineSets(lines, width, percent), texts, verifier(width, percent))
     named = own.join(components.toDF("first", "component"), "first", "left").select("doc_id", "line_no", F.coalesce("component", "first").alias("component"))
     keep = named.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"))
     out = named.join(keep, "component").select("doc_id", "line_no", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line"))

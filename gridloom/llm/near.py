@@ -33,8 +33,8 @@ def buckets(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, members
 
 
-def near_pairs(pairs: DataFrame, wide: DataFrame, matcher: Matcher) -> DataFrame:
-    """Those pairs (x, y) that the sketches of wide (id, sketch) let through."""
+def near_pairs(pairs: DataFrame, sketches: DataFrame, matcher: Matcher) -> DataFrame:
+    """Those pairs (x, y) that sketches (id, sketch) let through."""
     kind = dict(pairs.dtypes)["x"]
 
     def make():
@@ -45,7 +45,7 @@ def near_pairs(pairs: DataFrame, wide: DataFrame, matcher: Matcher) -> DataFrame
 
         return each
 
-    both = pairs.join(wide.toDF("x", "sketch_x"), "x").join(wide.toDF("y", "sketch_y"), "y")
+    both = pairs.join(sketches.toDF("x", "sketch_x"), "x").join(sketches.toDF("y", "sketch_y"), "y")
     return by_batch(both, make, f"x {kind}, y {kind}")
 
 
@@ -148,20 +148,20 @@ def crossing_pairs(rows: DataFrame, sketches: DataFrame, matcher: Matcher, spann
     return dealt.select("key", "i", "j", "id", "comp", "minor", "left", "right", "sketch").mapInArrow(run, f"key long, x {kind}, y {kind}")
 
 
-def linked_components(keys: DataFrame, matcher: Matcher, texts: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], wide: DataFrame | None = None, exact: bool = False) -> DataFrame:
+def linked_components(keys: DataFrame, matcher: Matcher, texts: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], sketches: DataFrame | None = None) -> DataFrame:
     """(id, component) over the links that verify confirms, for keys (key, id).
 
     texts(ids) gives the texts of ids (id); verify(pairs, texts) returns pairs (x, y), x < y, with a column ok. First each
     bucket's smallest member asks all others: that settles groups of near copies in as many pairs as they have members. In
-    buckets whose members are still of several components, all pairs that cross them are compared within tasks. exact: that
-    comparison, of the column sketch of texts, is the last word, and a spanning forest of the links comes out. Else it is of
-    the sketches in wide (id, sketch), which may let pairs through that aren't linked: a spanning forest of those is
+    buckets whose members are still of several components, all pairs that cross them are compared within tasks. Without
+    sketches that comparison, of the column sketch of texts, is the last word, and a spanning forest of the links comes out.
+    Else it is of sketches (id, sketch), which may let pairs through that aren't linked: a spanning forest of those is
     verified. Where that joins all that it proposes, nothing that may be linked is left apart. In the other buckets every
     pair that crosses components is verified too, so no link is lost.
     """
 
     def tested(pairs: DataFrame) -> DataFrame:
-        asked = pairs if wide is None else stage(near_pairs(pairs, wide, matcher), "asked")
+        asked = pairs if sketches is None else stage(near_pairs(pairs, sketches, matcher), "asked")
         near = stage(texts(asked.select("x").union(asked.select("y")).toDF("id").distinct()), "texts")
         done = stage(verify(asked, near), "checked")
         drop_staged(near)
@@ -181,12 +181,12 @@ def linked_components(keys: DataFrame, matcher: Matcher, texts: Callable[[DataFr
     rest = stage(open_buckets(members, components), "open")
     if rest.isEmpty():
         return components
-    if exact:
+    if sketches is None:
         whole = stage(texts(rest.select("id").distinct()), "texts")
         links = stage(crossing_pairs(rest, whole.select("id", "sketch"), matcher, True), "links")
         drop_staged(members, rest, whole)
         return grown(components, links)
-    proposed = stage(crossing_pairs(rest, wide, matcher, True), "proposed")
+    proposed = stage(crossing_pairs(rest, sketches, matcher, True), "proposed")
     more = tested(untested(proposed))
     components = grown(components, more.where("ok"))
     of = lambda end: components.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
@@ -196,6 +196,6 @@ def linked_components(keys: DataFrame, matcher: Matcher, texts: Callable[[DataFr
     if not doubtful.isEmpty():
         done = done.unionByName(more)
         again = open_buckets(members.join(doubtful, "key", "left_semi"), components)
-        components = grown(components, tested(untested(crossing_pairs(again, wide, matcher, False))).where("ok"))
+        components = grown(components, tested(untested(crossing_pairs(again, sketches, matcher, False))).where("ok"))
     drop_staged(members)
     return components

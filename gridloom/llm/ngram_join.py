@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import by_batch, drop_staged, list_array, may_contain, row_keyed, stage, table, texts_of, without_ids, without_rows
 from gridloom.llm.near import linked_components
 
-#: Bits of the sketches that comparisons try first, and of the widest that they hold for many members at once.
-FIRST_BITS, MOST_BITS = 512, 16_384
+#: Bits of the narrowest sketch.
+LEAST_BITS = 1024
 #: Sizes of a band differ by this factor at most.
 BAND = 1.5
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -104,9 +104,9 @@ def piece_keys(h: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-def wide_sketch(h: np.ndarray) -> bytes:
-    """The size of the set, and a parity sketch of 8 bits or more a member, so that its Hamming distance is close to the difference that it bounds."""
-    bits = 1 << max(9, min(20, math.ceil(math.log2(8 * len(h) + 1))))
+def sketch(h: np.ndarray) -> bytes:
+    """The size of the set, and a parity sketch of two bits or more a member: sets that differ widely have about half of the bits different, which is more than linked sets may have."""
+    bits = 1 << max(LEAST_BITS.bit_length() - 1, min(20, math.ceil(math.log2(2 * len(h) + 1))))
     return np.int64(len(h)).tobytes() + np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
@@ -119,39 +119,35 @@ def fold(sketch: np.ndarray, words: int) -> np.ndarray:
 
 
 class Sketches:
-    """Hamming distances of wide sketches, lower bounds of symmetric differences, against what linked sets may differ in.
+    """Hamming distances of sketches, lower bounds of symmetric differences, against what linked sets may differ in.
 
-    All are folded to the narrowest, as members of a bucket are of like sizes, and to MOST_BITS if they are many.
+    All are folded to the narrowest, as members of a bucket are of like sizes.
     """
 
     def __init__(self, sketches: list[bytes], percent: int):
         self.n, self.percent = np.array([int.from_bytes(s[:8], "little") for s in sketches]), percent
         words = min(len(s) // 8 - 1 for s in sketches)
-        words = words if len(sketches) < 3 else min(MOST_BITS // 64, words)
-        self.wide = np.stack([fold(np.frombuffer(s, np.uint64, offset=8), words) for s in sketches])
-        self.first = fold(self.wide, FIRST_BITS // 64)
+        self.bits = np.stack([fold(np.frombuffer(s, np.uint64, offset=8), words) for s in sketches])
 
     def __call__(self, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, m = self.n[i], self.n[others]
         fit = 100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)
-        limit = np.where(fit, (n + m) * (100 - self.percent) // (100 + self.percent), -1)
         far, own = np.full(len(others), 1 << 30, np.int64), np.flatnonzero(fit)
-        own = own[np.bitwise_count(self.first[others[own]] ^ self.first[i]).sum(axis=1, dtype=np.int64) <= limit[own]]
-        far[own] = np.bitwise_count(self.wide[others[own]] ^ self.wide[i]).sum(axis=1, dtype=np.int64)
-        return far, far <= limit
+        far[own] = np.bitwise_count(self.bits[others[own]] ^ self.bits[i]).sum(axis=1, dtype=np.int64)
+        return far, far <= (n + m) * (100 - self.percent) // (100 + self.percent)
 
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sizes, sets, wide, keys = [], [], [], []
+            sizes, sets, sketches, keys = [], [], [], []
             for text in texts_of(batch.column("text")):
                 h = shingles(text, width)
                 sizes.append(len(h))
                 sets.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-                wide.append(wide_sketch(h))
+                sketches.append(sketch(h))
                 keys.append(piece_keys(h, percent) if len(h) else np.empty(0, np.int64))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(wide, pa.binary()), list_array(keys, pa.int64())], names=["doc_id", "n_shingles", "set_id", "sketch", "keys"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(sketches, pa.binary()), list_array(keys, pa.int64())], names=["doc_id", "n_shingles", "set_id", "sketch", "keys"])
 
         return each
 
@@ -214,13 +210,13 @@ def row_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     own = stage(rows.select("doc_id", "n_shingles", "set_id").join(first, "set_id", "left").select("doc_id", "n_shingles", "first"), "own")
     heads = without_ids(rows.where("n_shingles > 0"), own.where("doc_id <> first").select("doc_id"))
     keys = heads.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    wide = heads.select(F.col("doc_id").alias("id"), "sketch")
+    sketches = heads.select(F.col("doc_id").alias("id"), "sketch")
     own_texts = docs.select(F.col("doc_id").alias("id"), "text")
 
     def texts(ids: DataFrame) -> DataFrame:
         return may_contain(own_texts, "id", ids).where("_may").join(ids, "id", "left_semi").select("id", "text")
 
-    components = linked_components(keys, lambda sketches: Sketches(sketches, percent), texts, verifier(width, percent), wide)
+    components = linked_components(keys, lambda sketches: Sketches(sketches, percent), texts, verifier(width, percent), sketches)
     drop_staged(rows)
     out = own.join(components.toDF("first", "component"), "first", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "first", "doc_id").alias("component_id"))

@@ -77,5 +77,5 @@ def test_linked_sets_share_a_key():
                 if 100 * both >= percent * (len(a) + len(b) - both):
                     assert np.intersect1d(j.piece_keys(a, percent), j.piece_keys(b, percent)).size
                     for many in (1, 4):
-                        far, ok = j.Sketches([j.wide_sketch(a), j.wide_sketch(b)] * many, percent)(0, np.array([1]))
+                        far, ok = j.Sketches([j.sketch(a), j.sketch(b)] * many, percent)(0, np.array([1]))
                         assert ok[0] and far[0] <= len(a) + len(b) - 2 * both
