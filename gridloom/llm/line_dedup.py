@@ -187,15 +187,20 @@ def line_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     """
     rows = stage(line_rows(docs, width).withColumn("row_id", F.monotonically_increasing_id()), "lines")
     # The first row of a line is one whose document can be found by its id, if there is one.
-    first = rows.groupBy("line_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "row_id")).alias("first"))
-    own = stage(rows.select("row_id", "doc_id", "line_no", "line_id").join(first, "line_id").select("row_id", "doc_id", "line_no", "line_id", F.col("first.row_id").alias("first")), "own")
+    lost = F.when(F.col("doc_id").isNull(), F.lit(1 << 62)).otherwise(F.lit(0))
+    first = rows.groupBy("line_id").agg(F.min(F.col("row_id") + lost).alias("first"), F.count("*").alias("copies")).withColumn("first", F.col("first").bitwiseAND(F.lit((1 << 62) - 1)))
+    own = stage(rows.select("row_id", "doc_id", "line_no", "line_id").join(first, "line_id"), "own")
     heads = without_ids(rows, own.where("row_id <> first").select("row_id"), "row_id").where("doc_id is not null")
     keys = heads.select(F.explode("keys").alias("key"), F.col("row_id").alias("id"))
     texts = line_texts(docs, own.where("row_id = first"))
     components = linked_components(keys, lambda lines: LineSets(lines, width, percent), texts, verifier(width, percent))
-    named = own.join(components.toDF("first", "component"), "first", "left").select("doc_id", "line_no", F.coalesce("component", "first").alias("component"))
+    # A line of its own, without copies or links, needs no shuffle: it keeps itself.
+    linked = components.toDF("first", "component")
+    flagged = may_contain(own.select("first", "doc_id", "line_no", "copies"), "first", linked)
+    alone = flagged.where("copies = 1 and not _may").select("doc_id", "line_no", F.col("doc_id").alias("keep_doc"), F.col("line_no").alias("keep_line"))
+    named = flagged.where("copies > 1 or _may").join(linked, "first", "left").select("doc_id", "line_no", F.coalesce("component", "first").alias("component"))
     keep = named.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"))
-    out = named.join(keep, "component").select("doc_id", "line_no", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line"))
+    out = named.join(keep, "component").select("doc_id", "line_no", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line")).unionByName(alone)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("line_no") == F.col("keep_line")))
 
 
