@@ -9,14 +9,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import by_batch, free_name, may_contain, stage, table, without_ids
+from gridloom.llm.common import by_batch, free_name, may_contain, stage, table
 from gridloom.llm.near import linked_components
 from gridloom.llm.ngram_join import mix
 
 #: Characters of a shingle, and the similarity of near copies in percent.
 SHINGLE, PERCENT = 9, 80
-#: A line at the threshold shares a band with its like at 1 - (1 - 0.8**4)**9 = 0.991, at 0.9 at 0.9999.
-BANDS, ROWS = 9, 4
+#: A line at the threshold shares a band with its like at 1 - (1 - 0.8**3)**7 = 0.993, at 0.9 at 0.9999.
+BANDS, ROWS = 7, 3
 #: Bytes of text hashed at once: some arrays of eight bytes a character stay in the processor's cache.
 SLICE = 1 << 18
 _SIZE = BANDS * ROWS
@@ -47,7 +47,12 @@ def shingle_hashes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray
     starts = np.concatenate(([0], np.cumsum(np.maximum(sizes, width))[:-1])) if len(lines) else np.empty(0, np.int64)
     ends = np.cumsum(counts)
     at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
-    return mix(rolled[at]), counts
+    # One-to-one, so that values differ wherever the rolling hashes do.
+    h = rolled[at]
+    h *= _BASE
+    h ^= h >> np.uint64(32)
+    h *= _BASE
+    return h, counts
 
 
 def signatures(lines: list[str], width: int = SHINGLE) -> np.ndarray:
@@ -130,12 +135,17 @@ def verifier(width: int, percent: int):
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             a, b = (batch.column(c).to_pylist() for c in ("line_x", "line_y"))
-            place = {x: k for k, x in enumerate(dict.fromkeys([*a, *b]))}
-            sets, ok = LineSets(list(place), width, percent), np.empty(len(a), bool)
-            mine, other = np.array([place[x] for x in a]), np.array([place[x] for x in b])
-            order = np.argsort(mine, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(mine[order])) + 1):
-                ok[part] = sets(int(mine[part[0]]), other[part])[1]
+            lines = list(dict.fromkeys([*a, *b]))
+            h, counts = shingle_hashes(lines, width)
+            sets = dict(zip(lines, map(np.unique, np.split(h, np.cumsum(counts)[:-1])), strict=True))
+            ok = np.empty(len(a), bool)
+            for k, (x, y) in enumerate(zip(a, b, strict=True)):
+                p, q = sets[x], sets[y]
+                fit = 100 * min(len(p), len(q)) >= percent * max(len(p), len(q))
+                if fit:
+                    both = np.sort(np.concatenate([p, q]))
+                    same = int((both[1:] == both[:-1]).sum())
+                ok[k] = fit and 100 * same >= percent * (len(p) + len(q) - same)
             return pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(ok)], names=["x", "y", "ok"])
 
         return each
@@ -190,10 +200,10 @@ def line_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     lost = F.when(F.col("doc_id").isNull(), F.lit(1 << 62)).otherwise(F.lit(0))
     first = rows.groupBy("line_id").agg(F.min(F.col("row_id") + lost).alias("first"), F.count("*").alias("copies")).withColumn("first", F.col("first").bitwiseAND(F.lit((1 << 62) - 1)))
     own = stage(rows.select("row_id", "doc_id", "line_no", "line_id").join(first, "line_id"), "own")
-    heads = without_ids(rows, own.where("row_id <> first").select("row_id"), "row_id").where("doc_id is not null")
-    keys = heads.select(F.explode("keys").alias("key"), F.col("row_id").alias("id"))
+    known, copies = rows.where("doc_id is not null"), own.where("row_id <> first").select(F.col("row_id").alias("id"))
+    keys = known.select("keys", F.col("row_id").alias("id"))
     texts = line_texts(docs, own.where("row_id = first"))
-    components = linked_components(keys, lambda lines: LineSets(lines, width, percent), texts, verifier(width, percent))
+    components = linked_components(keys, copies, lambda lines: LineSets(lines, width, percent), texts, verifier(width, percent))
     # A line of its own, without copies or links, needs no shuffle: it keeps itself.
     linked = components.toDF("first", "component")
     flagged = may_contain(own.select("first", "doc_id", "line_no", "copies"), "first", linked)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import by_batch, drop_staged, list_array, may_contain, row_keyed, stage, table, texts_of, without_ids, without_rows
+from gridloom.llm.common import by_batch, drop_staged, list_array, may_contain, row_keyed, stage, table, texts_of, without_rows
 from gridloom.llm.near import linked_components
 
 #: Bits of the narrowest sketch.
@@ -208,15 +208,14 @@ def row_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     rows = stage(signatures(docs, width, percent), "signatures")
     first = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first"))
     own = stage(rows.select("doc_id", "n_shingles", "set_id").join(first, "set_id", "left").select("doc_id", "n_shingles", "first"), "own")
-    heads = without_ids(rows.where("n_shingles > 0"), own.where("doc_id <> first").select("doc_id"))
-    keys = heads.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    sketches = heads.select(F.col("doc_id").alias("id"), "sketch")
+    full, copies = rows.where("n_shingles > 0"), own.where("doc_id <> first").select(F.col("doc_id").alias("id"))
+    keys, sketches = full.select("keys", F.col("doc_id").alias("id")), full.select(F.col("doc_id").alias("id"), "sketch")
     own_texts = docs.select(F.col("doc_id").alias("id"), "text")
 
     def texts(ids: DataFrame) -> DataFrame:
         return may_contain(own_texts, "id", ids).where("_may").join(ids, "id", "left_semi").select("id", "text")
 
-    components = linked_components(keys, lambda sketches: Sketches(sketches, percent), texts, verifier(width, percent), sketches)
+    components = linked_components(keys, copies, lambda sketches: Sketches(sketches, percent), texts, verifier(width, percent), sketches)
     drop_staged(rows)
     out = own.join(components.toDF("first", "component"), "first", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "first", "doc_id").alias("component_id"))
