@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import WORD_TABLE, by_batch, row_keyed, stage, table, texts_of, without_rows
 
 WINDOW = 10
-#: Bytes of item texts that one automaton takes; more items make more automata, and a scan of the texts for each.
-ITEM_BYTES = 4 << 20
+#: Bytes of item texts that one automaton takes, as many as fit in a worker; only beyond that there are more automata, and an exact scan of the texts for each.
+ITEM_BYTES = 32 << 20
 WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>"
 FOUND = "hits array<int>, items array<string>"

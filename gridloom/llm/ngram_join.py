@@ -22,17 +22,15 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, kept for the worker's next texts; anew beyond a bound."""
+    """64-bit hashes of words, kept for a task's next texts; anew beyond a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
 
 
-_hashes = WordHashes()
-
 
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -40,12 +38,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingles(text: bytes, width: int) -> np.ndarray:
+def shingles(text: bytes, width: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word n-grams; of its whole sequence if that is shorter; none without words."""
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    own = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    own = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     width_now = min(width, len(words))
     total = np.full(len(words) - width_now + 1, np.uint64(width_now), np.uint64)
     for k in range(width_now):
@@ -139,10 +137,12 @@ class Sketches:
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def make():
+        hashes = WordHashes()
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             sizes, sets, sketches, keys = [], [], [], []
             for text in texts_of(batch.column("text")):
-                h = shingles(text, width)
+                h = shingles(text, width, hashes)
                 sizes.append(len(h))
                 sets.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 sketches.append(sketch(h))
@@ -159,12 +159,13 @@ def verifier(width: int, percent: int):
 
     def make():
         kept: dict[int, np.ndarray] = {}
+        hashes = WordHashes()
 
         def of(i: int, text: bytes) -> np.ndarray:
             if i not in kept:
                 if len(kept) > 64:
                     kept.clear()
-                kept[i] = shingles(text, width)
+                kept[i] = shingles(text, width, hashes)
             return kept[i]
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:

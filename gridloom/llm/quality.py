@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -23,7 +24,11 @@ LOW, HIGH, NONE = 0, 1, 2
 _LETTERS = np.array([chr(c).isalpha() or c >= 128 for c in range(256)])
 _UPPER = np.array([65 <= c <= 90 for c in range(256)])
 _MARKS = np.array([chr(c) in "#*$%&!|@^~=<>\\{}[]_+" for c in range(256)])
-_DIGITS = np.array([48 <= c <= 57 for c in range(256)])
+#: For bytes.translate: a letter's or digit's kind; marks stand for themselves. Runs of one kind count once, over a word's whole length.
+_KINDS = bytes(65 if _UPPER[c] else 97 if _LETTERS[c] else 48 if 48 <= c <= 57 else c for c in range(256))
+_RUNS = re.compile(rb"([Aa0])\1+")
+#: Words of a stretch in which variety is judged, as a long text repeats its vocabulary anyway.
+STRETCH = 500
 
 #: Fixed order of the labellers, for the columns and the vote patterns.
 LABELLERS = ("marks", "capitals", "repeats", "mark_runs", "bars", "variety", "word_length", "lines")
@@ -40,7 +45,7 @@ def votes(text: bytes) -> tuple[int, ...]:
     repeats = sum(map(bytes.__eq__, words, words[1:])) / max(1, n - 1)
     runs = sum(text.count(x) for x in (b"!!", b"%%", b"##", b"**", b"$$", b"&&")) / n
     bars = (int(count[124]) + int(count[9])) / n
-    variety = len(set(words)) / n
+    variety = np.mean([len(set(words[k : k + STRETCH])) / len(words[k : k + STRETCH]) for k in range(0, n, STRETCH) if k == 0 or n - k >= STRETCH])
     length = letters / n
     lines = [x for x in text.split(b"\n") if x.strip()]
     copied = 1 - len(set(lines)) / len(lines)
@@ -51,7 +56,7 @@ def votes(text: bytes) -> tuple[int, ...]:
         cut(repeats, 0.2, 0.05) if n >= 6 else NONE,
         cut(runs, 0.2, 0.02) if n >= 4 else NONE,
         LOW if bars > 0.2 and n >= 6 else NONE,
-        (LOW if variety < 0.2 else HIGH if variety > 0.35 else NONE) if 20 <= n <= 2_000 else NONE,
+        (LOW if variety < 0.2 else HIGH if variety > 0.35 else NONE) if n >= 20 else NONE,
         HIGH if 2 <= length <= 14 else LOW,
         cut(copied, 0.5, 0.05) if len(lines) >= 4 else NONE,
     )
@@ -96,15 +101,8 @@ class Shapes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 400_000:
             self.clear()
-        shape, last = bytearray(), -1
-        for c in word[:64]:
-            kind = 65 if _UPPER[c] else 97 if _LETTERS[c] else 48 if _DIGITS[c] else c
-            if kind != last:
-                shape.append(kind)
-            elif kind not in (65, 97, 48) and len(shape) < 12:
-                shape.append(kind)
-            last = kind
-        self[word] = value = zlib.crc32(bytes(shape)) % BUCKETS
+        shape = _RUNS.sub(rb"\1", word.translate(_KINDS))
+        self[word] = value = zlib.crc32(shape) % BUCKETS
         return value
 
 

@@ -46,7 +46,7 @@ class ChunkEncoder:
         out, cache = [], self.cache
         for start in range(0, len(texts), 256):
             cut = [self.cut(t) if t else [] for t in texts[start : start + 256]]
-            new = list(set().union(*cut).difference(cache))
+            new = list({c for chunks in cut for c in chunks if c not in cache})
             for i in range(0, len(new), 8192):
                 part = new[i : i + 8192]
                 for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):

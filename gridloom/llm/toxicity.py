@@ -133,7 +133,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            if len(cache) > 500_000:
+            if len(cache) > 200_000:
                 cache.clear()
             for text in texts_of(batch.column("text")):
                 found: set[int] = set()
