@@ -19,17 +19,19 @@ def _rules(df: DataFrame) -> DataFrame:
 
 
 def glob_regex(pattern: str) -> str:
-    """x/** and plain x cover a directory; * and ? don't cross a slash, ** does."""
-    stem = pattern.removesuffix("/**").rstrip("/")
+    """x/** covers the directory x, taken literally. Else * and ? stand for any characters, slashes too, [...] for one of a set, and a pattern also covers what lies below the path that it spells."""
+    quote = lambda x: "".join(c if c.isalnum() or c in "/_-" else "\\" + c for c in x)
+    if pattern.endswith("/**"):
+        return f"^{quote(pattern[:-3].rstrip('/'))}(?:/.*)?$"
     out, i = "", 0
-    while i < len(stem):
-        if stem[i : i + 2] == "**":
-            out, i = out + ".*", i + 2
+    while i < len(pattern):
+        c, end = pattern[i], pattern.find("]", i + 2)
+        if c == "[" and end > 0:
+            body, negated = pattern[i + 1 : end], pattern[i + 1] == "!"
+            out, i = out + ("[^" if negated else "[") + "".join("\\" + x if x in "\\[&^" else x for x in body[negated:]) + "]", end + 1
             continue
-        c = stem[i]
-        out += "[^/]*" if c == "*" else "[^/]" if c == "?" else c if c.isalnum() or c in "/_-" else "\\" + c
-        i += 1
-    return f"^{out}(?:/.*)?$"
+        out, i = out + (".*" if c == "*" else "." if c == "?" else quote(c)), i + 1
+    return f"^(?:{out}|{quote(pattern.rstrip('/'))}/.*)$"
 
 
 def matching(files: DataFrame, patterns: DataFrame) -> DataFrame:

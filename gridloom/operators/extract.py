@@ -20,7 +20,7 @@ IGNORED = [
     ".astro", ".vercel", ".netlify", ".parcel-cache", ".yarn", "__pycache__", ".venv", "venv",
 ]
 ROOT_IGNORED = ["vendor", "third_party", "worktrees", "target"]
-EXCLUDED = [".git", ".token-vitals", "node_modules", "vendor", "dist", "build", "coverage", "tmp", "test", "tests", "spec", "specs", "fixtures", "snapshots"]
+EXCLUDED = [".git", "node_modules", "vendor", "dist", "build", "coverage", "tmp", "test", "tests", "spec", "specs", "fixtures", "snapshots"]
 
 
 def extension(path: Column) -> Column:

@@ -80,4 +80,4 @@ def placeholders(pages: DataFrame, marks: list[str]) -> DataFrame:
 
 def path_leaks(pages: DataFrame) -> DataFrame:
     """Pages that show an absolute path of somebody's machine."""
-    return pages.where(F.col("html").rlike(r"(?:/Users/|/home/|[A-Z]:\\\\Users\\\\)[A-Za-z0-9._-]+")).select("page_id")
+    return pages.where(F.col("html").rlike(r"(?:/Users/|/home/|[A-Z]:\\Users\\)[A-Za-z0-9._-]+")).select("page_id")

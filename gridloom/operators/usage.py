@@ -12,8 +12,12 @@ REPO = ["repo_id"]
 
 #: A utility prefix and the namespaces that it draws from.
 UTILITY_PREFIXES = [
-    ("bg", ["color"]), ("text", ["color", "text"]), ("border", ["color"]), ("ring", ["color"]), ("fill", ["color"]), ("stroke", ["color"]), ("font", ["font", "font-weight"]),
-    ("leading", ["leading"]), ("tracking", ["tracking"]), ("rounded", ["radius"]), ("shadow", ["shadow"]), ("p", ["spacing"]), ("m", ["spacing"]), ("gap", ["spacing"]),
+    ("bg", ["color"]), ("text", ["color", "text"]), ("border", ["color"]), ("ring", ["color"]), ("fill", ["color"]), ("stroke", ["color"]), ("outline", ["color"]), ("accent", ["color"]), ("caret", ["color"]),
+    ("decoration", ["color"]), ("divide", ["color"]), ("font", ["font", "font-weight"]), ("leading", ["leading"]), ("tracking", ["tracking"]), ("rounded", ["radius"]), ("shadow", ["shadow"]),
+    ("inset-shadow", ["inset-shadow"]), ("drop-shadow", ["drop-shadow"]), ("blur", ["blur"]), ("perspective", ["perspective"]), ("ease", ["ease"]), ("animate", ["animate"]), ("aspect", ["aspect"]),
+    ("max-w", ["container", "max-width"]), ("p", ["spacing"]), ("px", ["spacing"]), ("py", ["spacing"]), ("pt", ["spacing"]), ("pr", ["spacing"]), ("pb", ["spacing"]), ("pl", ["spacing"]),
+    ("m", ["spacing"]), ("mx", ["spacing"]), ("my", ["spacing"]), ("mt", ["spacing"]), ("mr", ["spacing"]), ("mb", ["spacing"]), ("ml", ["spacing"]), ("gap", ["spacing"]), ("gap-x", ["spacing"]), ("gap-y", ["spacing"]),
+    ("space-x", ["spacing"]), ("space-y", ["spacing"]), ("w", ["spacing", "container"]), ("h", ["spacing"]), ("size", ["spacing"]),
 ]
 
 

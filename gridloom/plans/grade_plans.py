@@ -58,12 +58,12 @@ def cover(spark: SparkSession, d: str) -> DataFrame:
     """Declaring files under package roots of several confidences."""
     files = logical(spark, d, "decls").select("path")
     rank = F.element_at(F.array(*[F.lit(c) for c in v.COMPONENT_RANK]), (F.col("p_size") % 5 + 1).cast("int"))
-    roots = spark.read.parquet(f"{d}/part.parquet").where("p_size > 46").select(F.concat(F.lit("packages/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))).alias("prefix"), rank.alias("confidence"))
+    roots = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("packages/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))).alias("prefix"), rank.alias("confidence"))
     return discovery.strongest_root(files, roots)
 
 
 def owners(spark: SparkSession, d: str) -> DataFrame:
-    patterns = [("packages/brand1*",), ("packages/*/tokens/color.css",), ("packages/brand2?/**",)]
+    patterns = [("packages/brand1*",), ("packages/*/tokens/color.css",), ("packages/brand23/**",)]
     rules = spark.createDataFrame([(discovery.glob_regex(p),) for (p,) in patterns], "regex string")
     return discovery.ownership(logical(spark, d, "decls").select("path").distinct(), rules)
 
@@ -82,7 +82,7 @@ QUERIES = {
     "mode_gaps": lambda sp, d: g.mode_gaps(logical(sp, d, "concept_modes")),
     "unresolved_pairs": lambda sp, d: g.unresolved_pairs(logical(sp, d, "mode_pairs").select("bundle", "mode"), logical(sp, d, "mode_pairs").where("resolved")),
     "check_grades": graded,
-    "adoption_model": lambda sp, d: g.adoption_model(capabilities(sp, d), logical(sp, d, "refs").select((F.col("component") % 50).alias("repo_id"), F.lit(1).alias("references")).where("repo_id % 3 > 0")),
+    "adoption_model": lambda sp, d: g.adoption_model(capabilities(sp, d), logical(sp, d, "refs").select((F.col("component") % 50).alias("repo_id"), F.lit(1).alias("references"))),
     "quality_rules": rules,
 }
 
@@ -92,9 +92,9 @@ _UNLOCK = "need(\"check\", capability) AS (VALUES " + ", ".join(f"('{c}', {v.CAP
 _MET = lambda c: f"max(CASE WHEN \"check\" = '{c}' AND grade IN ('healthy', 'watch', 'not-needed') THEN 1 ELSE 0 END)"
 _STAGE = "w AS (SELECT repo_id, " + ", ".join(f"least(1, {', '.join(map(_MET, needs))}) AS {name}" for name, needs in g.STAGE_NEEDS) + " FROM al GROUP BY 1)"
 ORACLE = {
-    "root_cover": f"""{with_sql("decls")}, r AS (SELECT concat('packages/', lower(replace(p_brand, '#', ''))) AS prefix, max(p_size % 5) AS k FROM part WHERE p_size > 46 GROUP BY 1)
+    "root_cover": f"""{with_sql("decls")}, r AS (SELECT concat('packages/', lower(replace(p_brand, '#', ''))) AS prefix, max(p_size % 5) AS k FROM part GROUP BY 1)
       SELECT DISTINCT path, ({v.COMPONENT_RANK})[k + 1] AS confidence FROM decls LEFT JOIN r ON starts_with(path, prefix || '/')""",
-    "ownership": f"{with_sql('decls')} SELECT DISTINCT path, CASE WHEN regexp_matches(path, '^packages/(brand1[^/]*|[^/]*/tokens/color[.]css|brand2[^/])(/.*)?$') THEN 'owned' ELSE 'outside' END AS ownership FROM decls",
+    "ownership": f"{with_sql('decls')} SELECT DISTINCT path, CASE WHEN regexp_matches(path, '^packages/(brand1.*|.*/tokens/color[.]css|brand23(/.*)?)$') THEN 'owned' ELSE 'outside' END AS ownership FROM decls",
     "namespaces": f"{with_sql('decls')} SELECT repo_id, split_part(name, '-', 1) AS prefix, count(DISTINCT name) AS dirs FROM decls WHERE contains(name, '-') GROUP BY 1, 2 HAVING count(DISTINCT name) >= 3",
     "grade_counts": f"{with_sql('grades')}, {_ALL} SELECT repo_id, {', '.join(f"count(*) FILTER (grade = '{x}') AS {x.replace('-', '_')}" for x in v.GRADES)} FROM al GROUP BY 1",
     "worst_grade": f"{with_sql('grades')}, {_ALL} SELECT repo_id, arg_min(grade, list_position({v.SEVERITY}, grade)) AS worst FROM al GROUP BY 1",
@@ -111,6 +111,6 @@ ORACLE = {
        CASE WHEN nations >= 11 THEN 'healthy' WHEN nations >= 8 THEN 'watch' ELSE 'needs-work' END AS coverage, CASE WHEN segments = 4 THEN 'not-needed' WHEN repo_id % 5 = 0 THEN 'not-visible' WHEN rich % 3 = 0 THEN 'healthy' ELSE 'needs-work' END AS mode_completeness,
        CASE WHEN segments - 3 <= 1 THEN 'healthy' WHEN segments - 3 = 2 THEN 'watch' ELSE 'needs-work' END AS naming, CASE WHEN 100 * rich < 2 * total THEN 'healthy' WHEN 100 * rich <= 10 * total THEN 'watch' ELSE 'needs-work' END AS orphans,
        CASE WHEN rich % 4 >= 2 THEN 'healthy' WHEN rich % 4 = 1 THEN 'watch' ELSE 'not-visible' END AS enforcement FROM m""",
-    "adoption_model": f"{with_sql('grades', 'contributions', 'refs')}, {_CAPS} SELECT c.repo_id, CASE WHEN state = 'verified' AND EXISTS (SELECT 1 FROM refs WHERE component % 50 = c.repo_id AND (component % 50) % 3 > 0) THEN 'token-led-hybrid' ELSE 'assess-first' END AS model FROM caps c WHERE capability = 1",
+    "adoption_model": f"{with_sql('grades', 'contributions', 'refs')}, {_CAPS} SELECT c.repo_id, CASE WHEN state = 'verified' AND EXISTS (SELECT 1 FROM refs WHERE component % 50 = c.repo_id) THEN 'token-led-hybrid' ELSE 'assess-first' END AS model FROM caps c WHERE capability = 1",
     "quality_rules": f"""{with_sql("grades")}, {_ALL} SELECT repo_id, 'not-visible-needs-note' AS rule, "check" AS detail FROM al WHERE grade = 'not-visible' AND repo_id % 3 <> 0 UNION ALL SELECT repo_id, 'unexplained-not-needed', "check" FROM al WHERE grade = 'not-needed' AND repo_id % 3 <> 0""",
 }

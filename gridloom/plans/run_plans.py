@@ -95,7 +95,7 @@ QUERIES = {
     "evidence_merge": lambda sp, d: runs.merge_evidence(logical(sp, d, "roots")),
     "capability_merge": lambda sp, d: runs.merge_capabilities(logical(sp, d, "contributions")),
     "signal_match": evidence,
-    "profile_score": lambda sp, d: runs.score_profiles(evidence(sp, d).where("files > 20"), signals(sp)),
+    "profile_score": lambda sp, d: runs.score_profiles(evidence(sp, d), signals(sp)),
     "unresolved_summary": reasons,
     "voice_lint": lambda sp, d: text.voice_lint(DOCS(sp, d), banned=HOUSE),
     "fence_parity": fence_parity,
@@ -134,7 +134,7 @@ ORACLE = {
     "evidence_merge": f"{with_sql('roots')} SELECT path, ({v.ROOT_RANK})[max(confidence_rank) + 1] AS confidence, array_to_string(list_sort(list(DISTINCT profile)), ',') AS profiles, CASE WHEN bool_or(ownership = 'owned') THEN 'owned' ELSE 'shared' END AS ownership FROM roots GROUP BY 1",
     "capability_merge": f"{with_sql('contributions')} SELECT ({v.CAPABILITIES})[capability + 1] AS capability, CASE WHEN bool_and(state = 'verified') THEN 'verified' ELSE 'not-visible' END AS state, count(DISTINCT state) > 1 AS conflict, count(DISTINCT profile) AS profiles FROM contributions GROUP BY contributions.capability",
     "signal_match": f"WITH {_EVIDENCE} SELECT * FROM ev",
-    "profile_score": f"""WITH {_EVIDENCE}, o AS (SELECT s.profile, s.required, e.profile IS NOT NULL AS hit FROM signals s LEFT JOIN ev e ON e.profile = s.profile AND e.signal = s.signal AND e.files > 20),
+    "profile_score": f"""WITH {_EVIDENCE}, o AS (SELECT s.profile, s.required, e.profile IS NOT NULL AS hit FROM signals s LEFT JOIN ev e ON e.profile = s.profile AND e.signal = s.signal),
       r AS (SELECT profile, count(*) FILTER (hit) AS hits, count(*) AS total, round(count(*) FILTER (hit) / count(*)::DOUBLE, 3) AS score, bool_and(hit OR NOT required) AND count(*) FILTER (hit AND NOT required) >= 1 AS active FROM o GROUP BY 1) SELECT *, row_number() OVER (ORDER BY score DESC, profile) AS rank FROM r""",
     "unresolved_summary": r"""WITH s AS (SELECT unnest(regexp_extract_all(html, '(?:href|src)="([^"]+)"', 1)) AS spec FROM pages), r AS (SELECT spec, CASE WHEN regexp_matches(spec, '^(https?:)?//|^data:') THEN 'remote dependency' WHEN spec LIKE 'sass:%' THEN 'framework built-in' WHEN spec LIKE '<dynamic:%' THEN 'dynamic runtime import' WHEN regexp_matches(spec, '^[./]') THEN 'missing local source' ELSE 'external package' END AS reason FROM s)
       SELECT reason, count(*) AS misses, count(DISTINCT spec) AS specs, reason IN ('missing local source', 'unsupported resolver', 'dynamic runtime import', 'ambiguous profile rewrite') AS actionable FROM r GROUP BY 1""",

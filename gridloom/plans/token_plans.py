@@ -32,7 +32,7 @@ def family_states(spark: SparkSession, d: str) -> DataFrame:
 def pixel_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Literal lengths from quantities, and the steps of a scale from declared pixel values."""
     lits = spark.read.parquet(f"{d}/lineitem.parquet").select(F.lit("fleet").alias("repo_id"), (F.col("l_quantity") + F.col("l_linenumber") % 4 * 0.5).cast("double").alias("px")).distinct().withColumn("literal", F.concat(F.round(F.col("px") * 10).cast("long").cast("string"), F.lit("tenths")))
-    steps = logical(spark, d, "decls").where("value like '%px'").select("repo_id", s.family_for(F.col("name"), F.col("value")).alias("family"), F.regexp_extract("value", r"^(\d+)px$", 1).cast("double").alias("px")).where("px % 12 in (0, 2, 6)")
+    steps = logical(spark, d, "decls").where("value like '%px'").select("repo_id", s.family_for(F.col("name"), F.col("value")).alias("family"), F.regexp_extract("value", r"^(\d+)px$", 1).cast("double").alias("px"))
     return lits, steps
 
 
@@ -42,7 +42,7 @@ def near_dimension(spark: SparkSession, d: str) -> DataFrame:
 
 def near_duration(spark: SparkSession, d: str) -> DataFrame:
     lits, steps = pixel_rows(spark, d)
-    return leaks.near_miss_duration(lits.withColumn("px", F.col("px") * 10), steps.withColumn("px", F.col("px") * 20 + 7).where("px % 3 = 1"))
+    return leaks.near_miss_duration(lits.withColumn("px", F.col("px") * 10), steps.withColumn("px", F.col("px") * 20 + 7))
 
 
 def near_color(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +125,7 @@ QUERIES = {
     "fix_queue": queue,
     "reachability": reach,
     "orphans_files": unreached,
-    "orphan_tokens": lambda sp, d: graphs.orphan_tokens(linked(sp, d).select("token", "family"), uses(sp, d).where("component < 5")),
+    "orphan_tokens": lambda sp, d: graphs.orphan_tokens(linked(sp, d).select((F.col("token") * 2).alias("token"), "family"), uses(sp, d)),
     "alias_chains": chain_rows,
     "blast_radius": lambda sp, d: graphs.blast_radius(linked(sp, d), uses(sp, d)),
     "traceable_families": traceable,
@@ -144,7 +144,7 @@ _CHAINS = f"""{LINKED}, w AS (SELECT token, [token] AS hops, token AS at, tier,
   FROM w LEFT JOIN linked k ON k.token = w.alias_of WHERE w.alias_of IS NOT NULL AND NOT w.done),
  chains AS (SELECT token, hops, len(hops) AS length, (note IS NULL AND tier = 'primitive') AS complete, alias_of AS stops_at, note FROM w WHERE done OR alias_of IS NULL)"""
 _STEPS = f"""lits AS (SELECT DISTINCT CAST(l_quantity + l_linenumber % 4 * 0.5 AS DOUBLE) AS px FROM lineitem), lit AS (SELECT px, concat(CAST(round(px * 10) AS BIGINT), 'tenths') AS literal FROM lits),
- steps AS (SELECT DISTINCT {family_sql("name", "value")} AS family, CAST(regexp_extract(value, '^(\\d+)px$', 1) AS DOUBLE) AS px FROM decls WHERE value LIKE '%px'), st AS (SELECT * FROM steps WHERE px % 12 IN (0, 2, 6))"""
+ steps AS (SELECT DISTINCT {family_sql("name", "value")} AS family, CAST(regexp_extract(value, '^(\\d+)px$', 1) AS DOUBLE) AS px FROM decls WHERE value LIKE '%px'), st AS (SELECT * FROM steps)"""
 
 
 def _near(lit: str, step: str, tolerance: int, gap: int) -> str:
@@ -176,7 +176,7 @@ ORACLE = {
     "brand_colors": f"""{with_sql("decls")}, b AS (SELECT repo_id, {norm_sql("name")} AS token, count(DISTINCT value) AS n, min(value) AS color FROM decls WHERE regexp_matches(value, '^#[0-9a-f]{{6}}$') GROUP BY 1, 2)
       SELECT repo_id, token, CASE WHEN n > 1 THEN 'conflict' ELSE 'verified' END AS state, CASE WHEN n = 1 THEN color END AS color, row_number() OVER (PARTITION BY repo_id ORDER BY concat('-', token, '-') LIKE '%-brand-%' DESC, token) AS rank FROM b""",
     "near_miss_dimension": _near("SELECT * FROM lit", "SELECT * FROM st", 2, 4),
-    "near_miss_duration": _near("SELECT literal, px * 10 AS px FROM lit", "SELECT family, px * 20 + 7 AS px FROM st WHERE (px * 20 + 7) % 3 = 1", 50, 0),
+    "near_miss_duration": _near("SELECT literal, px * 10 AS px FROM lit", "SELECT family, px * 20 + 7 AS px FROM st", 50, 0),
     "leak_cascade": f"""{with_sql("literals", "decls")}, {_LEAKS}, r AS (SELECT value AS literal, min({norm_sql("name")}) AS token FROM decls WHERE representation = 'scss-variable' AND value LIKE '#%' GROUP BY 1)
       SELECT 'fleet' AS repo_id, e.literal, CASE WHEN r.token IS NOT NULL THEN 'redundant' WHEN token_candidates IS NOT NULL THEN 'exact-value candidate' WHEN e.literal < '#030000' THEN 'near-miss' ELSE 'uncovered' END AS tier, coalesce(r.token, token_candidates, CASE WHEN e.literal < '#030000' THEN 'dark' END) AS token FROM leaks e LEFT JOIN r ON r.literal = e.literal""",
     "owner_groups": f"""{with_sql("literals")}, k AS (SELECT path, literal AS value, split_part(path, '/', 2) || '::' || regexp_extract(path, '/(f\\d+)\\.css', 1) AS component, split_part(path, '/', 2) AS owner FROM literals),
@@ -190,7 +190,7 @@ ORACLE = {
       SELECT node, depth, array_to_string(via, '>') AS via FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY depth, via) AS r FROM walk) WHERE r = 1""",
     "orphans_files": f"""{with_sql("edges")}, e AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst), walk AS (SELECT CAST(1 AS BIGINT) AS node UNION SELECT e.dst FROM walk JOIN e ON e.src = walk.node WHERE walk.node % 3 <> 0 OR walk.node NOT IN (SELECT dst FROM edges))
       SELECT DISTINCT dst AS file FROM edges WHERE dst NOT IN (SELECT node FROM walk)""",
-    "orphan_tokens": f"{with_sql('decls', 'refs')}, {LINKED} SELECT token, family FROM linked WHERE token NOT IN (SELECT token_key FROM refs WHERE component < 5)",
+    "orphan_tokens": f"{with_sql('decls', 'refs')}, {LINKED} SELECT token * 2 AS token, family FROM linked WHERE token * 2 NOT IN (SELECT token_key FROM refs)",
     "alias_chains": f"{with_sql('decls')}, {_CHAINS} SELECT token, length, hops[-1] AS last, complete, stops_at, note FROM chains",
     "blast_radius": f"""{with_sql("decls", "refs")}, {LINKED}, b AS (SELECT alias_of AS token, token AS dependent FROM linked WHERE alias_of IS NOT NULL AND alias_of <> token UNION SELECT b.token, k.token FROM b JOIN linked k ON k.alias_of = b.dependent WHERE k.token <> b.token),
       n AS (SELECT token, count(DISTINCT dependent) AS dependents FROM b GROUP BY 1), u AS (SELECT b.token, count(DISTINCT r.component) AS component_count FROM b JOIN refs r ON r.token_key = b.dependent GROUP BY 1)

@@ -15,7 +15,7 @@ SELECT 'fleet' AS repo_id, p_partkey AS line, p_partkey AS ord,
  concat('packages/', lower(replace(p_brand,'#','')), '/tokens/', pre, '.css') AS path,
  concat(pre,'-',CASE WHEN p_size % 7 = 0 THEN replace(p_name,' ','_') ELSE replace(p_name,' ','-') END,'-',CAST(p_size % 10 AS STRING)) AS name,
  CASE WHEN p_size % 4 = 0 THEN 'scss-variable' ELSE 'css-custom-property' END AS representation,
- CASE pre WHEN 'color' THEN concat('#', lower(lpad(hex((p_size % 50) * 4113 + 256),6,'0'))) ELSE concat(CAST(p_size*2 AS STRING),'px') END AS value,
+ CASE pre WHEN 'color' THEN concat('#', lower(lpad(hex((p_size % 50) * 4113 + 256),6,'0'))) ELSE concat(CAST(p_size*6 AS STRING),'px') END AS value,
  CASE WHEN p_partkey % 3 = 1 THEN CAST(floor(p_partkey/2) AS BIGINT) END AS alias_of_key
 FROM (SELECT *, CASE p_type WHEN 'ECONOMY' THEN 'color' WHEN 'STANDARD' THEN 'space' WHEN 'PROMO' THEN 'radius'
       WHEN 'SMALL' THEN 'font' WHEN 'MEDIUM' THEN 'shadow' ELSE 'duration' END AS pre FROM {part}) x""",

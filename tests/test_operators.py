@@ -269,3 +269,37 @@ def test_graph_loops_have_no_bound_of_hops(spark):
     uses = spark.createDataFrame([(n, "a"), (n - 1, "b")], "token long, component string")
     radius = {r["token"]: (r["dependents"], r["component_count"]) for r in graphs.blast_radius(c, uses).collect()}
     assert radius == {k: (n - k, min(2, n - k)) for k in range(n + 1)}
+
+
+def test_patterns_cross_slashes_as_shell_patterns_do(spark):
+    import fnmatch
+    import re
+
+    from gridloom.operators import discovery as d
+
+    paths = ["apps/a.css", "apps/web/src/x.css", "apps/web/[x]/y.ts", "packages/ui", "packages/ui/y.css", "packages/ui2/y.css", "p?x/a", "abc/d", "a.css/b"]
+    for pattern in ("apps/*.css", "*", "apps/*", "packages/ui?/*", "[ab]*", "[!ab]*", "apps/web/[[]x]/*", "a.css", "packages/ui"):
+        for path in paths:
+            want = fnmatch.fnmatchcase(path, pattern) or path.startswith(pattern.rstrip("/") + "/")
+            assert bool(re.search(d.glob_regex(pattern), path)) == want, (pattern, path)
+    for path in paths:
+        assert bool(re.search(d.glob_regex("packages/ui/**"), path)) == (path == "packages/ui" or path.startswith("packages/ui/"))
+        assert bool(re.search(d.glob_regex("p?x/**"), path)) == (path == "p?x/a")
+    seen = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert d.matching(seen, spark.createDataFrame([(d.glob_regex("apps/*.css"),)], "regex string")).count() == 2
+
+
+def test_path_leaks_of_either_kind(spark):
+    from gridloom.operators import text
+
+    pages = spark.createDataFrame([(1, r"at C:\Users\bob\x"), (2, "in /home/ann/y"), (3, "/Users/x"), (4, r"C:\Windows"), (5, None)], "page_id long, html string")
+    assert sorted(r["page_id"] for r in text.path_leaks(pages).collect()) == [1, 2, 3]
+
+
+def test_every_spacing_side_resolves(spark):
+    from gridloom.operators import usage
+
+    classes = spark.createDataFrame([(c,) for c in ("px-4", "mt-2", "w-4", "space-x-8", "max-w-lg", "p-3", "zz-4")], "class string")
+    theme = spark.createDataFrame([("spacing", "", "0.25rem", "default"), ("container", "lg", "32rem", "default")], "namespace string, key string, value string, origin string")
+    states = {r["class"]: r["state"] for r in usage.resolve_utilities(classes, usage.prefix_table(spark), theme).collect()}
+    assert states == {"px-4": "resolved", "mt-2": "resolved", "w-4": "resolved", "space-x-8": "resolved", "max-w-lg": "resolved", "p-3": "resolved", "zz-4": "unresolved"}
