@@ -34,3 +34,10 @@ def test_filter_never_loses_a_key(spark):
     assert seen.where("_may").count() < 1.01 * keys.count()
     left = c.without_ids(rows, keys, "id")
     assert left.columns == ["id"] and left.where("id % 7 = 0").count() == 0 and left.count() == rows.count() - rows.join(keys, "id").count()
+
+
+def test_columns_of_any_name(spark):
+    rows = spark.range(200).select("id", *[F.lit(k).alias(c) for k, c in enumerate(("_may", "_bucket", "_map", "_place", "_row", "__may", "_MAY2", "a.b"))])
+    left = c.without_ids(rows, spark.range(0, 200, 3), "id")
+    assert left.columns == rows.columns and sorted(r["id"] for r in left.collect()) == [k for k in range(200) if k % 3]
+    assert {r["_may"] for r in left.collect()} == {0}

@@ -76,3 +76,30 @@ def test_signature_agreement_estimates_similarity():
     b = a[:200] + a[240:]
     sig = d.signatures([a, b, "short", "short"])
     assert 0.6 < np.mean(sig[0] == sig[1]) < 1 and (sig[2] == sig[3]).all()
+
+
+def test_exact_similarities():
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("abc ") for _ in range(rng.randint(1, 60))) for _ in range(40)] + ["épée longue " * 5, "épée longue " * 4 + "épée"]
+    sets, of = d.LineSets(lines, 9, 80), lambda x: {x[k : k + 9] for k in range(max(1, len(x) - 8))}
+    for i in range(len(lines)):
+        ok = sets(i, np.arange(len(lines)))[1]
+        for j, x in enumerate(lines):
+            both = len(of(lines[i]) & of(x))
+            assert ok[j] == (100 * both >= 80 * (len(of(lines[i])) + len(of(x)) - both))
+
+
+def test_a_large_bucket_makes_linear_rows(spark):
+    from pyspark.sql import functions as F
+
+    from gridloom.llm import near
+
+    rows = spark.range(20_000).select("id", F.array(F.lit(7).cast("long")).alias("keys"))
+    pairs, members = near.buckets(rows, spark.range(0).toDF("id"))
+    assert (pairs.count(), members.count()) == (19_999, 20_000)
+    # All but 30 are one component already: they meet all others, and a forest comes out.
+    comps = spark.range(1, 20_000).where("id % 700 <> 5").select("id", F.lit(0).cast("long").alias("component"))
+    left = near.open_buckets(members, comps)
+    texts = spark.range(20_000).select("id", F.lit("one and the same line of text").alias("sketch"))
+    links = near.crossing_pairs(left, texts, lambda lines: d.LineSets(lines, 9, 80), True)
+    assert left.where("minor").count() < 35 and links.count() < 35 * 20
