@@ -17,6 +17,8 @@ WHITE = "\t-\r \x85\xa0  -     　"
 
 #: Of an Arrow batch, what an operator's function sees at once.
 SLICE_BYTES = 8 << 20
+#: The setting that bounds an Arrow batch by bytes, and Spark's default for it.
+BATCH_BYTES, DEFAULT_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 #: For bytes.translate: everything in ASCII but digits and letters becomes a space, and A-Z become a-z.
 WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -59,7 +61,13 @@ def drop_staged(*frames: DataFrame) -> None:
 
 
 def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """mapInArrow with a function made once a task, by slices of about slice_bytes, so that what it makes at once is bounded."""
+    """mapInArrow with a function made once a task, by slices of about slice_bytes, so that what it makes at once is bounded.
+
+    Batches of long texts are large on both sides of the pipe, so the session's batches are held to SLICE_BYTES, unless it
+    has a bound of its own. Workers outlive their tasks; each gives back what its memory pool kept.
+    """
+    if df.sparkSession.conf.get(BATCH_BYTES) == DEFAULT_BATCH_BYTES:
+        df.sparkSession.conf.set(BATCH_BYTES, str(SLICE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
@@ -69,6 +77,7 @@ def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
                 out = each(batch.slice(at, rows))
                 if out is not None and out.num_rows:
                     yield out
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

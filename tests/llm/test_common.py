@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gridloom.llm import common as c
@@ -41,3 +42,9 @@ def test_columns_of_any_name(spark):
     left = c.without_ids(rows, spark.range(0, 200, 3), "id")
     assert left.columns == rows.columns and sorted(r["id"] for r in left.collect()) == [k for k in range(200) if k % 3]
     assert {r["_may"] for r in left.collect()} == {0}
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    docs = spark.range(0, 3000, numPartitions=1).select(F.lpad(F.col("id").cast("string"), 10_000, "x").alias("text"))
+    sizes = c.by_batch(docs, lambda: lambda b: pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.get_total_buffer_size()]}), "n long, size long").collect()
+    assert sum(r["n"] for r in sizes) == 3000 and len(sizes) >= 3 and max(r["size"] for r in sizes) < 2 * c.SLICE_BYTES
