@@ -6,6 +6,7 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 from gridloom.llm.common import WHITE
 
@@ -17,22 +18,26 @@ WORD_CHUNKS = re.compile(f"[^{WHITE}]+")
 #: str.split() takes these for white space; Unicode does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
+#: Marks of chunks seen once, by their hash; a collision only keeps a chunk sooner.
+SEEN = 1 << 23
+
 
 class ChunkEncoder:
     """encode(texts) gives for each text its ids as little-endian unsigned 32-bit bytes.
 
     The library splits a text at white space before it merges, so a text's ids are those of its chunks one after another.
-    Strings of special tokens in a text count as ordinary text. The cache is bounded: it starts anew beyond
-    max_cached chunks, which changes the speed and never the result.
+    Strings of special tokens in a text count as ordinary text. The cache keeps chunks of more than one group of texts, as
+    most others never come again; beyond max_cached of them the later half goes, as frequent ones come early. Both change
+    the speed and never the result.
     """
 
-    def __init__(self, path: str, max_cached: int = 1_000_000):
+    def __init__(self, path: str, max_cached: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.chunks = WORD_CHUNKS if self.tokenizer.normalizer is not None else BYTE_CHUNKS
-        self.max_cached, self.cache = max_cached, {}
+        self.max_cached, self.cache, self.seen = max_cached, {}, bytearray(SEEN)
 
     def cut(self, text: str) -> list[str]:
         """The chunks of a text. A piece from one space to the next, with the first, may hold more than one chunk: no merge crosses its ends either."""
@@ -42,8 +47,8 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > self.max_cached:
-            self.cache.clear()
-        out, cache = [], self.cache
+            self.cache = dict(islice(self.cache.items(), self.max_cached // 2))
+        out, cache, seen = [], self.cache, self.seen
         for start in range(0, len(texts), 256):
             cut = [self.cut(t) if t else [] for t in texts[start : start + 256]]
             new = list({c for chunks in cut for c in chunks if c not in cache})
@@ -52,6 +57,10 @@ class ChunkEncoder:
                 for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                     cache[chunk] = array("I", found.ids).tobytes()
             out += [b"".join(map(cache.__getitem__, chunks)) for chunks in cut]
+            for chunk in new:
+                if not seen[at := hash(chunk) % SEEN]:
+                    seen[at] = 1
+                    del cache[chunk]
         return out
 
 
