@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -60,11 +61,19 @@ def drop_staged(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """What this process has freed goes back to the system: Arrow's pool, and the C library's heap where it can be trimmed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow with a function made once a task, by slices of about slice_bytes, so that what it makes at once is bounded.
 
     Batches of long texts are large on both sides of the pipe, so the session's batches are held to SLICE_BYTES, unless it
-    has a bound of its own. Workers outlive their tasks; each gives back what its memory pool kept.
+    has a bound of its own. Workers outlive their tasks; each gives back what its memory pools kept.
     """
     if df.sparkSession.conf.get(BATCH_BYTES) == DEFAULT_BATCH_BYTES:
         df.sparkSession.conf.set(BATCH_BYTES, str(SLICE_BYTES))
@@ -77,7 +86,8 @@ def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
                 out = each(batch.slice(at, rows))
                 if out is not None and out.num_rows:
                     yield out
-        pa.default_memory_pool().release_unused()
+        del each
+        give_back()
 
     return df.mapInArrow(run, schema)
 
