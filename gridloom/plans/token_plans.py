@@ -50,12 +50,15 @@ def near_color(spark: SparkSession, d: str) -> DataFrame:
     return leaks.near_miss_color(logical(spark, d, "literals"), toks)
 
 
+def proven_values(decls: DataFrame) -> DataFrame:
+    """Values that a style variable declares: a literal that equals one is redundant beside it."""
+    return decls.where("representation = 'scss-variable' and value like '#%'").groupBy("repo_id", F.col("value").alias("literal")).agg(F.min(s.normalize(F.col("name"))).alias("token"))
+
+
 def cascade(spark: SparkSession, d: str) -> DataFrame:
     lits, decls = logical(spark, d, "literals"), logical(spark, d, "decls")
     exact = leaks.exact_value_leaks(lits, decls).where("token_candidates is not null").select("repo_id", "literal", F.col("token_candidates").alias("token"))
-    proven = decls.where("representation = 'scss-variable' and value like '#%'").groupBy("repo_id", F.col("value").alias("literal")).agg(F.min(s.normalize(F.col("name"))).alias("token"))
-    near = lits.select("repo_id", "literal").distinct().where("literal < '#030000'").withColumn("token", F.lit("dark"))
-    return leaks.leak_cascade(lits, proven, exact, near)
+    return leaks.leak_cascade(lits, proven_values(decls), exact, near_color(spark, d))
 
 
 def chains(spark: SparkSession, d: str) -> DataFrame:
@@ -86,9 +89,11 @@ def preview(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queue(spark: SparkSession, d: str) -> DataFrame:
-    rows = leaks.exact_value_leaks(logical(spark, d, "literals"), logical(spark, d, "decls"))
-    proven = rows.withColumn("tier", F.when(F.col("literal") < "#040000", "redundant").otherwise(F.col("tier"))).withColumn("confidence", F.when(F.col("literal") < "#050000", "exact static match").otherwise("manual review"))
-    own = proven.select("repo_id", "id", "tier", "literal", F.col("token_candidates").alias("token"), "occurrences", "files", "breadth", "confidence", (F.col("tier") == "redundant").alias("proven"))
+    """Leaks with a replacement: proven where a style variable has the value, else left to a reviewer."""
+    decls = logical(spark, d, "decls")
+    rows = leaks.exact_value_leaks(logical(spark, d, "literals"), decls).drop("confidence", "score").join(proven_values(decls), ["repo_id", "literal"], "left").withColumn("proven", F.col("token").isNotNull())
+    tier, confidence = F.when(F.col("proven"), "redundant").otherwise(F.col("tier")), F.when(F.col("proven"), "exact static match").otherwise("manual review")
+    own = rows.select("repo_id", "id", tier.alias("tier"), "literal", F.coalesce("token", "token_candidates").alias("token"), "occurrences", "files", "breadth", confidence.alias("confidence"), "proven")
     return leaks.fix_queue(own.withColumn("score", s.score(F.col("occurrences"), F.col("files"), F.col("breadth"), F.col("confidence")))).drop("proven")
 
 
@@ -138,6 +143,33 @@ _GROUPS = "g AS (SELECT repo_id, lower(literal) AS literal, count(*) AS occurren
 _LEAKS = f"""{_GROUPS}, t AS (SELECT value AS literal, array_to_string(list_sort(list(DISTINCT {norm_sql("name")})), ',') AS token_candidates FROM decls WHERE representation = 'css-custom-property' AND {family_sql("name", "value")} = 'color' GROUP BY 1),
  l AS (SELECT g.*, token_candidates, CASE WHEN token_candidates IS NULL THEN 'uncovered-candidate' ELSE 'exact-value-candidate' END AS tier FROM g LEFT JOIN t USING (literal)),
  leaks AS (SELECT repo_id, substr(sha1(concat(tier, '|color|', literal, '|', coalesce(token_candidates, ''))), 1, 12) AS id, tier, literal, token_candidates, occurrences, files, breadth, 'manual review' AS confidence, round((occurrences + 2 * files + 3 * breadth) * 0.4::DOUBLE, 2) AS score FROM l)"""
+_PROVEN = f"r AS (SELECT value AS literal, min({norm_sql('name')}) AS token FROM decls WHERE representation = 'scss-variable' AND value LIKE '#%' GROUP BY 1)"
+
+
+def _lab_sql(name: str, rows: str) -> str:
+    """Tables that end with name: the rows (token, hex), with the l, a and b of hex."""
+    part = lambda at: f"CAST(concat('0x', substr(hex, {at}, 2)) AS INT) / 255.0::DOUBLE"
+    linear = lambda c: f"CASE WHEN {c} <= 0.04045 THEN {c} / 12.92::DOUBLE ELSE pow(({c} + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END"
+    f = lambda t: f"CASE WHEN {t} > 216.0::DOUBLE / 24389 THEN cbrt({t}) ELSE (24389.0::DOUBLE / 27 * {t} + 16) / 116 END"
+    mix = lambda x, y, z: f"{x}::DOUBLE * r + {y}::DOUBLE * g + {z}::DOUBLE * b"
+    return f"""{name}1 AS (SELECT token, hex, {part(2)} AS r, {part(4)} AS g, {part(6)} AS b FROM ({rows}) WHERE regexp_matches(hex, '^#[0-9a-f]{{6}}$')),
+ {name}2 AS (SELECT token, hex, {linear("r")} AS r, {linear("g")} AS g, {linear("b")} AS b FROM {name}1),
+ {name}3 AS (SELECT token, hex, ({mix("0.4124564", "0.3575761", "0.1804375")}) / 0.95047::DOUBLE AS x, {mix("0.2126729", "0.7151522", "0.0721750")} AS y, ({mix("0.0193339", "0.1191920", "0.9503041")}) / 1.08883::DOUBLE AS z FROM {name}2),
+ {name}4 AS (SELECT token, hex, {f("x")} AS x, {f("y")} AS y, {f("z")} AS z FROM {name}3), {name} AS (SELECT token, hex, 116 * y - 16 AS l, 500 * (x - y) AS a, 200 * (y - z) AS b FROM {name}4)"""
+
+
+#: Every literal against every token, without cells.
+_NEAR_COLOR = f"""{_lab_sql("lq", f"SELECT DISTINCT {norm_sql('name')} AS token, value AS hex FROM decls WHERE value LIKE '#%'")}, {_lab_sql("lp", "SELECT DISTINCT NULL AS token, lower(literal) AS hex FROM literals")},
+ n1 AS (SELECT lp.hex AS literal, lq.token, lq.hex AS value, lp.l AS l1, lq.l AS l2, lp.a AS a1, lq.a AS a2, lp.b AS b1, lq.b AS b2, pow((sqrt(lp.a * lp.a + lp.b * lp.b) + sqrt(lq.a * lq.a + lq.b * lq.b)) / 2, 7) AS k FROM lp CROSS JOIN lq WHERE lp.hex NOT IN (SELECT hex FROM lq)),
+ n2 AS (SELECT * REPLACE (a1 * (1.5::DOUBLE - 0.5::DOUBLE * sqrt(k / (k + pow(25.0::DOUBLE, 7)))) AS a1, a2 * (1.5::DOUBLE - 0.5::DOUBLE * sqrt(k / (k + pow(25.0::DOUBLE, 7)))) AS a2) FROM n1),
+ n3 AS (SELECT *, sqrt(a1 * a1 + b1 * b1) AS c1, sqrt(a2 * a2 + b2 * b2) AS c2, CASE WHEN a1 = 0 AND b1 = 0 THEN 0 ELSE (degrees(atan2(b1, a1)) + 360) % 360 END AS h1, CASE WHEN a2 = 0 AND b2 = 0 THEN 0 ELSE (degrees(atan2(b2, a2)) + 360) % 360 END AS h2 FROM n2),
+ n4 AS (SELECT *, CASE WHEN c1 * c2 = 0 THEN 0 WHEN abs(h2 - h1) <= 180 THEN h2 - h1 WHEN h2 > h1 THEN h2 - h1 - 360 ELSE h2 - h1 + 360 END AS dh,
+  CASE WHEN c1 * c2 = 0 THEN h1 + h2 WHEN abs(h2 - h1) <= 180 THEN (h1 + h2) / 2 WHEN h1 + h2 < 360 THEN (h1 + h2 + 360) / 2 ELSE (h1 + h2 - 360) / 2 END AS mh, (c1 + c2) / 2 AS mc, pow((l1 + l2) / 2 - 50, 2) AS ml FROM n3),
+ n5 AS (SELECT *, 1 - 0.17::DOUBLE * cos(radians(mh - 30)) + 0.24::DOUBLE * cos(radians(2 * mh)) + 0.32::DOUBLE * cos(radians(3 * mh + 6)) - 0.20::DOUBLE * cos(radians(4 * mh - 63)) AS t,
+  -sin(radians(60 * exp(-pow((mh - 275) / 25, 2)))) * 2 * sqrt(pow(mc, 7) / (pow(mc, 7) + pow(25.0::DOUBLE, 7))) AS rt FROM n4),
+ n6 AS (SELECT literal, token, value, rt, (l2 - l1) / (1 + 0.015::DOUBLE * ml / sqrt(20 + ml)) AS x, (c2 - c1) / (1 + 0.045::DOUBLE * mc) AS y, 2 * sqrt(c1 * c2) * sin(radians(dh / 2)) / (1 + 0.015::DOUBLE * mc * t) AS z FROM n5),
+ n7 AS (SELECT literal, token, value, sqrt(x * x + y * y + z * z + rt * y * z) AS de FROM n6),
+ near AS (SELECT 'fleet' AS repo_id, literal, token, value, round(de, 6) AS delta_e FROM (SELECT *, row_number() OVER (PARTITION BY literal ORDER BY de, token, value) AS place FROM n7) WHERE place = 1 AND de < 3)"""
 _CHAINS = f"""{LINKED}, w AS (SELECT token, [token] AS hops, token AS at, tier, alias_of, CAST(NULL AS VARCHAR) AS note, false AS done FROM linked
  UNION ALL SELECT w.token, CASE WHEN k.token IS NOT NULL AND NOT list_contains(w.hops, w.alias_of) THEN list_append(w.hops, k.token) ELSE w.hops END, k.token, CASE WHEN k.token IS NOT NULL AND NOT list_contains(w.hops, w.alias_of) THEN k.tier ELSE w.tier END,
   CASE WHEN list_contains(w.hops, w.alias_of) OR k.token IS NULL THEN w.alias_of ELSE k.alias_of END, CASE WHEN list_contains(w.hops, w.alias_of) THEN 'cycle' WHEN k.token IS NULL THEN 'not found' END, list_contains(w.hops, w.alias_of) OR k.token IS NULL
@@ -177,13 +209,15 @@ ORACLE = {
       SELECT repo_id, token, CASE WHEN n > 1 THEN 'conflict' ELSE 'verified' END AS state, CASE WHEN n = 1 THEN color END AS color, row_number() OVER (PARTITION BY repo_id ORDER BY concat('-', token, '-') LIKE '%-brand-%' DESC, token) AS rank FROM b""",
     "near_miss_dimension": _near("SELECT * FROM lit", "SELECT * FROM st", 2, 4),
     "near_miss_duration": _near("SELECT literal, px * 10 AS px FROM lit", "SELECT family, px * 20 + 7 AS px FROM st", 50, 0),
-    "leak_cascade": f"""{with_sql("literals", "decls")}, {_LEAKS}, r AS (SELECT value AS literal, min({norm_sql("name")}) AS token FROM decls WHERE representation = 'scss-variable' AND value LIKE '#%' GROUP BY 1)
-      SELECT 'fleet' AS repo_id, e.literal, CASE WHEN r.token IS NOT NULL THEN 'redundant' WHEN token_candidates IS NOT NULL THEN 'exact-value candidate' WHEN e.literal < '#030000' THEN 'near-miss' ELSE 'uncovered' END AS tier, coalesce(r.token, token_candidates, CASE WHEN e.literal < '#030000' THEN 'dark' END) AS token FROM leaks e LEFT JOIN r ON r.literal = e.literal""",
+    "near_miss_color": f"{with_sql('literals', 'decls')}, {_NEAR_COLOR} SELECT * FROM near",
+    "leak_cascade": f"""{with_sql("literals", "decls")}, {_LEAKS}, {_PROVEN}, {_NEAR_COLOR}
+      SELECT 'fleet' AS repo_id, e.literal, CASE WHEN r.token IS NOT NULL THEN 'redundant' WHEN token_candidates IS NOT NULL THEN 'exact-value candidate' WHEN near.token IS NOT NULL THEN 'near-miss' ELSE 'uncovered' END AS tier, coalesce(r.token, token_candidates, near.token) AS token
+      FROM leaks e LEFT JOIN r ON r.literal = e.literal LEFT JOIN near ON near.literal = e.literal""",
     "owner_groups": f"""{with_sql("literals")}, k AS (SELECT path, literal AS value, split_part(path, '/', 2) || '::' || regexp_extract(path, '/(f\\d+)\\.css', 1) AS component, split_part(path, '/', 2) AS owner FROM literals),
       u AS (SELECT path, 'value' AS dimension, value AS key FROM k UNION ALL SELECT path, 'component', component FROM k UNION ALL SELECT path, 'owner', owner FROM k)
       SELECT 'fleet' AS repo_id, dimension, key, count(*) AS occurrences, count(DISTINCT path) AS files, round((count(*) + 2 * count(DISTINCT path) + 3) * 0.4::DOUBLE, 2) AS score FROM u GROUP BY 1, 2, 3""",
     "location_preview": f"{with_sql('literals')}, k AS (SELECT repo_id, literal AS id, path, line, row_number() OVER (PARTITION BY literal, path ORDER BY line) AS r, greatest(count(*) OVER (PARTITION BY literal, path) - 2, 0) AS hidden FROM literals) SELECT repo_id, id, path, line, hidden FROM k WHERE r <= 2",
-    "fix_queue": f"""{with_sql("literals", "decls")}, {_LEAKS}, p AS (SELECT repo_id, id, CASE WHEN literal < '#040000' THEN 'redundant' ELSE tier END AS tier, literal, token_candidates AS token, occurrences, files, breadth, CASE WHEN literal < '#050000' THEN 'exact static match' ELSE 'manual review' END AS confidence FROM leaks),
+    "fix_queue": f"""{with_sql("literals", "decls")}, {_LEAKS}, {_PROVEN}, p AS (SELECT repo_id, id, CASE WHEN r.token IS NOT NULL THEN 'redundant' ELSE tier END AS tier, literal, coalesce(r.token, token_candidates) AS token, occurrences, files, breadth, CASE WHEN r.token IS NOT NULL THEN 'exact static match' ELSE 'manual review' END AS confidence FROM leaks LEFT JOIN r USING (literal)),
       q AS (SELECT *, round((occurrences + 2 * files + 3 * breadth) * CASE confidence WHEN 'exact static match' THEN 0.95::DOUBLE ELSE 0.4::DOUBLE END, 2) AS score, tier = 'redundant' AND confidence <> 'manual review' AS safe_to_automate FROM p WHERE token IS NOT NULL)
       SELECT *, CASE WHEN safe_to_automate AND files < 10 THEN 'S' WHEN safe_to_automate OR files <= 1 THEN 'M' ELSE 'L' END AS effort, row_number() OVER (PARTITION BY repo_id ORDER BY score DESC, id) AS rank FROM q""",
     "reachability": f"""{with_sql("edges")}, e AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst), walk AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth, [CAST(0 AS BIGINT)] AS via UNION SELECT e.dst, depth + 1, list_append(via, e.dst) FROM walk JOIN e ON e.src = walk.node WHERE NOT list_contains(via, e.dst) AND depth < 30)
