@@ -44,10 +44,10 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, what: str = "stage") -> DataFrame:
+def stage(df: DataFrame, what: str = "stage", options: dict[str, str] | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: the lineage ends here, and lost executors cost nothing."""
     path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.options(**options or {}).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
