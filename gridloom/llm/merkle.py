@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import drop_staged, stage, table
 
 #: Children of a node, and levels of the tree below a block's root.
-FANOUT, BLOCK_LEVELS = 2, 12
+FANOUT, BLOCK_LEVELS = 2, 10
 #: Columns that a leaf covers, in this order.
 LEAF_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 STEPS = "array<struct<before:string,after:string>>"
@@ -124,10 +124,12 @@ def merkle_trees(nodes: DataFrame, order: list[str], fanout: int = FANOUT, level
         cut = lambda a, n: F.array_join(F.slice(level, a + 1, n), "")
         return F.struct(cut(start, at - start).alias("before"), cut(at + 1, start + fanout - at - 1).alias("after"))
 
-    own = both.select("group", "root", "steps", "tree", F.posexplode(F.arrays_zip(F.col("rows").alias("row"), F.element_at("tree", 1).alias("hash"))).alias("i", "node"))
+    # A block's rows are made as one array before they are exploded: else each of them would carry the whole tree.
     below = F.slice("tree", 1, F.size("tree") - 1)
-    local = F.transform(below, lambda level, k: step(level, F.floor(F.col("i") / F.pow(F.lit(float(fanout)), k)).cast("int")))
-    return own.select("group", F.col("node.row").alias("row"), F.col("node.hash").alias("hash"), "root", F.concat(local, "steps").alias("steps"))
+    local = lambda i: F.transform(below, lambda level, k: step(level, F.floor(i / F.pow(F.lit(float(fanout)), k)).cast("int")))
+    nodes = F.transform("rows", lambda row, i: F.struct(row.alias("row"), F.element_at(F.element_at("tree", 1), i + 1).alias("hash"), local(i).alias("local")))
+    own = both.select("group", "root", "steps", nodes.alias("nodes")).select("group", "root", "steps", F.explode("nodes").alias("node"))
+    return own.select("group", F.col("node.row").alias("row"), F.col("node.hash").alias("hash"), "root", F.concat("node.local", "steps").alias("steps"))
 
 
 def merkle_manifest(docs: DataFrame, group: str = "lang", order: str = "doc_id", columns: tuple[str, ...] = LEAF_COLUMNS, carry: dict[str, Column] | None = None, fanout: int = FANOUT, levels: int = BLOCK_LEVELS) -> DataFrame:
