@@ -109,6 +109,33 @@ def css_declarations(text: str) -> Iterator[Row]:
             yield m[1], value, "css-custom-property", m.start(1)
 
 
+_BRACES = re.compile(r""""(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|\#\{[^}]*\}|[{};]""")
+
+
+def enclosing_selectors(text: str, offsets: list[int]) -> list[list[str] | None]:
+    """For each of ascending offsets, the selectors and at-rules whose blocks hold it, outermost first; None within quotes or #{}.
+
+    One pass with a stack of open blocks; braces in quotes and #{} make none. text is without comments.
+    """
+    out: list[list[str] | None] = []
+    stack: list[str] = []
+    start, k = 0, 0
+    for m in _BRACES.finditer(text):
+        while k < len(offsets) and offsets[k] < m.start():
+            out.append(list(stack))
+            k += 1
+        while k < len(offsets) and offsets[k] < m.end():
+            out.append(None)
+            k += 1
+        if m[0] == "{":
+            stack.append(" ".join(text[start : m.start()].split()))
+        elif m[0] == "}" and stack:
+            stack.pop()
+        if m[0] in "{};":
+            start = m.end()
+    return out + [list(stack) for _ in offsets[k:]]
+
+
 def scss_declarations(text: str) -> Iterator[Row]:
     for m in _SCSS.finditer(text):
         yield m[1], m[2].strip(), "scss-variable", m.start(1)
@@ -191,6 +218,21 @@ def declarations(files: DataFrame) -> DataFrame:
     return _scanned(files, declarations_in, "name:string,value:string,representation:string,offset:int,line:int")
 
 
+def scoped_in(path: str, text: str) -> list[dict]:
+    """Style declarations of a file with the blocks that they stand in."""
+    if not path.lower().endswith((*STYLE, ".vue", ".svelte", ".html")):
+        return []
+    clean = blank_comments(text)
+    rows = sorted([*css_declarations(clean), *scss_declarations(clean)], key=lambda r: r[3])
+    scopes = enclosing_selectors(clean, [r[3] for r in rows])
+    return [{"name": n, "value": v, "representation": r, "line": clean.count("\n", 0, o) + 1, "scopes": at} for (n, v, r, o), at in zip(rows, scopes, strict=True) if at is not None]
+
+
+def scoped_declarations(files: DataFrame) -> DataFrame:
+    """(repo_id, path, ord, name, value, representation, line, scopes) of style files; scopes are the enclosing blocks, outermost first."""
+    return _scanned(files, scoped_in, "name:string,value:string,representation:string,line:int,scopes:array<string>")
+
+
 _JS = re.compile(r"""(?m)^\s*(?:import|export)\s+(?:[^\n\r'";]*?\s+from\s+)?(['"])([^'"]+)\1""")
 _CALL = re.compile(r"""\b(import|require)\s*\(\s*(?:(['"])([^'"]+)\2\s*\)|([^)'"][^)]*)\))""")
 
@@ -408,3 +450,18 @@ def registered_roots(files: DataFrame, rules: DataFrame) -> DataFrame:
 
     met = files.join(_rules(rules), F.regexp_like("path", F.col("glob")))
     return met.select("repo_id", "path", "profile", F.explode(F.regexp_extract_all("content", F.col("regex"), F.lit(1))).alias("spec")).where(s.safe_relative(F.col("spec"))).distinct()
+
+
+_REFERENCE = r"""(?m)^[ \t]*['"]?([a-zA-Z0-9_-]+)['"]?[ \t]*:[ \t]*[A-Za-z_$][\w$]*(?:\.[\w$]+|\[[^\]\n]*\]|\([^)\n]*\))*[ \t]*,?[ \t]*$"""
+
+
+def unreadable_names(files: DataFrame) -> DataFrame:
+    """(repo_id, path, name, family): properties of script objects whose value is a reference that can't be read.
+
+    What they name is not visible; it is not absent. true, false, null and undefined are values.
+    """
+    blank = F.pandas_udf(lambda c: c.map(lambda t: blank_comments(t or "")), "string")
+    own = files.where(extension(F.col("path")).isin(".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs")).select("repo_id", "path", blank("content").alias("c"))
+    lines = own.select("repo_id", "path", F.explode(F.regexp_extract_all("c", F.lit(_REFERENCE), 0)).alias("x")).where(~F.col("x").rlike(r":\s*(?:true|false|null|undefined)\s*,?\s*$"))
+    name = F.regexp_extract("x", _REFERENCE, 1)
+    return lines.select("repo_id", "path", name.alias("name"), s.family_for(name, F.lit("")).alias("family")).distinct()

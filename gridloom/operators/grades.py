@@ -145,3 +145,97 @@ def adoption_model(capabilities: DataFrame, usage: DataFrame) -> DataFrame:
     roots = capabilities.where("capability = 1").groupBy(*REPO).agg(F.bool_and(F.col("state") == "verified").alias("roots"))
     out = roots.join(usage.groupBy(*REPO).agg(F.sum("references").alias("references")), REPO, "left")
     return out.select(*REPO, F.when(F.col("roots") & (F.col("references") > 0), "token-led-hybrid").otherwise("assess-first").alias("model"))
+
+
+def check_confidence(grades: DataFrame, capabilities: DataFrame, notes: DataFrame) -> DataFrame:
+    """(repo_id, check, state, blocked_by, rationale, decision_owed) for all eight checks.
+
+    A check that isn't visible waits for its required capabilities that aren't verified; one that isn't needed owes a
+    rationale. capabilities: repo_id, capability (place in the ladder), state; notes: repo_id, check_id, note.
+    """
+    spark = grades.sparkSession
+    need = spark.createDataFrame([(c, v.CAPABILITIES.index(x)) for c, xs in REQUIRED.items() for x in xs], "check string, capability int")
+    verified = capabilities.groupBy(*REPO, "capability").agg(F.bool_and(F.col("state") == "verified").alias("_ok"))
+    checks = all_checks(grades)
+    waits = checks.where("grade = 'not-visible'").join(F.broadcast(need), "check").join(verified, [*REPO, "capability"], "left").where("not coalesce(_ok, false)")
+    name = F.element_at(F.array(*[F.lit(c) for c in v.CAPABILITIES]), F.col("capability") + 1)
+    blocked = waits.groupBy(*REPO, "check").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("capability", name.alias("n")))), lambda x: x["n"]), ",").alias("b"))
+    own = checks.join(blocked, [*REPO, "check"], "left").join(notes.groupBy(*REPO, "check_id").agg(F.max("note").alias("note")), [*REPO, "check_id"], "left")
+    unneeded = F.col("grade") == "not-needed"
+    return own.select(*REPO, "check", F.col("grade").alias("state"), F.coalesce("b", F.lit("")).alias("blocked_by"), F.when(unneeded, F.col("note")).alias("rationale"), (unneeded & F.col("note").isNull()).alias("decision_owed"))
+
+
+#: What a verified capability lets a report claim.
+WIN_CLAIMS = {
+    "detection": "Framework detected", "production_roots": "Production roots verified", "import_resolution": "Import graph verified", "token_source_discovery": "Token sources verified", "ownership": "Ownership established",
+    "mode_resolution": "Modes resolve", "runtime_verification": "Runtime values read from a build",
+}
+
+
+def wins(capabilities: DataFrame, measurements: DataFrame, confidence: DataFrame) -> DataFrame:
+    """(repo_id, ord, claim, evidence): verified capabilities that have a measurement, in the ladder's order, then checks that aren't needed for a reason on record.
+
+    measurements: repo_id, capability, evidence; confidence: rows of check_confidence. Without a measurement nothing is claimed.
+    """
+    verified = capabilities.groupBy(*REPO, "capability").agg(F.bool_and(F.col("state") == "verified").alias("_ok")).where("_ok")
+    proof = measurements.where("evidence is not null and evidence <> ''").groupBy(*REPO, "capability").agg(F.array_join(F.slice(F.array_sort(F.collect_set("evidence")), 1, 4), ", ").alias("evidence"))
+    claim = F.element_at(F.array(*[F.lit(WIN_CLAIMS[c]) for c in v.CAPABILITIES]), F.col("capability") + 1)
+    seen = verified.join(proof, [*REPO, "capability"]).select(*REPO, F.col("capability").alias("ord"), claim.alias("claim"), "evidence")
+    place = F.array_position(F.array(*[F.lit(c) for c in sorted(v.CHECKS)]), F.col("check")).cast("int") + len(v.CAPABILITIES) - 1
+    unneeded = confidence.where("state = 'not-needed' and rationale is not null").select(*REPO, place.alias("ord"), F.concat("check", F.lit(": not needed here")).alias("claim"), F.col("rationale").alias("evidence"))
+    return seen.unionByName(unneeded)
+
+
+#: Decisions that only a reader can make, most consequential first.
+DECISIONS = ["matching-colors", "root-owners", "held-out-sources", "reasons-owed"]
+
+
+def report_moves(grades: DataFrame, unlock: DataFrame, findings: DataFrame, roots: DataFrame, held_out: DataFrame, confidence: DataFrame) -> DataFrame:
+    """(repo_id, kind, sub, what, count): all that waits for a reader.
+
+    A fix for each check that needs work, in the order of the checks; one decision each for exact-value findings (tier), roots
+    of unknown ownership, held-out sources (path) and checks switched off without a reason; an unlock for each step of
+    unlock_path, in its order. Only repositories with grades have moves.
+    """
+    checks = all_checks(grades)
+    count = lambda df, what: df.groupBy(*REPO).agg(F.count("*").alias("count")).select(*REPO, F.lit("decide").alias("kind"), F.lit(DECISIONS.index(what)).alias("sub"), F.lit(what).alias("what"), "count")
+    fix = checks.where("grade = 'needs-work'").select(*REPO, F.lit("fix").alias("kind"), F.col("check_id").alias("sub"), F.col("check").alias("what"), F.lit(1).cast("long").alias("count"))
+    name = F.element_at(F.array(*[F.lit(c) for c in v.CAPABILITIES]), F.col("capability") + 1)
+    opened = unlock.select(*REPO, F.lit("unlock").alias("kind"), F.col("rank").alias("sub"), name.alias("what"), F.col("unlocks").alias("count"))
+    calls = [
+        count(findings.where(F.col("tier").isin("exact-value-candidate", "exact-value candidate")), "matching-colors"), count(roots.where("ownership = 'unknown'"), "root-owners"),
+        count(held_out.select(*REPO, "path").distinct(), "held-out-sources"), count(confidence.where("decision_owed"), "reasons-owed"),
+    ]
+    out = fix.unionByName(opened)
+    for call in calls:
+        out = out.unionByName(call)
+    return out.join(checks.select(*REPO).distinct(), REPO, "left_semi")
+
+
+def counters(grades: DataFrame, moves: DataFrame) -> DataFrame:
+    """(repo_id, fix, decide, unlock): checks that need work, calls to make, and checks that can't be seen; fix and unlock count checks, decide counts calls."""
+    per = all_checks(grades).groupBy(*REPO).agg(F.count(F.when(F.col("grade") == "needs-work", 1)).alias("fix"), F.count(F.when(F.col("grade") == "not-visible", 1)).alias("unlock"))
+    calls = moves.where("kind = 'decide'").groupBy(*REPO).agg(F.count("*").alias("decide"))
+    return per.join(calls, REPO, "left").select(*REPO, "fix", F.coalesce("decide", F.lit(0)).alias("decide"), "unlock")
+
+
+def success_metrics(sources: DataFrame, resolved: DataFrame, components: DataFrame, redundant: DataFrame, identity: DataFrame) -> DataFrame:
+    """(repo_id, metric, baseline): the five measures that an adoption plan starts from, as text; what was not measured is not-visible and no zero.
+
+    sources: path; resolved: bundle, mode; components: component; redundant: redundant (null if unmeasured); identity: typography,
+    brand (states). A repository that any of them names has all five.
+    """
+    repos = None
+    for df in (sources, resolved, components, redundant, identity):
+        repos = df.select(*REPO) if repos is None else repos.union(df.select(*REPO))
+    number = lambda df, *c: df.select(*REPO, *c).distinct().groupBy(*REPO).agg(F.count("*").alias("n"))
+    out = repos.distinct().join(number(sources, "path").withColumnRenamed("n", "a"), REPO, "left").join(number(resolved, "bundle", "mode").withColumnRenamed("n", "b"), REPO, "left")
+    out = out.join(number(components, "component").withColumnRenamed("n", "c"), REPO, "left").join(redundant.groupBy(*REPO).agg(F.max("redundant").alias("d")), REPO, "left")
+    out = out.join(identity.groupBy(*REPO).agg(F.max("typography").alias("t"), F.max("brand").alias("k")), REPO, "left")
+    none = F.lit("not-visible")
+    text = lambda c: F.col(c).cast("string")
+    rows = [
+        ("source-consolidation", F.coalesce(text("a"), F.lit("0"))), ("mode-proof", F.coalesce(text("b"), F.lit("0"))), ("component-adoption", F.coalesce(text("c"), none)),
+        ("verified-leakage", F.coalesce(text("d"), none)), ("identity-integrity", F.concat_ws(" / ", F.coalesce("t", none), F.coalesce("k", none))),
+    ]
+    return out.select(*REPO, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), x.alias("baseline")) for m, x in rows])).alias("r")).select(*REPO, "r.*")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import vocabulary as v
+from gridloom.operators.evidence import needle_hits
+from gridloom.operators.ranks import run_keys
 
 
 def compat_gate(a: DataFrame, b: DataFrame, exact: list[str], sets: list[str], key: str = "repo_id") -> DataFrame:
@@ -83,21 +85,21 @@ def merge_capabilities(contributions: DataFrame) -> DataFrame:
 
 
 def promote_roots(roots: DataFrame, reached: DataFrame) -> DataFrame:
-    """A static candidate that the first walk reached is import-graph verified."""
-    hit = reached.select("path").distinct().withColumn("_hit", F.lit(True))
+    """A static candidate that the first walk of its repository reached is import-graph verified."""
+    keys = run_keys(roots)
+    hit = reached.select(*keys, "path").distinct().withColumn("_hit", F.lit(True))
     promoted = (F.col("confidence") == "static candidate") & F.col("_hit")
-    return roots.join(hit, "path", "left").withColumn("confidence", F.when(promoted, "import-graph verified").otherwise(F.col("confidence"))).drop("_hit")
+    return roots.join(hit, [*keys, "path"], "left").withColumn("confidence", F.when(promoted, "import-graph verified").otherwise(F.col("confidence"))).drop("_hit")
 
 
 def match_signals(files: DataFrame, signals: DataFrame) -> DataFrame:
-    """files (path, content) by signals (profile, signal, needle, required): the first file that holds each needle.
+    """files (path, content) by signals (profile, signal, needle, required): the first file that holds each needle, whatever its case.
 
-    The rule table is small by nature and is checked for it; files are scanned once.
+    All needles are sought in one pass over the files; what is found joins the rules by equality.
     """
-    if signals.count() > 10_000:
-        raise ValueError("a rule table has 10,000 rows at most")
-    hit = files.join(F.broadcast(signals), F.contains(F.lower("content"), F.lower("needle")))
-    return hit.groupBy("profile", "signal", "required").agg(F.min("path").alias("evidence"), F.count("*").alias("files"))
+    keys = run_keys(files)
+    hits = needle_hits(files, signals, lines=False).join(F.broadcast(signals.withColumn("needle", F.lower("needle"))), "needle")
+    return hits.groupBy(*keys, "profile", "signal", "required").agg(F.min("path").alias("evidence"), F.count("*").alias("files"))
 
 
 def score_profiles(evidence: DataFrame, signals: DataFrame, minimum: int = 1) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import scalars as s
 from gridloom.functions import vocabulary as v
+from gridloom.operators.ranks import ranked, run_keys
 
 REPO = ["repo_id"]
 
@@ -139,10 +140,111 @@ def identity_font(candidates: DataFrame) -> DataFrame:
     return top.groupBy(*REPO).agg(F.countDistinct("family").alias("n"), F.min("family").alias("f")).select(*REPO, F.when(F.col("n") == 1, "verified").otherwise("not-visible").alias("state"), F.when(F.col("n") == 1, F.col("f")).alias("family"))
 
 
-def brand_colors(decls: DataFrame) -> DataFrame:
-    """Concrete colors of brand context by token: one value, or a conflict; tokens named for the brand come first."""
-    own = decls.withColumn("color", s.concrete_color_value(F.col("value"))).where("color is not null").withColumn("token", s.normalize(F.col("name")))
-    rows = own.groupBy(*REPO, "token").agg(F.countDistinct(s.normalize_literal(F.col("color"))).alias("colors"), F.min("color").alias("color"))
-    state = F.when(F.col("colors") > 1, "conflict").otherwise("verified")
-    rank = F.row_number().over(Window.partitionBy(*REPO).orderBy(F.desc(s.has_signal(F.col("token"), "brand")), "token"))
-    return rows.select(*REPO, "token", state.alias("state"), F.when(F.col("colors") == 1, F.col("color")).alias("color"), rank.alias("rank"))
+#: Selectors that are a theme root by themselves: the document, a theme attribute, or a scheme class.
+ROOT_SELECTOR = r"(?::root|html|\[data-theme[^\]]*\]|\.(?:dark|light|theme-[\w-]+))+"
+#: A block that is a theme root: such selectors alone, a theme at-rule, or a query of the viewer's scheme.
+THEME_ROOT = rf"(?i)^(?:{ROOT_SELECTOR}(?:\s*,\s*{ROOT_SELECTOR})*|@theme\b.*|@media\s*\(\s*prefers-[^)]*\))$"
+#: Blocks that don't narrow what stands in them.
+OPEN_BLOCK = r"(?i)^@(?:media|layer|supports|theme)\b.*$"
+#: Properties that libraries write at run time.
+INJECTED = r"^--(?:radix|swiper)-"
+
+
+def in_theme_root(scopes: Column) -> Column:
+    """Whether a declaration in these blocks is the project's: the innermost block is a theme root, and no outer one is a rule of something else."""
+    inner = F.get(scopes, F.size(scopes) - 1)
+    outer = F.slice(scopes, 1, F.greatest(F.size(scopes) - 1, F.lit(0)))
+    return (F.size(scopes) > 0) & inner.rlike(THEME_ROOT) & F.forall(outer, lambda b: b.rlike(THEME_ROOT) | b.rlike(OPEN_BLOCK))
+
+
+def theme_tokens(decls: DataFrame) -> DataFrame:
+    """(keys, token, declarations, files, first_site): the distinct tokens that a project declares at its theme roots.
+
+    decls: path, line, name, representation, scopes. Custom properties count at theme roots only, those that a library injects
+    never; style variables count at the top of a file. One name at several roots, or as variable and property, is one token.
+    """
+    keys = run_keys(decls)
+    own = F.when(F.col("representation") == "css-custom-property", in_theme_root(F.col("scopes")) & ~F.col("name").rlike(INJECTED)).otherwise(F.size("scopes") == 0)
+    site = F.min(F.struct("path", "line"))
+    rows = decls.where(own).groupBy(*keys, s.normalize(F.col("name")).alias("token")).agg(F.count("*").alias("declarations"), F.countDistinct("path").alias("files"), site.alias("_s"))
+    return rows.select(*keys, "token", "declarations", "files", F.concat_ws(":", "_s.path", F.col("_s.line").cast("string")).alias("first_site"))
+
+
+def scoped_properties(decls: DataFrame) -> DataFrame:
+    """(keys, token): custom properties that no theme root declares, so they are local state and no tokens."""
+    keys = run_keys(decls)
+    mine = decls.where("representation = 'css-custom-property'").select(*keys, s.normalize(F.col("name")).alias("token")).distinct()
+    return mine.join(theme_tokens(decls).select(*keys, "token"), [*keys, "token"], "left_anti")
+
+
+#: Names of services whose colors a product shows without owning them.
+THIRD_PARTY = ["adobe", "apple", "discord", "facebook", "github", "google", "instagram", "linkedin", "microsoft", "pinterest", "reddit", "slack", "snapchat", "spotify", "tiktok", "twitch", "twitter", "youtube"]
+#: Segments of a color's name that belong to no one.
+GENERIC_SEGMENTS = [
+    "accent", "active", "app", "application", "base", "black", "blue", "brand", "color", "component", "content", "cool", "core", "dark", "danger", "data", "default", "design", "disabled", "error", "focus", "global", "gray", "green",
+    "hover", "icon", "info", "inverse", "light", "logo", "muted", "orange", "pink", "primary", "product", "quarternary", "quaternary", "red", "secondary", "semantic", "site", "success", "surface", "system", "tertiary", "text", "theme",
+    "ui", "viz", "visualization", "warm", "warning", "white", "yellow",
+]
+#: Words before "brand" in a heading that name no one.
+NAMELESS = ["the", "our", "product", "application", "app", "site"]
+
+
+def foreign_tokens(names: DataFrame, subjects: DataFrame) -> DataFrame:
+    """(keys, token): names of which a segment belongs to someone else than the repository's subjects.
+
+    names: token; subjects: namespace. The subjects' words make the vocabulary of a repository. Segments meet it by equality:
+    a number, a generic segment or a word of the vocabulary is own, and any other makes its name foreign; so does a third
+    party's name unless it is a subject itself.
+    """
+    keys = run_keys(names)
+    segments = names.select(*keys, "token").distinct().select(*keys, "token", F.explode(F.array_distinct(F.split(s.family_key(F.col("token")), "-"))).alias("word"))
+    words = subjects.select(*keys, F.explode(F.split(s.family_key(F.col("namespace")), "-")).alias("word")).distinct()
+    own = F.col("word").rlike("^[0-9]+$") | F.col("word").isin(*GENERIC_SEGMENTS)
+    unknown = segments.where(~own).join(words, [*keys, "word"], "left_anti")
+    services = segments.where(F.col("word").isin(*THIRD_PARTY)).join(subjects.select(*keys, F.col("namespace").alias("word")).distinct(), [*keys, "word"], "left_anti")
+    return unknown.select(*keys, "token").union(services.select(*keys, "token")).distinct()
+
+
+def brand_context(labels: DataFrame, subjects: DataFrame) -> DataFrame:
+    """(keys, token, label) of brand headings that vouch for a token: those of a design system or visual identity, or with a subject's word before "brand" that the token's name has too.
+
+    labels: token, label; subjects: namespace.
+    """
+    keys = run_keys(labels)
+    rows = labels.where("label is not null").select(*keys, "token", "label").distinct()
+    general = rows.where(F.col("label").rlike(r"(?i)\b(?:design system|visual[ -]identity)\b"))
+    before = F.lower(F.element_at(F.split("label", r"(?i)\bbrand\b", 2), 1))
+    words = F.array_except(F.array_distinct(F.regexp_extract_all(before, F.lit("[a-z0-9]+"), 0)), F.array(*[F.lit(x) for x in NAMELESS]))
+    each = rows.select(*keys, "token", "label", F.explode(words).alias("word"), F.split(s.family_key(F.col("token")), "-").alias("own"))
+    vocabulary = subjects.select(*keys, F.explode(F.split(s.family_key(F.col("namespace")), "-")).alias("word")).distinct().withColumn("_subject", F.lit(True))
+    named = each.join(vocabulary, [*keys, "word"], "left").groupBy(*keys, "token", "label").agg(F.bool_or(F.array_contains("own", F.col("word"))).alias("a"), F.bool_or(F.col("_subject").isNotNull()).alias("b")).where("a and b")
+    return general.unionByName(named.select(*keys, "token", "label")).distinct()
+
+
+def brand_colors(decls: DataFrame, subjects: DataFrame) -> DataFrame:
+    """(keys, token, state, color, confidence, sites, rank): concrete colors that are the brand's by name or by heading.
+
+    decls: path, line, name, value, and label (the brand heading above, or null) where there is one; subjects: namespace.
+    Foreign and third-party names are out. A token qualifies by its own name, by its headings, or both, which is its
+    confidence; of several values it is a conflict. Tokens named for the brand come first.
+    """
+    keys = run_keys(decls)
+    label = F.col("label") if "label" in decls.columns else F.lit(None).cast("string")
+    own = decls.select(*keys, "path", "line", s.normalize(F.col("name")).alias("token"), s.family_for(F.col("name"), F.col("value")).alias("family"), s.concrete_color_value(F.col("value")).alias("color"), label.alias("label")).where("family = 'color'")
+    own = own.join(foreign_tokens(own, subjects), [*keys, "token"], "left_anti")
+    vouched = brand_context(own, subjects).withColumn("_vouched", F.lit(True))
+    named = s.has_signal(s.family_key(F.col("token")), "brand")
+    rows = own.where("color is not null").join(vouched, [*keys, "token", "label"], "left").withColumns({"_named": named, "_in": F.col("_vouched").isNotNull()}).where("_named or _in")
+    value = s.normalize_literal(F.col("color"))
+    out = rows.groupBy(*keys, "token").agg(F.countDistinct(value).alias("n"), F.min("color").alias("color"), F.bool_or("_named").alias("_named"), F.bool_or("_in").alias("_in"), F.count("*").alias("sites"))
+    confidence = F.when(F.col("_named") & F.col("_in"), "explicit-brand-name-and-source-section").when(F.col("_named"), "explicit-brand-token-name").otherwise("explicit-brand-source-section")
+    found = out.select(*keys, "token", F.when(F.col("n") > 1, "conflict").otherwise("verified").alias("state"), F.when(F.col("n") == 1, F.col("color")).alias("color"), confidence.alias("confidence"), "sites", F.when(F.col("_named"), 0).otherwise(1).alias("_ord"))
+    return ranked(found, ["_ord", "token"]).drop("_ord")
+
+
+def held_out_families(decls: DataFrame, sources: DataFrame) -> DataFrame:
+    """(keys, family, sources): families that only held-out sources may have: what candidates and local overrides name. sources: path, role."""
+    keys = run_keys(decls)
+    held = sources.where(F.col("role").isin("consumer-override", "candidate")).select(*keys, "path").distinct()
+    own = decls.join(held, [*keys, "path"]).select(*keys, "path", s.family_for(F.col("name"), F.col("value")).alias("family"))
+    return own.groupBy(*keys, "family").agg(F.countDistinct("path").alias("sources"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalars as s
 from gridloom.functions import vocabulary as v
+from gridloom.operators.ranks import first_ranks, ranked
 
 REPO = ["repo_id"]
 
@@ -38,25 +39,24 @@ def component_rollup(refs: DataFrame) -> DataFrame:
 
 
 def rank_components(usage: DataFrame) -> DataFrame:
-    return usage.withColumn("rank", F.row_number().over(Window.partitionBy(*REPO).orderBy(F.desc("references"), F.desc("distinct_tokens"), "component")))
+    """usage with each component's rank: references, distinct tokens, then its key."""
+    return ranked(usage, [F.desc("references"), F.desc("distinct_tokens"), "component"])
 
 
 def top_components(usage: DataFrame, n: int = 20) -> DataFrame:
     """The first n by rank: components first, surfaces only where components don't fill the list. usage has is_component."""
     order = [F.desc("is_component"), F.desc("references"), F.desc("distinct_tokens"), "component"]
-    return usage.withColumn("rank", F.row_number().over(Window.partitionBy(*REPO).orderBy(*order))).where(F.col("rank") <= n)
+    return first_ranks(usage, order, n)
 
 
-def roadmap_bands(ranked: DataFrame) -> DataFrame:
+def roadmap_bands(ranked_rows: DataFrame) -> DataFrame:
     """Each ranked row's share, cumulative share and band, told from the share before the row."""
-    w = Window.partitionBy(*REPO)
-    before = F.coalesce(F.sum("references").over(w.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = ranked.withColumn("_total", F.sum("references").over(w)).withColumn("_before", before)
+    own = ranked(ranked_rows, ["rank"], name="_place", running="references")
     band = F.when(F.col("_total") == 0, v.ROADMAP_BANDS[-1][0])
     for name, share in v.ROADMAP_BANDS:
         band = band.when(F.col("_before") * 100 < share * F.col("_total"), name)
     return own.select(
-        *ranked.columns, s.rounded_percent(F.col("references"), F.col("_total")).alias("share"), s.rounded_percent(F.col("_before") + F.col("references"), F.col("_total")).alias("cumulative_share"), band.otherwise(v.ROADMAP_BANDS[-1][0]).alias("band"),
+        *ranked_rows.columns, s.rounded_percent(F.col("references"), F.col("_total")).alias("share"), s.rounded_percent(F.col("_before") + F.col("references"), F.col("_total")).alias("cumulative_share"), band.otherwise(v.ROADMAP_BANDS[-1][0]).alias("band"),
     )
 
 

@@ -107,6 +107,12 @@ def unreached(spark: SparkSession, d: str) -> DataFrame:
     return graphs.orphan_files(files.withColumn("node", F.col("file")), seen).select("file")
 
 
+def unused(spark: SparkSession, d: str) -> DataFrame:
+    """All declared tokens, with one of each supplier that no reference has a key for."""
+    more = spark.read.parquet(f"{d}/supplier.parquet").select((-1 - F.col("s_suppkey")).alias("token"), F.lit("sizing").alias("family"))
+    return graphs.orphan_tokens(linked(spark, d).select("token", "family").union(more), uses(spark, d))
+
+
 QUERIES = {
     "exact_value_leaks": lambda sp, d: leaks.exact_value_leaks(logical(sp, d, "literals"), logical(sp, d, "decls")),
     "literal_groups": lambda sp, d: leaks.literal_groups(logical(sp, d, "literals")).withColumn("properties", F.array_join("properties", ",")),
@@ -120,7 +126,6 @@ QUERIES = {
     "single_source": lambda sp, d: tokens.single_source(logical(sp, d, "decls")),
     "naming_grammars": lambda sp, d: tokens.naming_grammars(logical(sp, d, "decls")),
     "ramps_outliers": lambda sp, d: tokens.ramps(concepts(sp, d)),
-    "brand_colors": lambda sp, d: tokens.brand_colors(logical(sp, d, "decls")),
     "near_miss_dimension": near_dimension,
     "near_miss_duration": near_duration,
     "near_miss_color": near_color,
@@ -130,7 +135,7 @@ QUERIES = {
     "fix_queue": queue,
     "reachability": reach,
     "orphans_files": unreached,
-    "orphan_tokens": lambda sp, d: graphs.orphan_tokens(linked(sp, d).select((F.col("token") * 2).alias("token"), "family"), uses(sp, d)),
+    "orphan_tokens": unused,
     "alias_chains": chain_rows,
     "blast_radius": lambda sp, d: graphs.blast_radius(linked(sp, d), uses(sp, d)),
     "traceable_families": traceable,
@@ -205,8 +210,6 @@ ORACLE = {
       WHEN regexp_matches(name, '^[a-z][a-z0-9]*([A-Z][a-z0-9]*)+$') THEN 'camelCase' WHEN regexp_matches(name, '^[A-Z][a-zA-Z0-9]*$') THEN 'PascalCase' ELSE 'mixed' END AS grammar, count(DISTINCT name) AS names, min(concat(path, ':', lpad(CAST(line AS VARCHAR), 9, '0'))) AS first_site FROM decls GROUP BY 1, 2, 3""",
     "ramps_outliers": f"""{with_sql("decls")}, {CONCEPTS}, k AS (SELECT id, regexp_extract(id, '^(.*)-(\\d+)$', 1) AS stem, regexp_extract(id, '^(.*)-(\\d+)$', 2) AS step FROM concepts WHERE family = 'color'), s AS (SELECT stem, count(DISTINCT step) AS steps FROM k WHERE stem <> '' GROUP BY 1)
       SELECT 'fleet' AS repo_id, id AS token, CASE WHEN steps >= 3 THEN stem END AS ramp, CASE WHEN steps >= 3 THEN steps END AS steps, coalesce(steps, 0) < 3 AS outlier FROM k LEFT JOIN s USING (stem)""",
-    "brand_colors": f"""{with_sql("decls")}, b AS (SELECT repo_id, {norm_sql("name")} AS token, count(DISTINCT value) AS n, min(value) AS color FROM decls WHERE regexp_matches(value, '^#[0-9a-f]{{6}}$') GROUP BY 1, 2)
-      SELECT repo_id, token, CASE WHEN n > 1 THEN 'conflict' ELSE 'verified' END AS state, CASE WHEN n = 1 THEN color END AS color, row_number() OVER (PARTITION BY repo_id ORDER BY concat('-', token, '-') LIKE '%-brand-%' DESC, token) AS rank FROM b""",
     "near_miss_dimension": _near("SELECT * FROM lit", "SELECT * FROM st", 2, 4),
     "near_miss_duration": _near("SELECT literal, px * 10 AS px FROM lit", "SELECT family, px * 20 + 7 AS px FROM st", 50, 0),
     "near_miss_color": f"{with_sql('literals', 'decls')}, {_NEAR_COLOR} SELECT * FROM near",
@@ -224,14 +227,14 @@ ORACLE = {
       SELECT node, depth, array_to_string(via, '>') AS via FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY depth, via) AS r FROM walk) WHERE r = 1""",
     "orphans_files": f"""{with_sql("edges")}, e AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst), walk AS (SELECT CAST(1 AS BIGINT) AS node UNION SELECT e.dst FROM walk JOIN e ON e.src = walk.node WHERE walk.node % 3 <> 0 OR walk.node NOT IN (SELECT dst FROM edges))
       SELECT DISTINCT dst AS file FROM edges WHERE dst NOT IN (SELECT node FROM walk)""",
-    "orphan_tokens": f"{with_sql('decls', 'refs')}, {LINKED} SELECT token * 2 AS token, family FROM linked WHERE token * 2 NOT IN (SELECT token_key FROM refs)",
+    "orphan_tokens": f"{with_sql('decls', 'refs')}, {LINKED}, k AS (SELECT token, family FROM linked UNION ALL SELECT -1 - s_suppkey, 'sizing' FROM supplier) SELECT * FROM k WHERE token NOT IN (SELECT token_key FROM refs)",
     "alias_chains": f"{with_sql('decls')}, {_CHAINS} SELECT token, length, hops[-1] AS last, complete, stops_at, note FROM chains",
     "blast_radius": f"""{with_sql("decls", "refs")}, {LINKED}, b AS (SELECT alias_of AS token, token AS dependent FROM linked WHERE alias_of IS NOT NULL AND alias_of <> token UNION SELECT b.token, k.token FROM b JOIN linked k ON k.alias_of = b.dependent WHERE k.token <> b.token),
       n AS (SELECT token, count(DISTINCT dependent) AS dependents FROM b GROUP BY 1), u AS (SELECT b.token, count(DISTINCT r.component) AS component_count FROM b JOIN refs r ON r.token_key = b.dependent GROUP BY 1)
       SELECT token, coalesce(dependents, 0) AS dependents, coalesce(component_count, 0) AS component_count FROM linked LEFT JOIN n USING (token) LEFT JOIN u USING (token)""",
     "traceable_families": f"{with_sql('decls')}, {_CHAINS} SELECT concat(family, '-', token % 40) AS family, count(*) AS tokens FROM chains JOIN linked USING (token) GROUP BY 1 HAVING bool_and(complete)",
     "lineage_summary": f"{with_sql('decls', 'refs')}, {_CHAINS} SELECT count(*) FILTER (complete) AS traced, count(*) FILTER (NOT complete) AS stopped, count(*) FILTER (token IN (SELECT token_key FROM refs)) AS with_consumer, max(length) AS longest FROM chains",
-    "entry_ranks": f"{with_sql('edges')}, u AS (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) SELECT node, sum(i)::BIGINT AS inbound, sum(o)::BIGINT AS outbound FROM u GROUP BY 1",
+    "entry_ranks": f"{with_sql('edges')}, u AS (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) SELECT node, sum(i)::BIGINT AS inbound, sum(o)::BIGINT AS outbound, row_number() OVER (ORDER BY sum(i), sum(o) DESC, node) AS rank FROM u GROUP BY 1",
     "duplicate_values": f"""{with_sql("decls")}, {_CHAINS}, r AS (SELECT c.token, k.value FROM chains c JOIN linked k ON k.token = c.hops[-1] WHERE c.token NOT IN (SELECT token FROM linked WHERE alias_of IS NOT NULL))
       SELECT 'fleet' AS repo_id, value, count(DISTINCT token) AS tokens, min(token) AS first_token, max(token) AS last_token FROM r GROUP BY 1, 2 HAVING count(DISTINCT token) >= 2""",
 }

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators import usage
+from gridloom.operators.ranks import ranked
 from gridloom.plans.tables import LINKED, refs, with_sql
 from gridloom.sources.adapters import logical
 
@@ -44,12 +45,12 @@ def known(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each brand's colors as a theme: every token against the next five of its theme, within ranges of a thousand keys so that no theme is one task's."""
-    toks = logical(spark, d, "decls").where("value like '#%'").select(F.regexp_extract("path", "/([^/]+)/tokens", 1).alias("theme"), F.concat(F.lit("t"), F.col("line").cast("string")).alias("name"), "value", "line")
-    place = Window.partitionBy("theme", F.floor(F.col("line") / 1000)).orderBy("line")
-    ahead = toks.select(F.col("name").alias("fg"), F.array(*[F.lead("name", k).over(place) for k in range(1, 6)]).alias("next"), F.when(F.col("line") % 2 == 1, 4.5).otherwise(3.0).alias("minimum"))
-    wanted = ahead.select("fg", F.explode("next").alias("bg"), "minimum").where("bg is not null")
-    return usage.contrast_pairs(toks, wanted)
+    """Each brand's colors as a theme: every token against the next five of its theme, which it meets by their places in the theme's order."""
+    toks = logical(spark, d, "decls").where("value like '#%'").select(F.regexp_extract("path", "/([^/]+)/tokens", 1).alias("repo_id"), F.concat(F.lit("t"), F.col("line").cast("string")).alias("name"), "value", "line")
+    placed = ranked(toks, ["line"])
+    ahead = placed.select("repo_id", F.col("name").alias("fg"), F.explode(F.sequence(F.col("rank") + 1, F.col("rank") + 5)).alias("rank"), F.when(F.col("line") % 2 == 1, 4.5).otherwise(3.0).alias("minimum"))
+    wanted = ahead.join(placed.select("repo_id", "rank", F.col("name").alias("bg")), ["repo_id", "rank"]).select("fg", "bg", "minimum")
+    return usage.contrast_pairs(toks.withColumnRenamed("repo_id", "theme"), wanted)
 
 
 QUERIES = {
@@ -88,10 +89,10 @@ ORACLE = {
       s AS (SELECT class, count(*) FILTER (named) AS n, min(CASE WHEN key = '' THEN namespace ELSE concat(namespace, '-', key) END) FILTER (named) AS c, arg_min(namespace, ord) FILTER (step AND NOT named) AS d FROM z GROUP BY 1)
       SELECT class, CASE WHEN n > 1 THEN 'ambiguous' WHEN n = 1 OR d IS NOT NULL THEN 'resolved' ELSE 'unresolved' END AS state, CASE WHEN n = 1 THEN s.c WHEN n = 0 THEN d END AS concept, coalesce(n = 0 AND d IS NOT NULL, false) AS derived FROM c LEFT JOIN s USING (class)""",
     "namespace_coverage": f"{with_sql('theme')}, {_PREFIX}, {_THEME} SELECT namespace, count(*) AS keys, CASE WHEN namespace IN (SELECT namespace FROM p) THEN 'covered' WHEN namespace IN ('default', 'breakpoint') THEN 'non-utility' ELSE 'uncovered' END AS state FROM merged GROUP BY 1",
-    "contrast_pairs": f"""{with_sql("decls")}, t AS (SELECT regexp_extract(path, '/([^/]+)/tokens', 1) AS theme, line AS k, value, line // 1000 AS b, row_number() OVER (PARTITION BY regexp_extract(path, '/([^/]+)/tokens', 1), line // 1000 ORDER BY line) AS p FROM decls WHERE value LIKE '#%'),
+    "contrast_pairs": f"""{with_sql("decls")}, t AS (SELECT regexp_extract(path, '/([^/]+)/tokens', 1) AS theme, line AS k, value, row_number() OVER (PARTITION BY regexp_extract(path, '/([^/]+)/tokens', 1) ORDER BY line) AS p FROM decls WHERE value LIKE '#%'),
       rgb AS (SELECT *, [CAST(concat('0x', substr(value, 2, 2)) AS INT) / 255.0::DOUBLE, CAST(concat('0x', substr(value, 4, 2)) AS INT) / 255.0::DOUBLE, CAST(concat('0x', substr(value, 6, 2)) AS INT) / 255.0::DOUBLE] AS c FROM t),
-      lin AS (SELECT theme, k, b, p, 0.2126::DOUBLE * CASE WHEN c[1] <= 0.03928 THEN c[1] / 12.92::DOUBLE ELSE pow((c[1] + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4) END + 0.7152::DOUBLE * CASE WHEN c[2] <= 0.03928 THEN c[2] / 12.92::DOUBLE ELSE pow((c[2] + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4) END
+      lin AS (SELECT theme, k, p, 0.2126::DOUBLE * CASE WHEN c[1] <= 0.03928 THEN c[1] / 12.92::DOUBLE ELSE pow((c[1] + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4) END + 0.7152::DOUBLE * CASE WHEN c[2] <= 0.03928 THEN c[2] / 12.92::DOUBLE ELSE pow((c[2] + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4) END
        + 0.0722::DOUBLE * CASE WHEN c[3] <= 0.03928 THEN c[3] / 12.92::DOUBLE ELSE pow((c[3] + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4) END AS l FROM rgb),
-      q AS (SELECT a.theme, concat('t', a.k) AS fg, concat('t', b.k) AS bg, (greatest(a.l, b.l) + 0.05::DOUBLE) / (least(a.l, b.l) + 0.05::DOUBLE) AS r, CASE WHEN a.k % 2 = 1 THEN 4.5 ELSE 3.0 END AS m FROM lin a JOIN lin b ON a.theme = b.theme AND a.b = b.b AND b.p BETWEEN a.p + 1 AND a.p + 5)
+      q AS (SELECT a.theme, concat('t', a.k) AS fg, concat('t', b.k) AS bg, (greatest(a.l, b.l) + 0.05::DOUBLE) / (least(a.l, b.l) + 0.05::DOUBLE) AS r, CASE WHEN a.k % 2 = 1 THEN 4.5 ELSE 3.0 END AS m FROM lin a JOIN lin b ON a.theme = b.theme AND b.p BETWEEN a.p + 1 AND a.p + 5)
       SELECT theme, fg, bg, round(r, 4) AS ratio, r >= m AS ok FROM q""",
 }

@@ -79,6 +79,61 @@ SELECT CAST(c_custkey AS BIGINT) AS run_id, CAST(c_nationkey AS BIGINT) AS repo_
  CASE c_custkey % 3 WHEN 0 THEN 'baseline' WHEN 1 THEN 'release' END AS intent, concat('scope', CAST(c_custkey % 2 AS STRING)) AS scope,
  concat('packages/p', CAST(c_custkey % 4 AS STRING)) AS owned_a, concat('packages/p', CAST(c_custkey % 5 AS STRING)) AS owned_b
 FROM {customer}""",
+    # Blocks of style sheets of 25 repositories, one a line of its file: kinds 0, 1, 2, 4 and 5 are theme roots.
+    "sheets": """
+SELECT repo_id, path, ord, kind, name, value, CASE kind WHEN 0 THEN concat(':root ', d) WHEN 1 THEN concat('.dark, .theme-dim ', d) WHEN 2 THEN concat(':root[data-theme="x"] ', d) WHEN 3 THEN concat('.card ', d)
+ WHEN 4 THEN concat('@theme inline ', d) WHEN 5 THEN concat('@media (prefers-color-scheme: dark) ', o, ' :root ', d, ' ', c) WHEN 6 THEN concat('@media (min-width: 40em) ', o, ' .panel ', d, ' ', c) WHEN 7 THEN concat('@utility pad ', d)
+ ELSE concat('/* :root ', d, ' */ .a::before ', o, ' content: "', c, o, '"; ', c, ' :root ', o, ' .inner ', d, ' ', c) END AS block
+FROM (SELECT *, concat(chr(123), ' ', name, ': ', value, '; ', chr(125)) AS d, chr(123) AS o, chr(125) AS c FROM (
+ SELECT p_partkey AS ord, lower(replace(p_brand,'#','')) AS repo_id, concat('src/theme/t', CAST(CAST(floor(p_partkey/100) AS BIGINT) AS STRING), '.css') AS path, CAST(p_partkey % 9 AS INT) AS kind,
+ CASE WHEN p_size = 13 THEN concat('--radix-', replace(p_name,' ','-')) ELSE concat('--', lower(p_type), '-', replace(p_name,' ','_'), '-', CAST(p_size % 10 AS STRING)) END AS name,
+ CASE WHEN p_size % 3 = 0 THEN concat('#', lower(lpad(hex(p_size * 4113 + 256),6,'0'))) ELSE concat(CAST(p_size AS STRING),'px') END AS value FROM {part}) x) y""",
+    "faces": """
+SELECT p_partkey AS ord, lower(replace(p_brand,'#','')) AS repo_id, concat('src/styles/f', CAST(CAST(floor(p_partkey/100) AS BIGINT) AS STRING), '.css') AS path, p_name AS family, CAST(p_partkey % 8 AS INT) AS kind, CAST(p_partkey AS STRING) AS k,
+ CASE p_partkey % 8 WHEN 0 THEN concat('./fonts/a', CAST(p_partkey AS STRING), '.woff2') WHEN 1 THEN concat('/fonts/b', CAST(p_partkey AS STRING), '.ttf?v=2#x') WHEN 2 THEN concat('/plugins/p1/c', CAST(p_partkey AS STRING), '.woff')
+ WHEN 3 THEN '../../../../d.woff2' WHEN 4 THEN 'https://cdn.test/x.woff2' WHEN 5 THEN concat('../e', CAST(p_partkey AS STRING), '.otf') WHEN 6 THEN concat('g', CAST(p_partkey AS STRING), '.woff2') ELSE concat('./h', CAST(p_partkey AS STRING), '.woff2') END AS url
+FROM {part}""",
+    # Where the file of a face of each kind lies, and its first bytes; kinds 3 and 4 have none, kind 5 is no font, kind 7 has a second file.
+    "font_files": """
+SELECT lower(replace(p_brand,'#','')) AS repo_id, CASE f.kind WHEN 0 THEN concat('src/styles/fonts/a', k, '.woff2') WHEN 1 THEN concat('public/fonts/b', k, '.ttf') WHEN 2 THEN concat('plugins/p1/assets/c', k, '.woff') WHEN 5 THEN concat('src/e', k, '.otf')
+ WHEN 6 THEN concat('public/g', k, '.woff2') WHEN 7 THEN concat('src/styles/h', k, '.woff2') ELSE concat('public/h', k, '.woff2') END AS path,
+ CASE f.kind WHEN 1 THEN '00010000' WHEN 2 THEN '774F4646' WHEN 5 THEN '25504446' ELSE '774F4632' END AS magic, CASE WHEN f.kind = 8 THEN 'other' ELSE p_name END AS body
+FROM (SELECT *, CAST(p_partkey AS STRING) AS k FROM {part}) p JOIN (SELECT 0 AS kind UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8) f ON f.kind = p_partkey % 8 OR (f.kind = 8 AND p_partkey % 8 = 7)""",
+    "brand_decls": """
+SELECT lower(replace(p_brand,'#','')) AS repo_id, 'src/brand.css' AS path, CAST(p_partkey AS INT) AS line, p_name, split_part(p_name,' ',1) AS word, CAST(p_size % 4 AS INT) AS kind, CAST(p_size % 5 AS INT) AS heading,
+ concat('--', CASE p_size % 4 WHEN 0 THEN 'brand-' WHEN 1 THEN 'color-' WHEN 2 THEN 'github-' ELSE 'acme-' END, split_part(p_name,' ',1), '-', CAST(p_size % 10 AS STRING)) AS name, concat('#', lower(lpad(hex((p_partkey % 300) * 4113 + 256),6,'0'))) AS value,
+ CASE p_size % 5 WHEN 0 THEN 'Visual identity' WHEN 1 THEN 'Acme brand colors' WHEN 2 THEN 'The brand' WHEN 3 THEN 'Partner brand' END AS label
+FROM {part}""",
+    # Three repositories whose files have the same paths.
+    "repo_edges": """
+SELECT repo_id, concat('src/f', CAST(CAST(floor(k/2) AS BIGINT) AS STRING), '.ts') AS src, concat('src/f', CAST(k AS STRING), '.ts') AS dst FROM (SELECT concat('r', CAST(p_partkey % 3 AS STRING)) AS repo_id, CAST(floor(p_partkey/3) AS BIGINT) AS k, p_size FROM {part}) x WHERE k > 0 AND p_size % 7 <> 0
+UNION ALL
+SELECT repo_id, concat('src/f', CAST(k AS STRING), '.ts'), concat('src/f', CAST(CAST(floor(k/3) AS BIGINT) AS STRING), '.ts') FROM (SELECT concat('r', CAST(p_partkey % 3 AS STRING)) AS repo_id, CAST(floor(p_partkey/3) AS BIGINT) AS k, p_size FROM {part}) x WHERE k > 0 AND p_size % 5 = 0""",
+    "repo_roots": """
+SELECT concat('r', CAST(p_partkey % 3 AS STRING)) AS repo_id, concat('src/f', CAST(CAST(floor(p_partkey/3) AS BIGINT) AS STRING), '.ts') AS path, p_size <> 7 AS present, CASE WHEN p_size = 9 THEN 'demo' ELSE 'product' END AS scope,
+ CASE p_size % 5 WHEN 0 THEN 'not-visible' WHEN 2 THEN 'import-graph verified' WHEN 3 THEN 'framework-registered' WHEN 4 THEN 'runtime verified' ELSE 'static candidate' END AS confidence, CASE WHEN p_name < 'm' THEN 'owned' ELSE 'shared' END AS ownership
+FROM {part} WHERE p_type = 'ECONOMY' AND p_size <= 12""",
+    "unit_files": """
+SELECT concat('r', CAST(k % 5 AS STRING)) AS repo_id, k, CASE part WHEN 0 THEN concat('src/components/w', CAST(k AS STRING), '/index.tsx') WHEN 1 THEN concat('src/views/v', CAST(k AS STRING), '.tsx')
+ WHEN 2 THEN CASE WHEN p_size % 2 = 0 THEN concat('src/views/v', CAST(k AS STRING), '.scss') ELSE concat('src/pages/q', CAST(k AS STRING), '.scss') END ELSE concat('lib/u', CAST(k AS STRING), '.ts') END AS path
+FROM (SELECT CAST(floor(p_partkey/4) AS BIGINT) AS k, p_partkey % 4 AS part, p_size FROM {part}) x""",
+    "unit_roots": """
+SELECT concat('r', CAST(s_suppkey % 5 AS STRING)) AS repo_id, CASE s_suppkey % 4 WHEN 0 THEN 'lib' WHEN 1 THEN 'src/pages' WHEN 2 THEN 'src/views' ELSE 'src/components' END AS prefix,
+ CASE s_suppkey % 3 WHEN 0 THEN 'framework-registered' WHEN 1 THEN 'import-graph verified' ELSE 'runtime verified' END AS confidence, CASE WHEN s_nationkey % 8 = 0 THEN 'owned' ELSE 'shared' END AS ownership
+FROM {supplier}""",
+    "configs": """
+SELECT lower(replace(p_brand,'#','')) AS repo_id, concat('apps/a', CAST(p_partkey AS STRING), CASE p_partkey % 4 WHEN 0 THEN '/.stylelintrc.json' WHEN 1 THEN '/package.json' WHEN 2 THEN '/.github/workflows/ci.yml' ELSE '/notes.md' END) AS path, CAST(p_partkey % 4 AS INT) AS kind, CAST(p_size AS INT) AS size,
+ concat('name: a', chr(10), ' - ', CASE p_size WHEN 1 THEN 'Declaration-Strict-Value' WHEN 2 THEN 'color-no-hex' WHEN 3 THEN 'npm run lint:tokens' WHEN 4 THEN 'declaration-strict' WHEN 5 THEN 'no-hardcoded-color and color-no-hex' ELSE 'semi' END, chr(10), 'end') AS content
+FROM {part}""",
+    "page_findings": """
+SELECT DISTINCT lower(replace(p_brand,'#','')) AS repo_id, substr(sha1(concat(lower(replace(p_brand,'#','')), '|', CAST(p_partkey % 50 AS STRING))),1,12) AS id FROM {part}""",
+    "report_pages": """
+SELECT concat('brand', CAST(page_id % 25 + 1 AS STRING)) AS repo_id, page_id, concat(html, ' <i id="', substr(sha1(concat('brand', CAST(page_id % 25 + 1 AS STRING), '|', CAST(page_id % 60 AS STRING))),1,12), '">') AS html FROM {pages}""",
+    "profile_rows": """
+SELECT concat('n', CAST(s_nationkey AS STRING)) AS repo_id, concat('p', CAST(s_suppkey % 9 AS STRING)) AS profile, CASE WHEN s_suppkey % 5 = 0 THEN 'candidate' ELSE 'active' END AS part,
+ CAST(row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 5 = 0 ORDER BY s_suppkey) - CASE WHEN s_nationkey % 6 = 0 THEN 0 ELSE 1 END AS INT) AS ord, CASE WHEN s_suppkey % 11 <> 0 THEN 'adapter' END AS adapter, 'framework' AS kind, 'registered' AS confidence,
+ CASE WHEN s_suppkey % 2 = 0 THEN 'user-selected' ELSE 'detected' END AS activation, CAST(s_suppkey % 7 AS INT) AS proofs
+FROM {supplier}""",
 }
 
 
