@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import vocabulary as v
+from gridloom.operators.extract import ORPHAN_EXCLUDED, not_excluded
+from gridloom.operators.ranks import run_keys
 
 REPO = ["repo_id"]
-#: A rule table is broadcast, so it has a checked bound.
+#: Rows up to which a rule table is broadcast.
 MOST_RULES = 10_000
 
 
-def _rules(df: DataFrame) -> DataFrame:
-    if df.count() > MOST_RULES:
-        raise ValueError(f"a rule table has {MOST_RULES} rows at most")
-    return F.broadcast(df)
+def rules_of(df: DataFrame) -> DataFrame:
+    """A table of rules for a join by pattern: broadcast up to MOST_RULES rows, a count that is checked; beyond it is left to the join, with the same result."""
+    return F.broadcast(df) if df.limit(MOST_RULES + 1).count() <= MOST_RULES else df
 
 
 def glob_regex(pattern: str) -> str:
@@ -36,12 +37,13 @@ def glob_regex(pattern: str) -> str:
 
 def matching(files: DataFrame, patterns: DataFrame) -> DataFrame:
     """files (path) by patterns (regex, ...) that they match; only paths are looked at."""
-    return files.join(_rules(patterns), F.regexp_like("path", F.col("regex")))
+    return files.join(rules_of(patterns), F.regexp_like("path", F.col("regex")))
 
 
 def ownership(files: DataFrame, patterns: DataFrame, default: str = "outside") -> DataFrame:
     """files with ownership owned where a pattern matches."""
     own = matching(files.select("path").distinct(), patterns.select("regex")).select("path").distinct().withColumn("_own", F.lit("owned"))
+    # Patterns are the same for all repositories, so a path is owned in each or in none.
     return files.join(own, "path", "left").withColumn("ownership", F.coalesce("_own", F.lit(default))).drop("_own")
 
 
@@ -51,20 +53,23 @@ def _ancestors(path: str = "path") -> F.Column:
 
 
 def strongest_root(files: DataFrame, roots: DataFrame, ranks: list[str] = v.COMPONENT_RANK) -> DataFrame:
-    """(path, confidence) of the strongest root (prefix, confidence) that covers each path; null where none does.
+    """(keys, path, confidence) of the strongest root (prefix, confidence) of its repository that covers each path; null where none does.
 
     A path meets the roots as its own ancestors, so the join is an equality on the directory.
     """
     rank = F.array_position(F.array(*[F.lit(r) for r in ranks]), F.col("confidence"))
-    strongest = roots.groupBy("prefix").agg(F.max(F.struct(rank.alias("r"), "confidence")).alias("m"))
-    hit = files.select("path").distinct().select("path", F.explode(_ancestors()).alias("prefix")).join(strongest, "prefix")
-    return files.select("path").distinct().join(hit.groupBy("path").agg(F.max("m").alias("m")), "path", "left").select("path", "m.confidence")
+    keys = run_keys(roots)
+    strongest = roots.groupBy(*keys, "prefix").agg(F.max(F.struct(rank.alias("r"), "confidence")).alias("m"))
+    paths = files.select(*keys, "path").distinct()
+    hit = paths.select(*keys, "path", F.explode(_ancestors()).alias("prefix")).join(strongest, [*keys, "prefix"])
+    return paths.join(hit.groupBy(*keys, "path").agg(F.max("m").alias("m")), [*keys, "path"], "left").select(*keys, "path", "m.confidence")
 
 
 def nearest_context(files: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(path, prefix, context) of the most specific prefix (prefix, context) above each path."""
-    hit = files.select("path").distinct().select("path", F.explode(_ancestors()).alias("prefix")).join(contexts, "prefix")
-    return hit.groupBy("path").agg(F.max_by(F.struct("prefix", "context"), F.length("prefix")).alias("m")).select("path", "m.*")
+    """(keys, path, prefix, context) of the most specific prefix (prefix, context) of its repository above each path."""
+    keys = run_keys(contexts)
+    hit = files.select(*keys, "path").distinct().select(*keys, "path", F.explode(_ancestors()).alias("prefix")).join(contexts, [*keys, "prefix"])
+    return hit.groupBy(*keys, "path").agg(F.max_by(F.struct("prefix", "context"), F.length("prefix")).alias("m")).select(*keys, "path", "m.*")
 
 
 def rewrite_aliases(specs: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -74,13 +79,13 @@ def rewrite_aliases(specs: DataFrame, aliases: DataFrame) -> DataFrame:
     fits = (star & F.col("spec").startswith(stem)) | (F.col("spec") == F.col("pattern"))
     rest = F.expr("substring(spec, length(regexp_replace(pattern, '[*]$', '')) + 1)")
     made = F.when(star, F.concat(F.regexp_replace("target", r"\*$", ""), rest)).otherwise(F.col("target"))
-    hit = specs.select("spec").distinct().join(_rules(aliases), fits).groupBy("spec").agg(F.max_by(made, F.struct(F.length("pattern"), "pattern")).alias("r"))
+    hit = specs.select("spec").distinct().join(rules_of(aliases), fits).groupBy("spec").agg(F.max_by(made, F.struct(F.length("pattern"), "pattern")).alias("r"))
     return specs.select("spec").distinct().join(hit, "spec", "left").select("spec", F.coalesce("r", "spec").alias("rewritten"))
 
 
 def rewrite_profiles(specs: DataFrame, rewrites: DataFrame) -> DataFrame:
     """(spec, rewritten, ambiguous) by prefix rewrites (prefix, target): two destinations or more block the resolution."""
-    hit = specs.select("spec").distinct().join(_rules(rewrites), F.col("spec").startswith(F.col("prefix"))).select("spec", F.concat("target", F.expr("substring(spec, length(prefix) + 1)")).alias("d")).distinct()
+    hit = specs.select("spec").distinct().join(rules_of(rewrites), F.col("spec").startswith(F.col("prefix"))).select("spec", F.concat("target", F.expr("substring(spec, length(prefix) + 1)")).alias("d")).distinct()
     rows = hit.groupBy("spec").agg(F.count("*").alias("n"), F.min("d").alias("d"))
     return rows.select("spec", F.when(F.col("n") == 1, F.col("d")).alias("rewritten"), (F.col("n") > 1).alias("ambiguous"))
 
@@ -101,6 +106,35 @@ def capability_verdicts(roots: DataFrame, edges: DataFrame, unresolved: DataFram
     return out.select(*REPO, F.explode(cells).alias("c")).select(*REPO, "c.*")
 
 
+def capability_states(repos: DataFrame, profiles: DataFrame, roots: DataFrame, reached: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """(keys, capability, state) of all seven capabilities for each repository of repos.
+
+    profiles: profile, part; roots: path, exists, scope, confidence, ownership; reached: node; unresolved: reason. Detection needs
+    an active profile; production roots a seed and no registered root that is missing; import resolution a reached file and no
+    miss that a person can act on; ownership an owned seed. The other three take later evidence.
+    """
+    keys = run_keys(repos)
+    seeds = seed_roots(roots)
+    tests = [
+        ("a", profiles.where("part = 'active'")), ("s", seeds), ("m", roots.where(~F.coalesce(F.col("exists"), F.lit(False)))), ("r", reached), ("u", unresolved.where(F.col("reason").isin(*v.ACTIONABLE_REASONS))), ("o", seeds.where("ownership = 'owned'")),
+    ]
+    out = repos.select(*keys).distinct()
+    for name, df in tests:
+        out = out.join(df.select(*keys).distinct().withColumn(name, F.lit(True)), keys, "left")
+    has = lambda c: F.coalesce(F.col(c), F.lit(False))
+    proofs = {"detection": has("a"), "production_roots": has("s") & ~has("m"), "import_resolution": has("r") & ~has("u"), "ownership": has("o")}
+    cells = [F.struct(F.lit(c).alias("capability"), F.when(proofs.get(c, F.lit(False)), "verified").otherwise("not-visible").alias("state")) for c in v.CAPABILITIES]
+    return out.select(*keys, F.explode(F.array(*cells)).alias("c")).select(*keys, "c.*")
+
+
+def orphan_candidates(files: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+    """Files (path) that may be orphans: none of a test, fixture or generated path, and inside the owned patterns (regex) where there are any."""
+    own = files.where(not_excluded(F.col("path"), ORPHAN_EXCLUDED))
+    if patterns is None:
+        return own
+    return own.join(matching(own.select("path").distinct(), patterns.select("regex")).select("path").distinct(), "path", "left_semi")
+
+
 def applications(candidates: DataFrame) -> DataFrame:
     """(repo_id, state, dir): one candidate directory is selected; several leave the choice to a person. candidates: repo_id, dir."""
     rows = candidates.groupBy(*REPO).agg(F.countDistinct("dir").alias("n"), F.min("dir").alias("d"))

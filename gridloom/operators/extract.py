@@ -13,14 +13,23 @@ from pyspark.sql import functions as F
 from gridloom.functions import scalars as s
 
 STYLE = [".css", ".scss", ".sass", ".less"]
-MODULE = [".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".vue", ".svelte", ".html"]
+MODULE = [".js", ".jsx", ".ts", ".tsx", ".gjs", ".gts", ".mjs", ".cjs", ".vue", ".svelte", ".astro", ".html", ".htm", ".hbs", ".erb"]
+#: Files that end a chain of imports and are named in full.
+ASSET = [
+    ".svg", ".png", ".jpg", ".jpeg", ".gif", ".webp", ".avif", ".ico", ".bmp", ".mp4", ".webm", ".mov", ".m4v", ".ogv", ".mp3", ".wav", ".ogg", ".m4a", ".woff", ".woff2", ".ttf", ".otf", ".eot", ".pdf", ".txt", ".md", ".wasm",
+]
+#: Extensions that a script import may leave out, in the order in which they are tried.
+TRIED = [".ts", ".tsx", ".js", ".jsx", ".gjs", ".gts", ".mjs", ".cjs", ".vue", ".svelte", ".astro", ".css", ".scss", ".sass", ".less", ".json"]
 #: Directories that are no source at any depth, and those that are none at the root only.
 IGNORED = [
     "node_modules", ".git", "dist", "build", ".next", "out", "coverage", "tmp", ".turbo", ".cache", ".worktrees", "test-results", "playwright-report", "storybook-static", ".svelte-kit", ".nuxt", ".output",
     ".astro", ".vercel", ".netlify", ".parcel-cache", ".yarn", "__pycache__", ".venv", "venv",
 ]
 ROOT_IGNORED = ["vendor", "third_party", "worktrees", "target"]
+#: Parts of paths whose files are not analysed, whose style sheets are no orphans, and in which no profile is sought.
 EXCLUDED = [".git", "node_modules", "vendor", "dist", "build", "coverage", "tmp", "test", "tests", "spec", "specs", "fixtures", "snapshots"]
+ORPHAN_EXCLUDED = ["test", "tests", "spec", "specs", "fixtures", "snapshots", "__fixtures__", "generated"]
+PROFILE_EXCLUDED = [".git", ".next", ".nuxt", ".svelte-kit", "node_modules", "vendor", "dist", "build", "out", "coverage", "tmp", ".turbo", ".cache", "test", "tests", "spec", "specs", "fixtures", "snapshots"]
 
 
 def extension(path: Column) -> Column:
@@ -39,8 +48,9 @@ def file_class(path: Column) -> Column:
     return F.when(ext.isin(*STYLE), "style").when(ext.isin(*MODULE), "module").when(ext == ".json", "source").otherwise("asset")
 
 
-def not_excluded(path: Column) -> Column:
-    return ~F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(x) for x in EXCLUDED]))
+def not_excluded(path: Column, parts: list[str] = EXCLUDED) -> Column:
+    """Whether no part of a path is one of parts."""
+    return ~F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(x) for x in parts]))
 
 
 def line_of(content: Column, offset: Column) -> Column:
@@ -273,22 +283,27 @@ def references(files: DataFrame) -> DataFrame:
 
 
 def hex_literals(files: DataFrame) -> DataFrame:
-    """(repo_id, path, line, literal, property): hex colors with the nearest property name before them on the line."""
-    lines = files.select("repo_id", "path", F.posexplode(F.split("content", "\n", -1)).alias("k", "text"))
-    hits = lines.select("repo_id", "path", (F.col("k") + 1).alias("line"), "text", F.explode(F.regexp_extract_all("text", F.lit(r"#[0-9a-fA-F]{3,8}\b"), 0)).alias("literal"))
-    before = F.regexp_extract("text", r"([\w-]+)\s*:[^:;{]*#[0-9a-fA-F]{3,8}\b", 1)
-    return hits.select("repo_id", "path", "line", "literal", F.nullif(before, F.lit("")).alias("property"))
-
-
-def theme_declarations(files: DataFrame, namespaces: list[str]) -> DataFrame:
-    """(namespace, key, value) of @theme blocks, by the longest known namespace."""
-    blocks = files.select("path", F.explode(F.regexp_extract_all("content", F.lit(r"(?s)@theme[^{]*\{(.*?)\n\}"), 1)).alias("b"))
-    decl = blocks.select("path", F.explode(F.regexp_extract_all("b", F.lit(r"(?m)^\s*--([a-z0-9-]+\s*:\s*[^;]+);"), 1)).alias("d"))
-    decl = decl.select(F.trim(F.split_part("d", F.lit(":"), F.lit(1))).alias("name"), F.trim(F.regexp_extract("d", r"(?s)^[^:]*:(.*)$", 1)).alias("value"))
+    """(repo_id, path, line, literal, property): hex colors with the nearest property name before them on the line; comments are blanked."""
+    blank = F.pandas_udf(lambda c: c.map(lambda t: blank_comments(t or "")), "string")
+    lines = files.select("repo_id", "path", F.posexplode(F.split(blank("content"), "\n", -1)).alias("k", "text"))
+    # Each piece ends with one color, so the name before it is looked for in that piece alone; a color without one takes that of the last.
+    hits = lines.select("repo_id", "path", (F.col("k") + 1).alias("line"), F.col("text"), F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s).*?#[0-9a-fA-F]{3,8}\b"), 0)).alias("n", "piece"))
+    before = F.regexp_extract("piece", r"(?s)^.*?([\w-]+)\s*:[^:;{]*#[0-9a-fA-F]{3,8}$", 1)
+    own = hits.select("repo_id", "path", "line", "n", F.regexp_extract("piece", r"#[0-9a-fA-F]{3,8}$", 0).alias("literal"), F.nullif(before, F.lit("")).alias("own"))
+    last = F.last("own", ignorenulls=True).over(Window.partitionBy("repo_id", "path", "line").orderBy("n"))
+    return own.select("repo_id", "path", "line", "literal", last.alias("property"))
+
+
+def theme_declarations(files: DataFrame, namespaces: list[str], sites: bool = False) -> DataFrame:
+    """(namespace, key, value) of @theme blocks, by the longest known namespace; with sites, after the keys of the run and the path."""
+    keys = [c for c in ("repo_id", "run_id") if c in files.columns]
+    blocks = files.select(*keys, "path", F.explode(F.regexp_extract_all("content", F.lit(r"(?s)@theme[^{]*\{(.*?)\n\}"), 1)).alias("b"))
+    decl = blocks.select(*keys, "path", F.explode(F.regexp_extract_all("b", F.lit(r"(?m)^\s*--([a-z0-9-]+\s*:\s*[^;]+);"), 1)).alias("d"))
+    decl = decl.select(*keys, "path", F.trim(F.split_part("d", F.lit(":"), F.lit(1))).alias("name"), F.trim(F.regexp_extract("d", r"(?s)^[^:]*:(.*)$", 1)).alias("value"))
     ordered = sorted(namespaces, key=len, reverse=True)
     space = F.coalesce(*[F.when((F.col("name") == n) | F.col("name").startswith(n + "-"), F.lit(n)) for n in ordered])
     own = decl.withColumn("namespace", space).where("namespace is not null")
-    return own.select("namespace", F.regexp_replace(F.expr("substring(name, length(namespace) + 1)"), "^-", "").alias("key"), "value")
+    return own.select(*([*keys, "path"] if sites else []), "namespace", F.regexp_replace(F.expr("substring(name, length(namespace) + 1)"), "^-", "").alias("key"), "value")
 
 
 def font_faces(files: DataFrame) -> DataFrame:
@@ -322,12 +337,12 @@ def candidate_paths(spec: str, importer: str, packages: dict[str, str] | None =
         home = (packages or {}).get(m[1])
         bases = [posixpath.join(home, sub, m[2] or "index") for sub in ("", "src", "styles", "css")] if home is not None else []
         bases += [posixpath.join(here, spec), *(posixpath.join(p, spec) for p in (load_paths or []) if style)]
-    exts = [".scss", ".css", ".sass", ".less"] if style else [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".svelte", ".css", ".scss", ".sass", ".less", ".json"]
+    exts = [".scss", ".css", ".sass", ".less"] if style else TRIED
     out = []
     for base in map(posixpath.normpath, bases):
         head, tail = posixpath.split(base)
         for stem in [tail] + ["_" + tail] * (style and not tail.startswith("_")):
-            if posixpath.splitext(stem)[1].lower() in {*STYLE, *MODULE, ".json", ".svg", ".png", ".jpg", ".woff", ".woff2"}:
+            if posixpath.splitext(stem)[1].lower() in {*STYLE, *MODULE, ".json", *ASSET}:
                 out.append(posixpath.join(head, stem))
             else:
                 out += [posixpath.join(head, stem + e) for e in exts] + [posixpath.join(head, stem, "index" + e) for e in exts] + [posixpath.join(head, stem, "_index.scss")] * style
@@ -446,9 +461,9 @@ def registered_roots(files: DataFrame, rules: DataFrame) -> DataFrame:
 
     Rules are rows that a user adds; files meet them by name before any content is searched.
     """
-    from gridloom.operators.discovery import _rules
+    from gridloom.operators.discovery import rules_of
 
-    met = files.join(_rules(rules), F.regexp_like("path", F.col("glob")))
+    met = files.join(rules_of(rules), F.regexp_like("path", F.col("glob")))
     return met.select("repo_id", "path", "profile", F.explode(F.regexp_extract_all("content", F.col("regex"), F.lit(1))).alias("spec")).where(s.safe_relative(F.col("spec"))).distinct()
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import vocabulary as v
+from gridloom.operators.ranks import run_keys
 
 REPO = ["repo_id"]
 
@@ -121,23 +122,39 @@ def next_steps(findings: DataFrame, k: int = 5) -> DataFrame:
 
 
 def coverage_matrix(bundles: DataFrame, modes: DataFrame, families: DataFrame, cells: DataFrame) -> DataFrame:
-    """Every bundle in every mode for every family; a missing cell is not visible. The three lists are small dimensions."""
-    out = bundles.distinct().crossJoin(F.broadcast(modes.distinct())).crossJoin(F.broadcast(families.distinct()))
-    return out.join(cells, ["bundle", "mode", "family"], "left").select("bundle", "mode", "family", F.coalesce("state", F.lit("not-visible")).alias("state"))
+    """Every bundle of a repository in each of its modes for every family; a missing cell is not visible.
+
+    bundles: bundle; modes: mode; cells: bundle, mode, family, state, each with the keys that bundles have. families is the
+    fixed list, at most all known ones.
+    """
+    keys = run_keys(bundles)
+    names = sorted({r[0] for r in families.select("family").distinct().limit(len(v.FAMILIES) + 1).collect()})
+    if len(names) > len(v.FAMILIES):
+        raise ValueError("families is a list of known families")
+    per = modes.select(*keys, "mode").distinct().groupBy(*keys).agg(F.collect_set("mode").alias("_modes"))
+    own = bundles.select(*keys, "bundle").distinct()
+    own = own.join(per, keys) if keys else own.crossJoin(F.broadcast(per))
+    out = own.select(*keys, "bundle", F.explode("_modes").alias("mode")).select("*", F.explode(F.array(*[F.lit(n) for n in names]).cast("array<string>")).alias("family"))
+    return out.join(cells, [*keys, "bundle", "mode", "family"], "left").select(*keys, "bundle", "mode", "family", F.coalesce("state", F.lit("not-visible")).alias("state"))
 
 
 def mode_gaps(concept_modes: DataFrame, appearance: tuple[str, ...] = ("color", "elevation")) -> DataFrame:
     """Tokens of families that depend on appearance, in the declared modes that don't define them.
 
-    concept_modes: token, family, mode. The declared modes are few; a token's own are removed from them as a set.
+    concept_modes: token, family, mode, and keys. The modes that a repository declares are one row; a token's own are removed
+    from them as a set.
     """
-    modes = concept_modes.agg(F.array_sort(F.collect_set("mode")).alias("_all"))
-    per = concept_modes.where(F.col("family").isin(*appearance)).groupBy("token", "family").agg(F.collect_set("mode").alias("_own"))
-    return per.crossJoin(F.broadcast(modes)).select("token", "family", F.explode(F.array_except("_all", "_own")).alias("mode"))
+    keys = run_keys(concept_modes)
+    modes = concept_modes.groupBy(*keys).agg(F.array_sort(F.collect_set("mode")).alias("_all"))
+    per = concept_modes.where(F.col("family").isin(*appearance)).groupBy(*keys, "token", "family").agg(F.collect_set("mode").alias("_own"))
+    both = per.join(modes, keys) if keys else per.crossJoin(F.broadcast(modes))
+    return both.select(*keys, "token", "family", F.explode(F.array_except("_all", "_own")).alias("mode"))
 
 
 def unresolved_pairs(audited: DataFrame, resolved: DataFrame) -> DataFrame:
-    return audited.join(resolved.select("bundle", "mode").distinct(), ["bundle", "mode"], "left_anti")
+    """Audited pairs (bundle, mode) of a repository without output in it."""
+    keys = [*run_keys(audited), "bundle", "mode"]
+    return audited.join(resolved.select(*keys).distinct(), keys, "left_anti")
 
 
 def adoption_model(capabilities: DataFrame, usage: DataFrame) -> DataFrame:

@@ -157,9 +157,12 @@ def leak_state(groups: DataFrame, repos: DataFrame) -> DataFrame:
 
 def owner_groups(literals: DataFrame) -> DataFrame:
     """The same occurrences by value, by component and by owner, each with its own counts and score."""
-    own = literals.withColumn("value", s.normalize_literal(F.col("literal"))).withColumn("component", s.component_identity(F.col("path"))["key"]).withColumn("owner", s.owner_for(F.col("path")))
-    rows = own.select(*REPO, "path", F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), F.col(k).alias("key")) for k in ("value", "component", "owner")])).alias("g")).select(*REPO, "path", "g.dimension", "g.key")
-    out = rows.groupBy(*REPO, "dimension", "key").agg(F.count("*").alias("occurrences"), F.countDistinct("path").alias("files"))
+    per = literals.groupBy(*REPO, "path", s.normalize_literal(F.col("literal")).alias("value")).agg(F.count("*").alias("n"))
+    # A path's owners are worked out once, not once an occurrence.
+    paths = literals.select(*REPO, "path").distinct().withColumn("component", s.component_identity(F.col("path"))["key"]).withColumn("owner", s.owner_for(F.col("path")))
+    cells = F.array(*[F.struct(F.lit(k).alias("dimension"), F.col(k).alias("key")) for k in ("value", "component", "owner")])
+    rows = per.join(paths, [*REPO, "path"]).select(*REPO, "path", "n", F.explode(cells).alias("g")).select(*REPO, "path", "n", "g.dimension", "g.key")
+    out = rows.groupBy(*REPO, "dimension", "key").agg(F.sum("n").alias("occurrences"), F.countDistinct("path").alias("files"))
     return out.withColumn("score", s.score(F.col("occurrences"), F.col("files"), F.lit(1), F.lit("manual review")))
 
 

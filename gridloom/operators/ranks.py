@@ -16,6 +16,11 @@ def run_keys(df: DataFrame) -> list[str]:
     return [c for c in ("repo_id", "run_id") if c in df.columns]
 
 
+def repo_keys(*dfs: DataFrame) -> list[str]:
+    """repo_id where all of the tables have it: for comparisons of two runs, which have ids of their own."""
+    return ["repo_id"] if all("repo_id" in df.columns for df in dfs) else []
+
+
 def ranked(df: DataFrame, order: list[Column | str], name: str = "rank", running: str | None = None) -> DataFrame:
     """df with a column of that name: each row's place from 1 among the rows of its keys (run_keys), in the given total order.
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import vocabulary as v
+from gridloom.operators.discovery import rules_of
 from gridloom.operators.evidence import needle_hits
-from gridloom.operators.ranks import run_keys
+from gridloom.operators.grades import all_checks
+from gridloom.operators.ranks import ranked, repo_keys, run_keys
 
 
 def compat_gate(a: DataFrame, b: DataFrame, exact: list[str], sets: list[str], key: str = "repo_id") -> DataFrame:
@@ -19,16 +21,18 @@ def compat_gate(a: DataFrame, b: DataFrame, exact: list[str], sets: list[str], k
 
 
 def trend_diff(baseline: DataFrame, current: DataFrame) -> DataFrame:
-    """(id, change, before, after): new, resolved, grew, shrank or same, by occurrences."""
-    both = baseline.select("id", F.col("occurrences").alias("before")).join(current.select("id", F.col("occurrences").alias("after")), "id", "full")
+    """(repo_id where both have it, id, change, before, after): new, resolved, grew, shrank or same, by occurrences."""
+    keys = [*repo_keys(baseline, current), "id"]
+    both = baseline.select(*keys, F.col("occurrences").alias("before")).join(current.select(*keys, F.col("occurrences").alias("after")), keys, "full")
     change = F.when(F.col("before").isNull(), "new").when(F.col("after").isNull(), "resolved").when(F.col("after") > F.col("before"), "grew").when(F.col("after") < F.col("before"), "shrank").otherwise("same")
-    return both.select("id", change.alias("change"), "before", "after")
+    return both.select(*keys, change.alias("change"), "before", "after")
 
 
 def regressions(diff: DataFrame, resolved_before: DataFrame) -> DataFrame:
-    """What grew, and what came back after it was resolved."""
-    back = diff.where("change = 'new'").join(resolved_before.select("id").distinct(), "id", "left_semi").select("id", F.lit("returned").alias("why"))
-    return diff.where("change = 'grew'").select("id", F.lit("grew").alias("why")).union(back)
+    """What grew, and what came back after it was resolved in the same repository."""
+    keys = [*repo_keys(diff, resolved_before), "id"]
+    back = diff.where("change = 'new'").join(resolved_before.select(*keys).distinct(), keys, "left_semi").select(*keys, F.lit("returned").alias("why"))
+    return diff.where("change = 'grew'").select(*keys, F.lit("grew").alias("why")).union(back)
 
 
 def ci_verdict(repos: DataFrame, baselines: DataFrame, gate: DataFrame, found: DataFrame) -> DataFrame:
@@ -41,16 +45,23 @@ def ci_verdict(repos: DataFrame, baselines: DataFrame, gate: DataFrame, found: D
 
 
 def run_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(section, field, a, b, same) of two runs' unpivoted fields; a field that one lacks is different."""
-    key = ["section", "field"]
+    """(repo_id where both have it, section, field, a, b, same) of two runs' unpivoted fields; a field that one lacks is different."""
+    key = [*repo_keys(a, b), "section", "field"]
     out = a.select(*key, F.col("value").alias("a")).join(b.select(*key, F.col("value").alias("b")), key, "full")
     return out.withColumn("same", F.col("a").eqNullSafe(F.col("b")))
 
 
+def grades_agreed(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(repo_id, agreed, checks): of the eight checks of two runs' grades, those graded alike; a check that a run lacks is not visible in it."""
+    both = all_checks(a).withColumnRenamed("grade", "a").join(all_checks(b).select("repo_id", "check_id", F.col("grade").alias("b")), ["repo_id", "check_id"])
+    return both.groupBy("repo_id").agg(F.count(F.when(F.col("a") == F.col("b"), 1)).alias("agreed"), F.count("*").alias("checks"))
+
+
 def evidence_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Per check: evidence that both runs have, and that either alone has, from (check, item)."""
-    seen = a.select("check", "item", F.lit(1).alias("x"), F.lit(0).alias("y")).union(b.select("check", "item", F.lit(0), F.lit(1))).groupBy("check", "item").agg(F.max("x").alias("x"), F.max("y").alias("y"))
-    return seen.groupBy("check").agg(F.sum(F.col("x") * F.col("y")).alias("shared"), F.sum(F.col("x") * (1 - F.col("y"))).alias("only_a"), F.sum((1 - F.col("x")) * F.col("y")).alias("only_b"))
+    """Per check (and repo_id where both have it): evidence that both runs have, and that either alone has, from (check, item)."""
+    keys = [*repo_keys(a, b), "check"]
+    seen = a.select(*keys, "item", F.lit(1).alias("x"), F.lit(0).alias("y")).union(b.select(*keys, "item", F.lit(0), F.lit(1))).groupBy(*keys, "item").agg(F.max("x").alias("x"), F.max("y").alias("y"))
+    return seen.groupBy(*keys).agg(F.sum(F.col("x") * F.col("y")).alias("shared"), F.sum(F.col("x") * (1 - F.col("y"))).alias("only_a"), F.sum((1 - F.col("x")) * F.col("y")).alias("only_b"))
 
 
 def confidence_delta(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -74,14 +85,16 @@ def freshness(commits: DataFrame, refs: DataFrame, dirty: DataFrame) -> DataFram
 
 def merge_evidence(roots: DataFrame) -> DataFrame:
     """One record a path: the strongest confidence, all profiles, owned if any record is. roots: path, confidence_rank, ownership, profile."""
-    rows = roots.groupBy("path").agg(F.max("confidence_rank").alias("r"), F.array_join(F.array_sort(F.collect_set("profile")), ",").alias("profiles"), F.bool_or(F.col("ownership") == "owned").alias("o"))
-    return rows.select("path", F.element_at(F.array(*[F.lit(c) for c in v.ROOT_RANK]), F.col("r") + 1).alias("confidence"), "profiles", F.when(F.col("o"), "owned").otherwise("shared").alias("ownership"))
+    keys = [*run_keys(roots), "path"]
+    rows = roots.groupBy(*keys).agg(F.max("confidence_rank").alias("r"), F.array_join(F.array_sort(F.collect_set("profile")), ",").alias("profiles"), F.bool_or(F.col("ownership") == "owned").alias("o"))
+    return rows.select(*keys, F.element_at(F.array(*[F.lit(c) for c in v.ROOT_RANK]), F.col("r") + 1).alias("confidence"), "profiles", F.when(F.col("o"), "owned").otherwise("shared").alias("ownership"))
 
 
 def merge_capabilities(contributions: DataFrame) -> DataFrame:
     """The most conservative state of each capability, and whether profiles disagree. contributions: capability, state, profile."""
-    rows = contributions.groupBy("capability").agg(F.bool_and(F.col("state") == "verified").alias("ok"), (F.countDistinct("state") > 1).alias("conflict"), F.countDistinct("profile").alias("profiles"))
-    return rows.select(F.element_at(F.array(*[F.lit(c) for c in v.CAPABILITIES]), F.col("capability") + 1).alias("capability"), F.when(F.col("ok"), "verified").otherwise("not-visible").alias("state"), "conflict", "profiles")
+    keys = run_keys(contributions)
+    rows = contributions.groupBy(*keys, "capability").agg(F.bool_and(F.col("state") == "verified").alias("ok"), (F.countDistinct("state") > 1).alias("conflict"), F.countDistinct("profile").alias("profiles"))
+    return rows.select(*keys, F.element_at(F.array(*[F.lit(c) for c in v.CAPABILITIES]), F.col("capability") + 1).alias("capability"), F.when(F.col("ok"), "verified").otherwise("not-visible").alias("state"), "conflict", "profiles")
 
 
 def promote_roots(roots: DataFrame, reached: DataFrame) -> DataFrame:
@@ -103,9 +116,19 @@ def match_signals(files: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 def score_profiles(evidence: DataFrame, signals: DataFrame, minimum: int = 1) -> DataFrame:
-    """hits / signals to three places; active if all required signals hit and enough of the others do."""
-    own = signals.select("profile", "signal", "required").join(evidence.select("profile", "signal", F.lit(1).alias("hit")), ["profile", "signal"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
-    rows = own.groupBy("profile").agg(F.sum("hit").alias("hits"), F.count("*").alias("total"), F.min(F.when(F.col("required"), F.col("hit"))).alias("must"), F.sum(F.when(~F.col("required"), F.col("hit")).otherwise(0)).alias("more"))
+    """hits / signals to three places, per repository where evidence has them; active if all required signals hit and enough of the others do.
+
+    Ranked by score, then by priority where signals have one (the highest of a profile's), then by profile. A repository
+    without any evidence has no rows.
+    """
+    keys = run_keys(evidence)
+    rules = signals.select("profile", "signal", "required").distinct()
+    want = evidence.select(*keys).distinct().crossJoin(rules_of(rules)) if keys else rules
+    own = want.join(evidence.select(*keys, "profile", "signal", F.lit(1).alias("hit")), [*keys, "profile", "signal"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    rows = own.groupBy(*keys, "profile").agg(F.sum("hit").alias("hits"), F.count("*").alias("total"), F.min(F.when(F.col("required"), F.col("hit"))).alias("must"), F.sum(F.when(~F.col("required"), F.col("hit")).otherwise(0)).alias("more"))
     active = (F.coalesce("must", F.lit(1)) == 1) & (F.col("more") >= minimum)
-    scored = rows.select("profile", "hits", "total", F.round(F.col("hits") / F.col("total"), 3).alias("score"), active.alias("active"))
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "profile")))
+    scored = rows.select(*keys, "profile", "hits", "total", F.round(F.col("hits") / F.col("total"), 3).alias("score"), active.alias("active"))
+    if "priority" not in signals.columns:
+        return ranked(scored, [F.desc("score"), "profile"])
+    first = signals.groupBy("profile").agg(F.max("priority").alias("priority"))
+    return ranked(scored.join(first, "profile", "left"), [F.desc("score"), F.desc("priority"), "profile"])

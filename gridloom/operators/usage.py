@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import scalars as s
 from gridloom.functions import vocabulary as v
-from gridloom.operators.ranks import first_ranks, ranked
+from gridloom.operators.ranks import first_ranks, ranked, run_keys
 
 REPO = ["repo_id"]
 
@@ -23,8 +23,9 @@ UTILITY_PREFIXES = [
 
 
 def known_refs(refs: DataFrame, concepts: DataFrame, definitions: DataFrame) -> DataFrame:
-    """References to concepts of the run from files that define none. concepts: token, family; definitions: path."""
-    return refs.join(definitions.select("path").distinct(), "path", "left_anti").join(concepts.select("token", "family"), "token")
+    """References to concepts of their run from files that define none. concepts: token, family; definitions: path; keys as far as concepts have them."""
+    keys = run_keys(concepts)
+    return refs.join(definitions.select(*keys, "path").distinct(), [*keys, "path"], "left_anti").join(concepts.select(*keys, "token", "family"), [*keys, "token"])
 
 
 def component_rollup(refs: DataFrame) -> DataFrame:
@@ -76,36 +77,38 @@ def prefix_table(spark) -> DataFrame:
 
 
 def merge_theme(default: DataFrame, project: DataFrame) -> DataFrame:
-    """(namespace, key, value, origin): the project's value where it has one."""
-    own = lambda df, name: df.groupBy("namespace", "key").agg(F.min("value").alias(name))
-    out = own(default, "d").join(own(project, "p"), ["namespace", "key"], "full")
-    return out.select("namespace", "key", F.coalesce("p", "d").alias("value"), F.when(F.col("p").isNotNull(), "project").otherwise("default").alias("origin"))
+    """(keys, namespace, key, value, origin): the project's value where it has one. Both tables have the same keys."""
+    keys = run_keys(project)
+    own = lambda df, name: df.groupBy(*keys, "namespace", "key").agg(F.min("value").alias(name))
+    out = own(default, "d").join(own(project, "p"), [*keys, "namespace", "key"], "full")
+    return out.select(*keys, "namespace", "key", F.coalesce("p", "d").alias("value"), F.when(F.col("p").isNotNull(), "project").otherwise("default").alias("origin"))
 
 
 def resolve_utilities(classes: DataFrame, prefixes: DataFrame, theme: DataFrame) -> DataFrame:
-    """(class, state, concept, derived): the longest prefix alone decides; a named key beats a numeric step of the root token.
+    """(keys, class, state, concept, derived): the longest prefix alone decides; a named key of the repository's theme beats a numeric step of the root token.
 
     classes: class. Each class meets the prefixes as the stems of its own hyphen segments, so that no pair of a class and
     a prefix is made that doesn't match. Two named keys are ambiguous. Derived matches are told apart from named ones.
     """
-    own = classes.select("class").distinct().withColumn("base", s.peel(F.col("class")))
+    repo = run_keys(theme)
+    own = classes.select(*repo, "class").distinct().withColumn("base", s.peel(F.col("class")))
     parts = F.split("base", "-")
-    stems = own.where(~F.col("base").rlike(r"[\[(]") & (F.col("base") != "")).select("class", "base", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "-"))).alias("prefix"))
-    known = stems.join(F.broadcast(prefixes.select("prefix").distinct()), "prefix").groupBy("class", "base").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
+    stems = own.where(~F.col("base").rlike(r"[\[(]") & (F.col("base") != "")).select(*repo, "class", "base", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "-"))).alias("prefix"))
+    known = stems.join(F.broadcast(prefixes.select("prefix").distinct()), "prefix").groupBy(*repo, "class", "base").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
     spaces = known.withColumn("key", F.regexp_replace(F.expr("substring(base, length(prefix) + 1)"), "^-+", "")).join(F.broadcast(prefixes), "prefix")
-    keys = theme.select("namespace", "key").distinct()
+    keys = theme.select(*repo, "namespace", "key").distinct()
     named = keys.withColumn("_named", F.lit(True))
-    root = keys.where("key = ''").select("namespace", F.lit(True).alias("_root"))
-    seen = spaces.join(named, ["namespace", "key"], "left").join(root, "namespace", "left")
+    root = keys.where("key = ''").select(*repo, "namespace", F.lit(True).alias("_root"))
+    seen = spaces.join(named, [*repo, "namespace", "key"], "left").join(root, [*repo, "namespace"], "left")
     concept = lambda k: F.when(k == "", F.col("namespace")).otherwise(F.concat_ws("-", "namespace", k))
     step = F.col("_named").isNull() & F.col("_root") & F.col("key").rlike(r"^\d+(\.\d+)?$")
-    rows = seen.groupBy("class").agg(
+    rows = seen.groupBy(*repo, "class").agg(
         F.count("_named").alias("n"), F.min(F.when(F.col("_named"), concept(F.col("key")))).alias("c"), F.min(F.when(step, F.struct("ord", concept(F.lit("")).alias("c")))).alias("d"),
     )
-    out = own.select("class").join(rows, "class", "left")
+    out = own.select(*repo, "class").join(rows, [*repo, "class"], "left")
     state = F.when(F.col("n") > 1, "ambiguous").when((F.col("n") == 1) | F.col("d").isNotNull(), "resolved").otherwise("unresolved")
     derived = F.coalesce((F.col("n") == 0) & F.col("d").isNotNull(), F.lit(False))
-    return out.select("class", state.alias("state"), F.when(F.col("n") == 1, F.col("c")).when(derived, F.col("d.c")).alias("concept"), derived.alias("derived"))
+    return out.select(*repo, "class", state.alias("state"), F.when(F.col("n") == 1, F.col("c")).when(derived, F.col("d.c")).alias("concept"), derived.alias("derived"))
 
 
 def arbitrary_values(classes: DataFrame) -> DataFrame:
@@ -117,10 +120,11 @@ def arbitrary_values(classes: DataFrame) -> DataFrame:
 
 
 def namespace_coverage(theme: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Each namespace of the theme: covered by a prefix, making no utilities, or uncovered."""
+    """Each namespace of a repository's theme: covered by a prefix, making no utilities, or uncovered."""
+    keys = run_keys(theme)
     known = prefixes.select("namespace").distinct().withColumn("_c", F.lit(True))
-    out = theme.groupBy("namespace").agg(F.count("*").alias("keys")).join(known, "namespace", "left")
-    return out.select("namespace", "keys", F.when(F.col("_c"), "covered").when(F.col("namespace").isin("default", "breakpoint"), "non-utility").otherwise("uncovered").alias("state"))
+    out = theme.groupBy(*keys, "namespace").agg(F.count("*").alias("keys")).join(known, "namespace", "left")
+    return out.select(*keys, "namespace", "keys", F.when(F.col("_c"), "covered").when(F.col("namespace").isin("default", "breakpoint"), "non-utility").otherwise("uncovered").alias("state"))
 
 
 def contrast_pairs(tokens: DataFrame, pairs: DataFrame) -> DataFrame:

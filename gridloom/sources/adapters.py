@@ -134,6 +134,21 @@ SELECT concat('n', CAST(s_nationkey AS STRING)) AS repo_id, concat('p', CAST(s_s
  CAST(row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 5 = 0 ORDER BY s_suppkey) - CASE WHEN s_nationkey % 6 = 0 THEN 0 ELSE 1 END AS INT) AS ord, CASE WHEN s_suppkey % 11 <> 0 THEN 'adapter' END AS adapter, 'framework' AS kind, 'registered' AS confidence,
  CASE WHEN s_suppkey % 2 = 0 THEN 'user-selected' ELSE 'detected' END AS activation, CAST(s_suppkey % 7 AS INT) AS proofs
 FROM {supplier}""",
+    # One source file a part, of eight kinds by its key: modules, style sheets, token tables, theme objects, manifests, script configurations, pages, themes.
+    "source_files": """
+SELECT repo_id, kind, k, size, hex6, word, concat(CASE kind WHEN 0 THEN 'src/m' WHEN 1 THEN 'styles/_t' WHEN 2 THEN 'tokens/t' WHEN 3 THEN 'src/theme' WHEN 4 THEN 'packages/w' WHEN 5 THEN 'packages/w' WHEN 6 THEN CASE WHEN size % 5 = 0 THEN 'dist/p' ELSE 'public/p' END
+  ELSE CASE WHEN size % 7 = 0 THEN 'vendor/app' ELSE 'src/vendor/app' END END, ks, CASE kind WHEN 0 THEN '.ts' WHEN 1 THEN '.scss' WHEN 2 THEN '.json' WHEN 3 THEN '.ts' WHEN 4 THEN '/package.json' WHEN 5 THEN '/tsconfig.json' WHEN 6 THEN '.html' ELSE '.css' END) AS path,
+ CASE kind
+  WHEN 0 THEN concat('import a from "./m', before, '"', nl, 'export ', o, ' b ', c, ' from "../lib/missing"', nl, 'const c = import("./m', early, '.ts")', nl, 'const d = import(name)', nl, 'import "react"', nl, 'const q = require("@acme/w', CAST(k + 4 AS STRING), '/package.json")', nl, '// import z from "./dead"')
+  WHEN 1 THEN concat('@use "t', before, '";', nl, '@import url("theme.css");', nl, '$accent: ', hex6, ' !default;', nl, '$spacing: (', nl, '  "sm": 4px,', nl, '  inner: (', nl, '    lg: 8px,', nl, '  ),', nl, ');', nl, '.a ', o, ' color: $accent; padding: var(--space-1); ', c, ' // var(--dead)')
+  WHEN 2 THEN concat(o, '"color": ', o, '"', word, '": ', o, '"$value": "', hex6, '"', c, c, ', "size": ', o, '"value": "4px"', c, ', "$meta": ', o, '"x": ', o, '"value": "no"', c, c, c)
+  WHEN 3 THEN concat('export const theme = ', o, nl, '  color: ', o, nl, '    ', word, ': "', hex6, '",', nl, '  ', c, ',', nl, '  "--gap": "4px",', nl, '  radius: base.thing,', nl, c)
+  WHEN 4 THEN concat(o, '"name": "@acme/w', ks, '", "dependencies": ', o, '"tailwindcss": "^4.', CAST(size AS STRING), '.0"', c, c)
+  WHEN 5 THEN concat(o, ' // paths', nl, '"compilerOptions": ', o, '"paths": ', o, '"@', word, '/*": ["src/*", "lib/*",], ', c, c, c)
+  WHEN 6 THEN concat('<script src="./a', ks, '.js"></script>', nl, '<link rel="stylesheet" href="/css/s.css">', nl, '<link rel="icon" href="/i.png">', nl, '<div class="bg-', word, ' p-4 md:flex">')
+  ELSE concat('@theme ', o, nl, '  --color-', word, ': ', hex6, ';', nl, '  --text-lg: 2rem;', nl, c, nl, '/* color: #123456 */', nl, '.x ', o, ' color: #ABC; ', c) END AS content
+FROM (SELECT concat('r', CAST(CAST(floor(p_partkey/8) AS BIGINT) % 5 AS STRING)) AS repo_id, CAST(p_partkey % 8 AS INT) AS kind, p_partkey AS k, CAST(p_partkey AS STRING) AS ks, CAST(p_partkey - 40 AS STRING) AS before, CAST(p_partkey - 80 AS STRING) AS early, CAST(p_size AS INT) AS size,
+ concat('#', lower(lpad(hex(p_size * 4113 + 256),6,'0'))) AS hex6, split_part(p_name,' ',2) AS word, chr(10) AS nl, chr(123) AS o, chr(125) AS c FROM {part}) x""",
 }
 
 
