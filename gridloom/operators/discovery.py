@@ -10,13 +10,24 @@ from gridloom.operators.extract import ORPHAN_EXCLUDED, not_excluded
 from gridloom.operators.ranks import run_keys
 
 REPO = ["repo_id"]
-#: Rows up to which a rule table is broadcast.
+#: Rows of a rule table that are broadcast at once.
 MOST_RULES = 10_000
 
 
-def rules_of(df: DataFrame) -> DataFrame:
-    """A table of rules for a join by pattern: broadcast up to MOST_RULES rows, a count that is checked; beyond it is left to the join, with the same result."""
-    return F.broadcast(df) if df.limit(MOST_RULES + 1).count() <= MOST_RULES else df
+def join_rules(left: DataFrame, rules: DataFrame, on: F.Column) -> DataFrame:
+    """left joined with a table of rules by a test that is no equality.
+
+    A broadcast side has MOST_RULES rows at most, a count that is checked. More rules are dealt into parts by hash, each
+    of about half as many, and left is read once a part; the rows are the same.
+    """
+    count = rules.count()
+    parts = 1 if count <= MOST_RULES else -(-2 * count // MOST_RULES)
+    out = None
+    for k in range(parts):
+        some = rules if parts == 1 else rules.where(F.pmod(F.xxhash64(*rules.columns), F.lit(parts)) == k)
+        met = left.join(F.broadcast(some), on)
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 def glob_regex(pattern: str) -> str:
@@ -37,7 +48,7 @@ def glob_regex(pattern: str) -> str:
 
 def matching(files: DataFrame, patterns: DataFrame) -> DataFrame:
     """files (path) by patterns (regex, ...) that they match; only paths are looked at."""
-    return files.join(rules_of(patterns), F.regexp_like("path", F.col("regex")))
+    return join_rules(files, patterns, F.regexp_like("path", F.col("regex")))
 
 
 def ownership(files: DataFrame, patterns: DataFrame, default: str = "outside") -> DataFrame:
@@ -79,13 +90,13 @@ def rewrite_aliases(specs: DataFrame, aliases: DataFrame) -> DataFrame:
     fits = (star & F.col("spec").startswith(stem)) | (F.col("spec") == F.col("pattern"))
     rest = F.expr("substring(spec, length(regexp_replace(pattern, '[*]$', '')) + 1)")
     made = F.when(star, F.concat(F.regexp_replace("target", r"\*$", ""), rest)).otherwise(F.col("target"))
-    hit = specs.select("spec").distinct().join(rules_of(aliases), fits).groupBy("spec").agg(F.max_by(made, F.struct(F.length("pattern"), "pattern")).alias("r"))
+    hit = join_rules(specs.select("spec").distinct(), aliases, fits).groupBy("spec").agg(F.max_by(made, F.struct(F.length("pattern"), "pattern")).alias("r"))
     return specs.select("spec").distinct().join(hit, "spec", "left").select("spec", F.coalesce("r", "spec").alias("rewritten"))
 
 
 def rewrite_profiles(specs: DataFrame, rewrites: DataFrame) -> DataFrame:
     """(spec, rewritten, ambiguous) by prefix rewrites (prefix, target): two destinations or more block the resolution."""
-    hit = specs.select("spec").distinct().join(rules_of(rewrites), F.col("spec").startswith(F.col("prefix"))).select("spec", F.concat("target", F.expr("substring(spec, length(prefix) + 1)")).alias("d")).distinct()
+    hit = join_rules(specs.select("spec").distinct(), rewrites, F.col("spec").startswith(F.col("prefix"))).select("spec", F.concat("target", F.expr("substring(spec, length(prefix) + 1)")).alias("d")).distinct()
     rows = hit.groupBy("spec").agg(F.count("*").alias("n"), F.min("d").alias("d"))
     return rows.select("spec", F.when(F.col("n") == 1, F.col("d")).alias("rewritten"), (F.col("n") > 1).alias("ambiguous"))
 

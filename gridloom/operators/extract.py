@@ -461,9 +461,9 @@ def registered_roots(files: DataFrame, rules: DataFrame) -> DataFrame:
 
     Rules are rows that a user adds; files meet them by name before any content is searched.
     """
-    from gridloom.operators.discovery import rules_of
+    from gridloom.operators.discovery import join_rules
 
-    met = files.join(rules_of(rules), F.regexp_like("path", F.col("glob")))
+    met = join_rules(files, rules, F.regexp_like("path", F.col("glob")))
     return met.select("repo_id", "path", "profile", F.explode(F.regexp_extract_all("content", F.col("regex"), F.lit(1))).alias("spec")).where(s.safe_relative(F.col("spec"))).distinct()
 
 

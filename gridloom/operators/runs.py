@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import vocabulary as v
-from gridloom.operators.discovery import rules_of
+from gridloom.operators.discovery import join_rules
 from gridloom.operators.evidence import needle_hits
 from gridloom.operators.grades import all_checks
 from gridloom.operators.ranks import ranked, repo_keys, run_keys
@@ -123,7 +123,7 @@ def score_profiles(evidence: DataFrame, signals: DataFrame, minimum: int = 1) ->
     """
     keys = run_keys(evidence)
     rules = signals.select("profile", "signal", "required").distinct()
-    want = evidence.select(*keys).distinct().crossJoin(rules_of(rules)) if keys else rules
+    want = join_rules(evidence.select(*keys).distinct(), rules, F.lit(True)) if keys else rules
     own = want.join(evidence.select(*keys, "profile", "signal", F.lit(1).alias("hit")), [*keys, "profile", "signal"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     rows = own.groupBy(*keys, "profile").agg(F.sum("hit").alias("hits"), F.count("*").alias("total"), F.min(F.when(F.col("required"), F.col("hit"))).alias("must"), F.sum(F.when(~F.col("required"), F.col("hit")).otherwise(0)).alias("more"))
     active = (F.coalesce("must", F.lit(1)) == 1) & (F.col("more") >= minimum)

@@ -106,7 +106,7 @@ SELECT lower(replace(p_brand,'#','')) AS repo_id, 'src/brand.css' AS path, CAST(
 FROM {part}""",
     # Three repositories whose files have the same paths.
     "repo_edges": """
-SELECT repo_id, concat('src/f', CAST(CAST(floor(k/2) AS BIGINT) AS STRING), '.ts') AS src, concat('src/f', CAST(k AS STRING), '.ts') AS dst FROM (SELECT concat('r', CAST(p_partkey % 3 AS STRING)) AS repo_id, CAST(floor(p_partkey/3) AS BIGINT) AS k, p_size FROM {part}) x WHERE k > 0 AND p_size % 7 <> 0
+SELECT repo_id, concat('src/f', CAST(CAST(floor(k/6) AS BIGINT) AS STRING), '.ts') AS src, concat('src/f', CAST(k AS STRING), '.ts') AS dst FROM (SELECT concat('r', CAST(p_partkey % 3 AS STRING)) AS repo_id, CAST(floor(p_partkey/3) AS BIGINT) AS k, p_size FROM {part}) x WHERE k > 0 AND p_size % 7 <> 0
 UNION ALL
 SELECT repo_id, concat('src/f', CAST(k AS STRING), '.ts'), concat('src/f', CAST(CAST(floor(k/3) AS BIGINT) AS STRING), '.ts') FROM (SELECT concat('r', CAST(p_partkey % 3 AS STRING)) AS repo_id, CAST(floor(p_partkey/3) AS BIGINT) AS k, p_size FROM {part}) x WHERE k > 0 AND p_size % 5 = 0""",
     "repo_roots": """

@@ -378,3 +378,79 @@ def test_near_colors_are_found_within_few_candidates(spark):
     a, b = even(400).withColumnRenamed("x", "literal").withColumn("repo_id", F.lit("a")), even(400).withColumnRenamed("x", "value").withColumnRenamed("_lab", "_q").withColumn("repo_id", F.lit("a"))
     by_lightness = a.select(F.floor(F.col("_lab.l") / 5.25).alias("k")).join(b.select(F.explode(F.array(*[F.floor(F.col("_q.l") / 5.25) + d for d in (-1, 0, 1)])).alias("k")), "k").count()
     assert leaks.color_candidates(a, b, 3.0).count() < by_lightness / 10
+
+
+def test_keys_in_usage_grades_and_runs(spark):
+    from gridloom.operators import usage
+
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    refs = spark.createDataFrame([("a", "x.css", "t", "css"), ("b", "x.css", "t", "css"), ("b", "d.css", "t", "css")], "repo_id string, path string, token string, syntax string")
+    concepts, definitions = spark.createDataFrame([("a", "t", "color"), ("b", "t", "motion")], "repo_id string, token string, family string"), spark.createDataFrame([("b", "d.css"), ("a", "other.css")], "repo_id string, path string")
+    assert {(r["repo_id"], r["family"]) for r in usage.known_refs(refs, concepts, definitions).collect()} == {("a", "color"), ("b", "motion")}
+    theme = lambda xs: spark.createDataFrame(xs, "repo_id string, namespace string, key string, value string")
+    merged = usage.merge_theme(theme([("a", "color", "red", "1"), ("b", "color", "red", "1")]), theme([("b", "color", "red", "2"), ("b", "spacing", "", "4px")]))
+    assert rows(merged) == {("a", "color", "red", "1", "default"), ("b", "color", "red", "2", "project"), ("b", "spacing", "", "4px", "project")}
+    classes = spark.createDataFrame([("a", "p-4"), ("b", "p-4"), ("a", "bg-red")], "repo_id string, class string")
+    assert {(r["repo_id"], r["class"], r["state"]) for r in usage.resolve_utilities(classes, usage.prefix_table(spark), merged).collect()} == {("a", "p-4", "unresolved"), ("b", "p-4", "resolved"), ("a", "bg-red", "resolved")}
+    modes = spark.createDataFrame([("a", "t", "color", "dark"), ("a", "u", "color", "light"), ("b", "t", "color", "dark")], "repo_id string, token string, family string, mode string")
+    assert rows(g.mode_gaps(modes)) == {("a", "t", "color", "light"), ("a", "u", "color", "dark")}
+    pairs = spark.createDataFrame([("a", "x", "dark"), ("b", "y", "light")], "repo_id string, bundle string, mode string")
+    families, cells = spark.createDataFrame([("color",)], "family string"), spark.createDataFrame([("a", "x", "dark", "color", "counted")], "repo_id string, bundle string, mode string, family string, state string")
+    assert rows(g.coverage_matrix(pairs, pairs, families, cells)) == {("a", "x", "dark", "color", "counted"), ("b", "y", "light", "color", "not-visible")}
+    assert rows(g.unresolved_pairs(pairs, pairs.where("repo_id = 'a'"))) == {("b", "y", "light")}
+    found = lambda xs: spark.createDataFrame(xs, "repo_id string, id string, occurrences int")
+    diff = runs.trend_diff(found([("a", "f", 1), ("b", "f", 5)]), found([("a", "f", 3), ("c", "f", 1)]))
+    assert rows(diff) == {("a", "f", "grew", 1, 3), ("b", "f", "resolved", 5, None), ("c", "f", "new", None, 1)}
+    assert rows(runs.regressions(diff, found([("c", "f", 0)]))) == {("a", "f", "grew"), ("c", "f", "returned")}
+    one, two = (spark.createDataFrame([("a", k, x) for k, x in enumerate(xs)], "repo_id string, check_id int, grade string") for xs in (["healthy"] * 8, ["healthy"] * 6))
+    assert rows(runs.grades_agreed(one, two)) == {("a", 6, 8)}
+    signals = spark.createDataFrame([("vite", 0, "VITE", True, 1), ("vite", 1, "react", False, 1), ("next", 0, "next", True, 9), ("next", 1, "none", False, 9)], "profile string, signal int, needle string, required boolean, priority int")
+    files = spark.createDataFrame([("a", "p.json", "vite react"), ("b", "p.json", "next"), ("b", "q.json", "Vite")], "repo_id string, path string, content string")
+    scored = runs.score_profiles(runs.match_signals(files, signals), signals)
+    assert {(r["repo_id"], r["profile"], r["score"], r["active"], r["rank"]) for r in scored.collect()} == {("a", "vite", 1.0, True, 1), ("a", "next", 0.0, False, 2), ("b", "next", 0.5, False, 1), ("b", "vite", 0.5, False, 2)}
+
+
+def test_capabilities_and_paths_that_count(spark):
+    from gridloom.operators import discovery
+
+    repo = lambda *xs: spark.createDataFrame([(x,) for x in xs], "repo_id string")
+    roots = spark.createDataFrame([("a", True, "product", "framework-registered", "owned"), ("b", True, "product", "runtime verified", "shared"), ("b", False, "product", "framework-registered", "owned"), ("c", True, "product", "static candidate", "owned")], "repo_id string, exists boolean, scope string, confidence string, ownership string")
+    out = discovery.capability_states(repo("a", "b", "c"), repo("a").withColumn("part", F.lit("active")), roots, repo("a", "b"), repo("b").withColumn("reason", F.lit("dynamic runtime import")).union(repo("a").withColumn("reason", F.lit("external package"))))
+    proven = defaultdict(set)
+    for r in out.collect():
+        proven[r["repo_id"]] |= {r["capability"]} if r["state"] == "verified" else set()
+    assert dict(proven) == {"a": {"detection", "production_roots", "import_resolution", "ownership"}, "b": set(), "c": set()} and out.count() == 21
+    paths = spark.createDataFrame([(p,) for p in ("src/a.css", "src/__fixtures__/b.css", "lib/generated/c.css", "lib/d.css", "tests/e.css")], "path string")
+    assert {r["path"] for r in discovery.orphan_candidates(paths).collect()} == {"src/a.css", "lib/d.css"}
+    assert {r["path"] for r in discovery.orphan_candidates(paths, spark.createDataFrame([(discovery.glob_regex("src/**"),)], "regex string")).collect()} == {"src/a.css"}
+    kept = lambda parts: {r["path"] for r in paths.where(extract.not_excluded(F.col("path"), parts)).collect()}
+    assert kept(extract.EXCLUDED) == {"src/a.css", "src/__fixtures__/b.css", "lib/generated/c.css", "lib/d.css"} and kept(extract.ORPHAN_EXCLUDED) == {"src/a.css", "lib/d.css"}
+    many = spark.range(10_050).selectExpr("concat('^dir', id, '(?:/.*)?$') as regex").union(spark.createDataFrame([(discovery.glob_regex("src/**"),)], "regex string"))
+    assert sorted(r["path"] for r in discovery.matching(paths, many).select("path").collect()) == ["src/__fixtures__/b.css", "src/a.css"]
+    assert "Cartesian" not in discovery.matching(paths, many)._jdf.queryExecution().executedPlan().toString()
+
+
+duckdb = pytest.importorskip("duckdb")
+
+
+@pytest.fixture(scope="module")
+def base():
+    con = duckdb.connect()
+    for t in "region nation customer supplier part orders lineitem events documents pages".split():
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", [
+    "theme_tokens", "font_evidence", "font_specimens", "brand_colors", "identity_drift", "two_walks", "enforcement_rules", "page_gaps", "component_units", "profile_rules", "check_confidence", "report_moves", "alias_chains", "contrast_pairs",
+    "import_edges", "unresolved_imports", "declared_tokens", "hex_literals", "spec_rewrites", "sibling_sources", "mode_rules", "leak_ranks",
+])
+def test_against_sql(spark, base, name):
+    from gridloom import plans
+
+    want = base.execute(plans.ORACLE[name])
+    columns = [c[0] for c in want.description]
+    got = plans.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert sorted(got.columns) == sorted(columns)
+    rows = sorted((tuple(r) for r in got.select(columns).collect()), key=str)
+    assert rows and rows == sorted(want.fetchall(), key=str)
