@@ -443,7 +443,7 @@ def base():
 
 @pytest.mark.parametrize("name", [
     "theme_tokens", "font_evidence", "font_specimens", "brand_colors", "identity_drift", "two_walks", "enforcement_rules", "page_gaps", "component_units", "profile_rules", "check_confidence", "report_moves", "alias_chains", "contrast_pairs",
-    "import_edges", "unresolved_imports", "declared_tokens", "hex_literals", "spec_rewrites", "sibling_sources", "mode_rules", "leak_ranks",
+    "import_edges", "unresolved_imports", "declared_tokens", "hex_literals", "spec_rewrites", "sibling_sources", "mode_rules", "leak_ranks", "measured_grades",
 ])
 def test_against_sql(spark, base, name):
     from gridloom import plans
@@ -454,3 +454,33 @@ def test_against_sql(spark, base, name):
     assert sorted(got.columns) == sorted(columns)
     rows = sorted((tuple(r) for r in got.select(columns).collect()), key=str)
     assert rows and rows == sorted(want.fetchall(), key=str)
+
+
+def test_measures_of_the_checks(spark):
+    from gridloom.operators import measures as m
+
+    one = lambda df: {r["repo_id"]: (r["grade"], r["measure"], r["evidence"]) for r in df.collect()}
+    repos = spark.createDataFrame([(x,) for x in "abc"], "repo_id string")
+    styles = spark.createDataFrame([("a", f"s{k}.css") for k in range(40)] + [("b", "s.css"), ("c", "s.css")], "repo_id string, path string")
+    concepts = spark.createDataFrame([("a", "blue-500", "primitive", None, "#00F"), ("a", "brand", "semantic", "blue-500", "var(--blue-500)"), ("a", "gray", "primitive", None, "#888888"), ("b", "blue-500", "primitive", None, "#0000ff"), ("b", "brand", "semantic", "blue-500", "")], "repo_id string, token string, tier string, alias_of string, value string")
+    refs = spark.createDataFrame([("a", "s1.css", 9, "blue-500"), ("a", "s1.css", 3, "blue-500"), ("a", "s2.css", 1, "gray"), ("a", "lib.ts", 1, "blue-500"), ("c", "s.css", 1, "blue-500")], "repo_id string, path string, line int, token string")
+    raw = spark.createDataFrame([("a", "s0.css", 4, "#0000FF"), ("b", "s.css", 7, "#00f")], "repo_id string, path string, line int, literal string")
+    assert one(m.tier_integrity(styles, refs, raw, concepts)) == {"a": ("watch", 2, "s0.css:4"), "b": ("needs-work", 1, "s.css:7"), "c": ("healthy", 0, None)}
+    found = spark.createDataFrame([("a", "redundant", "8px", "space-2", "x.css", 2), ("a", "redundant", "8px", "space-2", "x.css", 1), ("a", "uncovered", "9px", None, "x.css", 1), ("c", "redundant", "1", "t", "x.css", 1)], "repo_id string, tier string, literal string, token string, path string, line int")
+    assert one(m.leakage(repos, found, repos.where("repo_id <> 'c'"))) == {"a": ("watch", 1, "x.css:1"), "b": ("healthy", 0, None), "c": ("not-visible", None, None)}
+    declared = spark.createDataFrame([("a", f) for f in m.CATEGORIES[:9]] + [("a", "focus"), ("b", "color"), ("c", "color")], "repo_id string, family string")
+    default = spark.createDataFrame([("a", "opacity", "4.1"), ("a", "color", "4.1"), ("b", "opacity", None)], "repo_id string, family string, version string")
+    gaps = spark.createDataFrame([("a", "breakpoint", "q.css", 5), ("a", "color", "a.css", 1), ("b", "motion", "q.css", 1)], "repo_id string, family string, path string, line int")
+    assert one(m.coverage(repos, declared, default, gaps)) == {"a": ("watch", 10, "q.css:5"), "b": ("not-visible", None, None), "c": ("not-visible", 1, None)}
+    modes = spark.createDataFrame([("a", "dark"), ("b", "dark")], "repo_id string, mode string")
+    lacking, pairs = spark.createDataFrame([("a", "t", "dark", "t.css", 2)], "repo_id string, token string, mode string, path string, line int"), spark.createDataFrame([("b", "main", "dark")], "repo_id string, bundle string, mode string")
+    assert one(m.mode_completeness(repos, modes, lacking, pairs, pairs.limit(0))) == {"a": ("needs-work", 1, "t.css:2"), "b": ("not-visible", None, None), "c": ("not-needed", None, None)}
+    decls = spark.createDataFrame([("a", "x.css", 1, "--t", "1"), ("a", "y.css", 2, "--t", "2"), ("a", "x.css", 3, "--u", "1"), ("a", "w.css", 4, "--u", "1"), ("b", "x.css", 1, "--t", "1"), ("b", "y.css", 1, "--t", "1"), ("c", "x.css", 1, "--t", "1")], "repo_id string, path string, line int, name string, value string")
+    assert one(m.single_source(decls)) == {"a": ("needs-work", 2, "x.css:1"), "b": ("watch", 1, "x.css:1"), "c": ("healthy", 0, None)}
+    names = tokens.naming_grammars(spark.createDataFrame([("a", "css", "a-b", "p", 1), ("a", "css", "a_b", "p", 2), ("a", "scss", "aB", "p", 3), ("b", "css", "ab", "p", 1), ("b", "scss", "aB", "q", 1)], "repo_id string, representation string, name string, path string, line int"))
+    assert {k: x[:2] for k, x in one(m.naming_coherence(names)).items()} == {"a": ("watch", 2), "b": ("healthy", 1)}
+    own = spark.createDataFrame([("a", f"t{k}", "t.css", k) for k in range(100)] + [("b", "t1", "t.css", 1)], "repo_id string, token string, path string, line int")
+    used = own.where("token <> 't7'").select("repo_id", "token").union(spark.createDataFrame([("b", "t7")], "repo_id string, token string"))
+    assert one(m.orphans(own, used)) == {"a": ("healthy", 1, "t.css:7"), "b": ("healthy", 0, None)}
+    rows = m.all_grades(single_source=m.single_source(decls), orphans=m.orphans(own, used)).collect()
+    assert {(r["check"], r["check_id"]) for r in rows} == {("single-source", 5), ("orphans", 6)} and len(rows) == 5
