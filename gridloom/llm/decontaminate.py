@@ -87,7 +87,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
     spans are the hit words' places in the original text, in code points. Items are dealt into parts of about item_bytes;
     one part is the usual case, and the texts are scanned once. Null texts have no words; null items and items without
-    words have no windows; items of the same text all count; repeated rows are reported each; an empty table gives none.
+    words have no windows; items of the same text all count; repeated rows are reported each; an empty table gives none. Texts of
+    any length are scanned whole. Only doc_id and text of docs are read, so other columns may have any names.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.encode("text", "utf-8").alias("text")).where("item is not null and text is not null")

@@ -48,6 +48,7 @@ def exact_dedup(docs: DataFrame, digest=digest) -> DataFrame:
     counted before the shuffle. Should two texts share a digest, their rows take the groups of their bytes.
     Null text counts as empty. A null doc_id never names a group unless all of its ids are null, and then keep_id is null
     and the rows are kept. Repeated ids within a group are all kept rows, as they are one document. An empty table gives none.
+    Texts of any length are hashed whole. Only doc_id and text of docs are read, so other columns may have any names.
     """
     runs = flush_runs(docs, digest)
     index = compact(runs)

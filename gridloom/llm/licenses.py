@@ -60,6 +60,7 @@ def scan_licenses(docs: DataFrame, texts: list[tuple[str, str]] = KNOWN) -> Data
     """(doc_id, canonical_sha256, license) for every row of docs: the known license that its whole text is, or null.
 
     Null texts are empty, and an empty canonical text is no license. Repeated rows are reported each; an empty table gives none.
+    Texts of any length are compared whole, and one long text may be a license only if all of it is. Other columns may have any names.
     The known table has as many rows as texts, which is what is broadcast.
     """
     known = known_digests(docs.sparkSession, texts).where(F.col("digest") != F.sha2(F.lit("").cast("binary"), 256))

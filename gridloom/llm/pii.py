@@ -280,7 +280,9 @@ def find_pii(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None
 
     The counts and base_sha256 are of the fixed patterns; spans has those and what the field adds where no pattern matched, by
     start and then kind. masked is the text with each span as <KIND>, null where there is none. Null and empty texts
-    have no spans; repeated rows are reported each; an empty table gives none.
+    have no spans; repeated rows are reported each; an empty table gives none. The fixed patterns read texts of any length
+    whole, the field what lies near a trigger. Of spans that begin together the kind decides, as listed. Only doc_id and text
+    of docs are read, so other columns may have any names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or train_crf())
 

@@ -142,6 +142,8 @@ def quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     votes has a digit a labeller: 0 low, 1 high, 2 nothing. posterior is the weak-label model's chance of high quality for that pattern, score the
     hashed scorer's for the text (0 to 1), predicted 1 if score >= 0.5. Null, empty and blank texts have no words: every labeller is
     silent, and the scorer falls back on its bias. A null doc_id is scored too; repeated rows score alike; an empty table gives none.
+    Texts of any length are read whole. Ties in the drawing of the sample go by hash and id. Only doc_id and text of docs are
+    read, so other columns may have any names.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -22,6 +22,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
 
     Texts are range-partitioned before they are encoded, as the partitioner samples what it deals. position is the file's
     place in the order times 2**33 plus the row's place in the file. Null ids come first; ties keep the order of their texts.
+    Texts of any length are encoded whole; repeated rows are written each; an empty table gives files without rows. Only doc_id
+    and text of docs are read, so other columns may have any names.
     """
 
     def make():

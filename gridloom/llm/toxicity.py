@@ -155,7 +155,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Labels are learnt only where crc32(doc_id) mod 5 is not 0; scores come from the text alone. Without labels or without
     positives the score is the prior's. Null text scores as empty; a null doc_id is not held out; repeated rows score alike;
-    an empty table gives none.
+    an empty table gives none. Texts of any length are read whole, in batches bounded by bytes. Ties in the drawing of the sample
+    and among features go by hash and id, and by feature. Only doc_id and text of docs are read, so other columns may have any names.
     """
     scored = score(docs, train(docs, labels))
     return scored.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
