@@ -18,26 +18,23 @@ WORD_CHUNKS = re.compile(f"[^{WHITE}]+")
 #: str.split() takes these for white space; Unicode does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
-#: Marks of chunks seen once, by their hash; a collision only keeps a chunk sooner.
-SEEN = 1 << 23
-
-
 class ChunkEncoder:
     """encode(texts) gives for each text its ids as little-endian unsigned 32-bit bytes.
 
     The library splits a text at white space before it merges, so a text's ids are those of its chunks one after another.
-    Strings of special tokens in a text count as ordinary text. The cache keeps chunks of more than one group of texts, as
-    most others never come again; beyond max_cached of them the later half goes, as frequent ones come early. Both change
-    the speed and never the result.
+    Strings of special tokens in a text count as ordinary text. Chunks have two generations: a new one is young, and one that
+    comes again in another group of texts while it is young is kept. Beyond max_young all young ones go, as most chunks never
+    come again; beyond max_cached the later half of those kept, as frequent ones come early. Both change the speed and never
+    the result.
     """
 
-    def __init__(self, path: str, max_cached: int = 400_000):
+    def __init__(self, path: str, max_cached: int = 400_000, max_young: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.chunks = WORD_CHUNKS if self.tokenizer.normalizer is not None else BYTE_CHUNKS
-        self.max_cached, self.cache, self.seen = max_cached, {}, bytearray(SEEN)
+        self.max_cached, self.max_young, self.cache, self.young = max_cached, max_young, {}, {}
 
     def cut(self, text: str) -> list[str]:
         """The chunks of a text. A piece from one space to the next, with the first, may hold more than one chunk: no merge crosses its ends either."""
@@ -46,21 +43,28 @@ class ChunkEncoder:
         return text.replace(" ", "\0 ").split("\0") if "  " not in text and "\0" not in text else BYTE_CHUNKS.findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > self.max_cached:
-            self.cache = dict(islice(self.cache.items(), self.max_cached // 2))
-        out, cache, seen = [], self.cache, self.seen
+        out = []
         for start in range(0, len(texts), 256):
+            if len(self.cache) > self.max_cached:
+                self.cache = dict(islice(self.cache.items(), self.max_cached // 2))
+            if len(self.young) > self.max_young:
+                self.young.clear()
+            cache, young, new = self.cache, self.young, set()
             cut = [self.cut(t) if t else [] for t in texts[start : start + 256]]
-            new = list({c for chunks in cut for c in chunks if c not in cache})
-            for i in range(0, len(new), 8192):
-                part = new[i : i + 8192]
+            for chunks in cut:
+                new.update(chunks)
+            new -= cache.keys()
+            again = new & young.keys()
+            for chunk in again:
+                cache[chunk] = young.pop(chunk)
+            fresh = list(new - again)
+            for i in range(0, len(fresh), 8192):
+                part = fresh[i : i + 8192]
                 for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    cache[chunk] = array("I", found.ids).tobytes()
+                    cache[chunk] = young[chunk] = array("I", found.ids).tobytes()
             out += [b"".join(map(cache.__getitem__, chunks)) for chunks in cut]
-            for chunk in new:
-                if not seen[at := hash(chunk) % SEEN]:
-                    seen[at] = 1
-                    del cache[chunk]
+            for chunk in fresh:
+                del cache[chunk]
         return out
 
 
