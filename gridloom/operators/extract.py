@@ -373,11 +373,28 @@ def resolve_imports(records: DataFrame, files: DataFrame, packages: DataFrame |
     return edges, lost
 
 
+#: Parts into which the files of a directory are dealt where they meet directives.
+TREE_PARTS = 64
+
+
 def expand_tree(directives: DataFrame, files: DataFrame) -> DataFrame:
-    """(repo_id, src, dst) of tree directives (repo_id, path, dir): files meet the directories as their own ancestors."""
-    parts = F.split("path", "/")
-    above = files.select("repo_id", F.col("path").alias("dst"), F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("dir"))
-    return directives.select("repo_id", F.col("path").alias("src"), "dir").join(above, ["repo_id", "dir"]).where("src <> dst").select("repo_id", "src", "dst").distinct()
+    """(repo_id, src, dst) of tree directives (repo_id, path, dir): files meet the directories as their own ancestors.
+
+    A directive that lies below another one of its file adds nothing and goes, so that a file meets one directive of a src at
+    most, and the result needs no distinct. Files of a directory are dealt into TREE_PARTS by their path and meet a copy of
+    the directives each, so that one large directory spreads over many tasks.
+    """
+    above = lambda c, least: F.transform(F.sequence(F.lit(1), least), lambda n: F.array_join(F.slice(F.split(c, "/"), F.lit(1), n), "/"))
+    depth = lambda c: F.size(F.split(c, "/"))
+    own = directives.select("repo_id", F.col("path").alias("src"), "dir").distinct()
+    nested = own.where(depth("dir") > 1).select("repo_id", "src", F.col("dir").alias("_low"), F.explode(above("dir", depth("dir") - 1)).alias("dir")).join(own, ["repo_id", "src", "dir"], "left_semi")
+    top = own.join(nested.select("repo_id", "src", F.col("_low").alias("dir")), ["repo_id", "src", "dir"], "left_anti")
+    copies = top.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(TREE_PARTS - 1))))
+    paths = files.select("repo_id", F.col("path").alias("dst")).distinct()
+    held = paths.select("repo_id", "dst", F.pmod(F.hash("dst"), F.lit(TREE_PARTS)).alias("_part"), F.explode(above("dst", F.greatest(depth("dst") - 1, F.lit(1)))).alias("dir"))
+    # Files of directories without a directive go before the join.
+    held = held.join(top.select("repo_id", "dir").distinct(), ["repo_id", "dir"], "left_semi").repartition(TREE_PARTS, "repo_id", "dir", "_part")
+    return copies.join(held, ["repo_id", "dir", "_part"]).where("src <> dst").select("repo_id", "src", "dst")
 
 
 def unresolved_summary(unresolved: DataFrame, actionable: list[str]) -> DataFrame:

@@ -193,6 +193,16 @@ def test_extraction_and_resolution(spark):
     assert {r["dst"] for r in tree.collect()} == {"src/styles/main.scss", "src/styles/_tokens.scss"}
 
 
+def test_tree_of_one_large_directory(spark):
+    own = spark.range(500).selectExpr("'r' as repo_id", "concat('a/b/f', id) as path").union(spark.createDataFrame([("r", "top"), ("r", "a/x")], "repo_id string, path string"))
+    rows = extract.expand_tree(spark.createDataFrame([("r", "s", "a"), ("r", "s", "a/b"), ("r", "s", "a"), ("r", "t", "a/b"), ("r", "a/x", "a"), ("r", "u", "top")], "repo_id string, path string, dir string"), own.union(own))
+    got = [(r["src"], r["dst"]) for r in rows.collect()]
+    under = [f"a/b/f{k}" for k in range(500)]
+    assert sorted(got) == sorted([("s", x) for x in [*under, "a/x"]] + [("t", x) for x in under] + [("a/x", x) for x in under] + [("u", "top")])
+    # One directory is many tasks, and no shuffle follows the join.
+    assert len({r["p"] for r in rows.select(F.spark_partition_id().alias("p")).distinct().collect()}) > 8
+
+
 def test_themes_and_fonts(spark):
     css = "@theme {\n  --color-brand: #fff;\n  --font-weight-bold: 700;\n  --spacing: 4px;\n}\n@font-face { font-family: 'DM Sans'; src: url('a.woff2') format('woff2'), url(b.ttf) }"
     files = spark.createDataFrame([("r", "t.css", css)], "repo_id string, path string, content string")
