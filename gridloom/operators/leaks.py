@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from gridloom.functions import scalars as s
 from gridloom.functions import vocabulary as v
 from gridloom.operators.ranks import ranked, run_keys
+from gridloom.sources.staged import staged
 
 REPO = ["repo_id"]
 
 
 def literal_groups(literals: DataFrame) -> DataFrame:
-    """Occurrences, files, and breadth (plugins, all else as core) of each literal, with the properties that it stands in."""
+    """Occurrences, files, and breadth (plugins, all else as core) of each literal, with the properties that it stands in.
+
+    Occurrences are counted as they are spelled before literals are normalised and paths are looked at.
+    """
     parts = F.split("path", "/")
     plugin = F.when((F.get(parts, F.lit(0)) == "plugins") & (F.size(parts) > 1), F.get(parts, F.lit(1))).otherwise("core")
-    own = literals.withColumn("literal", s.normalize_literal(F.col("literal")))
-    return own.groupBy(*REPO, "literal").agg(F.count("*").alias("occurrences"), F.countDistinct("path").alias("files"), F.countDistinct(plugin).alias("breadth"), F.array_sort(F.collect_set("property")).alias("properties"))
+    per = literals.groupBy(*REPO, "literal", "path", "property").agg(F.count("*").alias("_n"))
+    own = per.withColumn("literal", s.normalize_literal(F.col("literal")))
+    return own.groupBy(*REPO, "literal").agg(F.sum("_n").alias("occurrences"), F.countDistinct("path").alias("files"), F.countDistinct(plugin).alias("breadth"), F.array_sort(F.collect_set("property")).alias("properties"))
 
 
 def exact_value_leaks(literals: DataFrame, decls: DataFrame, representation: str = "css-custom-property") -> DataFrame:
@@ -128,11 +133,15 @@ def color_candidates(left: DataFrame, right: DataFrame, most: float) -> DataFram
 def near_miss_color(literals: DataFrame, tokens: DataFrame, most: float = 3.0) -> DataFrame:
     """The closest token of each distinct literal below a CIEDE2000 of most; literals that equal a token are none.
 
-    Of tokens of one value the first by name stands for all. Candidates are those of color_candidates.
+    Of tokens of one value the first by name stands for all. Candidates are those of color_candidates. Values and literals are
+    put together as they are spelled and written out before anything is worked out of them, so formulas run once a spelling.
     """
-    hexed = lambda df, c: s.with_lab(df.where(F.col(c).rlike("^#[0-9a-f]{6}$")), c, "_lab")
-    right = hexed(tokens.groupBy(*REPO, s.normalize_literal(F.col("value")).alias("value")).agg(F.min("token").alias("token")), "value").withColumnRenamed("_lab", "_q")
-    left = hexed(literals.select(*REPO, s.normalize_literal(F.col("literal")).alias("literal")).distinct(), "literal").join(right.select(*REPO, F.col("value").alias("literal")), [*REPO, "literal"], "left_anti")
+    hexed = lambda df, c: df.where(F.col(c).rlike("^#[0-9a-f]{6}$"))
+    spelled = staged(tokens.groupBy(*REPO, "value").agg(F.min("token").alias("token")))
+    values = hexed(spelled.groupBy(*REPO, s.normalize_literal(F.col("value")).alias("value")).agg(F.min("token").alias("token")), "value")
+    written = staged(literals.select(*REPO, "literal").distinct())
+    names = hexed(written.select(*REPO, s.normalize_literal(F.col("literal")).alias("literal")).distinct(), "literal").join(values.select(*REPO, F.col("value").alias("literal")), [*REPO, "literal"], "left_anti")
+    right, left = s.with_lab(staged(values), "value", "_q"), s.with_lab(staged(names), "literal", "_lab")
     pairs = s.with_delta_e(color_candidates(left, right, most), "_lab", "_q", "de")
     # The bound follows the aggregate: as a filter before it, the whole formula would be repeated in the join's condition.
     best = pairs.groupBy(*REPO, "literal").agg(F.min(F.struct("de", "token", "value")).alias("m")).where(F.col("m.de") < most)
