@@ -24,3 +24,12 @@ def test_near_colors_are_sought_among_spellings(spark):
     rows = leaks.near_miss_color(own, toks)
     assert [(r["literal"], r["token"], r["value"]) for r in rows.collect()] == [("#ff0001", "a", "#ff0000")]
     assert "regexp_replace" not in plan(rows)
+
+
+def test_near_colors_across_repositories(spark):
+    own = spark.createDataFrame([("a", "#ff0001"), ("b", "#ff0001"), ("b", "#0000FF"), ("c", "#ff0000")], "repo_id string, literal string")
+    toks = spark.createDataFrame([("a", "x", "#ff0000"), ("b", "y", "#0000fe"), ("c", "z", "#FF0000")], "repo_id string, token string, value string")
+    rows = leaks.near_miss_color(own, toks)
+    assert {(r["repo_id"], r["literal"], r["token"]) for r in rows.collect()} == {("a", "#ff0001", "x"), ("b", "#0000ff", "y")}
+    # Colors are worked out of a table that was written, not of declarations.
+    assert plan(rows).count("Aggregate") <= 2 and "lower(" not in plan(rows)
