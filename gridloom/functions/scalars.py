@@ -27,18 +27,22 @@ def has_signal(key: Column, *signals: str) -> Column:
 
 
 def family_for(name: Column, value: Column) -> Column:
-    """The first family that name or value speaks for; the order matters."""
-    key = family_key(name)
-    out = None
-    for family in v.STRUCTURAL:
-        test = has_signal(key, *v.FAMILY_NAMES[family])
-        out = F.when(test, family) if out is None else out.when(test, family)
-    out = out.when(value.rlike(r"(?i)(?:#[0-9a-f]{3,8}\b|(?:rgb|hsl|oklch|lab|color)\()") | has_signal(key, *v.COLOR_NAMES), "color")
-    out = out.when(has_signal(key, *v.FAMILY_NAMES["icon"]), "icon")
-    out = out.when(has_signal(key, *v.FAMILY_NAMES["typography"]) | (key == "type") | key.startswith("type-"), "typography")
-    for family in ("spacing", "sizing", "opacity"):
-        out = out.when(has_signal(key, *v.FAMILY_NAMES[family]), family)
-    return out.otherwise("unclassified")
+    """The first family that name or value speaks for; the order matters. The key is worked out once a row, not once a test."""
+    colored = value.rlike(r"(?i)(?:#[0-9a-f]{3,8}\b|(?:rgb|hsl|oklch|lab|color)\()")
+
+    def family(key: Column) -> Column:
+        out = None
+        for structural in v.STRUCTURAL:
+            test = has_signal(key, *v.FAMILY_NAMES[structural])
+            out = F.when(test, structural) if out is None else out.when(test, structural)
+        out = out.when(colored | has_signal(key, *v.COLOR_NAMES), "color")
+        out = out.when(has_signal(key, *v.FAMILY_NAMES["icon"]), "icon")
+        out = out.when(has_signal(key, *v.FAMILY_NAMES["typography"]) | (key == "type") | key.startswith("type-"), "typography")
+        for measure in ("spacing", "sizing", "opacity"):
+            out = out.when(has_signal(key, *v.FAMILY_NAMES[measure]), measure)
+        return out.otherwise("unclassified")
+
+    return F.get(F.transform(F.array(family_key(name)), family), F.lit(0))
 
 
 def value_shape(value: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import scalars as s
 from gridloom.functions import vocabulary as v
 from gridloom.operators.ranks import ranked, run_keys
+from gridloom.sources.staged import staged
 
 REPO = ["repo_id"]
 
@@ -230,13 +231,16 @@ def brand_colors(decls: DataFrame, subjects: DataFrame) -> DataFrame:
     """
     keys = run_keys(decls)
     label = F.col("label") if "label" in decls.columns else F.lit(None).cast("string")
-    own = decls.select(*keys, "path", "line", s.normalize(F.col("name")).alias("token"), s.family_for(F.col("name"), F.col("value")).alias("family"), s.concrete_color_value(F.col("value")).alias("color"), label.alias("label")).where("family = 'color'")
+    # What the rest reads several times is worked out once, of each spelling, in as many tasks as a shuffle has.
+    spelled = decls.select(*keys, "name", "value", label.alias("label")).groupBy(*keys, "name", "value", "label").agg(F.count("*").alias("_sites"))
+    made = spelled.select(*keys, s.normalize(F.col("name")).alias("token"), s.family_for(F.col("name"), F.col("value")).alias("family"), s.concrete_color_value(F.col("value")).alias("color"), "label", "_sites")
+    own = staged(made).where("family = 'color'")
     own = own.join(foreign_tokens(own, subjects), [*keys, "token"], "left_anti")
     vouched = brand_context(own, subjects).withColumn("_vouched", F.lit(True))
     named = s.has_signal(s.family_key(F.col("token")), "brand")
     rows = own.where("color is not null").join(vouched, [*keys, "token", "label"], "left").withColumns({"_named": named, "_in": F.col("_vouched").isNotNull()}).where("_named or _in")
     value = s.normalize_literal(F.col("color"))
-    out = rows.groupBy(*keys, "token").agg(F.countDistinct(value).alias("n"), F.min("color").alias("color"), F.bool_or("_named").alias("_named"), F.bool_or("_in").alias("_in"), F.count("*").alias("sites"))
+    out = rows.groupBy(*keys, "token").agg(F.countDistinct(value).alias("n"), F.min("color").alias("color"), F.bool_or("_named").alias("_named"), F.bool_or("_in").alias("_in"), F.sum("_sites").alias("sites"))
     confidence = F.when(F.col("_named") & F.col("_in"), "explicit-brand-name-and-source-section").when(F.col("_named"), "explicit-brand-token-name").otherwise("explicit-brand-source-section")
     found = out.select(*keys, "token", F.when(F.col("n") > 1, "conflict").otherwise("verified").alias("state"), F.when(F.col("n") == 1, F.col("color")).alias("color"), confidence.alias("confidence"), "sites", F.when(F.col("_named"), 0).otherwise(1).alias("_ord"))
     return ranked(found, ["_ord", "token"]).drop("_ord")
