@@ -33,17 +33,27 @@ def fences(lines: DataFrame) -> DataFrame:
     return own.select("doc_id", "line_no", "line", ((F.col("_f") == 1) | inside).alias("skip"), last.alias("unbalanced"))
 
 
+def fenced(docs: DataFrame) -> DataFrame:
+    """The rows of fences over the lines of docs; only texts that hold a fence mark are sorted by line, no line of others is in a fence."""
+    marked = F.contains(F.coalesce("text", F.lit("")), F.lit("```"))
+    plain = lines_of(docs.where(~marked)).select("doc_id", "line_no", "line", F.lit(False).alias("skip"), F.lit(False).alias("unbalanced"))
+    return plain.unionByName(fences(lines_of(docs.where(marked))))
+
+
 def voice_lint(docs: DataFrame, spelling: list[tuple[str, str]] = SPELLING, banned: list[str] = BANNED) -> DataFrame:
     """(doc_id, line_no, rule, detail): the first spelling and the first phrase of each line's prose, negative parallels, open fences.
 
-    Fenced blocks are left out, and inline code and tags are blanked.
+    Fenced blocks are left out, and inline code and tags are blanked. A line is first asked for any of the phrases at once.
     """
-    own = fences(lines_of(docs))
-    prose = F.regexp_replace(F.regexp_replace(F.regexp_replace("line", "`+[^`]*`+", " "), "<[^>]*>", " "), "aria-labelledby", " ")
+    own = fenced(docs)
+    clean = F.regexp_replace(F.regexp_replace("line", "`+[^`]*`+", " "), "<[^>]*>", " ")
+    prose = F.replace(F.when(F.contains("line", F.lit("`")) | F.contains("line", F.lit("<")), clean).otherwise(F.col("line")), F.lit("aria-labelledby"), F.lit(" "))
     own = own.withColumn("prose", prose)
     hit = lambda pairs, test: F.coalesce(*[F.when(test(x), F.lit(x)) for x in pairs]) if pairs else F.lit(None)
+    spelled = lambda x: "".join(c if c.isalnum() or c == " " else "\\" + c for c in x)
+    held = lambda form: F.lower("prose").rlike(f"(^|[^a-z0-9_])(?:{form})($|[^a-z0-9_])")
     british = hit([old for old, _ in spelling], lambda x: F.col("prose").contains(x))
-    phrase = hit(banned, lambda x: F.lower("prose").rlike("(^|[^a-z0-9_])" + "".join(c if c.isalnum() or c == " " else "\\" + c for c in x) + "($|[^a-z0-9_])"))
+    phrase = F.when(held("|".join(spelled(x) for x in banned)), hit(banned, lambda x: held(spelled(x)))) if banned else F.lit(None)
     negative = F.when(F.col("prose").rlike(r"(?i)\b(?:is|are|was|were)\s+not\s+(?:a|an|the)\b"), F.lit("negative"))
     live = ~F.col("skip")
     found = F.array(

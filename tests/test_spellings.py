@@ -56,3 +56,24 @@ def test_brand_colors_classify_spellings_once(spark):
     finally:
         tokens.foreign_tokens = keep
     assert "oklch" not in own[0]
+
+
+def test_identity_drift_reads_staged_spellings(spark):
+    from gridloom.operators import rederive, tokens
+
+    schema = "repo_id string, path string, line int, name string, value string, label string"
+    decls = spark.createDataFrame([("r", "a.css", k, "--brand-red", "#F00", None) for k in range(9)], schema)
+    subjects = spark.createDataFrame([("r", "acme")], "repo_id string, namespace string")
+    recorded = tokens.brand_colors(decls, subjects).select("repo_id", "token", "state", "color", "sites").withColumn("sites", F.lit(8).cast("long"))
+    rows = rederive.identity_drift(recorded, decls, subjects)
+    assert [tuple(r) for r in rows.collect()] == [("r", "brand-red", "sites", "8", "9")]
+    assert "oklch" not in plan(rows)
+
+
+def test_only_fenced_texts_are_sorted_by_line(spark):
+    from gridloom.operators import text
+
+    docs = spark.createDataFrame([(1, "colour\nutilize <b>x</b>`simply`"), (2, "grey\n```\ngrey\n```\nin<i>order to"), (3, "a\n``` x\nin order to"), (4, None)], "doc_id int, text string")
+    assert sorted(map(tuple, text.fenced(docs).collect())) == sorted(map(tuple, text.fences(text.lines_of(docs)).collect()))
+    got = {(r["doc_id"], r["line_no"], r["rule"], r["detail"]) for r in text.voice_lint(docs).collect()}
+    assert got == {(1, 1, "us-english", "colour"), (1, 2, "banned-phrase", "utilize"), (2, 1, "us-english", "grey"), (2, 5, "banned-phrase", "in order to"), (3, 2, "unbalanced-fence", "open"), (3, 3, "banned-phrase", "in order to")}
