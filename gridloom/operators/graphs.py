@@ -13,6 +13,36 @@ from gridloom.sources.staged import staged
 
 #: After so many rounds the parts of a growing result are written as one table, so that plans stay small at any depth.
 FOLD = 16
+#: Hops of a round where no chains are kept.
+HOPS = 4
+
+
+def _stays(edges: DataFrame, keys: list[str], terminal: DataFrame | None) -> DataFrame:
+    """(keys, src, dst, cost): the distinct edges that may be followed, and for every node that is reached one of cost 0 to itself.
+
+    By that one a node of any hop is among the rows of the last one, so that several hops are a plain chain of joins.
+    """
+    step = edges.select(*keys, "src", "dst").where("src <> dst").distinct()
+    open_step = step if terminal is None else step.join(terminal.select(*keys, F.col("node").alias("src")), [*keys, "src"], "left_anti")
+    loops = step.select(*keys, F.col("dst").alias("src"), "dst").distinct()
+    return open_step.withColumn("cost", F.lit(1)).unionByName(loops.withColumn("cost", F.lit(0)))
+
+
+def closure(edges: DataFrame, seeds: DataFrame, terminal: DataFrame | None = None) -> DataFrame:
+    """(keys, node): the nodes of reachable, where depths and chains are not asked for. A round goes HOPS hops."""
+    keys = run_keys(edges)
+    step = staged(_stays(edges, keys, terminal).drop("cost"))
+    visited = frontier = staged(seeds.select(*keys, "node").distinct())
+    for k in count(1):
+        new = frontier
+        for _ in range(HOPS):
+            new = new.withColumnRenamed("node", "src").join(step, [*keys, "src"]).select(*keys, F.col("dst").alias("node")).distinct().join(visited, [*keys, "node"], "left_anti")
+        frontier = staged(new)
+        if frontier.isEmpty():
+            break
+        visited = visited.unionByName(frontier)
+        visited = staged(visited) if k % HOPS == 0 else visited
+    return visited
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, terminal: DataFrame | None = None) -> DataFrame:
@@ -50,10 +80,10 @@ def two_walks(edges: DataFrame, roots: DataFrame, terminal: DataFrame | None = N
     roots: path, exists, scope, confidence, ownership. Both walks are one: a row is a node with a label. Labels product start
     at existing roots of the product that are more than a static candidate. Owned roots among them bear both labels. A static
     candidate counts as a root once the first label reaches it, so where it is owned it begins the second one then. A node
-    is visited again if a label comes by a shorter way, as late roots may be nearer.
+    is visited again if a label comes by a shorter way, as late roots may be nearer. A round goes HOPS hops.
     """
     keys = run_keys(edges)
-    step = staged(edges.select(*keys, "src", "dst").where("src <> dst").distinct())
+    step = staged(_stays(edges, keys, terminal))
     own = roots.where(F.col("exists") & (F.col("scope") == "product")).select(*keys, F.col("path").alias("node"), "confidence", "ownership")
     seeds = own.where(F.col("confidence").isin(*v.ROOT_RANK[2:]))
     promotable = own.where((F.col("confidence") == "static candidate") & (F.col("ownership") == "owned")).select(*keys, "node").distinct()
@@ -63,8 +93,9 @@ def two_walks(edges: DataFrame, roots: DataFrame, terminal: DataFrame | None = N
     visited = frontier = staged(first)
     for k in count(1):
         promoted = frontier.where("label = 'product'").join(promotable, [*keys, "node"], "left_semi").select(*keys, "node", F.lit("owned").alias("label"), zero)
-        open_nodes = frontier if terminal is None else frontier.join(terminal.select(*keys, "node"), [*keys, "node"], "left_anti")
-        moved = open_nodes.withColumnRenamed("node", "src").join(step, [*keys, "src"]).select(*keys, F.col("dst").alias("node"), "label", (F.col("depth") + 1).alias("depth"))
+        moved = frontier
+        for _ in range(HOPS):
+            moved = moved.withColumnRenamed("node", "src").join(step, [*keys, "src"]).groupBy(*keys, F.col("dst").alias("node"), "label").agg(F.min(F.col("depth") + F.col("cost")).alias("depth"))
         # One aggregate over what is known and what is new: a row that was known keeps its depth in _old.
         both = visited.withColumn("_old", F.col("depth")).unionByName(moved.union(promoted).withColumn("_old", F.lit(None).cast("int")))
         now = both.groupBy(*keys, "node", "label").agg(F.min("depth").alias("depth"), F.min("_old").alias("_old"))
