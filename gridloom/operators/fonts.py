@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import scalars as s
 from gridloom.operators.extract import blank_comments
 from gridloom.operators.ranks import run_keys
+from gridloom.sources.staged import staged
 
 #: First bytes of the formats, in hex; and the most bytes that a font may have.
 MAGIC = {"woff2": ["774F4632"], "woff": ["774F4646"], "ttf": ["00010000", "74727565"], "otf": ["4F54544F"]}
@@ -60,15 +61,17 @@ def font_evidence(faces: DataFrame, assets: DataFrame) -> DataFrame:
     and a face without a file is not visible. Files outside of the repository are never candidates.
     """
     keys = run_keys(faces)
+    # Faces are read twice. Both sides of a join are dealt out and sorted: both grow with the input, and a broadcast would hold one of them whole in every task.
+    faces = staged(faces)
     stored = assets.select(*keys, F.col("path").alias("asset"), F.hex(F.substring("content", 1, 4)).alias("_magic"), F.octet_length("content").cast("long").alias("_size"), F.sha2("content", 256).alias("_sha"))
     wanted = faces.select(*keys, "path", "line", "url", F.posexplode(font_candidates(F.col("path"), F.col("url"))).alias("_k", "asset"))
-    best = wanted.join(stored, [*keys, "asset"]).groupBy(*keys, "path", "line", "url").agg(F.min(F.struct("_k", "asset", "_magic", "_size", "_sha")).alias("m"))
+    best = wanted.join(stored.hint("merge"), [*keys, "asset"]).groupBy(*keys, "path", "line", "url").agg(F.min(F.struct("_k", "asset", "_magic", "_size", "_sha")).alias("m"))
     kind = F.lower(F.regexp_extract(F.element_at(F.split("url", r"\?"), 1), r"\.([^./]+)$", 1))
     known = F.when(F.lit(False), False)
     for name, starts in MAGIC.items():
         known = known.when(kind == name, F.col("m._magic").isin(*starts))
     ok = known.otherwise(False) & F.col("m._size").between(1, MOST_BYTES)
-    own = faces.join(best, [*keys, "path", "line", "url"], "left").withColumn("_ok", F.coalesce(ok, F.lit(False)))
+    own = faces.join(best.hint("merge"), [*keys, "path", "line", "url"], "left").withColumn("_ok", F.coalesce(ok, F.lit(False)))
     return own.select(
         *keys, "path", "line", "family", "url", F.col("m.asset").alias("asset"), kind.alias("format"), F.when(F.col("_ok"), "verified").otherwise("not-visible").alias("state"), F.when(F.col("_ok"), F.col("m._sha")).alias("sha256"),
         F.when(F.col("_ok"), F.col("m._size")).alias("size_bytes"), F.when(~F.col("_ok") & F.col("m.asset").isNotNull(), "unsupported, oversized, or invalid font asset").alias("reason"),
