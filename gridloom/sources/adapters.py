@@ -157,7 +157,8 @@ def base_tables(name: str) -> list[str]:
 
 
 def logical(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.sql(ADAPTERS[name], **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in base_tables(name)})
+    """The table in Spark. There concat of a null is null, elsewhere a null is left out, as concat_ws leaves it out."""
+    return spark.sql(re.sub(r"\bconcat\(", "concat_ws('', ", ADAPTERS[name]), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in base_tables(name)})
 
 
 def other_sql(name: str) -> str:
