@@ -176,8 +176,10 @@ def free_name(df: DataFrame, want: str) -> str:
 def without_ids(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of docs whose key is not in dropped; only rows that may be in it are shuffled. A null key is in nothing."""
     may = free_name(docs, "_may")
+    gone = free_name(docs, "_gone")
     flagged = may_contain(docs, key, dropped, may)
-    rest = flagged.where(F.col(may)).join(dropped.select(key).distinct(), key, "left_anti")
+    # An outer join: Spark moves an anti join below the join with the bit map, and then shuffles all rows.
+    rest = flagged.where(F.col(may)).join(dropped.select(key).distinct().withColumn(gone, F.lit(True)), key, "left").where(F.col(gone).isNull()).drop(gone)
     return flagged.where(~F.col(may)).unionByName(rest).select([F.col(f"`{c}`") for c in docs.columns])
 
 

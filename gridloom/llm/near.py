@@ -104,12 +104,13 @@ def _runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa
         yield pa.concat_tables(rest)
 
 
-def crossing_pairs(rows: DataFrame, sketches: DataFrame, matcher: Matcher, spanning: bool, block: int = BLOCK) -> DataFrame:
-    """(key, x, y), x < y, of pairs of different components in one bucket that the matcher lets through.
+def crossing_pairs(rows: DataFrame, sketches: DataFrame, matcher: Matcher, spanning: bool, block: int = BLOCK, few: int = 0) -> DataFrame:
+    """(key, x, y, whole), x < y, of pairs of different components in one bucket that the matcher lets through.
 
     rows are those of open_buckets. Minor rows meet all rows; both are dealt into blocks by hash, and a comparison sees one
     block of either. So a bucket of one large component and a few others makes about a row a member, and no comparison holds
-    more than two blocks. spanning: a comparison returns a spanning forest of its components, less than a row each.
+    more than two blocks. spanning: a comparison of more than few such pairs a row returns a spanning forest of its components, less than
+    a row each, and whole is false; others return all of them.
     """
     kind = dict(rows.dtypes)["id"]
     lefts, rights = F.ceil(F.col("others") / block).cast("int"), F.ceil(F.col("m") / block).cast("int")
@@ -120,7 +121,7 @@ def crossing_pairs(rows: DataFrame, sketches: DataFrame, matcher: Matcher, spann
     dealt = dealt.select("key", "at.i", "at.j", "id", "comp", "minor", (F.col("minor") & (F.col("at.i") == F.col("p"))).alias("left"), (F.col("at.j") == F.col("q")).alias("right"))
     dealt = dealt.join(sketches, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
 
-    def compare(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def compare(part: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
         flag = lambda c: part[c].to_numpy(zero_copy_only=False)
         minor, match = flag("minor"), matcher(part["sketch"].to_pylist())
         comp = np.unique(flag("comp"), return_inverse=True)[1]
@@ -133,22 +134,23 @@ def crossing_pairs(rows: DataFrame, sketches: DataFrame, matcher: Matcher, spann
             hits = mine[ok]
             xs.append(np.full(len(hits), i)), ys.append(hits), fars.append(far[ok])
         if not xs:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
+            return np.empty(0, np.int64), np.empty(0, np.int64), True
         x, y = np.concatenate(xs), np.concatenate(ys)
-        if spanning and len(x):
+        whole = not spanning or len(x) <= few * len(minor)
+        if not whole:
             kept = _forest(comp[x], comp[y], np.concatenate(fars), int(comp.max()) + 1)
             x, y = x[kept], y[kept]
-        return np.minimum(x, y), np.maximum(x, y)
+        return np.minimum(x, y), np.maximum(x, y), whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _runs(batches, ("key", "i", "j")):
-            x, y = compare(part)
+            x, y, whole = compare(part)
             key, ids = pa.array(part["key"].to_numpy()), part["id"].combine_chunks()
             for at in range(0, len(x), 50_000):
                 a, b = (pa.array(v[at : at + 50_000]) for v in (x, y))
-                yield pa.RecordBatch.from_arrays([key.take(a), ids.take(a), ids.take(b)], names=["key", "x", "y"])
+                yield pa.RecordBatch.from_arrays([key.take(a), ids.take(a), ids.take(b), pa.array(np.full(len(a), whole))], names=["key", "x", "y", "whole"])
 
-    return dealt.select("key", "i", "j", "id", "comp", "minor", "left", "right", "sketch").mapInArrow(run, f"key long, x {kind}, y {kind}")
+    return dealt.select("key", "i", "j", "id", "comp", "minor", "left", "right", "sketch").mapInArrow(run, f"key long, x {kind}, y {kind}, whole boolean")
 
 
 def linked_components(rows: DataFrame, copies: DataFrame, matcher: Matcher, texts: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], sketches: DataFrame | None = None) -> DataFrame:
@@ -158,9 +160,10 @@ def linked_components(rows: DataFrame, copies: DataFrame, matcher: Matcher, text
     bucket's smallest member asks all others: that settles groups of near copies in as many pairs as they have members. In
     buckets whose members are still of several components, all pairs that cross them are compared within tasks. Without
     sketches that comparison, of the column sketch of texts, is the last word, and a spanning forest of the links comes out.
-    Else it is of sketches (id, sketch), which may let pairs through that aren't linked: a spanning forest of those is
-    verified. Where that joins all that it proposes, nothing that may be linked is left apart. In the other buckets every
-    pair that crosses components is verified too, so no link is lost.
+    Else it is of sketches (id, sketch), which may let pairs through that aren't linked: all of them are verified
+    where they are no more than the rows, else a spanning forest of them. Where that joins all that it proposes, nothing that
+    may be linked is left apart. In the other buckets of a forest every pair that crosses components is verified too, so no
+    link is lost.
     """
 
     def tested(pairs: DataFrame) -> DataFrame:
@@ -189,11 +192,11 @@ def linked_components(rows: DataFrame, copies: DataFrame, matcher: Matcher, text
         links = stage(crossing_pairs(rest, whole.select("id", "sketch"), matcher, True), "links")
         drop_staged(members, rest, whole)
         return grown(components, links)
-    proposed = stage(crossing_pairs(rest, sketches, matcher, True), "proposed")
+    proposed = stage(crossing_pairs(rest, sketches, matcher, True, few=1), "proposed")
     more = tested(untested(proposed))
     components = grown(components, more.where("ok"))
     of = lambda end: components.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
-    named = proposed.join(of("x"), "x", "left").join(of("y"), "y", "left")
+    named = proposed.where("not whole").join(of("x"), "x", "left").join(of("y"), "y", "left")
     doubtful = stage(named.where(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("key").distinct(), "doubtful")
     drop_staged(rest, proposed)
     if not doubtful.isEmpty():

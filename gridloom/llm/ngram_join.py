@@ -214,7 +214,8 @@ def row_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     own_texts = docs.select(F.col("doc_id").alias("id"), "text")
 
     def texts(ids: DataFrame) -> DataFrame:
-        return may_contain(own_texts, "id", ids).where("_may").join(ids, "id", "left_semi").select("id", "text")
+        # ids are distinct. A semi join would be moved below the join with the bit map, and shuffle all texts.
+        return may_contain(own_texts, "id", ids).where("_may").join(ids, "id").select("id", "text")
 
     components = linked_components(keys, copies, lambda sketches: Sketches(sketches, percent), texts, verifier(width, percent), sketches)
     drop_staged(rows)
