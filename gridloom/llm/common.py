@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 WHITE = "\t-\r \x85\xa0  -     　"
 
 #: Of an Arrow batch, what an operator's function sees at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 #: The setting that bounds an Arrow batch by bytes, and Spark's default for it.
 BATCH_BYTES, DEFAULT_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
@@ -69,9 +69,45 @@ def give_back() -> None:
         trim(0)
 
 
+#: What this worker process keeps for its next tasks, and what its present task has asked for.
+_held: dict[tuple, object] = {}
+_asked: set[tuple] = set()
+
+
+def _drop_unasked() -> None:
+    gone = [key for key in _held if key not in _asked]
+    for key in gone:
+        del _held[key]
+    if gone:
+        give_back()
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """What make gives, made once a worker and kept while its tasks ask for it.
+
+    Workers outlive their tasks and take those of every step, so what each step keeps would add up: it goes when a task
+    begins that asks for something else or for nothing.
+    """
+    _asked.add(key)
+    if key not in _held:
+        _drop_unasked()
+        _held[key] = make()
+    return _held[key]
+
+
+def begun(make: Callable[[], Callable]) -> Callable:
+    """A task's function, after which the worker holds only what that asked for."""
+    _asked.clear()
+    each = make()
+    _drop_unasked()
+    return each
+
+
 def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow with a function made once a task, by slices of about slice_bytes, so that what it makes at once is bounded.
 
+    What is large and serves many tasks of a step is got by held() within make.
+
     Batches of long texts are large on both sides of the pipe, so the session's batches are held to SLICE_BYTES, unless it
     has a bound of its own. Workers outlive their tasks; each gives back what its memory pools kept.
     """
@@ -79,7 +115,7 @@ def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
         df.sparkSession.conf.set(BATCH_BYTES, str(SLICE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = make()
+        each = begun(make)
         for batch in batches:
             rows = max(1, batch.num_rows * slice_bytes // max(1, batch.nbytes))
             for at in range(0, batch.num_rows, rows):

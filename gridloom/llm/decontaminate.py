@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORD_TABLE, by_batch, row_keyed, stage, table, texts_of, without_rows
+from gridloom.llm.common import WORD_TABLE, by_batch, held, row_keyed, stage, table, texts_of, without_rows
 
 WINDOW = 10
 #: Bytes of item texts that one automaton takes, as many as fit in a worker; only beyond that there are more automata, and an exact scan of the texts for each.
@@ -58,9 +57,8 @@ class Windows:
         return hits, items
 
 
-@lru_cache(2)
 def _windows(shared: object, window: int) -> Windows:
-    return Windows(shared.value, window)
+    return held(("windows", shared, window), lambda: Windows(shared.value, window))
 
 
 def _merged(ranges: list[int]) -> list[tuple[int, int]]:

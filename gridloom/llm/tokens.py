@@ -5,10 +5,9 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from functools import lru_cache
 from itertools import islice
 
-from gridloom.llm.common import WHITE
+from gridloom.llm.common import WHITE, held
 
 #: Chunks that the library never merges across: runs of other characters with at most one space before them, and the rest of white space, as byte-level BPE splits it.
 BYTE_CHUNKS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -68,8 +67,7 @@ class ChunkEncoder:
         return out
 
 
-@lru_cache(4)
 def encoder(path: str) -> ChunkEncoder:
-    """One for each worker process and vocabulary. Spark runs as many workers as there are cores, so the library gets one thread each."""
+    """One for each worker process and vocabulary, while its tasks encode. Spark runs as many workers as there are cores, so the library gets one thread each."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return ChunkEncoder(path)
+    return held(("encoder", path), lambda: ChunkEncoder(path))

@@ -48,3 +48,29 @@ def test_batches_are_bounded_by_bytes(spark):
     docs = spark.range(0, 3000, numPartitions=1).select(F.lpad(F.col("id").cast("string"), 10_000, "x").alias("text"))
     sizes = c.by_batch(docs, lambda: lambda b: pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.get_total_buffer_size()]}), "n long, size long").collect()
     assert sum(r["n"] for r in sizes) == 3000 and len(sizes) >= 3 and max(r["size"] for r in sizes) < 2 * c.SLICE_BYTES
+
+
+def test_a_worker_keeps_nothing_of_other_steps(spark):
+    import public_tokenizers
+
+    from gridloom.llm import packing, tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = spark.range(0, 40, numPartitions=4).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
+    assert packing.cut_pieces(texts, path).count() == 40
+
+    def left(batch):
+        import gc
+        import os
+
+        return pa.RecordBatch.from_pydict({"pid": [os.getpid()], "n": [sum(type(x).__name__ == "ChunkEncoder" for x in gc.get_objects())]})
+
+    assert {r["n"] for r in c.by_batch(texts, lambda: left, "pid long, n long").collect()} == {0}
+    # Tasks of one step share what they ask for.
+    first = []
+    for _ in range(2):
+        c.begun(lambda: first.append(tokens.encoder(path)))
+    assert first[0] is first[1]
+    c.begun(lambda: None)
+    c.begun(lambda: first.append(tokens.encoder(path)))
+    assert first[2] is not first[0]
