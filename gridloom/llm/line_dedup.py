@@ -199,11 +199,16 @@ def line_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     # The first row of a line is one whose document can be found by its id, if there is one.
     lost = F.when(F.col("doc_id").isNull(), F.lit(1 << 62)).otherwise(F.lit(0))
     first = rows.groupBy("line_id").agg(F.min(F.col("row_id") + lost).alias("first"), F.count("*").alias("copies")).withColumn("first", F.col("first").bitwiseAND(F.lit((1 << 62) - 1)))
-    own = stage(rows.select("row_id", "doc_id", "line_no", "line_id").join(first, "line_id"), "own")
-    known, copies = rows.where("doc_id is not null"), own.where("row_id <> first").select(F.col("row_id").alias("id"))
-    keys = known.select("keys", F.col("row_id").alias("id"))
+    # Most lines have one row, which is its own first; only rows whose line may have more are shuffled to be joined.
+    many = stage(first.where("copies > 1"), "many")
+    flagged, columns = may_contain(rows, "line_id", many), ["row_id", "doc_id", "line_no", "line_id", "keys"]
+    once = flagged.where("not _may").select(*columns, F.col("row_id").alias("first"), F.lit(1).cast("long").alias("copies"))
+    more = stage(flagged.where("_may").join(many, "line_id", "left").select(*columns, F.coalesce("first", "row_id").alias("first"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies")), "more")
+    every = once.unionByName(more)
+    own = stage(every.drop("keys"), "own")
+    keys = every.where("doc_id is not null and row_id = first").select("keys", F.col("row_id").alias("id"))
     texts = line_texts(docs, own.where("row_id = first"))
-    components = linked_components(keys, copies, lambda lines: LineSets(lines, width, percent), texts, verifier(width, percent))
+    components = linked_components(keys, None, lambda lines: LineSets(lines, width, percent), texts, verifier(width, percent))
     # A line of its own, without copies or links, needs no shuffle: it keeps itself.
     linked = components.toDF("first", "component")
     flagged = may_contain(own.select("first", "doc_id", "line_no", "copies"), "first", linked)

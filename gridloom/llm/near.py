@@ -18,18 +18,19 @@ BLOCK = 1024
 Matcher = Callable[[list], Callable[[int, np.ndarray], tuple[np.ndarray, np.ndarray]]]
 
 
-def buckets(rows: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame]:
+def buckets(rows: DataFrame, copies: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Of rows (keys, id) without copies (id): pairs (x, y) of each bucket's smallest id and its other members, and (key, id) of buckets of three and more.
 
     Counting goes first, partly in each task. Only rows whose key may be that of a larger bucket are shuffled again; no bucket
-    is collected, and a bucket of m members gives m - 1 pairs.
+    is collected, and a bucket of m members gives m - 1 pairs. Without copies (None) all rows count.
     """
-    keys = without_ids(rows, copies, "id").select(F.explode("keys").alias("key"), "id")
+    unique = (lambda of: of) if copies is None else (lambda of: without_ids(of, copies, "id"))
+    keys = unique(rows).select(F.explode("keys").alias("key"), "id")
     counted = stage(keys.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b"), "buckets")
     large = counted.where("m > 2").select("key", "a")
     # Here copies go last, when only the rows of larger buckets are left.
     held = may_contain(rows.select(F.explode("keys").alias("key"), "id"), "key", large).where("_may").drop("_may")
-    members = stage(without_ids(held, copies, "id").join(large, "key").select("key", "id", "a"), "members")
+    members = stage(unique(held).join(large, "key").select("key", "id", "a"), "members")
     star = members.where("id <> a").select(F.col("a").alias("x"), F.col("id").alias("y"))
     pairs = stage(counted.where("m = 2").select(F.col("a").alias("x"), F.col("b").alias("y")).union(star).distinct(), "pairs")
     drop_staged(counted)
@@ -153,8 +154,8 @@ def crossing_pairs(rows: DataFrame, sketches: DataFrame, matcher: Matcher, spann
     return dealt.select("key", "i", "j", "id", "comp", "minor", "left", "right", "sketch").mapInArrow(run, f"key long, x {kind}, y {kind}, whole boolean")
 
 
-def linked_components(rows: DataFrame, copies: DataFrame, matcher: Matcher, texts: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], sketches: DataFrame | None = None) -> DataFrame:
-    """(id, component) over the links that verify confirms, for rows (keys, id) without those whose id is among copies (id).
+def linked_components(rows: DataFrame, copies: DataFrame | None, matcher: Matcher, texts: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], sketches: DataFrame | None = None) -> DataFrame:
+    """(id, component) over the links that verify confirms, for rows (keys, id) without those whose id is among copies (id); None stands for no copies.
 
     texts(ids) gives the texts of ids (id); verify(pairs, texts) returns pairs (x, y), x < y, with a column ok. First each
     bucket's smallest member asks all others: that settles groups of near copies in as many pairs as they have members. In

@@ -103,3 +103,15 @@ def test_a_large_bucket_makes_linear_rows(spark):
     texts = spark.range(20_000).select("id", F.lit("one and the same line of text").alias("sketch"))
     links = near.crossing_pairs(left, texts, lambda lines: d.LineSets(lines, 9, 80), True)
     assert left.where("minor").count() < 35 and links.count() < 35 * 20
+
+
+def test_only_lines_that_repeat_are_joined(spark, monkeypatch):
+    rng = random.Random(6)
+    line = lambda: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(12))
+    same, staged, real = line(), {}, d.stage
+    monkeypatch.setattr(d, "stage", lambda df, what: staged.setdefault(what, real(df, what)))
+    rows = [(i, line() + ("\n" + same.upper() if i % 20 == 3 else "")) for i in range(300)] + [(None, same), (None, line())]
+    got = d.line_components(spark.createDataFrame([(i, t, None, None, 0, 0, "", "", 0) for i, t in rows], SCHEMA)).collect()
+    assert len(got) == 317 and {(r["keep_doc"], r["keep_line"]) for r in got if r["line_no"] == 1} == {(None, 0)}
+    assert sum(r["kept"] for r in got) == 302
+    assert staged["more"].count() == 16 and staged["own"].count() == 317
