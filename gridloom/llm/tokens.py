@@ -17,6 +17,11 @@ WORD_CHUNKS = re.compile(f"[^{WHITE}]+")
 #: str.split() takes these for white space; Unicode does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
+
+#: Chunks of either generation that an encoder keeps.
+MAX_CHUNKS = 400_000
+
+
 class ChunkEncoder:
     """encode(texts) gives for each text its ids as little-endian unsigned 32-bit bytes.
 
@@ -27,7 +32,7 @@ class ChunkEncoder:
     the result.
     """
 
-    def __init__(self, path: str, max_cached: int = 400_000, max_young: int = 400_000):
+    def __init__(self, path: str, max_cached: int = MAX_CHUNKS, max_young: int = MAX_CHUNKS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -67,7 +72,7 @@ class ChunkEncoder:
         return out
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, max_chunks: int = MAX_CHUNKS) -> ChunkEncoder:
     """One for each worker process and vocabulary, while its tasks encode. Spark runs as many workers as there are cores, so the library gets one thread each."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return held(("encoder", path), lambda: ChunkEncoder(path))
+    return held(("encoder", path, max_chunks), lambda: ChunkEncoder(path, max_chunks, max_chunks))

@@ -54,3 +54,8 @@ def test_plan_uses_every_length_and_exact_complements():
             assert dict(used) == {x: n for x, n in counts.items() if n}
             assert len(plan) < 8 * size
     assert sorted(p.plan_sequences({3: 2, 5: 1, 2: 2, 4: 2, 8: 1}, 8), key=str) == sorted([(1, ((8, 1),)), (1, ((5, 1), (3, 1))), (1, ((4, 2),)), (1, ((3, 1), (2, 2)))], key=str)
+
+
+def test_pieces_do_not_depend_on_the_chunks_kept(docs):
+    few, many = (sorted(map(tuple, p.cut_pieces(docs, PATH, 64, max_chunks=n).collect()), key=str) for n in (3, 400_000))
+    assert few == many
