@@ -103,20 +103,33 @@ def begun(make: Callable[[], Callable]) -> Callable:
     return each
 
 
+def joined(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in the same order, in batches joined up to most bytes."""
+    held_back: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held_back and sum(x.nbytes for x in held_back) + batch.nbytes > most:
+            yield pa.concat_batches(held_back)
+            held_back = []
+        held_back.append(batch)
+    if held_back:
+        yield pa.concat_batches(held_back)
+
+
 def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow with a function made once a task, by slices of about slice_bytes, so that what it makes at once is bounded.
 
     What is large and serves many tasks of a step is got by held() within make.
 
     Batches of long texts are large on both sides of the pipe, so the session's batches are held to SLICE_BYTES, unless it
-    has a bound of its own. Workers outlive their tasks; each gives back what its memory pools kept.
+    has a bound of its own; for a larger slice_bytes they are joined again in the worker. Workers outlive their tasks; each
+    gives back what its memory pools kept.
     """
     if df.sparkSession.conf.get(BATCH_BYTES) == DEFAULT_BATCH_BYTES:
         df.sparkSession.conf.set(BATCH_BYTES, str(SLICE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = begun(make)
-        for batch in batches:
+        for batch in joined(batches, slice_bytes) if slice_bytes > SLICE_BYTES else batches:
             rows = max(1, batch.num_rows * slice_bytes // max(1, batch.nbytes))
             for at in range(0, batch.num_rows, rows):
                 out = each(batch.slice(at, rows))

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import by_batch, list_array, new_path, table
-from gridloom.llm.tokens import encoder
+from gridloom.llm.common import by_batch, new_path, table
+from gridloom.llm.tokens import ENCODE_BYTES, encoder
 
 SCHEMA = "doc_id long, position long, n_tokens long, ids array<int>"
 #: Stripes of this many bytes are read in parallel; each 2,000 rows have an entry in the row index and in the Bloom filter.
@@ -27,16 +27,17 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     """
 
     def make():
-        coder, end = encoder(vocabulary), np.uint32(end_id).tobytes()
+        coder = encoder(vocabulary)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [np.frombuffer(x + end, "<i4") for x in coder.encode(batch.column("text").to_pylist())]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), list_array(found, pa.int32())], names=["doc_id", "n_tokens", "ids"])
+            ids, ends = coder.encode_column(batch.column("text"), end_id)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32)))
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends)), lists], names=["doc_id", "n_tokens", "ids"])
 
         return each
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    encoded = by_batch(ordered, make, "doc_id long, n_tokens long, ids array<int>")
+    encoded = by_batch(ordered, make, "doc_id long, n_tokens long, ids array<int>", ENCODE_BYTES)
     encoded.select("doc_id", F.monotonically_increasing_id().alias("position"), "n_tokens", "ids").write.options(**ORC_OPTIONS).orc(path)
 
 
