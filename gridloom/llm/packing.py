@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import by_batch, stage, table
-from gridloom.llm.tokens import MAX_CHUNKS, encoder
+from gridloom.llm.tokens import ENCODE_BYTES, MAX_CHUNKS, encoder
 
 #: Rows of one length that one task ranks, about.
 RANK_ROWS = 500_000
@@ -20,26 +20,26 @@ def cut_pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int =
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every whole text, null as empty, with end_id at its end."""
 
     def make():
-        coder, end = encoder(vocabulary, max_chunks), np.uint32(end_id).tobytes()
+        coder = encoder(vocabulary, max_chunks)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text").to_pylist()), strict=True):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * size)):
-                    rows.append((doc_id, k, k * size, len(part := ids[at : at + 4 * size]) // 4, zlib.crc32(part), part))
-            cols = list(zip(*rows, strict=True))
-            out = [pa.array(x, kind) for x, kind in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=False)]
+            ids, ends = coder.encode_column(batch.column("text"), end_id)
+            n_pieces = -(-np.diff(ends) // size)
+            row = np.repeat(np.arange(batch.num_rows), n_pieces)
+            piece = np.arange(len(row)) - (np.cumsum(n_pieces) - n_pieces)[row]
+            cuts = np.append(ends[row] + piece * size, ends[-1])
+            values = memoryview(ids.astype("<u4", copy=False)).cast("B")
+            crc = [zlib.crc32(values[4 * a : 4 * b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            out = [batch.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(piece * size), pa.array(np.diff(cuts)), pa.array(crc, pa.int64())]
             if with_ids:
-                values = pa.array(np.frombuffer(b"".join(cols[5]), "<i4"))
-                out.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *cols[3]]), pa.int32()), values))
+                out.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.view(np.int32))))
             return pa.RecordBatch.from_arrays(out, names=names)
 
         return each
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
-    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, schema)
+    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, schema, ENCODE_BYTES)
 
 
 def plan_sequences(counts: dict[int, int], size: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:

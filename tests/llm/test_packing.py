@@ -59,3 +59,37 @@ def test_plan_uses_every_length_and_exact_complements():
 def test_pieces_do_not_depend_on_the_chunks_kept(docs):
     few, many = (sorted(map(tuple, p.cut_pieces(docs, PATH, 64, max_chunks=n).collect()), key=str) for n in (3, 400_000))
     assert few == many
+
+
+def test_pieces_at_multiples_of_the_size(spark):
+    words = [0, 1, 6, 7, 8, 14, 15, 16, 23, 24]
+    docs = spark.createDataFrame([(k, " ".join(["one"] * n) if n else None) for k, n in enumerate(words)], "doc_id long, text string").coalesce(1)
+    rows = sorted(map(tuple, p.cut_pieces(docs, PATH, 8, with_ids=True).collect()))
+    one = Tokenizer.from_file(PATH).encode("one", add_special_tokens=False).ids
+    want = []
+    for k, n in enumerate(words):
+        ids = [*one * n, 0]
+        want += [(k, i, 8 * i, len(part := ids[8 * i : 8 * i + 8]), zlib.crc32(np.array(part, "<u4").tobytes()), part) for i in range(-(-len(ids) // 8))]
+    assert rows == want
+
+
+def test_words_of_any_case_and_signs_ask_the_library_once():
+    from gridloom.llm.tokens import ChunkEncoder
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.asked = inner, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.asked += len(texts)
+            return self.inner.encode_batch_fast(texts, **options)
+
+        def tokenize(self, text):
+            self.asked += 1
+            return self.inner.tokenize(text)
+
+    words, signs = [chr(97 + k) * 3 + "é" for k in range(20)], ".,;:!?"
+    coder = ChunkEncoder(PATH)
+    coder.tokenizer, coder.model = Counted(coder.tokenizer), Counted(getattr(coder, "model", None))
+    coder.encode([f"{form}{s}" for w in words for form in (w, w.upper(), w.title()) for s in signs])
+    assert coder.tokenizer.asked + coder.model.asked <= len(words) + len(signs) + 1
