@@ -373,8 +373,10 @@ def resolve_imports(records: DataFrame, files: DataFrame, packages: DataFrame |
     return edges, lost
 
 
-#: Parts into which the files of a directory are dealt where they meet directives.
-TREE_PARTS = 64
+#: Parts into which the files of a directory are dealt where they meet directives, and tasks over which all parts are spread.
+TREE_PARTS, TREE_TASKS = 64, 256
+#: Files and directives of a part that meet at once. Parquet packs eight values at a time, so that repeats of a multiple of eight files are equal in bytes.
+TREE_FILES, TREE_SOURCES = 256, 64
 
 
 def expand_tree(directives: DataFrame, files: DataFrame) -> DataFrame:
@@ -383,6 +385,10 @@ def expand_tree(directives: DataFrame, files: DataFrame) -> DataFrame:
     A directive that lies below another one of its file adds nothing and goes, so that a file meets one directive of a src at
     most, and the result needs no distinct. Files of a directory are dealt into TREE_PARTS by their path and meet a copy of
     the directives each, so that one large directory spreads over many tasks.
+
+    The result has a row for each directive and file below it, far more than both tables. So blocks of directives meet blocks
+    of files, and their pairs are laid out after the join: each src of a block with the same few files in the same order.
+    Written, such short repeats take a small part of the disk that rows in any other order take.
     """
     above = lambda c, least: F.transform(F.sequence(F.lit(1), least), lambda n: F.array_join(F.slice(F.split(c, "/"), F.lit(1), n), "/"))
     depth = lambda c: F.size(F.split(c, "/"))
@@ -390,11 +396,22 @@ def expand_tree(directives: DataFrame, files: DataFrame) -> DataFrame:
     nested = own.where(depth("dir") > 1).select("repo_id", "src", F.col("dir").alias("_low"), F.explode(above("dir", depth("dir") - 1)).alias("dir")).join(own, ["repo_id", "src", "dir"], "left_semi")
     top = own.join(nested.select("repo_id", "src", F.col("_low").alias("dir")), ["repo_id", "src", "dir"], "left_anti")
     copies = top.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(TREE_PARTS - 1))))
-    paths = files.select("repo_id", F.col("path").alias("dst")).distinct()
-    held = paths.select("repo_id", "dst", F.pmod(F.hash("dst"), F.lit(TREE_PARTS)).alias("_part"), F.explode(above("dst", F.greatest(depth("dst") - 1, F.lit(1)))).alias("dir"))
-    # Files of directories without a directive go before the join.
-    held = held.join(top.select("repo_id", "dir").distinct(), ["repo_id", "dir"], "left_semi").repartition(TREE_PARTS, "repo_id", "dir", "_part")
-    return copies.join(held, ["repo_id", "dir", "_part"]).where("src <> dst").select("repo_id", "src", "dst")
+    held = files.select("repo_id", F.col("path").alias("dst"), F.pmod(F.hash("path"), F.lit(TREE_PARTS)).alias("_part"), F.explode(above("path", F.greatest(depth("path") - 1, F.lit(1)))).alias("dir"))
+    # Files of directories without a directive go before the shuffle.
+    held = held.join(top.select("repo_id", "dir").distinct(), ["repo_id", "dir"], "left_semi")
+
+    def blocks(rows: DataFrame, name: str, size: int) -> DataFrame:
+        """(_key, repo_id, name): the distinct names of a part, size of them a row. The one key serves all steps and the join, so that they share a shuffle."""
+        key = F.concat("_part", F.lit(":"), F.length("repo_id"), F.lit(":"), "repo_id", F.lit(":"), "dir")
+        dealt = rows.select(key.alias("_key"), "repo_id", name).repartition(TREE_TASKS, "_key")
+        place = F.dense_rank().over(Window.partitionBy("_key").orderBy(name))
+        return dealt.withColumn("_block", F.floor((place - 1) / size)).groupBy("_key", "_block").agg(F.any_value("repo_id").alias("repo_id"), F.collect_set(name).alias(name)).drop("_block")
+
+    # Spark can't tell the size of the arrays, so that neither side is to be broadcast.
+    met = blocks(copies, "src", TREE_SOURCES).hint("merge").join(blocks(held, "dst", TREE_FILES).drop("repo_id"), "_key")
+    # The coalesce moves no row: it ends the step of the join, so that a task holds the rows of one pair of blocks at a time and not those of a part.
+    rows = met.coalesce(TREE_TASKS).select("repo_id", F.explode("src").alias("src"), "dst").select("repo_id", "src", F.explode("dst").alias("dst"))
+    return rows.where("src <> dst")
 
 
 def unresolved_summary(unresolved: DataFrame, actionable: list[str]) -> DataFrame:
