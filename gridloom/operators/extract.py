@@ -374,7 +374,7 @@ def resolve_imports(records: DataFrame, files: DataFrame, packages: DataFrame |
 
 
 #: Parts into which the files of a directory are dealt where they meet directives, and tasks over which all parts are spread.
-TREE_PARTS, TREE_TASKS = 64, 256
+TREE_PARTS, TREE_TASKS = 64, 192
 #: Files and directives of a part that meet at once. Parquet packs eight values at a time, so that repeats of a multiple of eight files are equal in bytes.
 TREE_FILES, TREE_SOURCES = 256, 64
 
